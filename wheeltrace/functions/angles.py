@@ -94,6 +94,8 @@ def identity_pose() -> list[list[float]]:
     return [[1.0, 0.0, 0.0, 0.0], [0.0, 1.0, 0.0, 0.0], [0.0, 0.0, 1.0, 0.0]]
 
 
+
+
 # Mounting of the sensors on the vehicle (quaternion xyzw, translation in metres).
 BODY_TO_IMU = ((0.0, 0.0, 0.7071, 0.7071), (0.0, 0.0, 0.0))
 IMU_TO_LIDAR = ((1.0, 0.0, 0.0, 0.0), (0.62, 0.0, 1.43))

@@ -18,9 +18,9 @@ from pyspark.sql import functions as F
 
 from wheeltrace.session import materialize
 
-FACTOR = 8.0
-LIST_ROWS = 4096            # longest target list kept in one row
-BROADCAST_ROWS = 400_000    # listed targets up to this many are broadcast (a few tens of MB)
+FACTOR = 4.0
+LIST_ROWS = 16384           # longest target list kept in one row
+BROADCAST_ROWS = 400_000    # listed targets of a level up to this many are broadcast (tens of MB)
 
 
 def vertex(x: str, y: str) -> dict[str, Column]:
@@ -55,7 +55,7 @@ def grid_nearest(
     order: str,
     payload: Sequence[str] = (),
     d2: Callable[[Column, Column, Column], Column] = vertex_d2,
-    cell: float = 8.0,
+    cell: float = 2.0,
     list_rows: int = LIST_ROWS,
 ) -> DataFrame:
     """Left-joins the nearest target of the same key; adds ``dist``, ``order`` and ``payload``.
@@ -64,7 +64,7 @@ def grid_nearest(
     NULLs. ``point_id`` identifies a point row; it is used only when a target list had to be split.
     Runs two small jobs first: the data extent and the longest target list.
     """
-    keys, spark = list(keys), points.sparkSession
+    keys = list(keys)
     t = targets.select(
         *keys, *[c.cast("double").alias(n) for n, c in shape.items()],
         F.col(order).alias("_ord"), *[F.col(p).alias(f"_p_{p}") for p in payload],
@@ -85,64 +85,66 @@ def grid_nearest(
     while sizes[-1] <= span:
         sizes.append(sizes[-1] * FACTOR)
 
-    item = F.struct("x0", "y0", "x1", "y1", "_ord", *[f"_p_{p}" for p in payload])
+    levels = F.array(*[F.struct(F.lit(i).alias("lv"), F.lit(v).alias("size")) for i, v in enumerate(sizes)])
+    fields = [n for n in t.columns if n not in keys]
 
-    def listed(size: float, level: int) -> DataFrame:
-        def cells(lo, hi):
-            a, b = F.least(lo, hi), F.greatest(lo, hi)
-            return F.sequence(F.floor(a / size) - 1, F.floor(b / size) + 1)
+    def cells(lo: str, hi: str) -> Column:
+        size = F.col("_l.size")
+        return F.sequence(F.floor(F.least(lo, hi) / size) - 1, F.floor(F.greatest(lo, hi) / size) + 1)
 
-        return (
-            t.select("*", F.explode(cells(F.col("x0"), F.col("x1"))).alias("_cx"))
-            .select("*", F.explode(cells(F.col("y0"), F.col("y1"))).alias("_cy"))
-            .select(*keys, F.lit(level).alias("_lv"), "_cx", "_cy", item.alias("_t"))
-        )
-
-    sizes_seen = [listed(s, i).groupBy(*keys, "_lv", "_cx", "_cy").agg(F.count(F.lit(1)).alias("n"))
-                  .groupBy("_lv").agg(F.max("n").alias("longest"), F.sum("n").alias("total"))
-                  for i, s in enumerate(sizes)]
-    stats_df = sizes_seen[0]
-    for s in sizes_seen[1:]:
-        stats_df = stats_df.union(s)
-    stats = {r["_lv"]: r for r in stats_df.collect()}  # one row per level
+    listed = (
+        t.select("*", F.explode(levels).alias("_l"))
+        .select("*", F.explode(cells("x0", "x1")).alias("_cx"))
+        .select(*keys, F.col("_l.lv").alias("_lv"), "_cx", F.explode(cells("y0", "y1")).alias("_cy"),
+                F.struct(*fields).alias("_t"))
+    )
+    stats = {
+        row["_lv"]: row
+        for row in listed.groupBy(*keys, "_lv", "_cx", "_cy").agg(F.count(F.lit(1)).alias("n"))
+        .groupBy("_lv").agg(F.max("n").alias("longest"), F.sum("n").alias("total")).collect()
+    }  # one row per level
+    splits = {lv: math.ceil(row["longest"] / list_rows) for lv, row in stats.items()}
+    parts = F.coalesce(*[F.when(F.col("_lv") == lv, F.lit(n)) for lv, n in splits.items()], F.lit(1))
+    lists = materialize(
+        listed.groupBy(*keys, "_lv", "_cx", "_cy", F.pmod(F.hash("_t"), parts).alias("_salt")).agg(
+            F.collect_list("_t").alias("_ts")
+        ),
+        "lists",
+    )
 
-    out = points.select("*", F.lit(None).cast(_best_type(t, payload)).alias("_best"))
+    best_type = _best_type(t, payload)
+    found = F.array_min(
+        F.transform("_ts", lambda o: F.struct(
+            d2(px, py, o).alias("d2"), o["_ord"].alias("ord"), *[o[f"_p_{p}"].alias(p) for p in payload],
+        ))
+    )
+    out = points.select("*", F.lit(None).cast(best_type).alias("_best"))
     for level, size in enumerate(sizes):
         if level not in stats:
             break
-        splits = math.ceil(stats[level]["longest"] / list_rows)
-        lists = listed(size, level)
-        salt = F.pmod(F.hash("_t"), F.lit(splits)) if splits > 1 else F.lit(0)
-        lists = lists.groupBy(*keys, "_cx", "_cy", salt.alias("_salt")).agg(
-            F.collect_list("_t").alias("_ts")
-        )
+        here = lists.where(F.col("_lv") == level).drop("_lv")
         if stats[level]["total"] <= BROADCAST_ROWS:
-            lists = F.broadcast(lists)
+            here = F.broadcast(here)
         open_ = F.col("_best").isNull()
         at = [F.when(open_, F.floor(c / size)).alias(n) for c, n in ((px, "_cx"), (py, "_cy"))]
-        found = F.array_min(
-            F.transform("_ts", lambda o: F.struct(
-                d2(px, py, o).alias("d2"), o["_ord"].alias("ord"),
-                *[o[f"_p_{p}"].alias(p) for p in payload],
-            ))
-        )
         last = level == len(sizes) - 1
-        good = found if last else F.when(found["d2"] < size * size, found)
-        if splits == 1:
-            out = out.select("*", *at).join(lists, [*keys, "_cx", "_cy"], "left").select(
-                *points.columns, F.coalesce("_best", good).alias("_best")
+
+        def settled(name: str) -> Column:
+            return F.col(name) if last else F.when(F.col(f"{name}.d2") < size * size, F.col(name))
+
+        if splits[level] == 1:
+            out = out.select("*", *at).join(here.drop("_salt"), [*keys, "_cx", "_cy"], "left")
+            # the candidate is named first, so that the list is scanned once per point
+            out = out.select(*points.columns, "_best", found.alias("_f")).select(
+                *points.columns, F.coalesce("_best", settled("_f")).alias("_best")
             )
         else:
             out = materialize(out, "nearest")
-            todo = out.where(open_).select(
-                *points.columns, *at, F.explode(F.sequence(F.lit(0), F.lit(splits - 1))).alias("_salt")
-            )
-            best = todo.join(lists, [*keys, "_cx", "_cy", "_salt"]).groupBy(*point_id).agg(
-                F.min(found).alias("_new")
-            )
-            new = F.col("_new") if last else F.when(F.col("_new.d2") < size * size, F.col("_new"))
+            salts = F.explode(F.sequence(F.lit(0), F.lit(splits[level] - 1)))
+            todo = out.where(open_).select(*points.columns, *at, salts.alias("_salt"))
+            best = todo.join(here, [*keys, "_cx", "_cy", "_salt"]).groupBy(*point_id).agg(F.min(found).alias("_new"))
             out = out.join(best, list(point_id), "left").select(
-                *points.columns, F.coalesce("_best", new).alias("_best")
+                *points.columns, F.coalesce("_best", settled("_new")).alias("_best")
             )
     return out.select(
         *points.columns, F.sqrt("_best.d2").alias("dist"), F.col("_best.ord").alias(order),

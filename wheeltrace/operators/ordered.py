@@ -176,3 +176,15 @@ def stride_sample(
     if pos is not None:
         return df.where(F.col(pos) % n == 0)
     return dense_number(df, keys, order, "_pos").where(F.col("_pos") % n == 0).drop("_pos")
+
+
+def exact_percentile(df: DataFrame, keys: Sequence[str], value: str, p: float, name: str) -> DataFrame:
+    """Percentile with linear interpolation, by position in a distributed sort (no per-key buffer)."""
+    keys = list(keys)
+    rows = dense_number(df.where(F.col(value).isNotNull()).select(*keys, value), keys, [value], "_pos")
+    n = rows.groupBy(*keys).agg(((F.max("_pos")) * p).alias("_at"))
+    near = rows.join(n, keys).where(F.col("_pos").between(F.floor("_at"), F.ceil("_at")))
+    frac = F.col("_at") - F.floor("_at")
+    return near.groupBy(*keys).agg(
+        F.min_by(value, "_pos").alias("_lo"), F.max_by(value, "_pos").alias("_hi"), F.max(frac).alias("_f")
+    ).select(*keys, (F.col("_lo") + F.col("_f") * (F.col("_hi") - F.col("_lo"))).alias(name))

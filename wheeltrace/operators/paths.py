@@ -67,7 +67,7 @@ def resample_path(
 
 def nearest_path_point(
     points: DataFrame, path: DataFrame, keys, point_id, xy=("x", "y"), path_xy=("x", "y"),
-    idx: str = "idx", payload=("s",), cell: float = 8.0, **kw,
+    idx: str = "idx", payload=("s",), cell: float = 2.0, **kw,
 ) -> DataFrame:
     """Nearest reference vertex of each point; the first vertex wins ties."""
     return grid_nearest(points, path, keys, point_id, xy, vertex(*path_xy), idx, payload,
@@ -275,7 +275,7 @@ def line_substring(segments: DataFrame, start: Column, end: Column) -> DataFrame
 
 
 def polyline_project(
-    points: DataFrame, segments: DataFrame, keys, point_id, px="px", py="py", cell: float = 8.0
+    points: DataFrame, segments: DataFrame, keys, point_id, px="px", py="py", cell: float = 2.0
 ) -> DataFrame:
     """Distance along the point's own line of the closest point on it, and that point."""
     near = grid_nearest(

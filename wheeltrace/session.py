@@ -18,6 +18,9 @@ def local_session(cores: int | str = 8, app: str = "wheeltrace") -> SparkSession
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(cores))
         .config("spark.sql.adaptive.enabled", "true")
+        # small test data: keep enough tasks for the cores
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "128k")
+        .config("spark.sql.files.openCostInBytes", "256k")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "12g")

@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wheeltrace.functions.angles import wrap_deg
+from wheeltrace.functions.angles import wrap_deg, wrap_rad
+from wheeltrace.functions.geodesy import axis_angle
+from wheeltrace.operators.nearest import grid_nearest, vertex
+from wheeltrace.operators.ordered import CHUNK_ROWS, chunk_of, exact_percentile
+from wheeltrace.session import materialize
 
 
 def yaw_agreement(df: DataFrame, keys, a_deg: str, b_deg: str) -> DataFrame:
@@ -14,3 +22,246 @@ def yaw_agreement(df: DataFrame, keys, a_deg: str, b_deg: str) -> DataFrame:
     return d.groupBy(*keys).agg(
         F.avg("_d").alias("mean_diff"), F.stddev_pop("_d").alias("std_diff"), F.max(F.abs("_d")).alias("max_diff")
     )
+
+
+def axis_drift(df: DataFrame, keys, pos: str, x: str, y: str, offset: tuple, warn_deg: float = 0.1) -> DataFrame:
+    """Change of the +x axis direction between the first and the middle row, with a warning flag."""
+    n = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    ends = df.join(n, list(keys)).where((F.col(pos) == 0) | (F.col(pos) == F.expr("_n div 2")))
+    a = axis_angle(ends.select(*keys, pos, x, y), x, y, "_a", offset)
+    g = a.groupBy(*keys).agg(F.min_by("_a", pos).alias("_a0"), F.max_by("_a", pos).alias("_a1"))
+    drift = wrap_deg(F.degrees(F.col("_a1") - F.col("_a0")))
+    return g.select(*keys, F.degrees("_a0").alias("start_deg"), drift.alias("drift_deg"),
+                    (F.abs(drift) >= warn_deg).alias("warn"))
+
+
+def circular_mean(df: DataFrame, keys, angle: str) -> DataFrame:
+    """Circular mean and population std of the wrapped residuals."""
+    keys = list(keys)
+    mean = df.groupBy(*keys).agg(F.atan2(F.avg(F.sin(angle)), F.avg(F.cos(angle))).alias("mean"))
+    res = df.join(mean, keys).select(*keys, "mean", wrap_rad(F.col(angle) - F.col("mean")).alias("_r"))
+    return res.groupBy(*keys).agg(F.first("mean").alias("mean"), F.stddev_pop("_r").alias("residual_std"))
+
+
+def yaw_alignment(df: DataFrame, keys, src: str, dst: str) -> DataFrame:
+    """Best of dst = +src + offset and dst = -src + offset by residual std; +1 wins ties."""
+    keys = list(keys)
+    signed = df.select(*keys, src, dst, F.explode(F.array(F.lit(1), F.lit(-1))).alias("yaw_sign"))
+    diff = signed.select(*keys, "yaw_sign", wrap_rad(F.col(dst) - F.col("yaw_sign") * F.col(src)).alias("_d"))
+    both = circular_mean(diff, [*keys, "yaw_sign"], "_d")
+    best = F.min_by(F.struct("yaw_sign", F.col("mean").alias("yaw_offset"), "residual_std"),
+                    F.struct("residual_std", -F.col("yaw_sign")))
+    return both.groupBy(*keys).agg(best.alias("_b")).select(*keys, "_b.*")
+
+
+def similarity_fit(df: DataFrame, keys, src: Sequence[str], dst: Sequence[str]) -> DataFrame:
+    """Least-squares dst = scale * R * src + t in the plane, from one pass of mergeable moments."""
+    keys = list(keys)
+    (sx, sy), (tx, ty) = src, dst
+    m = df.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(f"_m{i}") for i, c in enumerate((sx, sy, tx, ty))],
+        (F.var_pop(sx) + F.var_pop(sy)).alias("_var"),
+        (F.covar_pop(ty, sx) - F.covar_pop(tx, sy)).alias("_q"),
+        (F.covar_pop(tx, sx) + F.covar_pop(ty, sy)).alias("_p"),
+    )
+    m = m.select("*", F.atan2("_q", "_p").alias("theta"),
+                 (F.sqrt(F.col("_q") * F.col("_q") + F.col("_p") * F.col("_p")) / F.col("_var")).alias("scale"))
+    c, s = F.cos("theta") * F.col("scale"), F.sin("theta") * F.col("scale")
+    return m.select(
+        *keys, "n", "scale", "theta",
+        (F.col("_m2") - (c * F.col("_m0") - s * F.col("_m1"))).alias("t_x"),
+        (F.col("_m3") - (s * F.col("_m0") + c * F.col("_m1"))).alias("t_y"),
+    )
+
+
+def similarity_fit_nd(df: DataFrame, src: Sequence[str], dst: Sequence[str], with_scale: bool = True) -> dict:
+    """The same in D dimensions for one data set: only the D x D moment matrix reaches the driver."""
+    d = len(src)
+    aggs = [F.avg(c) for c in (*src, *dst)]
+    aggs += [F.var_pop(c) for c in src]
+    aggs += [F.covar_pop(dst[i], src[j]) for i in range(d) for j in range(d)]
+    row = list(df.agg(*[a.alias(f"a{i}") for i, a in enumerate(aggs)]).first())
+    mu_s, mu_t = np.array(row[:d]), np.array(row[d:2 * d])
+    var, cov = sum(row[2 * d:3 * d]), np.array(row[3 * d:]).reshape(d, d)
+    u, diag, vt = np.linalg.svd(cov)
+    flip = np.ones(d)
+    flip[-1] = np.sign(np.linalg.det(u) * np.linalg.det(vt)) or 1.0
+    rot = u @ np.diag(flip) @ vt
+    scale = float((diag * flip).sum() / var) if with_scale else 1.0
+    return {"scale": scale, "rotation": rot.tolist(), "translation": (mu_t - scale * rot @ mu_s).tolist()}
+
+
+def alignment_report(matched: DataFrame, fit: DataFrame, yaw_fit: DataFrame, keys, src, dst, src_yaw, dst_yaw,
+                     pitch, roll, z) -> DataFrame:
+    """Position and yaw errors of a fit, mount angles (median, std) and mean height per key."""
+    keys = list(keys)
+    j = matched.join(fit, keys).join(yaw_fit, keys)
+    c, s = F.cos("theta") * F.col("scale"), F.sin("theta") * F.col("scale")
+    ex = F.col(dst[0]) - (c * F.col(src[0]) - s * F.col(src[1]) + F.col("t_x"))
+    ey = F.col(dst[1]) - (s * F.col(src[0]) + c * F.col(src[1]) + F.col("t_y"))
+    err = F.sqrt(ex * ex + ey * ey)
+    yerr = F.degrees(wrap_rad(F.col(dst_yaw) - (F.col("yaw_sign") * F.col(src_yaw) + F.col("yaw_offset"))))
+    base = j.select(*keys, err.alias("e"), yerr.alias("ye"), F.col(pitch).alias("p"), F.col(roll).alias("r"), F.col(z).alias("z"))
+    out = base.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.avg("e").alias("pos_mean"), F.max("e").alias("pos_max"),
+        F.sqrt(F.avg(F.col("e") * F.col("e"))).alias("pos_rms"), F.avg(F.abs("ye")).alias("yaw_mean"),
+        F.max(F.abs("ye")).alias("yaw_max"), F.stddev_pop("ye").alias("yaw_std"),
+        F.stddev_pop("p").alias("pitch_std"), F.stddev_pop("r").alias("roll_std"), F.avg("z").alias("z_mean"),
+    )
+    for c_, src_ in (("pitch_median", pitch), ("roll_median", roll)):
+        out = out.join(exact_percentile(matched, keys, src_, 0.5, c_), keys)
+    return out
+
+
+def frame_match(left: DataFrame, right: DataFrame, on: Sequence[str], min_matches: int = 3) -> tuple[DataFrame, DataFrame]:
+    """(matched rows, left rows without a partner); fewer matches than ``min_matches`` is an error."""
+    matched = left.join(right, list(on))
+    if matched.limit(min_matches).count() < min_matches:
+        raise ValueError(f"need at least {min_matches} matched frames")
+    return matched, left.join(right, list(on), "left_anti")
+
+
+def extent(df: DataFrame, keys, cols: Sequence[str], buffer: float = 0.0) -> DataFrame:
+    """Min, max, range and centroid of each axis, with optionally buffered bounds."""
+    aggs = []
+    for c in cols:
+        aggs += [(F.min(c) - buffer).alias(f"{c}_min"), (F.max(c) + buffer).alias(f"{c}_max"),
+                 (F.max(c) - F.min(c)).alias(f"{c}_range"), F.avg(c).alias(f"{c}_mean")]
+    return df.groupBy(*keys).agg(*aggs)
+
+
+# --- route splits -----------------------------------------------------------------------------------
+def split_ranges(frames: DataFrame, keys, frame: str, k: int, overlap: int) -> DataFrame:
+    """One array of ``k`` forward-overlapping ranges per key, from the number of frames."""
+    n = frames.groupBy(*keys).agg((F.max(frame) + 1).alias("_n"))
+    step = F.expr(f"_n div {k}")
+    ranges = F.array(*[
+        F.struct(
+            F.lit(i + 1).alias("split"), (step * i).alias("start"),
+            (F.least((i + 1) * step + (overlap - 1), F.col("_n") - 1) if i < k - 1 else F.col("_n") - 1).alias("end"),
+        ) for i in range(k)
+    ])
+    return n.select(*keys, "_n", F.when(step > 0, ranges).otherwise(
+        F.raise_error(F.concat(F.lit("too many splits for frames: "), F.col("_n").cast("string")))).alias("_ranges"))
+
+
+def split_assign(frames: DataFrame, keys, frame: str, k: int, overlap: int) -> DataFrame:
+    """A row per split that contains the frame; the ranges travel as one small array per key."""
+    j = frames.join(split_ranges(frames, keys, frame, k, overlap), list(keys))
+    f = F.col(frame)
+    hit = F.filter("_ranges", lambda s: (s["start"] <= f) & (f <= s["end"]))
+    return j.select(*frames.columns, F.explode(F.transform(hit, lambda s: s["split"])).alias("split"))
+
+
+def split_overlap(frames: DataFrame, kept: DataFrame, keys, frame: str, k: int, overlap: int) -> DataFrame:
+    """Overlap interval of each adjacent split pair and the number of ``kept`` frames inside."""
+    keys = list(keys)
+    r = split_ranges(frames, keys, frame, k, overlap)
+    pairs = r.select(*keys, F.expr(
+        "transform(slice(_ranges, 1, size(_ranges) - 1), (s, i) -> struct(s.split as split,"
+        " greatest(s.start, _ranges[i + 1].start) as lo, least(s.end, _ranges[i + 1].end) as hi))").alias("_p"))
+    f = F.col(frame)
+    inside = kept.join(pairs, keys).select(
+        *keys, F.explode(F.filter("_p", lambda s: (s["lo"] <= f) & (f <= s["hi"]))).alias("s"))
+    n = inside.groupBy(*keys, F.col("s.split").alias("split")).agg(F.count(F.lit(1)).alias("frames"))
+    flat = pairs.select(*keys, F.inline("_p")).where("hi >= lo")
+    return flat.join(n, [*keys, "split"], "left").na.fill(0, ["frames"])
+
+
+def nearest_centroid(frames: DataFrame, splits: DataFrame, keys, x: str, y: str) -> DataFrame:
+    """Split whose camera centroid is closest in the split's own frame (lowest split wins ties).
+
+    ``splits`` (one row per split: keys, ``split``, ``cx, cy`` and a similarity ``a, b, tx, ty`` with
+    x' = a x - b y + tx, y' = b x + a y + ty) is folded into one short array per key.
+    """
+    arr = splits.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("split", "cx", "cy", "a", "b", "tx", "ty"))).alias("_s"))
+    px, py = F.col(x), F.col(y)
+
+    def dist(s):
+        dx = s["a"] * px - s["b"] * py + s["tx"] - s["cx"]
+        dy = s["b"] * px + s["a"] * py + s["ty"] - s["cy"]
+        return F.struct(F.sqrt(dx * dx + dy * dy).alias("d"), s["split"].alias("split"))
+
+    best = F.array_min(F.transform("_s", dist))
+    return frames.join(arr, list(keys)).select(*frames.columns, best.alias("_b")).select(
+        *frames.columns, F.col("_b.split").alias("split"), F.col("_b.d").alias("centroid_dist"))
+
+
+def coverage_distance(points: DataFrame, cameras: DataFrame, keys, point_id, xy, cam_xy, cam_z: str, cam_id: str, **kw) -> DataFrame:
+    """Distance to the nearest training camera and its height, or the median height where none exists."""
+    near = grid_nearest(points, cameras, keys, point_id, xy, vertex(*cam_xy), cam_id, (cam_z,), **kw)
+    med = exact_percentile(cameras.withColumn("_all", F.lit(0)), ["_all"], cam_z, 0.5, "_med")
+    out = near.withColumn("_all", F.lit(0)).join(med, "_all", "left")
+    return out.select(*points.columns, "dist", cam_id, F.coalesce(cam_z, "_med").alias("lookup_z"))
+
+
+def best_split(frames: DataFrame, splits: DataFrame, keys, pos: str, frame: str, initial: int = 0, rows: int = CHUNK_ROWS) -> DataFrame:
+    """Sticky choice of a split for each step of a run.
+
+    Keep the current split while it covers the frame; else the covering split that ends last; else
+    the nearest range. A step either keeps the state or sets it to a value that depends on the frame
+    alone, so a chunk of steps is a map from start state to end state. Chunks are summarised in
+    parallel, the short list of maps is composed per run, and chunks are replayed in parallel from
+    their now known start state.
+    """
+    keys = list(keys)
+    arr = splits.groupBy(*keys).agg(
+        F.sort_array(F.collect_list(F.struct("split", "min_frame", "max_frame"))).alias("_s"))
+    base = frames.join(arr, keys).select(
+        *frames.columns, F.col("_s.min_frame").alias("_lo"), F.col("_s.max_frame").alias("_hi"),
+        chunk_of(pos, rows).alias("_chunk"))
+    types = dict(frames.dtypes)
+    key_schema = ", ".join(f"{k} {types[k]}" for k in keys)
+
+    def tables(pdf):
+        lo, hi = np.asarray(pdf["_lo"].iloc[0]), np.asarray(pdf["_hi"].iloc[0])
+        f = pdf[frame].to_numpy()[:, None]
+        cover = (lo <= f) & (f <= hi)
+        gap = np.where(f < lo, lo - f, np.where(f > hi, f - hi, 0))
+        widest = np.argmax(np.where(cover, hi, -1), axis=1)
+        return cover, np.where(cover.any(axis=1), widest, np.argmin(gap, axis=1))
+
+    def summarise(pdf):
+        pdf = pdf.sort_values(pos)
+        cover, fallback = tables(pdf)
+        state = np.arange(cover.shape[1])
+        for c, b in zip(cover, fallback):
+            state = np.where(c[state], state, b)
+        return pd.DataFrame([[*(pdf[k].iloc[0] for k in keys), pdf["_chunk"].iloc[0], state]],
+                            columns=[*keys, "_chunk", "_map"])
+
+    def compose(pdf):
+        pdf = pdf.sort_values("_chunk")
+        starts, cur = [], initial
+        for m in pdf["_map"]:
+            starts.append(cur)
+            cur = int(m[cur])
+        return pdf[[*keys, "_chunk"]].assign(_start=starts)
+
+    def replay(pdf):
+        pdf = pdf.sort_values(pos)
+        cover, fallback = tables(pdf)
+        cur, out = int(pdf["_start"].iloc[0]), []
+        for c, b in zip(cover, fallback):
+            if not c[cur]:
+                cur = int(b)
+            out.append(cur)
+        return pdf[frames.columns].assign(split_idx=out)
+
+    maps = base.groupBy(*keys, "_chunk").applyInPandas(summarise, f"{key_schema}, _chunk long, _map array<long>")
+    starts = maps.groupBy(*keys).applyInPandas(compose, f"{key_schema}, _chunk long, _start long")
+    out_schema = ", ".join(f"{c} {types[c]}" for c in frames.columns) + ", split_idx long"
+    return base.join(materialize(starts, "starts"), [*keys, "_chunk"]).groupBy(*keys, "_chunk").applyInPandas(replay, out_schema)
+
+
+# --- set operations ---------------------------------------------------------------------------------
+def frame_union(a: DataFrame, b: DataFrame) -> DataFrame:
+    return a.union(b).distinct()
+
+
+def frame_intersect(a: DataFrame, b: DataFrame) -> DataFrame:
+    return a.intersect(b)
+
+
+def missing_frames(truth: DataFrame, predicted: DataFrame, on: Sequence[str]) -> DataFrame:
+    return truth.join(predicted, list(on), "left_anti")

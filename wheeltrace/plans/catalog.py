@@ -1,4 +1,4 @@
 """Imports every query module so that the registry is complete."""
 
-from wheeltrace.plans import q_detect, q_path, q_time  # noqa: F401
+from wheeltrace.plans import q_align, q_detect, q_path, q_scene, q_time  # noqa: F401
 from wheeltrace.plans.registry import ORACLES, QUERIES  # noqa: F401

@@ -210,7 +210,7 @@ def best_split(frames: DataFrame, splits: DataFrame, keys, pos: str, frame: str,
     base = frames.join(arr, keys).select(
         *frames.columns, F.col("_s.min_frame").alias("_lo"), F.col("_s.max_frame").alias("_hi"),
         chunk_of(pos, rows).alias("_chunk"))
-    types = dict(frames.dtypes)
+    types, cols = dict(frames.dtypes), frames.columns
     key_schema = ", ".join(f"{k} {types[k]}" for k in keys)
 
     def tables(pdf):
@@ -246,11 +246,11 @@ def best_split(frames: DataFrame, splits: DataFrame, keys, pos: str, frame: str,
             if not c[cur]:
                 cur = int(b)
             out.append(cur)
-        return pdf[frames.columns].assign(split_idx=out)
+        return pdf[cols].assign(split_idx=out)
 
     maps = base.groupBy(*keys, "_chunk").applyInPandas(summarise, f"{key_schema}, _chunk long, _map array<long>")
     starts = maps.groupBy(*keys).applyInPandas(compose, f"{key_schema}, _chunk long, _start long")
-    out_schema = ", ".join(f"{c} {types[c]}" for c in frames.columns) + ", split_idx long"
+    out_schema = ", ".join(f"{c} {types[c]}" for c in cols) + ", split_idx long"
     return base.join(materialize(starts, "starts"), [*keys, "_chunk"]).groupBy(*keys, "_chunk").applyInPandas(replay, out_schema)
 
 

@@ -139,7 +139,7 @@ _FIN = {
 }
 
 
-@query("finalise_cars", cte(f"""SELECT sensor, run, CAST(id AS BIGINT) AS id, {q('x', 4)} AS x, {q('y', 4)} AS y, {q('length', 4)} AS length, {q('yaw', 9)} AS yaw, n AS count, {q('conf', 9)} AS conf, side,
+@query("finalise_cars", cte(f"""SELECT sensor, run, CAST(id AS BIGINT) AS id, {q('x', 6)} AS x, {q('y', 6)} AS y, {q('length', 4)} AS length, {q('yaw', 9)} AS yaw, n AS count, {q('conf', 9)} AS conf, side,
    CASE WHEN least(d, 2*pi() - d) < pi()/4 OR least(d, 2*pi() - d) > 3*pi()/4 THEN 'parallel' ELSE 'perpendicular' END AS orient FROM fin""", "odom", "detections", extra=_FIN))
 def finalise_cars(spark, sf):
     s = F.col("score")
@@ -154,7 +154,7 @@ def finalise_cars(spark, sf):
     out = None
     for sensor in ("camera", "lidar"):
         cars = D.finalise_cars(sums, path, sensor, origin).select(
-            F.lit(sensor).alias("sensor"), "run", "id", *[r(c, 4).alias(c) for c in ("x", "y", "length")], r("yaw", 9).alias("yaw"), "count",
+            F.lit(sensor).alias("sensor"), "run", "id", r("x").alias("x"), r("y").alias("y"), r("length", 4).alias("length"), r("yaw", 9).alias("yaw"), "count",
             r("conf", 9).alias("conf"), "side", "orient")
         out = cars if out is None else out.unionByName(cars)
     return out

@@ -41,7 +41,7 @@ def asof_pair(
     )
     right = events.select(
         *keys, time, F.lit(event_rank).alias("_rank"), F.lit(0).cast("long").alias("_tie"),
-        F.struct(*ev_cols).alias("_ev"),
+        F.struct(F.lit(True).alias("_event"), *ev_cols).alias("_ev"),
     )
     both = left.unionByName(right, allowMissingColumns=True)
     placed = ordered_parts(both, keys, [time, "_rank", "_tie"])
@@ -63,7 +63,9 @@ def asof_pair(
         F.coalesce(F.last("_pose", True).over(here.orderBy("_mid")), F.col("_cprev")).alias("prev"),
         F.coalesce(F.last("_pose", True).over(here.orderBy(F.desc("_mid"))), F.col("_cnext")).alias("next"),
     )
-    return out.where(F.col("_ev").isNotNull()).select(*keys, time, "_ev.*", "prev", "next")
+    return out.where(F.col("_ev").isNotNull()).select(
+        *keys, time, *[F.col(f"_ev.{c}").alias(c) for c in ev_cols], "prev", "next"
+    )
 
 
 def lerp(field: str, time: str) -> Column:

@@ -1,11 +1,14 @@
-"""Nearest target lookup with a pyramid of grids: equi-joins only, exact at any distance.
+"""Nearest target lookup on grid cells: equi-joins only, exact at any distance.
 
-Targets (path vertices, cameras, line segments) are listed in every grid cell they could matter
-for. A point looks at its own cell only. If the best listed target is closer than the cell size it
-is provably the nearest; otherwise the point goes on to a grid with cells ``FACTOR`` times larger.
-The largest cells span all data, so every point is resolved.
+Near points: every target (path vertex, camera, line segment) is listed in the 3 x 3 cells around it
+and a point looks at its own cell. A listed target closer than the cell size is provably the nearest.
 
-Points are never exploded unless a cell holds so many targets that its list is split.
+Far points: their distinct cells (not the points) walk down a quad-tree. A cell keeps the targets that
+can be nearest for some place inside it, those within ``min(centre distance) + cell diagonal`` of its
+centre, and passes them to its occupied sub-cells until the list is short. Each far point then reads
+the one list of its cell.
+
+Points are never multiplied unless a smallest cell still holds more targets than fit in one row.
 """
 
 from __future__ import annotations
@@ -18,9 +21,11 @@ from pyspark.sql import functions as F
 
 from wheeltrace.session import materialize
 
-FACTOR = 4.0
-LIST_ROWS = 16384           # longest target list kept in one row
-BROADCAST_ROWS = 400_000    # listed targets of a level up to this many are broadcast (tens of MB)
+FACTOR = 4
+LEAF_ROWS = 48              # a cell with this few candidates is not divided further
+LIST_ROWS = 16384           # longest candidate list kept in one row
+START_PAIRS = 500_000       # the descent starts at the deepest level with at most this many pairs
+BROADCAST_ROWS = 400_000    # listed targets up to this many are broadcast (tens of MB)
 
 
 def vertex(x: str, y: str) -> dict[str, Column]:
@@ -61,97 +66,126 @@ def grid_nearest(
     """Left-joins the nearest target of the same key; adds ``dist``, ``order`` and ``payload``.
 
     Equal distances go to the smallest ``order`` (a number). Points of a key without targets get
-    NULLs. ``point_id`` identifies a point row; it is used only when a target list had to be split.
-    Runs two small jobs first: the data extent and the longest target list.
+    NULLs. ``point_id`` identifies a point row; it is used only when a candidate list had to be split.
+    Reads the point coordinates twice: once to find the cells of far points, once for the result.
     """
-    keys = list(keys)
+    cols = points.columns
+    points, keys = points.withColumn("_one", F.lit(0)), ["_one", *keys]
     t = targets.select(
-        *keys, *[c.cast("double").alias(n) for n, c in shape.items()],
+        F.lit(0).alias("_one"), *keys[1:], *[c.cast("double").alias(n) for n, c in shape.items()],
         F.col(order).alias("_ord"), *[F.col(p).alias(f"_p_{p}") for p in payload],
     )
+    reach = F.greatest(F.abs(F.col("x1") - F.col("x0")), F.abs(F.col("y1") - F.col("y0")))
+    if d2 is not vertex_d2:  # long segments need larger cells
+        cell = max(cell, (t.agg(F.max(reach)).first()[0] or 0.0) / 4)
+    target = F.struct(*[c for c in t.columns if c not in keys])
     px, py = F.col(xy[0]), F.col(xy[1])
-    box = t.select(
-        F.least("x0", "x1").alias("a"), F.greatest("x0", "x1").alias("b"),
-        F.least("y0", "y1").alias("c"), F.greatest("y0", "y1").alias("d"),
-        F.greatest(F.abs(F.col("x1") - F.col("x0")), F.abs(F.col("y1") - F.col("y0"))).alias("len"),
-    ).union(points.select(px, px, py, py, F.lit(0.0)))
-    ext = box.agg(F.min("a"), F.max("b"), F.min("c"), F.max("d"), F.max("len")).first()
-    if ext[0] is None:
-        span, longest = 0.0, 0.0
-    else:
-        span, longest = max(ext[1] - ext[0], ext[3] - ext[2]), ext[4]
-    cell = max(cell, longest / 4)
-    sizes = [cell]
-    while sizes[-1] <= span:
-        sizes.append(sizes[-1] * FACTOR)
-
-    levels = F.array(*[F.struct(F.lit(i).alias("lv"), F.lit(v).alias("size")) for i, v in enumerate(sizes)])
-    fields = [n for n in t.columns if n not in keys]
 
+    # targets around each cell
     def cells(lo: str, hi: str) -> Column:
-        size = F.col("_l.size")
-        return F.sequence(F.floor(F.least(lo, hi) / size) - 1, F.floor(F.greatest(lo, hi) / size) + 1)
-
-    listed = (
-        t.select("*", F.explode(levels).alias("_l"))
-        .select("*", F.explode(cells("x0", "x1")).alias("_cx"))
-        .select(*keys, F.col("_l.lv").alias("_lv"), "_cx", F.explode(cells("y0", "y1")).alias("_cy"),
-                F.struct(*fields).alias("_t"))
-    )
-    stats = {
-        row["_lv"]: row
-        for row in listed.groupBy(*keys, "_lv", "_cx", "_cy").agg(F.count(F.lit(1)).alias("n"))
-        .groupBy("_lv").agg(F.max("n").alias("longest"), F.sum("n").alias("total")).collect()
-    }  # one row per level
-    splits = {lv: math.ceil(row["longest"] / list_rows) for lv, row in stats.items()}
-    parts = F.coalesce(*[F.when(F.col("_lv") == lv, F.lit(n)) for lv, n in splits.items()], F.lit(1))
-    lists = materialize(
-        listed.groupBy(*keys, "_lv", "_cx", "_cy", F.pmod(F.hash("_t"), parts).alias("_salt")).agg(
-            F.collect_list("_t").alias("_ts")
-        ),
-        "lists",
-    )
+        return F.sequence(F.floor(F.least(lo, hi) / cell) - 1, F.floor(F.greatest(lo, hi) / cell) + 1)
+
+    listed = t.select("*", F.explode(cells("x0", "x1")).alias("_cx")).select(
+        *keys, "_cx", F.explode(cells("y0", "y1")).alias("_cy"), target.alias("_t"))
+    counts = listed.groupBy(*keys, "_cx", "_cy").agg(F.count(F.lit(1)).alias("n"))
+    top = counts.agg(F.max("n").alias("longest"), F.sum("n").alias("total")).first()
+    near = top["longest"] is not None and top["longest"] <= list_rows
+    here = [F.floor(px / cell).alias("_cx"), F.floor(py / cell).alias("_cy")]
+    if near:
+        around = listed.groupBy(*keys, "_cx", "_cy").agg(F.collect_list("_t").alias("_ts"))
+        around = F.broadcast(around) if top["total"] <= BROADCAST_ROWS else materialize(around, "lists")
+        probe = points.select(*keys, px, py, *here).join(around, [*keys, "_cx", "_cy"], "left")
+        close = F.array_min(F.transform("_ts", lambda o: d2(px, py, o))) < cell * cell
+        far = probe.where(~F.coalesce(close, F.lit(False)))
+    else:
+        far = points.select(*keys, px, py, *here)
+    far = materialize(far.where(px.isNotNull() & py.isNotNull()).select(*keys, "_cx", "_cy").distinct(), "far")
+    leaves = _quad_tree(far, t, keys, target, d2, cell, list_rows)
 
-    best_type = _best_type(t, payload)
     found = F.array_min(
         F.transform("_ts", lambda o: F.struct(
             d2(px, py, o).alias("d2"), o["_ord"].alias("ord"), *[o[f"_p_{p}"].alias(p) for p in payload],
         ))
     )
-    out = points.select("*", F.lit(None).cast(best_type).alias("_best"))
-    for level, size in enumerate(sizes):
-        if level not in stats:
-            break
-        here = lists.where(F.col("_lv") == level).drop("_lv")
-        if stats[level]["total"] <= BROADCAST_ROWS:
-            here = F.broadcast(here)
+    base = points.columns
+    out = points.select("*", F.lit(None).cast(_best_type(t, payload)).alias("_best"))
+    if near:
+        # the candidate is named first, so that the list is scanned once per point
+        out = out.select("*", *here).join(around, [*keys, "_cx", "_cy"], "left")
+        out = out.select(*base, found.alias("_f")).select(
+            *base, F.when(F.col("_f.d2") < cell * cell, F.col("_f")).alias("_best"))
+    for level, (lists, splits, total) in leaves.items():
         open_ = F.col("_best").isNull()
-        at = [F.when(open_, F.floor(c / size)).alias(n) for c, n in ((px, "_cx"), (py, "_cy"))]
-        last = level == len(sizes) - 1
-
-        def settled(name: str) -> Column:
-            return F.col(name) if last else F.when(F.col(f"{name}.d2") < size * size, F.col(name))
-
-        if splits[level] == 1:
-            out = out.select("*", *at).join(here.drop("_salt"), [*keys, "_cx", "_cy"], "left")
-            # the candidate is named first, so that the list is scanned once per point
-            out = out.select(*points.columns, "_best", found.alias("_f")).select(
-                *points.columns, F.coalesce("_best", settled("_f")).alias("_best")
-            )
+        at = [F.when(open_, F.floor(F.floor(c / cell) / FACTOR**level)).alias(n) for c, n in ((px, "_cx"), (py, "_cy"))]
+        if total <= BROADCAST_ROWS:
+            lists = F.broadcast(lists)
+        if splits == 1:
+            out = out.select("*", *at).join(lists, [*keys, "_cx", "_cy"], "left")
+            out = out.select(*base, "_best", found.alias("_f")).select(*base, F.coalesce("_best", "_f").alias("_best"))
         else:
             out = materialize(out, "nearest")
-            salts = F.explode(F.sequence(F.lit(0), F.lit(splits[level] - 1)))
-            todo = out.where(open_).select(*points.columns, *at, salts.alias("_salt"))
-            best = todo.join(here, [*keys, "_cx", "_cy", "_salt"]).groupBy(*point_id).agg(F.min(found).alias("_new"))
-            out = out.join(best, list(point_id), "left").select(
-                *points.columns, F.coalesce("_best", settled("_new")).alias("_best")
-            )
+            salts = F.explode(F.sequence(F.lit(0), F.lit(splits - 1)))
+            todo = out.where(open_).select(*base, *at, salts.alias("_salt"))
+            best = todo.join(lists, [*keys, "_cx", "_cy", "_salt"]).groupBy(*point_id).agg(F.min(found).alias("_new"))
+            out = out.join(best, list(point_id), "left").select(*base, F.coalesce("_best", "_new").alias("_best"))
     return out.select(
-        *points.columns, F.sqrt("_best.d2").alias("dist"), F.col("_best.ord").alias(order),
+        *cols, F.sqrt("_best.d2").alias("dist"), F.col("_best.ord").alias(order),
         *[F.col(f"_best.{p}").alias(p) for p in payload],
     )
 
 
+def _quad_tree(far: DataFrame, t: DataFrame, keys: list[str], target: Column, d2, cell: float, list_rows: int) -> dict:
+    """Candidate lists of the far cells: ``{level: (lists, splits, listed rows)}``; every far cell lies
+    below exactly one listed cell (or has no targets at all)."""
+    lim = far.agg(F.min("_cx"), F.max("_cx"), F.min("_cy"), F.max("_cy")).first()
+    if lim[0] is None:
+        return {}
+
+    def up(c: str, k: int) -> Column:
+        return F.floor(F.col(c) / FACTOR**k)
+
+    top = 0
+    while FACTOR**top <= max(lim[1] - lim[0], lim[3] - lim[2]):
+        top += 1
+    per_key = far.groupBy(*keys).agg(*[
+        F.count_distinct(up("_cx", k), up("_cy", k)).alias(f"_c{k}") for k in range(top + 1)])
+    per_key = per_key.join(t.groupBy(*keys).agg(F.count(F.lit(1)).alias("_m")), keys)
+    pairs_at = per_key.agg(*[F.sum(F.col(f"_c{k}") * F.col("_m")) for k in range(top + 1)]).first()
+    if pairs_at[0] is None:
+        return {}
+    level = next((k for k in range(top + 1) if pairs_at[k] <= START_PAIRS), top)
+
+    at = [*keys, "_cx", "_cy"]
+    pairs = far.select(*keys, up("_cx", level).alias("_cx"), up("_cy", level).alias("_cy")).distinct().join(
+        t.select(*keys, target.alias("_t")), keys)
+    out = {}
+    while True:
+        size = cell * FACTOR**level
+        centre = [(F.col(c) + 0.5) * size for c in ("_cx", "_cy")]
+        dist = pairs.select(*at, "_t", F.sqrt(d2(*centre, F.col("_t"))).alias("_dc"))
+        low = dist.groupBy(*at).agg(F.min("_dc").alias("_low"))
+        bound = (F.col("_low") + size * math.sqrt(2)) * (1 + 1e-9)
+        kept = materialize(dist.join(low, at).where(F.col("_dc") <= bound).select(*at, "_t"), "cells")
+        n = kept.groupBy(*at).agg(F.count(F.lit(1)).alias("_n"))
+        leaf = F.lit(True) if level == 0 else F.col("_n") <= LEAF_ROWS
+        stat = n.agg(F.max(F.when(leaf, F.col("_n"))), F.sum(F.when(leaf, F.col("_n"))), F.count_if(~leaf)).first()
+        if stat[0]:
+            splits = math.ceil(stat[0] / list_rows)
+            lists = kept.join(n.where(leaf).select(*at), at, "left_semi")
+            if splits == 1:
+                lists = lists.groupBy(*at).agg(F.collect_list("_t").alias("_ts"))
+            else:
+                lists = lists.groupBy(*at, F.pmod(F.hash("_t"), F.lit(splits)).alias("_salt")).agg(F.collect_list("_t").alias("_ts"))
+            out[level] = (lists, splits, stat[1])
+        if not stat[2]:
+            return out
+        level -= 1
+        parent = kept.join(n.where(~leaf).select(*at), at, "left_semi")
+        sub = far.select(*keys, up("_cx", level).alias("_sx"), up("_cy", level).alias("_sy")).distinct()
+        sub = sub.select("*", up("_sx", 1).alias("_cx"), up("_sy", 1).alias("_cy"))
+        pairs = sub.join(parent, at).select(*keys, F.col("_sx").alias("_cx"), F.col("_sy").alias("_cy"), "_t")
+
+
 def _best_type(t: DataFrame, payload: Sequence[str]):
     types = dict(t.dtypes)
     fields = ["d2:double", f"ord:{types['_ord']}", *[f"{p}:{types[f'_p_{p}']}" for p in payload]]

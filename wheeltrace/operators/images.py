@@ -69,9 +69,13 @@ def instance_colour(g, b, tag) -> Column:
 
 
 def remap_colours(pixels: DataFrame, colour: str, remap: DataFrame) -> DataFrame:
-    """Replace colours by an optional table ``r, g, b -> r2, g2, b2``."""
+    """Replace colours by an optional table ``r, g, b -> r2, g2, b2``.
+
+    Instance colours come from two id bytes, so there are at most 65,536 of them: the table is
+    reduced to one row per colour and broadcast, which also keeps the many black pixels in place.
+    """
     m = remap.select(F.struct("r", "g", "b").alias(colour), F.struct(F.col("r2").alias("r"), F.col("g2").alias("g"), F.col("b2").alias("b")).alias("_new"))
-    out = pixels.join(m, colour, "left")
+    out = pixels.join(F.broadcast(m.groupBy(colour).agg(F.min("_new").alias("_new"))), colour, "left")
     return out.select(*[c for c in pixels.columns if c != colour], F.coalesce("_new", colour).alias(colour))
 
 

@@ -179,12 +179,18 @@ def stride_sample(
 
 
 def exact_percentile(df: DataFrame, keys: Sequence[str], value: str, p: float, name: str) -> DataFrame:
-    """Percentile with linear interpolation, by position in a distributed sort (no per-key buffer)."""
+    """Percentile with linear interpolation, by cumulative counts of the sorted distinct values.
+
+    Equal values are counted before the shuffle, and no task holds all values of a key.
+    """
     keys = list(keys)
-    rows = dense_number(df.where(F.col(value).isNotNull()).select(*keys, value), keys, [value], "_pos")
-    n = rows.groupBy(*keys).agg(((F.max("_pos")) * p).alias("_at"))
-    near = rows.join(n, keys).where(F.col("_pos").between(F.floor("_at"), F.ceil("_at")))
-    frac = F.col("_at") - F.floor("_at")
-    return near.groupBy(*keys).agg(
-        F.min_by(value, "_pos").alias("_lo"), F.max_by(value, "_pos").alias("_hi"), F.max(frac).alias("_f")
-    ).select(*keys, (F.col("_lo") + F.col("_f") * (F.col("_hi") - F.col("_lo"))).alias(name))
+    n = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    rows = materialize(dense_number(n, keys, [value], "_pos"), "values")
+    cum = running(rows, keys, "_pos", {"_cum": ("sum", F.col("_n"))})
+    at = rows.groupBy(*keys).agg(((F.sum("_n") - 1) * p).alias("_at"))
+    near = cum.join(at, keys)
+    lo = F.min(F.when(F.col("_cum") > F.floor("_at"), F.col(value))).alias("_lo")
+    hi = F.min(F.when(F.col("_cum") > F.ceil("_at"), F.col(value))).alias("_hi")
+    frac = F.max(F.col("_at") - F.floor("_at")).alias("_f")
+    return near.groupBy(*keys).agg(lo, hi, frac).select(
+        *keys, (F.col("_lo") + F.col("_f") * (F.col("_hi") - F.col("_lo"))).alias(name))

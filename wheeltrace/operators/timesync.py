@@ -28,6 +28,7 @@ def asof_pair(
     over many tasks. Inside a range the neighbours come from running windows; across ranges from one
     boundary pose per range. No range join, and no per-key task for the row-level data.
 
+    Ties in time are ordered by ``pose_tie`` (or a hash), so that many rows with one time still spread.
     ``equal='before'`` makes a pose at the event's own time the previous one (interpolation);
     ``'after'`` makes it the next one (nearest-pose lookup by lower bound).
     """
@@ -37,10 +38,10 @@ def asof_pair(
     pose_rank, event_rank = (0, 1) if equal == "before" else (1, 0)
     left = poses.select(
         *keys, time, F.lit(pose_rank).alias("_rank"),
-        (F.col(pose_tie) if pose_tie else F.lit(0)).cast("long").alias("_tie"), pose,
+        (F.col(pose_tie).cast("long") if pose_tie else F.xxhash64(*values)).alias("_tie"), pose,
     )
     right = events.select(
-        *keys, time, F.lit(event_rank).alias("_rank"), F.lit(0).cast("long").alias("_tie"),
+        *keys, time, F.lit(event_rank).alias("_rank"), (F.xxhash64(*ev_cols) if ev_cols else F.lit(0).cast("long")).alias("_tie"),
         F.struct(F.lit(True).alias("_event"), *ev_cols).alias("_ev"),
     )
     both = left.unionByName(right, allowMissingColumns=True)

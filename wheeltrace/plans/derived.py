@@ -14,6 +14,8 @@ from wheeltrace.session import materialize
 
 _CACHE: dict[tuple[str, str, str], DataFrame] = {}
 
+# microseconds of a zone-less timestamp, independent of the session time zone
+MICROS = "timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts)"
 _POSE = """
   692900e0 + 0.5e0*idx AS tx, 5339000e0 + 20*sin(idx/60.0e0) AS ty, 550e0 AS tz,
   0e0 AS qx, 0e0 AS qy, sin(yaw/2) AS qz, cos(yaw/2) AS qw, yaw, yaw + 3.0e0*sin(idx/15e0) AS yaw_raw
@@ -60,7 +62,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def _events(spark, sf_dir, where):
     return table(spark, sf_dir, "events").where(where).selectExpr(
         "cast(user_id % 8 as bigint) as bag", "cast(event_id as bigint) as event_id", "ts",
-        "unix_micros(cast(ts as timestamp)) as t_us", "cast(value as double) as value",
+        f"{MICROS} as t_us", "cast(value as double) as value",
     )
 
 
@@ -130,7 +132,7 @@ _BUILD = {
     "cameras": _sql_over(_CAMERAS, "embeddings"),
     "messages": _sql_over(
         "SELECT CAST(user_id % 8 AS BIGINT) AS bag, concat('/', event_type) AS topic,"
-        " unix_micros(CAST(ts AS TIMESTAMP)) AS t_us FROM events", "events"),
+        f" {MICROS} AS t_us FROM events", "events"),
     "pose_lines": _sql_over(
         f"SELECT CAST(event_id AS BIGINT) AS line_no, {_LINE} AS value FROM events", "events"),
 }

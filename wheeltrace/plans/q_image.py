@@ -8,7 +8,7 @@ from wheeltrace.operators import images as Im
 from wheeltrace.plans.derived import cte, derived, table
 from wheeltrace.plans.registry import q, query, r
 from wheeltrace.sources.sinks import incremental_results as incremental
-from wheeltrace.session import scratch_root
+from wheeltrace.session import scratch_folder
 
 _CM = {"cm": "SELECT p.frame, g.gt, g.pred, count(*) FILTER (WHERE p.gt = g.gt AND p.pred = g.pred) AS n FROM pixels p, (SELECT unnest([0,0,0,1,1,1,2,2,2]) AS gt, unnest([0,1,2,0,1,2,0,1,2]) AS pred) g GROUP BY p.frame, g.gt, g.pred"}
 
@@ -114,7 +114,7 @@ def despeckle(spark, sf):
 def incremental_results(spark, sf):
     import uuid
 
-    path = f"{scratch_root(spark)}/wheeltrace/iou-{uuid.uuid4().hex}"
+    path = f"{scratch_folder(spark)}/iou-{uuid.uuid4().hex}"
     frames = derived(spark, sf, "pixels")
 
     def score(todo):

@@ -13,11 +13,11 @@ from wheeltrace.plans.registry import q, query, r, rounded
 from wheeltrace.operators.align import split_assign
 from wheeltrace.sources import readers as R
 from wheeltrace.sources import sinks as W
-from wheeltrace.session import scratch_root
+from wheeltrace.session import scratch_folder
 
 
 def _folder(spark, name):
-    return os.path.join(scratch_root(spark), "wheeltrace", f"{name}-{uuid.uuid4().hex}")
+    return os.path.join(scratch_folder(spark), f"{name}-{uuid.uuid4().hex}")
 
 
 def _text(spark, df, name, keys=()):

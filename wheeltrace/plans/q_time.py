@@ -6,7 +6,7 @@ from wheeltrace.functions import angles as A
 from wheeltrace.functions import geodesy as G
 from wheeltrace.operators import timesync as ts
 from wheeltrace.operators.ordered import stride_sample
-from wheeltrace.plans.derived import cte, derived, table
+from wheeltrace.plans.derived import MICROS, cte, derived, table
 from wheeltrace.plans.registry import q, query, r, rounded
 
 OFFSET = (-880000.0, -5390000.0)
@@ -96,7 +96,7 @@ _NUMBERED = cte(
 def number_frames(spark, sf):
     ev = table(spark, sf, "events").where("event_type = 'click'").selectExpr(
         "cast(user_id % 8 as bigint) as bag", "cast(event_id as bigint) as event_id",
-        "unix_micros(cast(ts as timestamp)) as t_us",
+        f"{MICROS} as t_us",
     )
     return ts.number_frames(ev).select("bag", "event_id", "frame_id")
 

@@ -48,6 +48,17 @@ def scratch_root(spark: SparkSession) -> str:
     return _LOCAL_ROOTS[app]
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """This application's part of the shared folder."""
+    return os.path.join(scratch_root(spark), "wheeltrace", spark.sparkContext.applicationId)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the application's intermediate tables; results that still read them become invalid."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
@@ -55,6 +66,6 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     column pruning for later readers, and gives the optimiser real sizes to plan with.
     """
     spark = df.sparkSession
-    path = os.path.join(scratch_root(spark), "wheeltrace", f"{name}-{uuid.uuid4().hex}")
+    path = os.path.join(scratch_folder(spark), f"{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

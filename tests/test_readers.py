@@ -152,7 +152,7 @@ def test_osm_edges_lines_and_buildings(spark, tmp_path):
     east = next(r for r in lines if r.x0 != r.x1 and abs(r.y0 - r.y1) < 1e-12)
     assert east.y0 == pytest.approx(48.1 + 6 / 111320)  # left of an eastward road is north
     m = F.lit(0).alias("m")
-    stats = Sc.building_stats(nodes.select("*", m), ways.select("*", m), ["m"]).first()
+    stats = Sc.building_stats(nodes, ways, []).first()
     assert (stats.way_id, stats.height, stats.vertices) == (12, 9.0, 2)
     centre = Sc.map_centre(nodes.select("*", m), bounds.select("*", m), ["m"]).first()
     assert (centre.lat, centre.lon) == pytest.approx((48.1, 11.2))

@@ -169,6 +169,14 @@ def running(
     return work.join(carry, [*keys, "_chunk"]).select(*df.columns, *finals)
 
 
+def attach(df: DataFrame, small: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Add per-key summary columns by an equi-join; without keys the single row becomes literals."""
+    if keys:
+        return df.join(small, list(keys))
+    row = small.first()
+    return df.select("*", *[F.lit(row[c]).cast(t).alias(c) for c, t in small.dtypes])
+
+
 def stride_sample(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int, pos: str | None = None
 ) -> DataFrame:
@@ -188,7 +196,7 @@ def exact_percentile(df: DataFrame, keys: Sequence[str], value: str, p: float, n
     rows = materialize(dense_number(n, keys, [value], "_pos"), "values")
     cum = running(rows, keys, "_pos", {"_cum": ("sum", F.col("_n"))})
     at = rows.groupBy(*keys).agg(((F.sum("_n") - 1) * p).alias("_at"))
-    near = cum.join(at, keys)
+    near = attach(cum, at, keys)
     lo = F.min(F.when(F.col("_cum") > F.floor("_at"), F.col(value))).alias("_lo")
     hi = F.min(F.when(F.col("_cum") > F.ceil("_at"), F.col(value))).alias("_hi")
     frac = F.max(F.col("_at") - F.floor("_at")).alias("_f")

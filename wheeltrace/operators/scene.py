@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from wheeltrace.functions.angles import grid_convergence
 from wheeltrace.functions.geodesy import local_equirect, local_tmerc_heading, wgs84_to_tmerc
 from wheeltrace.operators.nearest import grid_nearest, segment, segment_d2
-from wheeltrace.operators.ordered import dense_number, running
+from wheeltrace.operators.ordered import attach, dense_number, running
 from wheeltrace.operators.paths import offset_line
 from wheeltrace.session import materialize
 
@@ -120,7 +120,7 @@ def spawn_positions(cars: DataFrame, lines: DataFrame, keys, car_id: str, offset
     headed = local_tmerc_heading(lines, "y0", "x0", "y1", "x1", "_line_heading")
     near = nearest_edge_by_side(cars, headed, keys, [*keys, car_id], side, xy, (edge_id, "_line_heading"))
     centre = cars.groupBy(*keys).agg(F.avg(xy[1]).alias("_clat"), F.avg(xy[0]).alias("_clon"))
-    near = near.join(centre, keys) if keys else near.withColumn("_k", F.lit(0)).join(centre.withColumn("_k", F.lit(0)), "_k")
+    near = attach(near, centre, keys)
     mode = F.when(F.lower(orient).isin("parallel", "perpendicular"), F.lower(orient)).otherwise("parallel")
     near = near.withColumn("mode", mode)
     turn = F.when(F.col("line_side") == "left", 180.0).otherwise(0.0) + F.when(F.col("mode") == "perpendicular", 90.0).otherwise(0.0)
@@ -168,7 +168,7 @@ def building_stats(nodes: DataFrame, ways: DataFrame, keys, level_height: float
                  F.explode("refs").alias("id")).join(nodes, [*keys, "id"])
     centre = v.groupBy(*keys).agg(F.avg("lat").alias("_clat"), F.avg("lon").alias("_clon"))
     dx, dz = local_equirect(F.col("_clat"), F.col("_clon"), F.col("lat"), F.col("lon"))
-    return v.join(centre, keys).groupBy(*keys, "way_id").agg(
+    return attach(v, centre, keys).groupBy(*keys, "way_id").agg(
         F.avg(dx).alias("offset_x"), F.avg(dz).alias("offset_z"), (F.max("levels") * level_height).alias("height"),
         F.count(F.lit(1)).alias("vertices"))
 

@@ -113,7 +113,20 @@ def split_overlap(spark, sf):
     return Al.split_overlap(cam, cam.where("frame_id % 2 = 0"), ["bag"], "frame_id", 4, 20).select("bag", "split", "lo", "hi", "frames")
 
 
-@query("best_split")
+_BEST = {
+    "wk": "SELECT bag, frame_id AS pos, (frame_id*7) % 251 AS f FROM camera",
+    "spn": "SELECT bag, max(frame_id) + 1 AS n FROM camera GROUP BY bag",
+    "rng": "SELECT bag, i AS k, i*(n//4) AS lo, (i+1)*(n//4) + 10 AS hi FROM (SELECT bag, n, unnest(range(4)) AS i FROM spn)",
+    # where a step goes when its current split does not cover the frame, and which splits cover it
+    "fb": """SELECT w.bag, w.pos, w.f, coalesce(arg_max(r.k, r.hi*10 - r.k) FILTER (WHERE w.f BETWEEN r.lo AND r.hi),
+      arg_min(r.k, greatest(r.lo - w.f, w.f - r.hi, 0)*10 + r.k)) AS b, list(r.k) FILTER (WHERE w.f BETWEEN r.lo AND r.hi) AS c
+      FROM wk w JOIN rng r ON r.bag = w.bag GROUP BY w.bag, w.pos, w.f""",
+    "walk": """SELECT bag, pos, f, CASE WHEN list_contains(coalesce(c, []), 0) THEN 0 ELSE b END AS cur FROM fb WHERE pos = 0
+      UNION ALL SELECT n.bag, n.pos, n.f, CASE WHEN list_contains(coalesce(n.c, []), w.cur) THEN w.cur ELSE n.b END FROM walk w JOIN fb n ON n.bag = w.bag AND n.pos = w.pos + 1""",
+}
+
+
+@query("best_split", "WITH RECURSIVE " + cte("SELECT bag, pos, f AS frame, cur AS split_idx FROM walk", "camera", extra=_BEST)[5:])
 def best_split(spark, sf):
     cam = derived(spark, sf, "camera")
     ranges = cam.groupBy("bag").agg((F.max("frame_id") + 1).alias("n")).selectExpr(

@@ -103,7 +103,17 @@ def read_label_images(spark, sf):
     return px.select("frame", F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), F.col("cls").cast("int").alias("cls"))
 
 
-@query("despeckle")
+_SPK = {
+    "px": """SELECT frame, (k - 1) // 8 AS y, (k - 1) % 8 AS x, k, CASE WHEN v > 0.05e0 THEN 2 WHEN v < -0.05e0 THEN 1 ELSE 0 END AS cls
+      FROM (SELECT frame_id AS frame, unnest(range(1, 65)) AS k, CAST(unnest(c2w) AS DOUBLE) AS v FROM cameras)""",
+    "nb": "SELECT a.frame, a.k AS a, b.k AS b FROM px a JOIN px b ON a.frame = b.frame AND a.cls = b.cls AND a.cls > 0 AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1",
+    "rch": "SELECT frame, a, b FROM nb UNION SELECT r.frame, r.a, n.b FROM rch r JOIN nb n ON n.frame = r.frame AND n.a = r.b",
+    "ar": "SELECT frame, a AS k, count(*) AS n FROM rch GROUP BY frame, a",
+}
+
+
+@query("despeckle", "WITH RECURSIVE " + cte("""SELECT p.frame, 8 AS h, 8 AS w, string_agg(CAST(CASE WHEN p.y = 7 THEN 2 WHEN a.n < 4 THEN 0 ELSE p.cls END AS VARCHAR), '' ORDER BY p.k) AS cls
+   FROM px p LEFT JOIN ar a ON a.frame = p.frame AND a.k = p.k GROUP BY p.frame""", "cameras", extra=_SPK)[5:])
 def despeckle(spark, sf):
     out = Im.despeckle(_maps(spark, sf), min_area=4, hood=1)
     return out.select("frame", "h", "w", F.concat_ws("", F.transform("cls", lambda c: c.cast("string"))).alias("cls"))

@@ -17,9 +17,9 @@ def _drive(spark, sf):
 
 
 @query("ema_smooth", "WITH RECURSIVE " + cte(f"SELECT bag, seq, {q('greatest(least(y, 9e0), -9e0)')} AS smooth FROM ema", "series", extra={
-    "ema": "SELECT bag, seq, value*20e0 AS y FROM series WHERE seq = 0 UNION ALL SELECT s.bag, s.seq, 0.85e0*e.y + (1 - 0.85e0)*(s.value*20e0) FROM ema e JOIN series s ON s.bag = e.bag AND s.seq = e.seq + 1"})[5:])
+    "ema": "SELECT bag, seq, value*6*pi() AS y FROM series WHERE seq = 0 UNION ALL SELECT s.bag, s.seq, 0.85e0*e.y + (1 - 0.85e0)*(s.value*6*pi()) FROM ema e JOIN series s ON s.bag = e.bag AND s.seq = e.seq + 1"})[5:])
 def ema_smooth(spark, sf):
-    s = derived(spark, sf, "series").withColumn("v", F.col("value") * 20)
+    s = derived(spark, sf, "series").withColumn("v", F.expr("value*6*pi()"))
     return rounded(Mo.ema_smooth(s, ["bag"], "seq", "v"), "bag", "seq", smooth="smooth")
 
 

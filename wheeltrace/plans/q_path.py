@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from wheeltrace.operators import frechet as fr
 from wheeltrace.operators import paths as P
 from wheeltrace.operators import score as S
-from wheeltrace.operators.ordered import neighbours
+from wheeltrace.operators.ordered import attach, neighbours
 from wheeltrace.plans.derived import cte, derived
 from wheeltrace.plans.registry import q, query, r, rounded
 from wheeltrace.session import materialize
@@ -114,8 +114,7 @@ def scenario_segment(spark, sf):
     path, proj, seg = segment_parts(spark, sf)
     ends = proj.where("kind = 'real'").groupBy("run").agg(F.min_by("progress", "seq").alias("a"), F.max_by("progress", "seq").alias("b"))
     arcs = S.longest_run(P.arc_length(derived(spark, sf, "runs").where("kind = 'real'"), ["run"], "seq"))
-    lim = ends.agg(F.max("a").alias("a"), F.min("b").alias("b")).withColumn("k", F.lit(0))
-    out = arcs.withColumn("k", F.lit(0)).join(lim, "k")
+    out = attach(arcs, ends.agg(F.max("a").alias("a"), F.min("b").alias("b")), [])
     return out.select(F.col("run").alias("reference_run"), r("length", 4).alias("reference_length_m"), r("a", 4).alias("start_m"),
                       r("b", 4).alias("end_m"), r(F.col("b") - F.col("a"), 4).alias("length_m"))
 

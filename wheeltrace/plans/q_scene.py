@@ -159,7 +159,7 @@ _BLD = {
    CASE WHEN max(lv) > 1 THEN max(lv) ELSE 1 END*3e0 AS height, count(*) AS vertices FROM bv, bc GROUP BY way_id""", extra=_BLD))
 def building_stats(spark, sf):
     nodes, ways = _osm(spark, sf)
-    out = Sc.building_stats(nodes.withColumn("map", F.lit(0)), ways.withColumn("map", F.lit(0)), ["map"])
+    out = Sc.building_stats(nodes, ways, [])
     return out.select("way_id", r("offset_x", 4).alias("offset_x"), r("offset_z", 4).alias("offset_z"), "height", "vertices")
 
 

@@ -57,13 +57,15 @@ _LN = {
 }
 
 
-@query("read_frame_positions", cte("SELECT frame_id, arg_max(yaw, line_no) AS yaw, 1.5e0 AS x, 2.5e0 AS y, (SELECT count(*) FROM pose_lines WHERE line_no % 50 = 1) AS rejected FROM good GROUP BY frame_id", "pose_lines", extra=_LN))
+@query("read_frame_positions", cte("SELECT frame_id, arg_max(yaw, line_no) AS yaw, 1.5e0 AS x, 2.5e0 AS y FROM good GROUP BY frame_id UNION ALL SELECT -1, count(*), NULL, NULL FROM pose_lines WHERE line_no % 50 = 1", "pose_lines", extra=_LN))
 def read_frame_positions(spark, sf):
     lines = derived(spark, sf, "pose_lines").select("line_no", F.expr(
         "case when line_no % 50 > 1 then concat(cast(line_no % 4000 as string), substr(value, instr(value, ','))) else value end").alias("value"))
     kept, rejected = R.parse_frame_positions(lines)
-    n = rejected.agg(F.count(F.lit(1)).alias("rejected")).withColumn("k", F.lit(0))
-    return kept.withColumn("k", F.lit(0)).join(n, "k").select("frame_id", "yaw", "x", "y", "rejected")
+    # the number of rejected lines is reported as frame -1
+    n = rejected.agg(F.count(F.lit(1)).cast("double").alias("yaw"))
+    none = F.lit(None).cast("double")
+    return kept.select("frame_id", "yaw", "x", "y").unionByName(n.select(F.lit(-1).cast("long").alias("frame_id"), "yaw", none.alias("x"), none.alias("y")))
 
 
 @query("read_series", cte(f"SELECT CAST(bag AS VARCHAR) AS topic, {q('t_us/1e6', 6)} AS ts, {q('value')} AS value FROM series", "series"))
@@ -137,8 +139,8 @@ def read_point_clouds(spark, sf):
     return pts.select(F.col("path").alias("frame_id"), "point", *[r(F.col(c).cast("double")).alias(c) for c in ("x", "z", "i")])
 
 
-@query("read_osm", """SELECT CAST(s_suppkey AS BIGINT) AS way_id, CAST(2 + s_suppkey % 3 AS INT) AS refs, CASE WHEN s_suppkey % 2 = 0 THEN 'residential' END AS highway,
-   (SELECT count(*) FROM customer WHERE c_custkey % 10 > 0) AS nodes FROM supplier""")
+@query("read_osm", """SELECT CAST(s_suppkey AS BIGINT) AS way_id, CAST(2 + s_suppkey % 3 AS INT) AS refs, CASE WHEN s_suppkey % 2 = 0 THEN 'residential' END AS highway FROM supplier
+   UNION ALL SELECT -1, count(*), 'nodes' FROM customer WHERE c_custkey % 10 > 0""")
 def read_osm(spark, sf):
     c, s = table(spark, sf, "customer"), table(spark, sf, "supplier")
     node = c.select(F.col("c_nationkey").alias("map"), F.lit(1).alias("o"), F.format_string(
@@ -154,8 +156,9 @@ def read_osm(spark, sf):
     path = _folder(spark, "osm")  # one document per map
     rows.repartition("map").sortWithinPartitions("map", "o").select("map", "value").write.partitionBy("map").text(path)
     nodes, ways, _ = R.read_osm(spark, f"{path}/*/")
-    n = nodes.agg(F.count(F.lit(1)).alias("nodes")).withColumn("k", F.lit(0))
-    return ways.withColumn("k", F.lit(0)).join(n, "k").select("way_id", F.size("refs").alias("refs"), F.col("tags")["highway"].alias("highway"), "nodes")
+    n = nodes.agg(F.count(F.lit(1)).alias("refs"))
+    flat = ways.select("way_id", F.size("refs").cast("long").alias("refs"), F.col("tags")["highway"].alias("highway"))
+    return flat.unionByName(n.select(F.lit(-1).cast("long").alias("way_id"), "refs", F.lit("nodes").alias("highway")))
 
 
 @query("read_map_header", f"""SELECT CAST(c_custkey AS BIGINT) AS id, CASE WHEN c_custkey % 3 = 0 THEN '+proj=tmerc' ELSE '+proj=utm +zone=32' END AS geo_reference,

@@ -84,12 +84,15 @@ def corridor_violation(
 
 def rate_of_change(
     df: DataFrame, keys, pos: str, value: str, time: str | None = None, dt: float | None = None,
-    min_gap: float | None = None, max_gap: float | None = None, name="rate", rows=CHUNK_ROWS,
+    min_gap: float | None = None, max_gap: float | None = None, name="rate", ticks: float = 1.0, rows=CHUNK_ROWS,
 ) -> DataFrame:
-    """Change per second between consecutive rows, with measured gaps in (min, max] or a fixed step."""
+    """Change per second between consecutive rows, with measured gaps in (min, max] or a fixed step.
+
+    ``ticks`` per second of an integer clock: the difference is taken before it becomes a float.
+    """
     cols = {"_pv": (value, -1), **({"_pt": (time, -1)} if time else {})}
     out = neighbours(df, keys, pos, cols, rows).where(F.col("_pv").isNotNull())
-    gap: Column = F.col(time) - F.col("_pt") if time else F.lit(dt)
+    gap: Column = (F.col(time) - F.col("_pt")) / ticks if time else F.lit(dt)
     if time and min_gap is not None:
         out = out.where((gap > min_gap) & (gap <= max_gap))
     return out.select(*df.columns, ((F.col(value) - F.col("_pv")) / gap).alias(name))

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from wheeltrace.operators import detect as D
 from wheeltrace.operators import grouping as Gp
+from wheeltrace.operators.ordered import dense_number
 from wheeltrace.plans.derived import cte, derived
 from wheeltrace.plans.q_path import _FITT, fitted
 from wheeltrace.plans.registry import q, query, r, rounded
@@ -87,6 +88,16 @@ def box_corners(spark, sf):
                       F.array_min(v).alias("v0"), F.array_max(v).alias("v1"))
 
 
+@query("pinhole", cte("""SELECT run, frame, det_idx, count(*) AS corners, sum(u) AS su, sum(v) AS sv FROM px WHERE cz > 0 GROUP BY run, frame, det_idx""", "detections",
+   extra={"corn": _CORN, "px": """SELECT *, CASE WHEN cz > 0 THEN CAST(trunc(cx/cz*417.37e0 + 400.13e0) AS BIGINT) END AS u,
+      CASE WHEN cz > 0 THEN CAST(trunc(cy/cz*425.19e0 + 250.71e0) AS BIGINT) END AS v FROM corn"""}))
+def pinhole(spark, sf):
+    c = D.box_corners(F.col("x") - 60, F.col("y") * 0.1, F.col("tax") * 300 + 1.0, "len", "wid", "hgt", "yaw")
+    front = F.filter(c, lambda p: p["z"] > 0)
+    px = derived(spark, sf, "detections").select("run", "frame", "det_idx", F.inline(D.pinhole(front, *_K)))
+    return px.groupBy("run", "frame", "det_idx").agg(F.count(F.lit(1)).alias("corners"), F.sum("u").alias("su"), F.sum("v").alias("sv"))
+
+
 def camera_detections(spark, sf):
     """Filtered detections with boxes, orientation and processed-frame numbers."""
     d = D.filter_camera(derived(spark, sf, "detections"))
@@ -104,24 +115,84 @@ def tracks(spark, sf):
     return Gp.track_static(d, last)
 
 
-@query("track_static")
+# the tracker as a recursion over frames; inside a frame the tracks are folded in creation order
+_TRK = {
+    "cd": "SELECT run, frame + 1 AS frame, det_idx, x, y, score AS w FROM detections WHERE score >= 0.28e0 AND label = 0 AND z <= 50",
+    "fr": """SELECT run, frame, list(struct_pack(d := 0e0, k := det_idx, x := x, y := y, w := w) ORDER BY det_idx) AS dets,
+      CAST(row_number() OVER (PARTITION BY run ORDER BY frame) AS BIGINT) AS i FROM cd GROUP BY run, frame""",
+    "trk(run, i, st) USING KEY (run)": """SELECT run, i, list_transform(dets, lambda d: struct_pack(ff := frame, fd := d.k, l := frame, x := d.x, y := d.y, n := 1, bx := d.x*d.w, sw := d.w)) FROM fr WHERE i = 1
+      UNION ALL SELECT run, i, list_concat(acc.o, list_transform(acc.f, lambda d: struct_pack(ff := frame, fd := d.k, l := frame, x := d.x, y := d.y, n := 1, bx := d.x*d.w, sw := d.w))) FROM (
+        SELECT f.run, f.i, f.frame, list_reduce(list_prepend(struct_pack(o := list_filter(t.st, lambda z: false), f := f.dets), list_transform(t.st, lambda z: struct_pack(o := [z], f := list_filter(f.dets, lambda d: false)))),
+          lambda a, e: CASE WHEN e.o[1].l + 16 >= f.frame AND len(list_filter(a.f, lambda d: sqrt((d.x-e.o[1].x)*(d.x-e.o[1].x) + (d.y-e.o[1].y)*(d.y-e.o[1].y)) < 2e0)) > 0 THEN
+            struct_pack(o := list_append(a.o, list_transform([list_min(list_transform(a.f, lambda d: struct_pack(d := sqrt((d.x-e.o[1].x)*(d.x-e.o[1].x) + (d.y-e.o[1].y)*(d.y-e.o[1].y)), k := d.k, x := d.x, y := d.y, w := d.w)))],
+                lambda m: struct_pack(ff := e.o[1].ff, fd := e.o[1].fd, l := f.frame, x := m.x, y := m.y, n := e.o[1].n + 1, bx := e.o[1].bx + m.x*m.w, sw := e.o[1].sw + m.w))[1]),
+              f := list_filter(a.f, lambda d: d.k <> list_min(list_transform(a.f, lambda d: struct_pack(d := sqrt((d.x-e.o[1].x)*(d.x-e.o[1].x) + (d.y-e.o[1].y)*(d.y-e.o[1].y)), k := d.k))).k))
+          ELSE struct_pack(o := list_append(a.o, e.o[1]), f := a.f) END) AS acc
+        FROM trk t JOIN fr f ON f.run = t.run AND f.i = t.i + 1)""",
+    "lastf": "SELECT run, max(frame) + 1 AS last FROM detections GROUP BY run",
+    "tr": "SELECT t.run, t.c.ff AS first_frame, t.c.fd AS first_det, t.c.n AS hits, t.c.l + 16 <= l.last AS archived, t.c.l + 16 AS gone, t.c.bx AS bx, t.c.sw AS w FROM (SELECT run, unnest(st) AS c FROM trk) t JOIN lastf l ON l.run = t.run WHERE t.c.n >= 4",
+}
+
+
+@query("track_static", "WITH RECURSIVE " + cte(f"""SELECT run, CAST(row_number() OVER (PARTITION BY run ORDER BY archived, CASE WHEN archived THEN gone ELSE -1 END, first_frame, first_det) - 1 AS BIGINT) AS ord,
+   first_frame, first_det, CAST(hits AS BIGINT) AS hits, archived, {q('bx')} AS bx, {q('w')} AS w FROM tr""", "detections", extra=_TRK)[5:])
 def track_static(spark, sf):
-    return rounded(tracks(spark, sf), "run", "ord", "first_frame", "first_det", "hits", "archived", bx="bx", by="by", w="w")
+    return rounded(tracks(spark, sf), "run", "ord", "first_frame", "first_det", "hits", "archived", bx="bx", w="w")
+
+
+def _first_fit(items: str, radius: str, extra: tuple) -> dict:
+    """First-fit as a recursion over the rows of every run; ``extra`` are further summed columns."""
+    cur = ", ".join(["bx := d.bx", "by_ := d.by_", "w := d.w", *[f"{c} := d.{c}" for c in extra], "mf := d.mf", "lc := d.lc", "fo := d.ord"])
+    add = ", ".join([*[f"{c} := c.{c} + d.{c}" for c in ("bx", "by_", "w", *extra)], "mf := least(c.mf, d.mf)", "lc := d.lc", "fo := c.fo"])
+    gap = "sqrt((n.bx/n.w - c.bx/c.w)*(n.bx/n.w - c.bx/c.w) + (n.by_/n.w - c.by_/c.w)*(n.by_/n.w - c.by_/c.w))"
+    return {
+        f"{items}_w(run, ord, st) USING KEY (run)": f"""SELECT d.run, d.ord, [struct_pack({cur})] FROM {items} d WHERE d.ord = 0
+          UNION ALL SELECT d.run, d.ord, CASE WHEN coalesce(d.hit, 0) = 0 THEN list_append(d.st, struct_pack({cur}))
+            ELSE list_transform(d.st, lambda c, i: CASE WHEN i = d.hit THEN struct_pack({add}) ELSE c END) END
+          FROM (SELECT n.*, k.st, list_position(list_transform(k.st, lambda c: {gap} < {radius}), true) AS hit FROM {items}_w k JOIN {items} n ON n.run = k.run AND n.ord = k.ord + 1) d""",
+        f"{items}_c": f"SELECT run, unnest(st, recursive := true) FROM {items}_w",
+    }
 
 
-@query("cluster_tracks")
+# tracklets: what one site shows in a block of ten frames
+_TLT = """SELECT run, CAST(row_number() OVER (PARTITION BY run ORDER BY b, obj) - 1 AS BIGINT) AS ord, bx, by_, w, hits, mf, 0e0 AS lc FROM (
+   SELECT run, obj, frame // 10 AS b, sum(x*score) AS bx, sum(y*score) AS by_, sum(score) AS w, count(*) AS hits, min(frame) AS mf FROM detections GROUP BY run, obj, frame // 10)"""
+_CT = {"tl": _TLT, **_first_fit("tl", "1.8e0", ("hits",))}
+_MC = {**_CT, "ml": "SELECT run, CAST(row_number() OVER (PARTITION BY run ORDER BY fo) - 1 AS BIGINT) AS ord, bx, by_, w, hits, mf, lc, fo AS old FROM tl_c", **_first_fit("ml", "2.5e0", ("hits",))}
+
+
+def tracklets(spark, sf):
+    s = F.col("score")
+    sums = {"bx": "x", "by": "y", "bz": "z", "bl": "len", "bw": "wid", "bh": "hgt", "byaw": "yaw"}
+    t = derived(spark, sf, "detections").groupBy("run", "obj", F.expr("frame div 10").alias("b")).agg(
+        *[F.sum(F.col(c) * s).alias(n) for n, c in sums.items()], F.sum(s).alias("w"), F.count(F.lit(1)).alias("hits"),
+        F.count_if(F.col("yaw") < 0.785).alias("n_par"), F.count_if(F.col("yaw") >= 0.785).alias("n_perp"), F.min("frame").alias("first_frame"))
+    return dense_number(t, ["run"], ["b", "obj"], "ord")
+
+
+@query("cluster_tracks", "WITH RECURSIVE " + cte(f"SELECT run, fo AS first_ord, mf AS first_frame, CAST(hits AS BIGINT) AS hits, {q('bx', 5)} AS bx, {q('by_', 5)} AS by, {q('w')} AS w FROM tl_c", "detections", extra=_CT)[5:])
 def cluster_tracks(spark, sf):
-    return rounded(Gp.cluster_tracks(tracks(spark, sf)), "run", "first_ord", "first_frame", "hits", bx="bx", by="by", w="w")
+    c = Gp.cluster_tracks(tracklets(spark, sf))
+    return c.select("run", "first_ord", "first_frame", "hits", r("bx", 5).alias("bx"), r("by", 5).alias("by"), r("w").alias("w"))
 
 
-@query("merge_clusters")
+@query("merge_clusters", "WITH RECURSIVE " + cte(f"SELECT c.run, o.old AS first_ord, c.mf AS first_frame, CAST(c.hits AS BIGINT) AS hits, {q('c.bx', 5)} AS bx, {q('c.by_', 5)} AS by, {q('c.w')} AS w FROM ml_c c JOIN ml o ON o.run = c.run AND o.ord = c.fo", "detections", extra=_MC)[5:])
 def merge_clusters(spark, sf):
-    return rounded(Gp.merge_clusters(Gp.cluster_tracks(tracks(spark, sf))), "run", "first_ord", "first_frame", "hits", bx="bx", by="by", w="w")
+    c = Gp.merge_clusters(Gp.cluster_tracks(tracklets(spark, sf)))
+    return c.select("run", "first_ord", "first_frame", "hits", r("bx", 5).alias("bx"), r("by", 5).alias("by"), r("w").alias("w"))
+
+
+_CDT = {
+    "dd": """SELECT run, CAST(row_number() OVER (PARTITION BY run ORDER BY frame, det_idx) - 1 AS BIGINT) AS ord, x*score AS bx, y*score AS by_, score AS w, 1 AS cnt,
+      sin(yaw)*score AS ys, 0 AS mf, score AS lc FROM detections WHERE score >= 0.28e0 AND label = 0 AND z <= 50""",
+    **_first_fit("dd", "2e0", ("cnt", "ys")),
+}
 
 
-@query("cluster_detections")
+@query("cluster_detections", "WITH RECURSIVE " + cte(f"SELECT run, fo AS first_ord, CAST(cnt AS BIGINT) AS count, {q('bx', 5)} AS bx, {q('by_', 5)} AS by, {q('w')} AS w, {q('ys', 5)} AS yaw_sin, {q('lc')} AS last_conf FROM dd_c", "detections", extra=_CDT)[5:])
 def cluster_detections(spark, sf):
-    return rounded(Gp.cluster_detections(camera_detections(spark, sf)), "run", "first_ord", "count", bx="bx", by="by", w="w", last_conf="last_conf")
+    c = Gp.cluster_detections(camera_detections(spark, sf))
+    return c.select("run", "first_ord", "count", r("bx", 5).alias("bx"), r("by", 5).alias("by"), r("w").alias("w"), r("yaw_sin", 5).alias("yaw_sin"), r("last_conf").alias("last_conf"))
 
 
 _SUMS = """SELECT run, obj AS first_ord, sum(x*score) AS bx, sum(y*score) AS by_, sum(len*score) AS bl, sum(yaw*score) AS byaw, sum(score) AS w, count(*) AS n,

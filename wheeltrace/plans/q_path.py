@@ -217,11 +217,7 @@ def steering_jitter(spark, sf):
 @query("rate_of_change", cte(f"""SELECT bag, seq, {q('dv/dt')} AS rate FROM (SELECT bag, seq,
    value - lag(value) OVER w AS dv, (t_us - lag(t_us) OVER w)/1e9 AS dt FROM series WINDOW w AS (PARTITION BY bag ORDER BY seq)) WHERE dt > 0.5e0 AND dt <= 60e0""", "series"))
 def rate_of_change(spark, sf):
-    df = derived(spark, sf, "series").withColumn("t", F.col("t_us") / 1e9)
-    # differences of large epoch values are taken on the integer clock
-    out = neighbours(df, ["bag"], "seq", {"pt": ("t_us", -1), "pv": ("value", -1)}).where("pt is not null")
-    dt = (F.col("t_us") - F.col("pt")) / 1e9
-    out = out.where((dt > 0.5) & (dt <= 60)).select("bag", "seq", ((F.col("value") - F.col("pv")) / dt).alias("rate"))
+    out = S.rate_of_change(derived(spark, sf, "series"), ["bag"], "seq", "value", "t_us", min_gap=0.5, max_gap=60.0, ticks=1e9)
     return rounded(out, "bag", "seq", rate="rate")
 
 

@@ -209,7 +209,7 @@ def best_split(frames: DataFrame, splits: DataFrame, keys, pos: str, frame: str,
         F.sort_array(F.collect_list(F.struct("split", "min_frame", "max_frame"))).alias("_s"))
     base = frames.join(arr, keys).select(
         *frames.columns, F.col("_s.min_frame").alias("_lo"), F.col("_s.max_frame").alias("_hi"),
-        chunk_of(pos, rows).alias("_chunk"))
+        chunk_of(pos, rows).alias("_chunk")).repartition(*keys, "_chunk")
     types, cols = dict(frames.dtypes), frames.columns
     key_schema = ", ".join(f"{k} {types[k]}" for k in keys)
 

@@ -26,7 +26,7 @@ def ema_smooth(
     if (rows + halo) * -math.log(alpha) > 600:
         raise ValueError("chunk too long for this alpha")
     w = Window.partitionBy(*keys, "_chunk").orderBy(pos).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    h = with_halo(df, pos, halo, 0, rows)
+    h = with_halo(df, keys, pos, halo, 0, rows)
     k = F.col(pos) - F.col("_chunk") * rows  # -halo .. rows - 1
     gain = F.when(F.col(pos) == 0, F.lit(1.0)).otherwise(F.lit(1 - alpha))
     total = F.sum(gain * F.col(value) * F.pow(F.lit(alpha), -k)).over(w)

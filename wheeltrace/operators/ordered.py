@@ -64,11 +64,12 @@ def chunk_of(pos: str, rows: int) -> Column:
 
 
 def with_halo(
-    df: DataFrame, pos: str, before: int, after: int, rows: int = CHUNK_ROWS
+    df: DataFrame, keys: Sequence[str], pos: str, before: int, after: int, rows: int = CHUNK_ROWS
 ) -> DataFrame:
     """Assign rows to chunks of ``rows`` positions and copy border rows to the neighbour chunk.
 
-    Adds ``_chunk`` and ``_own`` (false for the copies, to be filtered after the window).
+    The rows are distributed by key *and* chunk: data that arrives distributed by key alone would
+    satisfy the window too, with all rows of a hot key in one task. Adds ``_chunk`` and ``_own`` (false for the copies, to be filtered after the window).
     """
     if max(before, after) > rows:
         raise ValueError("halo wider than a chunk")
@@ -89,7 +90,8 @@ def with_halo(
             )
         )
     out = df.withColumn("_t", F.explode(F.array_compact(F.array(*targets))))
-    return out.select(*df.columns, F.col("_t.c").alias("_chunk"), F.col("_t.own").alias("_own"))
+    out = out.select(*df.columns, F.col("_t.c").alias("_chunk"), F.col("_t.own").alias("_own"))
+    return out.repartition(*keys, "_chunk")
 
 
 def halo_window(keys: Sequence[str], pos: str):
@@ -111,7 +113,7 @@ def neighbours(
     before = max([-k for _, k in cols.values() if k < 0], default=0)
     after = max([k for _, k in cols.values() if k > 0], default=0)
     w = halo_window(keys, pos)
-    out = with_halo(df, pos, before, after, rows)
+    out = with_halo(df, keys, pos, before, after, rows)
     out = out.select(
         "*",
         *[
@@ -166,7 +168,7 @@ def running(
         finals.append(val.alias(name))
     totals = work.groupBy(*keys, "_chunk").agg(*aggs)
     carry = totals.select(*keys, "_chunk", *carries)
-    return work.join(carry, [*keys, "_chunk"]).select(*df.columns, *finals)
+    return work.repartition(*keys, "_chunk").join(carry, [*keys, "_chunk"]).select(*df.columns, *finals)
 
 
 def attach(df: DataFrame, small: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -135,7 +135,7 @@ def kinematic_yaw(
     """
     w = halo_window(keys, pos)
     tail = w.rowsBetween(0, lookahead)  # ends at row i + lookahead, or at the last row of the key
-    h = with_halo(df, pos, lookahead, lookahead, rows)
+    h = with_halo(df, keys, pos, lookahead, lookahead, rows)
     h = h.select(
         "*", F.last(F.struct(x, y, pos)).over(tail).alias("_to"),
         F.coalesce(F.lag(F.struct(x, y), lookahead).over(w), F.first(F.struct(x, y)).over(w)).alias("_back"),

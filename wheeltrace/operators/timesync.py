@@ -47,19 +47,22 @@ def asof_pair(
     both = left.unionByName(right, allowMissingColumns=True)
     placed = ordered_parts(both, keys, [time, "_rank", "_tie"])
     is_pose = F.col("_pose").isNotNull()
+    # positions first (a hash aggregate over two narrow columns), then the few poses they point to
     bounds = placed.groupBy(*keys, "_part").agg(
-        F.max_by("_pose", F.when(is_pose, F.col("_mid"))).alias("_lastp"),
-        F.min_by("_pose", F.when(is_pose, F.col("_mid"))).alias("_firstp"),
+        F.max(F.when(is_pose, F.col("_mid"))).alias("_last"), F.min(F.when(is_pose, F.col("_mid"))).alias("_first")
     )
     fwd = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     back = Window.partitionBy(*keys).orderBy(F.desc("_part")).rowsBetween(Window.unboundedPreceding, -1)
     carry = bounds.select(
         *keys, "_part",
-        F.last("_lastp", True).over(fwd).alias("_cprev"),
-        F.last("_firstp", True).over(back).alias("_cnext"),
+        F.last("_last", True).over(fwd).alias("_before"), F.last("_first", True).over(back).alias("_after"),
     )
+    for at, name in (("_before", "_cprev"), ("_after", "_cnext")):
+        poses_at = placed.where(is_pose).select(F.col("_mid").alias(at), F.col("_pose").alias(name))
+        carry = carry.join(poses_at, at, "left")
+    carry = carry.select(*keys, "_part", "_cprev", "_cnext")
     here = Window.partitionBy(*keys, "_part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = placed.join(carry, [*keys, "_part"]).select(
+    out = placed.repartition(*keys, "_part").join(carry, [*keys, "_part"]).select(
         *keys, time, "_ev",
         F.coalesce(F.last("_pose", True).over(here.orderBy("_mid")), F.col("_cprev")).alias("prev"),
         F.coalesce(F.last("_pose", True).over(here.orderBy(F.desc("_mid"))), F.col("_cnext")).alias("next"),
@@ -155,7 +158,9 @@ def number_frames(messages: DataFrame, keys=("bag",), order=("t_us", "event_id")
 
 def first_pose(poses: DataFrame, keys=("bag",), order=("t_us",), values=()) -> DataFrame:
     """Earliest row per recording, as an aggregate rather than a sort."""
-    keep = values or [c for c in poses.columns if c not in keys]
+    keep = list(values) or [c for c in poses.columns if c not in keys]
+    if len(order) == 1:  # plain columns aggregate by hash, a struct would sort all rows
+        return poses.groupBy(*keys).agg(*[F.min_by(c, order[0]).alias(c) for c in keep])
     return poses.groupBy(*keys).agg(
         F.min_by(F.struct(*keep), F.struct(*order)).alias("_p")
     ).select(*keys, "_p.*")

@@ -114,7 +114,7 @@ def previous_link(spark, sf):
     cte(f"SELECT bag, t_us, {q('tx')} AS tx, {q('ty')} AS ty, {q('yaw')} AS yaw FROM odom WHERE idx = 0", "odom"),
 )
 def first_pose(spark, sf):
-    out = ts.first_pose(derived(spark, sf, "odom"), ["bag"], ["t_us", "idx"], ["t_us", "tx", "ty", "yaw"])
+    out = ts.first_pose(derived(spark, sf, "odom"), ["bag"], ["idx"], ["t_us", "tx", "ty", "yaw"])
     return rounded(out, "bag", "t_us", tx="tx", ty="ty", yaw="yaw")
 
 
@@ -418,7 +418,7 @@ _AX = {
    (SELECT o.bag, o.idx, degrees(a.ax - o.yaw + pi()/2) AS d FROM odom o JOIN axis a ON a.bag = o.bag AND a.idx = 0) o""", "odom", extra=_AX))
 def yaw_to_sim(spark, sf):
     odom = derived(spark, sf, "odom")
-    start = ts.first_pose(odom, ["bag"], ["t_us", "idx"], ["tx", "ty"])
+    start = ts.first_pose(odom, ["bag"], ["idx"], ["tx", "ty"])
     axis = G.axis_angle(start, "tx", "ty", "ax", OFFSET).select("bag", "ax")
     out = odom.join(axis, "bag")
     return rounded(out, "bag", "idx", yaw_deg=A.yaw_to_sim("ax", "yaw"), digits=4)

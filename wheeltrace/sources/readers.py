@@ -94,10 +94,11 @@ def sim_steering(points: DataFrame, keys, pos: str, alias: str | None = None) ->
     The first record of a run decides for the whole run. ``alias`` names one more raw column that is
     accepted last (off by default).
     """
-    first = points.groupBy(*keys).agg(F.min_by(F.struct("steer_raw", "steering", *([alias] if alias else [])), pos).alias("_f"))
-    pick = F.when(F.col("_f.steer_raw").isNotNull(), F.col("steer_raw")).when(F.col("_f.steering").isNotNull(), F.col("steering") * STEER_RANGE)
+    names = ["steer_raw", "steering", *([alias] if alias else [])]
+    first = points.groupBy(*keys).agg(*[F.min_by(F.col(n).isNotNull(), pos).alias(f"_has_{n}") for n in names])
+    pick = F.when(F.col("_has_steer_raw"), F.col("steer_raw")).when(F.col("_has_steering"), F.col("steering") * STEER_RANGE)
     if alias:
-        pick = F.coalesce(pick, F.when(F.col(f"_f.{alias}").isNotNull(), F.col(alias)))
+        pick = F.when(F.col("_has_steer_raw") | F.col("_has_steering"), pick).when(F.col(f"_has_{alias}"), F.col(alias))
     return points.join(first, list(keys)).select(*points.columns, pick.alias("steer"))
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from wheeltrace.operators.ordered import dense_number
 from wheeltrace.session import materialize
 
-TILE = 16384
+TILE = 8192
 
 
 def tile_borders(px, py, qx, qy, left, top, corner):

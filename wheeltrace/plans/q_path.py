@@ -180,12 +180,28 @@ def _frechet(spark, sf):
     return fr.frechet_discrete(sim, real), sim.groupBy(F.col("run").alias("p")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("frechet_discrete")
+# anti-diagonals of the distance matrix as lists, one step per diagonal, all pairs at once
+_INF = "CAST('inf' AS DOUBLE)"
+_D2 = "(t.px[i+1] - t.qx[w.d+2-i])*(t.px[i+1] - t.qx[w.d+2-i]) + (t.py[i+1] - t.qy[w.d+2-i])*(t.py[i+1] - t.qy[w.d+2-i])"
+_FR = {
+    **PROJ,
+    "cv": "SELECT p.run, p.kind, list(p.x ORDER BY p.seq) AS xs, list(p.y ORDER BY p.seq) AS ys, count(*) AS n FROM proj p, seg WHERE p.progress BETWEEN seg.a AND seg.b GROUP BY p.run, p.kind",
+    "pq": "SELECT a.run AS p, b.run AS q, a.xs AS px, a.ys AS py, b.xs AS qx, b.ys AS qy, a.n, b.n AS m FROM cv a JOIN cv b ON a.kind = 'sim' AND b.kind = 'real'",
+    "dp(p, q, d, l1, l2) USING KEY (p, q)": f"""SELECT p, q, CAST(0 AS BIGINT), list_concat([{_INF}, (px[1]-qx[1])*(px[1]-qx[1]) + (py[1]-qy[1])*(py[1]-qy[1])], list_transform(range(n-1), lambda i: {_INF})),
+      list_transform(range(n+1), lambda i: {_INF}) FROM pq UNION ALL
+      SELECT w.p, w.q, w.d + 1, list_prepend({_INF}, list_transform(range(t.n), lambda i: CASE WHEN w.d + 1 - i >= 0 AND w.d + 1 - i < t.m
+        THEN greatest({_D2}, least(w.l1[i+1], w.l1[i+2], w.l2[i+1])) ELSE {_INF} END)), w.l1
+      FROM dp w JOIN pq t ON t.p = w.p AND t.q = w.q WHERE w.d + 1 <= t.n + t.m - 2""",
+    "fd": "SELECT d.p, d.q, sqrt(d.l1[len(d.l1)]) AS f, t.n FROM dp d JOIN pq t ON t.p = d.p AND t.q = d.q",
+}
+
+
+@query("frechet_discrete", "WITH RECURSIVE " + cte(f"SELECT p, q, {q('f')} AS frechet FROM fd", "runs", extra=_FR)[5:])
 def frechet_discrete(spark, sf):
     return rounded(_frechet(spark, sf)[0], "p", "q", frechet="frechet")
 
 
-@query("frechet_min")
+@query("frechet_min", "WITH RECURSIVE " + cte(f"SELECT p, {q('min(f)')} AS min_frechet, arg_min(q, f) AS vs FROM fd WHERE n >= 10 GROUP BY p", "runs", extra=_FR)[5:])
 def frechet_min(spark, sf):
     pairs, n = _frechet(spark, sf)
     return rounded(fr.frechet_min(pairs, n), "p", "vs", min_frechet="min_frechet")

@@ -39,14 +39,14 @@ def streak(df: DataFrame, keys, pos: str, condition, name: str = "streak", rows:
     """Number of consecutive rows, up to and including this one, for which ``condition`` holds."""
     base = df.select("*", F.coalesce(condition, F.lit(False)).alias("_hold"))
     out = running(base, keys, pos, {"_break": ("max", F.when(~F.col("_hold"), F.col(pos)))}, rows)
-    return out.select(*df.columns, (F.col(pos) - F.coalesce("_break", F.lit(-1))).alias(name))
+    return out.select(*[c for c in df.columns if c != "_chunk"], (F.col(pos) - F.coalesce("_break", F.lit(-1))).alias(name))
 
 
 def stuck_monitor(df: DataFrame, keys, pos: str, xyz=("x", "y", "z"), step: float = 0.02, limit: int = 50, rows=CHUNK_ROWS) -> DataFrame:
     """First row at which the vehicle moved less than ``step`` for more than ``limit`` steps in a row."""
-    prev = neighbours(df, keys, pos, {f"_p{c}": (c, -1) for c in xyz}, rows)
+    prev = neighbours(df, keys, pos, {f"_p{c}": (c, -1) for c in xyz}, rows, keep_chunk=True)
     d2 = sum(((F.col(c) - F.col(f"_p{c}")) * (F.col(c) - F.col(f"_p{c}")) for c in xyz), F.lit(0.0))
-    prev = prev.select(*keys, pos, F.sqrt(d2).alias("_move"))
+    prev = prev.select(*keys, pos, "_chunk", F.sqrt(d2).alias("_move"))
     s = streak(prev, keys, pos, F.col("_move") < step, "_n", rows)
     return s.where(F.col("_n") > limit).groupBy(*keys).agg(F.min(pos).alias("stop_at"))
 
@@ -89,7 +89,7 @@ def switch_hysteresis(
     (another candidate restarts it, the active one cancels it). So the active split is the candidate
     of the last row that lies ``delay`` or more frames into its stretch.
     """
-    prev = neighbours(df, keys, pos, {"_pc": (candidate, -1)}, rows)
+    prev = neighbours(df, keys, pos, {"_pc": (candidate, -1)}, rows, keep_chunk=True)
     start = F.when(F.col("_pc").isNull() | (F.col("_pc") != F.col(candidate)), F.col(frame))
     prev = running(prev, keys, pos, {"_since": ("last", start)}, rows)
     held = F.when(F.col(frame) - F.col("_since") >= delay, F.col(candidate))

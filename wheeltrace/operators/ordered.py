@@ -108,8 +108,12 @@ def neighbours(
     pos: str,
     cols: dict[str, tuple[str, int]],
     rows: int = CHUNK_ROWS,
+    keep_chunk: bool = False,
 ) -> DataFrame:
-    """Lag (negative) and lead (positive) columns: ``{"x_prev": ("x", -1), ...}``."""
+    """Lag (negative) and lead (positive) columns: ``{"x_prev": ("x", -1), ...}``.
+
+    ``keep_chunk`` leaves ``_chunk`` in place, so that ``running`` goes on without another shuffle.
+    """
     before = max([-k for _, k in cols.values() if k < 0], default=0)
     after = max([k for _, k in cols.values() if k > 0], default=0)
     w = halo_window(keys, pos)
@@ -121,7 +125,7 @@ def neighbours(
             for name, (src, k) in cols.items()
         ],
     )
-    return drop_halo(out)
+    return out.where("_own").drop("_own") if keep_chunk else drop_halo(out)
 
 
 def running(
@@ -135,13 +139,13 @@ def running(
 
     ``specs`` maps an output name to ``(kind, column)`` with kind ``sum``, ``max`` or ``last``
     (last non-null value so far). The input is read twice, so pass something cheap or written.
+    An input that kept its ``_chunk`` (same ``rows``) is already distributed.
     """
     keys = list(keys)
-    work = df.select(
-        "*",
-        chunk_of(pos, rows).alias("_chunk"),
-        *[c.alias(f"_v{i}") for i, (_, c) in enumerate(specs.values())],
-    )
+    kept = [c for c in df.columns if c != "_chunk"]
+    placed = "_chunk" in df.columns
+    work = df if placed else df.withColumn("_chunk", chunk_of(pos, rows))
+    work = work.select("*", *[c.alias(f"_v{i}") for i, (_, c) in enumerate(specs.values())])
     aggs, carries, finals = [], [], []
     prev = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     run = (
@@ -168,7 +172,8 @@ def running(
         finals.append(val.alias(name))
     totals = work.groupBy(*keys, "_chunk").agg(*aggs)
     carry = totals.select(*keys, "_chunk", *carries)
-    return work.repartition(*keys, "_chunk").join(carry, [*keys, "_chunk"]).select(*df.columns, *finals)
+    work = work if placed else work.repartition(*keys, "_chunk")
+    return work.join(carry, [*keys, "_chunk"]).select(*kept, *finals)
 
 
 def attach(df: DataFrame, small: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -13,7 +13,6 @@ from wheeltrace.operators.nearest import grid_nearest, segment, segment_d2, vert
 from wheeltrace.operators.ordered import (
     CHUNK_ROWS,
     dense_number,
-    drop_halo,
     halo_window,
     neighbours,
     running,
@@ -37,9 +36,9 @@ def arc_length(
     df: DataFrame, keys, pos: str, x: str = "x", y: str = "y", name: str = "s", rows: int = CHUNK_ROWS
 ) -> DataFrame:
     """Cumulative Euclidean step length, 0 at the first row."""
-    step = neighbours(df, keys, pos, {"_px": (x, -1), "_py": (y, -1)}, rows)
+    step = neighbours(df, keys, pos, {"_px": (x, -1), "_py": (y, -1)}, rows, keep_chunk=True)
     dx, dy = F.col(x) - F.col("_px"), F.col(y) - F.col("_py")
-    step = step.select(*df.columns, F.coalesce(F.sqrt(dx * dx + dy * dy), F.lit(0.0)).alias("_ds"))
+    step = step.select(*df.columns, "_chunk", F.coalesce(F.sqrt(dx * dx + dy * dy), F.lit(0.0)).alias("_ds"))
     return running(step, keys, pos, {name: ("sum", F.col("_ds"))}, rows).drop("_ds")
 
 
@@ -140,12 +139,12 @@ def kinematic_yaw(
         "*", F.last(F.struct(x, y, pos)).over(tail).alias("_to"),
         F.coalesce(F.lag(F.struct(x, y), lookahead).over(w), F.first(F.struct(x, y)).over(w)).alias("_back"),
     )
-    h = drop_halo(h)
+    h = h.where("_own").drop("_own")
     last_row = F.col("_to")[pos] == F.col(pos)
     head = F.when(
         last_row, heading(F.col("_back")[x], F.col("_back")[y], F.col(x), F.col(y))
     ).otherwise(heading(F.col(x), F.col(y), F.col("_to")[x], F.col("_to")[y]))
-    h = h.select(*df.columns, head.alias("_head"))
+    h = h.select(*df.columns, "_chunk", head.alias("_head"))
     out = running(h, keys, pos, {name: ("last", F.col("_head"))}, rows)
     return out.select(*df.columns, F.coalesce(name, F.lit(0.0)).alias(name))
 

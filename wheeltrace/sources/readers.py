@@ -24,9 +24,14 @@ def _num(c: Column) -> Column:
 
 
 def _lines(spark: SparkSession, path) -> DataFrame:
-    """Content lines of text files: trimmed, no blanks, no comments, with path and position."""
+    """Content lines of text files: trimmed, no blanks, no comments, with path and position.
+
+    ``line_no`` only orders the lines of a file: start of the file block plus the row's place in its
+    task. A block that is followed by another one fills its task, so its places stay below its length.
+    """
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     raw = spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("line_no"), F.trim("value").alias("value"))
+        F.col("_metadata.file_path").alias("path"), (F.col("_metadata.file_block_start") + place).alias("line_no"), F.trim("value").alias("value"))
     return raw.where((F.col("value") != "") & ~F.col("value").startswith("#"))
 
 

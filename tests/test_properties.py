@@ -34,7 +34,9 @@ def sample(n=200, keys=3, seed=0):
     return pd.DataFrame({"k": k, "t": rng.integers(0, 60, n), "id": np.arange(n), "v": rng.normal(size=n)})
 
 
-def test_dense_number_is_exact(many_parts):
+@pytest.mark.parametrize("large", [1 << 40, 0])
+def test_dense_number_is_exact(many_parts, monkeypatch, large):
+    monkeypatch.setattr(Od, "LARGE_BYTES", large)
     pdf = sample()
     got = Od.dense_number(shuffled(many_parts, pdf), ["k"], ["t", "id"]).toPandas().sort_values("id")
     want = pdf.sort_values(["k", "t", "id"]).groupby("k").cumcount().sort_index()

@@ -19,9 +19,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wheeltrace.session import materialize
+from wheeltrace.session import materialize, size_in_bytes
 
 CHUNK_ROWS = 16384
+LARGE_BYTES = 256 << 20       # from this size on it pays to count a summary before joining it
+BROADCAST_HEADS = 2_000_000   # summaries of up to this many rows (four numbers each) are broadcast
 
 
 def ordered_parts(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -52,6 +54,10 @@ def dense_number(
     heads = heads.select(
         *keys, "_part", "_head", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off")
     )
+    if size_in_bytes(placed) >= LARGE_BYTES:
+        heads = materialize(heads, "heads")  # one row per range and key in it
+        if heads.count() <= BROADCAST_HEADS:
+            heads = F.broadcast(heads)  # the sorted rows stay where they are
     return (
         placed.join(heads, [*keys, "_part"])
         .withColumn(name, F.col("_mid") - F.col("_head") + F.col("_off"))

@@ -61,7 +61,7 @@ def release(spark: SparkSession) -> None:
 
 def size_in_bytes(df: DataFrame) -> int:
     """The optimiser's size estimate; for a written table that is its file size."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
 def materialize(df: DataFrame, name: str = "step") -> DataFrame:

@@ -107,8 +107,11 @@ def test_yaw_shortest_goes_through_pi(spark):
     assert naive == pytest.approx(0.0) and abs(short) == pytest.approx(np.pi)
 
 
-@pytest.mark.parametrize("list_rows", [10_000, 4])
-def test_grid_nearest_vertices(spark, list_rows):
+@pytest.mark.parametrize("list_rows,divide", [(10_000, False), (10_000, True), (4, True)])
+def test_grid_nearest_vertices(spark, monkeypatch, list_rows, divide):
+    if divide:  # go down all levels
+        for name, value in (("PAY_OFF", 0), ("LEAF_ROWS", 3), ("START_PAIRS", 10)):
+            monkeypatch.setattr(Ne, name, value)
     rng = np.random.default_rng(4)
     path = pd.DataFrame({"k": rng.integers(0, 2, 150), "idx": np.arange(150), "x": rng.normal(size=150) * 20, "y": rng.normal(size=150) * 20})
     path.loc[100:, ["x", "y"]] = path.loc[:49, ["x", "y"]].to_numpy()  # duplicates: first index wins

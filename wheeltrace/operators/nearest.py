@@ -23,6 +23,7 @@ from wheeltrace.session import materialize
 
 FACTOR = 4
 LEAF_ROWS = 48              # a cell with this few candidates is not divided further
+PAY_OFF = 8                 # points per sub-cell from which shorter lists are worth making
 LIST_ROWS = 16384           # longest candidate list kept in one row
 START_PAIRS = 500_000       # the descent starts at the deepest level with at most this many pairs
 BROADCAST_ROWS = 400_000    # listed targets up to this many are broadcast (tens of MB)
@@ -99,7 +100,8 @@ def grid_nearest(
         far = probe.where(~F.coalesce(close, F.lit(False)))
     else:
         far = points.select(*keys, px, py, *here)
-    far = materialize(far.where(px.isNotNull() & py.isNotNull()).select(*keys, "_cx", "_cy").distinct(), "far")
+    far = far.where(px.isNotNull() & py.isNotNull()).groupBy(*keys, "_cx", "_cy")
+    far = materialize(far.agg(F.count(F.lit(1)).alias("_points")), "far")
     leaves = _quad_tree(far, t, keys, target, d2, cell, list_rows)
 
     found = F.array_min(
@@ -167,7 +169,15 @@ def _quad_tree(far: DataFrame, t: DataFrame, keys: list[str], target: Column, d2
         bound = (F.col("_low") + size * math.sqrt(2)) * (1 + 1e-9)
         kept = materialize(dist.join(low, at).where(F.col("_dc") <= bound).select(*at, "_t"), "cells")
         n = kept.groupBy(*at).agg(F.count(F.lit(1)).alias("_n"))
-        leaf = F.lit(True) if level == 0 else F.col("_n") <= LEAF_ROWS
+        if level == 0:
+            leaf = F.lit(True)
+        else:
+            # dividing costs a list per sub-cell, so it must pay off over the points that read the lists
+            use = far.groupBy(*keys, up("_cx", level).alias("_cx"), up("_cy", level).alias("_cy")).agg(
+                F.sum("_points").alias("_pts"), F.count_distinct(up("_cx", level - 1), up("_cy", level - 1)).alias("_sub"))
+            n = n.join(use, at)
+            few = (F.col("_pts") <= PAY_OFF * F.col("_sub")) & (F.col("_n") <= list_rows)
+            leaf = (F.col("_n") <= LEAF_ROWS) | few
         stat = n.agg(F.max(F.when(leaf, F.col("_n"))), F.sum(F.when(leaf, F.col("_n"))), F.count_if(~leaf)).first()
         if stat[0]:
             splits = math.ceil(stat[0] / list_rows)

@@ -1,4 +1,4 @@
 """Imports every operator module so that the registry is complete."""
 
-from wheeltrace.llm import fingerprints, line_dedup, token_counts, warc  # noqa: F401
+from wheeltrace.llm import fingerprints, langid, line_dedup, packing, token_counts, toxicity, warc  # noqa: F401
 from wheeltrace.llm.registry import ORACLES, QUERIES  # noqa: F401

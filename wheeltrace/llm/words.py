@@ -145,3 +145,37 @@ class WordTable:
             left = left[self.keys[slot[left]] != h[left]]
             slot[left] = (slot[left] + 1) & mask
         self.size += len(h)
+
+
+def ngram_buckets(texts: list[str], bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the subwords of all letter words: pairs and triples of letters with word borders, and whole words.
+
+    Returns buckets and the text index of each, in three blocks; a text without letters has none.
+    """
+    kind, _ = tables()
+    codes, start, stop, owner = split(texts)
+    letters = kind[codes[start]] == LETTER if len(start) else np.zeros(0, bool)
+    start, stop, owner = start[letters], stop[letters], owner[letters]
+    if not len(start):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    size = stop - start
+    begin = np.cumsum(size + 1) - size  # one border before each word, one at the end
+    inside = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+    stream = np.zeros(int(size.sum()) + len(size) + 1, np.uint32)
+    stream[inside + np.repeat(begin, size)] = codes[inside + np.repeat(start, size)]
+    who = np.append(np.repeat(owner, size + 1), owner[-1])
+    two = stream[:-1] * np.uint32(0x85EBCA6B) + stream[1:] * np.uint32(0xC2B2AE35) + np.uint32(1)
+    three = two[:-1] * np.uint32(0x27D4EB2F) + stream[2:] * np.uint32(0x165667B1)
+    inner = stream[1:-1] != 0
+    shift = np.uint32(32 - bits)
+
+    def bucket(h, salt):
+        h = h ^ np.uint32(salt)
+        h = (h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
+        h = (h ^ (h >> np.uint32(12))) * np.uint32(0x297A2D39)
+        return (h >> shift).astype(np.int64)
+
+    whole = hashes(codes, start, stop)
+    whole = (whole >> np.uint64(32)).astype(np.uint32)
+    return (np.concatenate([bucket(two, 0x51ED270B), bucket(three[inner], 0x2545F491), bucket(whole, 0x9E3779B9)]),
+            np.concatenate([who[:-1], who[1:-1][inner], owner]))

@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wheeltrace.llm.common import fold, slices, table
 from wheeltrace.llm.registry import query
@@ -119,33 +120,37 @@ def train(texts: list[str], langs: list[str], bits: int = BITS, dim: int = 12, e
     return model
 
 
-def identify(df: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: id, ``lang_pred``, ``score``, ``rejected``.
+def annotate(df: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
+    """All columns of the input and ``lang_pred``, ``score``, ``rejected``; one row per input row.
 
     The whole text is read. A null text, or one without a letter, is ``und`` with score 0 and rejected,
-    as is every text when no language was learned. Ids may be null or repeat; other columns are not read.
+    as is every text when no language was learned. Input columns of these three names are replaced.
     """
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    added = ["lang_pred", "score", "rejected"]
+    rows = df.select(*[F.col(f"`{c}`") for c in df.columns if c not in added])
     names = np.array([*model.names, UNKNOWN], object)
     most = max(200_000, 6_000_000 // max(4, len(model.names)))
 
     def run(batches):
-        for batch in (s for b in batches for s in slices(b, "text", most)):
-            texts = [t or "" for t in batch.column(1).to_pylist()]
+        for batch in (s for b in batches for s in slices(b, text_col, most)):
+            texts = [t or "" for t in batch.column(batch.schema.get_field_index(text_col)).to_pylist()]
+            best, score = np.full(len(texts), len(model.names)), np.zeros(len(texts))
             if model.names:
                 p, n = model.probabilities(texts)
-                best = np.where(n > 0, p.argmax(1), len(model.names))
-                score = np.where(n > 0, p.max(1), 0.0)
-            else:
-                best, score = np.zeros(len(texts), np.int64), np.zeros(len(texts))
-            lang = names[best] if model.names else np.array([UNKNOWN] * len(texts), object)
-            gone = (lang == UNKNOWN) | (score < model.reject_below)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(gone.astype(bool))],
-                ["id", "lang_pred", "score", "rejected"])
+                best, score = np.where(n > 0, p.argmax(1), best), np.where(n > 0, p.max(1), 0.0)
+            gone = (best == len(model.names)) | (score < model.reject_below)
+            new = [pa.array(names[best], pa.string()), pa.array(score), pa.array(gone)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*batch.schema.names, *added])
 
-    kind = dict(rows.dtypes)["id"]
-    return rows.mapInArrow(run, f"id {kind}, lang_pred string, score double, rejected boolean").withColumnRenamed("id", id_col)
+    schema = T.StructType([*rows.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()),
+                           T.StructField("rejected", T.BooleanType())])
+    return rows.mapInArrow(run, schema)
+
+
+def keep_identified(df: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
+    """The rows whose language is not rejected, with the columns of the input."""
+    held = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(f"`{text_col}`").alias("text"))
+    return annotate(held, model).where("not rejected").select("row.*")
 
 
 def train_on(docs: DataFrame, per_group: int = SAMPLE) -> LanguageModel:
@@ -158,5 +163,5 @@ def train_on(docs: DataFrame, per_group: int = SAMPLE) -> LanguageModel:
 @query("op7_language_id")
 def op7_language_id(spark, sf_dir) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    out = identify(docs, train_on(docs))
+    out = annotate(docs.select("doc_id", "text"), train_on(docs))
     return out.select("doc_id", F.coalesce(fold("doc_id") == 0, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")

@@ -289,7 +289,7 @@ def near_duplicates(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: tuple[int, int] = (4, 5),
     trees: int = TREES, depth: int = DEPTH, recall: float = RECALL, block: int = BLOCK,
 ) -> DataFrame:
-    """One row per input row: id, ``class_id``, ``n_links``, ``n_copies``, ``is_first``.
+    """One row per input row: id, ``class_id``, ``n_links``, ``n_copies``, ``is_first``, ``text_md5``.
 
     Two texts are linked if the Jaccard likeness of their sets of five-word shingles reaches the threshold
     (a fraction); equal texts are copies. ``class_id`` is the smallest id of the texts connected by links and
@@ -298,7 +298,7 @@ def near_duplicates(
     A null text is alone in its class; texts without words equal each other as copies only. Null ids are
     carried, and never a class id if the class has another. An empty table gives an empty result.
     """
-    spark, (num, den) = df.sparkSession, threshold
+    num, den = threshold
     docs = _texts(df, id_col, text_col)
     rows = materialize(_signed(docs, trees, depth), "signed")
     texts = rows.groupBy("tag").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n_copies"), F.first("sig").alias("sig"))
@@ -338,13 +338,26 @@ def near_duplicates(
     known = known.join(classes, "comp").select("tag", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies")
     known = materialize(known, "classed")
     out = rows.select("doc_id", "tag").join(known, "tag").select(
-        "doc_id", "class_id", "n_links", "n_copies", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("is_first"))
+        "doc_id", "class_id", "n_links", "n_copies", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("is_first"),
+        F.lower(F.hex("tag")).alias("text_md5"))
     alone = df.where(F.col(f"`{text_col}`").isNull()).select(F.col(f"`{id_col}`").alias("doc_id"))
-    alone = alone.select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"), F.lit(True).alias("is_first"))
-    del spark
+    alone = alone.select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"), F.lit(True).alias("is_first"), F.lit(None).cast("string").alias("text_md5"))
     return out.unionByName(alone).withColumnRenamed("doc_id", id_col)
 
 
+def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One document of each class, with all columns of the input; repeated rows are one document.
+
+    Documents with a null text belong to no class and stay.
+    """
+    first = near_duplicates(df, id_col, text_col, **options).where("is_first and text_md5 is not null")
+    first = first.select(F.col(id_col).alias("_id"), F.col("text_md5").alias("_md5")).distinct()
+    held = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(f"`{id_col}`").alias("id"), F.md5(F.col(f"`{text_col}`")).alias("md5"))
+    kept = held.where("md5 is not null").join(first, F.col("id").eqNullSafe(F.col("_id")) & (F.col("md5") == F.col("_md5")), "left_semi")
+    kept = kept.dropDuplicates(["id", "md5"]).select("row.*")
+    return kept.unionByName(held.where("md5 is null").select("row.*"))
+
+
 @query("op6_ngram_join")
 def op6_ngram_join(spark, sf_dir) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))

@@ -35,6 +35,18 @@ def test_score_drives(spark):
     assert len(doc["drive_quality"]) == 2 and doc["drive_quality_averages"][0]["method"] == "gs"
 
 
+def test_methods_may_share_run_numbers(spark):
+    s = np.arange(0, 60, 0.4)
+    real = [(1, i, i * 0.1, x, 0.0) for i, x in enumerate(s)]
+    sim = [(1, m, i, x, off, 0.0) for m, off in (("gs", 0.25), ("nerf", 1.5)) for i, x in enumerate(s)]
+    out = flows.score_drives(
+        spark.createDataFrame(pd.DataFrame(real, columns=["run", "seq", "t", "x", "y"])),
+        spark.createDataFrame(pd.DataFrame(sim, columns=["run", "method", "seq", "x", "y", "steer"])))
+    got = {(x.method, x.run): x.frechet for x in out["quality"].collect()}
+    assert got == {("gs", 1): pytest.approx(0.25), ("nerf", 1): pytest.approx(1.5)}
+    assert {(x.method, x.run) for x in out["completion"].collect()} == set(got)
+
+
 def test_no_common_segment_is_an_error(spark):
     r = spark.createDataFrame([(1, i, float(i), 0.0) for i in range(20)] + [(2, 0, 3.0, 0.0)], "run long, seq long, x double, y double")
     with pytest.raises(ValueError):

@@ -176,76 +176,55 @@ def test_first_fit_matches_loop(many_parts, max_rows):
         assert sorted((int(a), int(b), round(c, 6)) for a, b, c in zip(g.first_ord, g.n, g.w)) == want[run]
 
 
-def naive_tracks(frames, last, radius=2.0, max_age=15, min_hits=4):
-    live, archived, made = {}, {}, 0
-    for f in range(1, last + 1):
-        dets = frames.get(f, [])
-        free = list(range(len(dets)))
-        for t in live.values():
-            best, pick = radius, -1
-            for i in free:
-                d = np.hypot(dets[i][1] - t["pos"][0], dets[i][2] - t["pos"][1])
-                if d < best:
-                    best, pick = d, i
-            if pick >= 0:
-                t.update(pos=dets[pick][1:3], hits=t["hits"] + 1, age=0)
-                free.remove(pick)
-            else:
-                t["age"] += 1
-        for k in [k for k, t in live.items() if t["age"] > max_age]:
-            if live[k]["hits"] >= min_hits:
-                archived[k] = live[k]
-            del live[k]
-        for i in free:
-            live[made] = {"pos": dets[i][1:3], "hits": 1, "age": 0, "first": (f, dets[i][0])}
-            made += 1
-    out = {k: t for k, t in live.items() if t["hits"] >= min_hits}
-    out.update(archived)
-    return [(*t["first"], t["hits"]) for t in out.values()]
-
-
-@pytest.mark.parametrize("max_rows", [10_000, 80, 12])
-def test_tracker_matches_loop(many_parts, max_rows):
+def detections(rows):
+    cols = ["run", "frame", "det_idx", "x", "y", "score", "orient", *Gp.BOX]
+    return pd.DataFrame([(*r, 0.5, "parallel", *([0.1] * 7)) for r in rows], columns=cols)
+
+
+def test_tracker_by_hand(spark):
+    """Expected tracks worked out on paper: radius 2, confirmed from 4 hits on, dropped after 15 frames without a hit."""
+    steady = [(0, f, 0, 0.5 * f, 0.0) for f in range(1, 7)]                   # moves along: one track of 6 hits
+    short = [(0, f, 1, 50.0, 50.0) for f in range(1, 4)]                      # 3 hits only: never confirmed
+    gap = [(0, f, 2, 100.0, 0.0) for f in (1, 2, 3, 4, 19, 20)]               # 14 frames without a hit: still the same
+    lost = [(0, f, 3, 200.0, 0.0) for f in (1, 2, 3, 4, 21, 22, 23, 24)]      # 16 frames: archived, then a second track
+    near = [(0, 1, 4, 300.0, 0.0), (0, 2, 4, 301.9, 0.0), (0, 3, 4, 303.8, 0.0), (0, 4, 4, 305.7, 0.0), (0, 5, 4, 307.8, 0.0)]  # the last step is too far
+    pair = [(0, f, 5 + k, 400.0 + 1.5 * k, 0.0) for f in range(1, 5) for k in (0, 1)]  # two objects closer than the radius keep apart
+    df = spark.createDataFrame(detections([*steady, *short, *gap, *lost, *near, *pair]))
+    last = spark.createDataFrame([(0, 30)], "run long, last long")
+    got = {(r.first_frame, r.first_det): (r.hits, r.archived) for r in Gp.track_static(df, last).collect()}
+    assert {k: n for k, (n, _) in got.items()} == {(1, 0): 6, (1, 2): 6, (1, 3): 4, (21, 3): 4, (1, 4): 4, (1, 5): 4, (1, 6): 4}
+    assert got[1, 3][1] and not got[21, 3][1]
+
+
+def test_tracker_is_the_same_however_it_is_cut(many_parts):
     rng = np.random.default_rng(3)
-    rows, want = [], {}
+    rows = []
     for run, sites, last in ((0, 9, 90), (1, 3, 40)):
-        frames = {}
         for f in range(1, last + 1):
-            if f % 9 == 0:
-                continue  # processed but empty
-            dets = []
-            for s in range(sites):
-                if rng.random() < (0.5 if (f // 25 + s) % 2 else 0.1):
-                    dets.append((len(dets), s * 2.4 + rng.normal() * 0.5, rng.normal() * 0.4))
-            frames[f] = dets
-            rows += [(run, f, i, x, y, 0.5, "parallel", *([0.1] * 7)) for i, x, y in dets]
-        want[run] = (naive_tracks(frames, last), last)
-    cols = ["run", "frame", "det_idx", "x", "y", "score", "orient", *Gp.BOX]
-    df = shuffled(many_parts, pd.DataFrame(rows, columns=cols))
-    lasts = many_parts.createDataFrame([(k, v[1]) for k, v in want.items()], "run long, last long")
-    got = Gp.track_static(df, lasts, max_rows=max_rows).toPandas().sort_values(["run", "ord"])
-    for run, g in got.groupby("run"):
-        assert list(zip(g.first_frame, g.first_det, g.hits)) == want[run][0]
+            if f % 9:  # every ninth frame was processed but is empty
+                at = [s for s in range(sites) if rng.random() < (0.5 if (f // 25 + s) % 2 else 0.1)]
+                rows += [(run, f, i, s * 2.4 + rng.normal() * 0.5, rng.normal() * 0.4) for i, s in enumerate(at)]
+    df = shuffled(many_parts, detections(rows))
+    lasts = many_parts.createDataFrame([(0, 90), (1, 40)], "run long, last long")
+    out = [Gp.track_static(df, lasts, max_rows=n).toPandas().sort_values(["run", "ord"]).reset_index(drop=True) for n in (10_000, 80, 12)]
+    for other in out[1:]:
+        pd.testing.assert_frame_equal(out[0], other, check_exact=False)
+    got = out[0]
     assert got["archived"].any() and not got["archived"].all()
+    assert (got.hits >= 4).all() and got.hits.sum() <= len(rows)
+    assert not got.duplicated(["run", "first_frame", "first_det"]).any()  # no detection opens two tracks
 
 
-def test_merge_pass_equals_forward_scan(spark):
-    rng = np.random.default_rng(8)
-    n = 60
-    w, x, y = rng.uniform(1, 5, n), rng.uniform(0, 15, n), rng.uniform(0, 6, n)
-    used, want = [False] * n, []
-    for i in range(n):
-        if used[i]:
-            continue
-        sx, sy, sw, used[i], members = x[i] * w[i], y[i] * w[i], w[i], True, 1
-        for j in range(n):
-            if not used[j] and np.hypot(sx / sw - x[j], sy / sw - y[j]) < 2.5:
-                sx, sy, sw, used[j], members = sx + x[j] * w[j], sy + y[j] * w[j], sw + w[j], True, members + 1
-        want.append((i, members))
+def test_merge_pass_by_hand(spark):
+    """Weighted means pull a cluster along, so the third point is reached only through the second."""
+    w = [1.0, 3.0, 1.0, 1.0, 1.0]
+    x = [0.0, 2.0, 3.9, 20.0, 22.4]
+    # 0 takes 1 (2.0 away): mean 1.5; then 2 (2.4 away): mean 1.98. 3 takes 4 (2.4 away).
     zeros = {b: 0.0 for b in Gp.BOX}
-    pdf = pd.DataFrame({"run": 0, "first_ord": np.arange(n), **zeros, "bx": x * w, "by": y * w, "w": w, "hits": 1, "n_par": 0, "n_perp": 0, "first_frame": 1})
+    pdf = pd.DataFrame({"run": 0, "first_ord": np.arange(5), **zeros, "bx": np.multiply(x, w), "by": 0.0, "w": w, "hits": 1, "n_par": 0, "n_perp": 0, "first_frame": 1})
     got = Gp.merge_clusters(spark.createDataFrame(pdf)).toPandas().sort_values("first_ord")
-    assert list(zip(got.first_ord, got.hits)) == want
+    assert list(zip(got.first_ord, got.hits)) == [(0, 3), (3, 2)]
+    assert got.w.tolist() == [5.0, 2.0] and (got.bx / got.w).tolist() == pytest.approx([9.9 / 5, 21.2])
 
 
 # --- curves ---------------------------------------------------------------------------------------
@@ -327,22 +306,23 @@ def test_ema_matches_loop(spark):
     np.testing.assert_allclose(got, want, atol=1e-12)
 
 
-def test_hysteresis_matches_state_machine(spark):
-    rng = np.random.default_rng(2)
-    cand = np.repeat(rng.integers(0, 3, 60), rng.integers(1, 12, 60))
-    cur, pending, since, want = 0, -1, 0, []
-    for f, c in enumerate(cand, 1):
-        if c != cur:
-            if pending != c:
-                pending, since = c, f
-            elif f - since >= 5:
-                cur, pending = c, -1
-        else:
-            pending = -1
-        want.append(cur)
-    df = spark.createDataFrame(pd.DataFrame({"k": 0, "i": np.arange(len(cand)), "f": np.arange(1, len(cand) + 1), "c": cand}))
-    got = [r.active for r in Mo.switch_hysteresis(df, ["k"], "i", "f", "c", delay=5, rows=16).orderBy("i").collect()]
-    assert got == want and len(set(want)) > 1
+def test_hysteresis_by_hand(spark):
+    """A candidate takes over in the fifth frame after it appeared, and only if it stayed until then."""
+    cand = [0] * 3 + [1] * 8 + [2] * 4 + [1] * 2 + [2] * 6 + [0] * 5 + [2] + [0] * 6
+    want = [0] * 8 + [1] * (3 + 4 + 2 + 5) + [2] * (1 + 5 + 1 + 5) + [0]
+    for rows in (16, 5):
+        df = spark.createDataFrame(pd.DataFrame({"k": 0, "i": np.arange(len(cand)), "f": np.arange(1, len(cand) + 1), "c": cand}))
+        got = [r.active for r in Mo.switch_hysteresis(df, ["k"], "i", "f", "c", delay=5, rows=rows).orderBy("i").collect()]
+        assert got == want
+
+
+def test_smoothing_keeps_all_history(spark):
+    v = np.zeros(2300)
+    v[3] = 1e80  # still 5.3e7 and more beyond the first chunk border
+    df = spark.createDataFrame(pd.DataFrame({"k": 0, "i": np.arange(len(v)), "v": v}))
+    got = {r.i: r.smooth for r in Mo.ema_smooth(df, ["k"], "i", "v", limit=1e300).where("i in (3, 1023, 1024, 2200)").collect()}
+    for i, x in got.items():
+        assert x == pytest.approx(0.15 * 1e80 * 0.85 ** (i - 3), rel=1e-9)
 
 
 def test_best_split_matches_loop(spark):
@@ -407,3 +387,54 @@ def test_frame_match_needs_three(spark):
     a = spark.createDataFrame([(1,), (2,)], "f long")
     with pytest.raises(ValueError):
         Al.frame_match(a, a, ["f"])
+
+
+def test_frame_match_counts_each_data_set(spark):
+    a = spark.createDataFrame([(1, f) for f in range(5)] + [(2, f) for f in range(5)], "bag long, f long")
+    with pytest.raises(ValueError, match="2"):
+        Al.frame_match(a, a.where("bag = 1 or f = 0"), ["bag", "f"])
+    assert Al.frame_match(a, a, ["bag", "f"])[0].count() == 10
+
+
+def test_similarity_fit_per_key(spark):
+    rows = [(1, x, y, 2 * x + 1 + e, 2 * y - 1) for x, y, e in ((0, 0, 0.3), (4, 0, -0.3), (4, 3, 0.3), (0, 3, -0.3))] + [(2, 1.0, 1.0, 5.0, 5.0)]
+    df = spark.createDataFrame([(k, *map(float, r)) for k, *r in rows], "k long, a double, b double, x double, y double")
+    got = {r.k: r for r in Al.similarity_fit(df, ["k"], "ab", "xy").collect()}
+    assert got[2].scale is None and got[2].t_x is None and got[2].rms is None
+    g, fixed = got[1], {r.k: r for r in Al.similarity_fit(df, ["k"], "ab", "xy", with_scale=False).collect()}[1]
+    for fit in (g, fixed):
+        c, s = fit.scale * np.cos(fit.theta), fit.scale * np.sin(fit.theta)
+        err = [(x - (c * a - s * b + fit.t_x)) ** 2 + (y - (s * a + c * b + fit.t_y)) ** 2 for k, a, b, x, y in rows if k == 1]
+        assert fit.rms == pytest.approx(np.sqrt(np.mean(err)))
+    assert fixed.scale == 1 and fixed.rms > g.rms > 0
+
+
+def test_equal_times_have_no_rate(spark):
+    from wheeltrace.operators import score as S
+
+    df = spark.createDataFrame([(1, 0, 0.0, 1.0), (1, 1, 0.0, 2.0), (1, 2, 0.5, 4.0)], "k long, i long, t double, v double")
+    got = [(r.i, r.rate) for r in S.rate_of_change(df, ["k"], "i", "v", "t").orderBy("i").collect()]
+    assert got == [(1, None), (2, 4.0)]
+
+
+def test_colours_are_replaced_one_after_the_other(spark):
+    px = spark.createDataFrame([(k, (k, 0, 0)) for k in range(5)], "id long, c struct<r: int, g: int, b: int>")
+    remap = spark.createDataFrame([(1, 0, 0, 2, 0, 0), (2, 0, 0, 3, 0, 0), (4, 0, 0, 1, 0, 0)], "r int, g int, b int, r2 int, g2 int, b2 int")
+    got = {r.id: r.c.r for r in Im.remap_colours(px, "c", remap).collect()}
+    assert got == {0: 0, 1: 3, 2: 3, 3: 3, 4: 1}
+
+
+def test_edges_without_length_have_no_line(spark):
+    from wheeltrace.operators import scene as Sc
+
+    e = spark.createDataFrame([(1, 11.0, 48.0, 11.0, 48.0), (2, 11.0, 48.0, 11.001, 48.0)], "id long, lon0 double, lat0 double, lon1 double, lat1 double")
+    assert {r.id for r in Sc.parking_lines(e, "id", {}, override=True).collect()} == {2}
+
+
+def test_every_condition_has_its_columns(spark):
+    from wheeltrace.operators import score as S
+
+    df = spark.createDataFrame([("a", "rain", 90.0), ("a", "sunny", 100.0), ("b", "rain", 100.0)], "method string, condition string, completion_pct double")
+    got = {r.method: r.rain_fail for r in S.condition_matrix(df).collect()}
+    assert got == {"a": "1/1", "b": "0/1"}
+    assert "rain_fail" not in S.condition_matrix(df, conditions=["sunny"]).columns

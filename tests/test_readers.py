@@ -68,6 +68,17 @@ def test_series_and_sim_trajectories(spark, tmp_path):
     names = R.run_catalog(sim.select(F.col("file").alias("name")).distinct(), default_method="m").collect()
     assert {(r.method, r.condition, r.run) for r in names} == {("m", c, 1) for c in "abc"}
     assert {r.points for r in R.validate_runs(sim, ["file"], "frame").collect()} == {1, 2}
+    every = sim.select("file").union(spark.createDataFrame([("empty.json",)], "file string"))
+    assert {r.file: r.points for r in R.validate_runs(sim, ["file"], "frame", every).collect()}["empty.json"] == -1
+    put(tmp_path, "k/d.json", '[{"frame":1,"x":0,"y":0,"steering_raw_rad":0.25}]')
+    assert R.read_sim_trajectory(spark, f"{tmp_path}/k", alias="steering_raw_rad").first().steer == 0.25
+
+
+def test_run_names(spark):
+    names = spark.createDataFrame([("/d/gs_run3_trajectory.json",), ("/d/gs_fast_run12/trajectory.json",), ("/d/rain_gs_run4_trajectory.json",), ("/d/notes.txt",)], "name string")
+    got = {(r.method, r.condition, r.run) for r in R.run_catalog(names, scheme="method").collect()}
+    assert got == {("gs", None, 3), ("gs_fast", None, 12), ("rain_gs", None, 4)}
+    assert {(r.method, r.condition, r.run) for r in R.run_catalog(names).collect()} == {(None, "gs", 3), ("gs_fast", None, 12), ("gs", "rain", 4)}
 
 
 def test_transforms_and_hero_start(spark, tmp_path):
@@ -83,15 +94,16 @@ def test_transforms_and_hero_start(spark, tmp_path):
 
 
 def test_clusters(spark, tmp_path):
-    put(tmp_path, "c.txt", "# id, x, y\n1.0, 2, 3, 0, 4, 0.9, parallel, left, 0-255-0\n2, 1, 1\n3, oops, 1\n4, 1\n5, 1, 1, left, RIGHT, Perpendicular\n")
+    put(tmp_path, "c.txt", "# id, x, y\n1.0, 2, 3, 0, 4, 0.9, parallel, left, 0-255-0\n2, 1, 1\n3, oops, 1\n4, 1\nnan, 1, 2\ninf, 1, 2\n5, 1, 1, left, RIGHT, Perpendicular\n")
     got = {r.cluster_id: (r.orient, r.side) for r in R.read_clusters(spark, str(tmp_path)).collect()}
     assert got == {1: ("parallel", "left"), 2: ("unknown", "unknown"), 5: ("perpendicular", "right")}
 
 
 def test_detection_document(spark, tmp_path):
-    put(tmp_path, "d.json", '{"source":"lidar","dataset_name":"d","global_origin":[1,2,3],"cars":[{"id":1,"x":5,"y":6,"side":"left"},{"id":2,"x":7,"y":8}]}')
+    put(tmp_path, "d.json", '{"source":"lidar","dataset_name":"d","global_origin":[1,2,3],"cars":[{"id":1,"x":5,"y":6,"length":4.5,"width":1.75,"height":1.5,"side":"left"},{"id":2,"x":7,"y":8}]}')
     got = R.read_detection_doc(spark, str(tmp_path)).orderBy("id").collect()
-    assert [(r.id, r.x, r.global_origin[0], r.side) for r in got] == [(1, 5.0, 1.0, "left"), (2, 7.0, 1.0, None)]
+    assert [(r.id, r.x, r.length, r.width, r.height, r.global_origin[0], r.side) for r in got] == [
+        (1, 5.0, 4.5, 1.75, 1.5, 1.0, "left"), (2, 7.0, None, None, None, 1.0, None)]
 
 
 def test_point_clouds(spark, tmp_path):
@@ -170,6 +182,9 @@ def test_calibration_and_camera(spark, tmp_path):
     put(tmp_path, "s/shift.txt", "SHIFT_X=1.5\nOTHER=3\nYAW_OFFSET=0.25\n")
     row = R.read_calibration(spark, f"{tmp_path}/s").first()
     assert (row.shift_x, row.shift_y, row.yaw_offset) == (1.5, 0.0, 0.25)
+    put(tmp_path, "t/twice.txt", "SHIFT_X=1\nSHIFT_X=2\n")
+    put(tmp_path, "t/bad.txt", "SHIFT_X=1\nSHIFT_Y=oops\n")
+    assert {r.file: (r.shift_x, r.shift_y) for r in R.read_calibration(spark, f"{tmp_path}/t").collect()} == {"twice.txt": (2.0, 0.0), "bad.txt": (0.0, 0.0)}
     put(tmp_path, "c/nested.json", '{"size":{"x":256},"camera":{"fov":54.7,"fps":30,"position":{"x":1,"y":2,"z":3},"pitch":-5}}')
     put(tmp_path, "c/flat.json", '{"fov":60,"position":{"x":1,"y":2,"z":3}}')
     got = {r.file: (r.size, r.fov, r.fps, r.pitch) for r in R.read_camera_config(spark, f"{tmp_path}/c").collect()}
@@ -195,3 +210,5 @@ def test_incremental_results(spark, tmp_path):
     out = W.incremental_results(frames, compute("b"), path, ["frame"])
     assert calls == [2, 4] and out.where("by = 'a'").count() == 2 and out.count() == 6
     assert W.incremental_results(frames, compute("c"), path, ["frame"], force=True).where("by = 'c'").count() == 6
+    part = W.incremental_results(frames.where("frame = 1"), compute("d"), path, ["frame"], force=True)
+    assert sorted((r.frame, r.by) for r in part.collect()) == [(0, "c"), (1, "d"), (2, "c"), (3, "c"), (4, "c"), (5, "c")]

@@ -54,23 +54,30 @@ def yaw_alignment(df: DataFrame, keys, src: str, dst: str) -> DataFrame:
     return both.groupBy(*keys).agg(best.alias("_b")).select(*keys, "_b.*")
 
 
-def similarity_fit(df: DataFrame, keys, src: Sequence[str], dst: Sequence[str]) -> DataFrame:
-    """Least-squares dst = scale * R * src + t in the plane, from one pass of mergeable moments."""
+def similarity_fit(df: DataFrame, keys, src: Sequence[str], dst: Sequence[str], with_scale: bool = True) -> DataFrame:
+    """Least-squares dst = scale * R * src + t in the plane, from one pass of mergeable moments.
+
+    ``rms`` is the root mean square distance that remains; ``with_scale=False`` keeps the scale at 1. A key whose
+    source points are all the same has no fit: its values are NULL.
+    """
     keys = list(keys)
     (sx, sy), (tx, ty) = src, dst
     m = df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(f"_m{i}") for i, c in enumerate((sx, sy, tx, ty))],
-        (F.var_pop(sx) + F.var_pop(sy)).alias("_var"),
+        (F.var_pop(sx) + F.var_pop(sy)).alias("_var"), (F.var_pop(tx) + F.var_pop(ty)).alias("_vt"),
         (F.covar_pop(ty, sx) - F.covar_pop(tx, sy)).alias("_q"),
         (F.covar_pop(tx, sx) + F.covar_pop(ty, sy)).alias("_p"),
     )
-    m = m.select("*", F.atan2("_q", "_p").alias("theta"),
-                 (F.sqrt(F.col("_q") * F.col("_q") + F.col("_p") * F.col("_p")) / F.col("_var")).alias("scale"))
+    turn = F.sqrt(F.col("_q") * F.col("_q") + F.col("_p") * F.col("_p"))
+    known = F.col("_var") > 0
+    m = m.select("*", turn.alias("_turn"), F.when(known, F.atan2("_q", "_p")).alias("theta"),
+                 F.when(known, F.try_divide(turn, F.col("_var")) if with_scale else F.lit(1.0)).alias("scale"))
+    left = F.col("_vt") + F.col("scale") * F.col("scale") * F.col("_var") - 2 * F.col("scale") * F.col("_turn")
     c, s = F.cos("theta") * F.col("scale"), F.sin("theta") * F.col("scale")
     return m.select(
         *keys, "n", "scale", "theta",
         (F.col("_m2") - (c * F.col("_m0") - s * F.col("_m1"))).alias("t_x"),
-        (F.col("_m3") - (s * F.col("_m0") + c * F.col("_m1"))).alias("t_y"),
+        (F.col("_m3") - (s * F.col("_m0") + c * F.col("_m1"))).alias("t_y"), F.when(F.col("scale").isNotNull(), F.sqrt(F.greatest(left, F.lit(0.0)))).alias("rms"),
     )
 
 
@@ -114,9 +121,18 @@ def alignment_report(matched: DataFrame, fit: DataFrame, yaw_fit: DataFrame, key
 
 
 def frame_match(left: DataFrame, right: DataFrame, on: Sequence[str], min_matches: int = 3) -> tuple[DataFrame, DataFrame]:
-    """(matched rows, left rows without a partner); fewer matches than ``min_matches`` is an error."""
-    matched = left.join(right, list(on))
-    if matched.limit(min_matches).count() < min_matches:
+    """(matched rows, left rows without a partner).
+
+    All but the last column of ``on`` name the data set; one with fewer matches than ``min_matches`` is an error.
+    """
+    matched, keys = left.join(right, list(on)), list(on)[:-1]
+    if keys:
+        n = matched.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+        few = left.select(*keys).distinct().join(n, keys, "left").where(F.coalesce("_n", F.lit(0)) < min_matches)
+        names = [tuple(r) for r in few.select(*keys).limit(5).collect()]
+        if names:
+            raise ValueError(f"need at least {min_matches} matched frames for {names}")
+    elif matched.limit(min_matches).count() < min_matches:
         raise ValueError(f"need at least {min_matches} matched frames")
     return matched, left.join(right, list(on), "left_anti")
 

@@ -60,7 +60,7 @@ def _blocks(curves: DataFrame, curve: str, pos: str, tile: int, name: str) -> Da
                  F.col("pts.x").alias(f"{name}x"), F.col("pts.y").alias(f"{name}y")), "blocks")
 
 
-_OUT = "p long, q long, i long, j long, right array<double>, bottom array<double>, corner double"
+_OUT = "i long, j long, right array<double>, bottom array<double>, corner double"
 
 
 def _sweep(batches):
@@ -89,6 +89,7 @@ def frechet_discrete(
     the requested result, simulated x real runs of a route. Points are never paired by a join.
     """
     spark = left.sparkSession
+    ids = f"p {dict(left.dtypes)[curve]}, q {dict(right.dtypes)[curve]}"
     p, q = _blocks(left, curve, pos, tile, "p"), _blocks(right, curve, pos, tile, "q")
 
     def sizes(blocks, source, name):
@@ -106,7 +107,7 @@ def frechet_discrete(
     )
     waves = tiles.agg(F.max(F.col("i") + F.col("j"))).first()[0]
     if waves is None:
-        return spark.createDataFrame([], "p long, q long, frechet double")
+        return spark.createDataFrame([], f"{ids}, frechet double")
     done: list[DataFrame] = []
     parallel = spark.sparkContext.defaultParallelism
     for wave in range(waves + 1):
@@ -130,7 +131,7 @@ def frechet_discrete(
             else:
                 work = work.withColumn("diag", F.lit(None).cast("double"))
         work = work.select("p", "q", "i", "j", "px", "py", "qx", "qy", "left", "top", "diag")
-        swept = work.repartition(parallel, "p", "q", "i", "j").mapInPandas(_sweep, _OUT)
+        swept = work.repartition(parallel, "p", "q", "i", "j").mapInPandas(_sweep, f"{ids}, {_OUT}")
         done.append(materialize(swept, "wave"))
     last = tiles.where((F.col("i") == F.col("pn") - 1) & (F.col("j") == F.col("qn") - 1)).select("p", "q", "i", "j")
     values = done[0]

@@ -68,14 +68,33 @@ def instance_colour(g, b, tag) -> Column:
     return F.when(col(tag).isin(*VEHICLE_TAGS), on).otherwise(off)
 
 
-def remap_colours(pixels: DataFrame, colour: str, remap: DataFrame) -> DataFrame:
-    """Replace colours by an optional table ``r, g, b -> r2, g2, b2``.
+MAX_COLOURS = 65_536  # instance colours come from two id bytes
 
-    Instance colours come from two id bytes, so there are at most 65,536 of them: the table is
-    reduced to one row per colour and broadcast, which also keeps the many black pixels in place.
+
+def remap_colours(pixels: DataFrame, colour: str, remap: DataFrame, order: str | None = None) -> DataFrame:
+    """Replace colours by an optional table ``r, g, b -> r2, g2, b2`` whose entries apply one after the other.
+
+    Entries follow each other by ``order``, or by colour: after 1 -> 2 and 2 -> 3 a pixel of 1 is 3. The table may
+    have ``MAX_COLOURS`` entries; it is closed over itself, reduced to one row per colour and broadcast, which also
+    keeps the many black pixels in place.
     """
-    m = remap.select(F.struct("r", "g", "b").alias(colour), F.struct(F.col("r2").alias("r"), F.col("g2").alias("g"), F.col("b2").alias("b")).alias("_new"))
-    out = pixels.join(F.broadcast(m.groupBy(colour).agg(F.min("_new").alias("_new"))), colour, "left")
+    sides = ("r", "g", "b"), ("r2", "g2", "b2")
+    rows = remap.orderBy(*([order] if order else []), *sides[0], *sides[1]).limit(MAX_COLOURS + 1).collect()
+    if len(rows) > MAX_COLOURS:
+        raise ValueError(f"more than {MAX_COLOURS} colours to replace")
+    now: dict[tuple, set] = {}  # present colour -> the colours that have become it
+    seen: set = set()
+    for row in rows:
+        old, new = (tuple(int(row[c]) for c in side) for side in sides)
+        moved = now.pop(old, set()) | (set() if old in seen else {old})
+        seen.add(old)
+        now.setdefault(new, set()).update(moved)
+    pairs = [(*k, *v) for v, ks in now.items() for k in ks if k != v]
+    table = pixels.sparkSession.createDataFrame(pairs, "r int, g int, b int, r2 int, g2 int, b2 int")
+    kinds = {f.name: f.dataType for f in pixels.schema[colour].dataType}
+    side = lambda names: F.struct(*[F.col(n).cast(kinds[c]).alias(c) for n, c in zip(names, sides[0])])
+    m = table.select(side(sides[0]).alias(colour), side(sides[1]).alias("_new"))
+    out = pixels.join(F.broadcast(m), colour, "left")
     return out.select(*[c for c in pixels.columns if c != colour], F.coalesce("_new", colour).alias(colour))
 
 

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wheeltrace.operators.ordered import CHUNK_ROWS, drop_halo, neighbours, running, with_halo
+from wheeltrace.operators.ordered import CHUNK_ROWS, chunk_of, neighbours, running
 
 
 def ema_smooth(
@@ -16,23 +16,27 @@ def ema_smooth(
 ) -> DataFrame:
     """First value passes through, then alpha * previous + (1 - alpha) * value; clamped on output.
 
-    The weight of a value ``k`` rows back is alpha^k, so rows beyond the halo cannot change a double:
-    chunks are computed independently as one scaled running sum.
+    A chunk's own part is one scaled running sum. The state on entering a chunk follows from the last states of
+    the chunks before it, back to where alpha^distance takes any double to zero, so nothing is cut off.
     """
     if not 0 < alpha < 1:
         raise ValueError("alpha must be between 0 and 1")
-    halo = math.ceil(-45 / math.log(alpha))  # alpha^halo < 1e-19
-    rows = max(rows, halo)
-    if (rows + halo) * -math.log(alpha) > 600:
-        raise ValueError("chunk too long for this alpha")
+    decay = -math.log(alpha)
+    rows = max(1, min(rows, int(300 / decay)))
+    back = math.ceil(1500 / (decay * rows)) + 1  # the largest double over the smallest is e^1455
+    keys = list(keys)
     w = Window.partitionBy(*keys, "_chunk").orderBy(pos).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    h = with_halo(df, keys, pos, halo, 0, rows)
-    k = F.col(pos) - F.col("_chunk") * rows  # -halo .. rows - 1
+    work = df.withColumn("_chunk", chunk_of(pos, rows)).repartition(*keys, "_chunk")
+    k = F.col(pos) - F.col("_chunk") * rows  # 0 .. rows - 1
     gain = F.when(F.col(pos) == 0, F.lit(1.0)).otherwise(F.lit(1 - alpha))
-    total = F.sum(gain * F.col(value) * F.pow(F.lit(alpha), -k)).over(w)
-    state = total * F.pow(F.lit(alpha), k)
-    h = h.select("*", F.greatest(F.least(state, F.lit(limit)), F.lit(-limit)).alias(name))
-    return drop_halo(h)
+    own = F.sum(gain * F.col(value) * F.pow(F.lit(alpha), -k)).over(w) * F.pow(F.lit(alpha), k)
+    work = work.select("*", own.alias("_own_part"))
+    ends = work.groupBy(*keys, "_chunk").agg(F.max_by("_own_part", pos).alias("_end"))
+    before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(-back, -1)
+    carry = F.aggregate(F.collect_list("_end").over(before), F.lit(0.0), lambda acc, x: acc * alpha ** rows + x)
+    work = work.join(ends.select(*keys, "_chunk", carry.alias("_carry")), [*keys, "_chunk"])
+    state = F.col("_carry") * F.pow(F.lit(alpha), k + 1) + F.col("_own_part")
+    return work.select(*df.columns, F.greatest(F.least(state, F.lit(limit)), F.lit(-limit)).alias(name))
 
 
 def streak(df: DataFrame, keys, pos: str, condition, name: str = "streak", rows: int = CHUNK_ROWS) -> DataFrame:

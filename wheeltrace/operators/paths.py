@@ -296,10 +296,11 @@ def offset_line(x0: str, y0: str, x1: str, y1: str, metres: float, side: str) ->
     """A one-segment line moved sideways by ``metres`` expressed in degrees of latitude.
 
     The degree length ignores the latitude, so east-west offsets are wider on the ground. Left is
-    to the left of the drawing direction; the moved line keeps that direction on both sides.
+    to the left of the drawing direction; the moved line keeps that direction on both sides. A line
+    without length has no direction and gives NULL.
     """
     d = metres / 111320.0 * (1.0 if side == "left" else -1.0)
     ex, ey = F.col(x1) - F.col(x0), F.col(y1) - F.col(y0)
     ln = F.sqrt(ex * ex + ey * ey)
-    ox, oy = -ey / ln * d, ex / ln * d
+    ox, oy = F.try_divide(-ey, ln) * d, F.try_divide(ex, ln) * d
     return [F.col(x0) + ox, F.col(y0) + oy, F.col(x1) + ox, F.col(y1) + oy]

@@ -77,7 +77,7 @@ def parking_allowed(tag_cols: dict[str, str], side: str, override: bool = False)
 def parking_lines(edges: DataFrame, edge_id: str, tag_cols: dict[str, str], override: bool = False, extra=()) -> DataFrame:
     """Parallel lines beside each edge on the allowed sides: ``line_id, side, x0..y1`` (lon, lat).
 
-    ``line_id`` orders lines as edges in id order, left before right.
+    ``line_id`` orders lines as edges in id order, left before right. Edges without length give no line.
     """
     rows = []
     for k, (side, metres) in enumerate((("left", LEFT_M), ("right", RIGHT_M))):
@@ -85,7 +85,8 @@ def parking_lines(edges: DataFrame, edge_id: str, tag_cols: dict[str, str], over
         line = F.struct((F.col(edge_id) * 2 + k).alias("line_id"), F.lit(side).alias("side"),
                         x0.alias("x0"), y0.alias("y0"), x1.alias("x1"), y1.alias("y1"))
         rows.append(F.when(parking_allowed(tag_cols, side, override), line))
-    return edges.select(edge_id, *extra, F.inline(F.array_compact(F.array(*rows))))
+    drawn = (F.col("lon0") != F.col("lon1")) | (F.col("lat0") != F.col("lat1"))
+    return edges.where(drawn).select(edge_id, *extra, F.inline(F.array_compact(F.array(*rows))))
 
 
 def nearest_edge_by_side(cars: DataFrame, lines: DataFrame, keys, car_id, side: str = "side", xy=("lon", "lat"),

@@ -88,14 +88,15 @@ def rate_of_change(
 ) -> DataFrame:
     """Change per second between consecutive rows, with measured gaps in (min, max] or a fixed step.
 
-    ``ticks`` per second of an integer clock: the difference is taken before it becomes a float.
+    ``ticks`` per second of an integer clock: the difference is taken before it becomes a float. Rows at
+    the same time as the row before have no rate (NULL).
     """
     cols = {"_pv": (value, -1), **({"_pt": (time, -1)} if time else {})}
     out = neighbours(df, keys, pos, cols, rows).where(F.col("_pv").isNotNull())
     gap: Column = (F.col(time) - F.col("_pt")) / ticks if time else F.lit(dt)
     if time and min_gap is not None:
         out = out.where((gap > min_gap) & (gap <= max_gap))
-    return out.select(*df.columns, ((F.col(value) - F.col("_pv")) / gap).alias(name))
+    return out.select(*df.columns, F.try_divide((F.col(value) - F.col("_pv")).cast("double"), gap.cast("double")).alias(name))
 
 
 def steering_jitter(
@@ -141,9 +142,18 @@ CONDITIONS = ("sunny", "cloudy", "snowy")  # fixed values: column order of the r
 
 def condition_matrix(
     completions: DataFrame, method="method", condition="condition", pct="completion_pct", threshold=95.0,
-    conditions: Sequence[str] = CONDITIONS,
+    conditions: Sequence[str] | None = None, most: int = 200,
 ) -> DataFrame:
-    """Fail rate "f/n" and completion "avg - max - min" per method, one column pair per condition."""
+    """Fail rate "f/n" and completion "avg - max - min" per method, one column pair per condition.
+
+    Without ``conditions`` every name that occurs gets its columns (``most`` of them at most, else an error): first the
+    usual ones in their order, then the others by name.
+    """
+    if conditions is None:
+        found = [r[0] for r in completions.where(F.col(condition).isNotNull()).select(condition).distinct().limit(most + 1).collect()]
+        if len(found) > most:
+            raise ValueError(f"more than {most} conditions")
+        conditions = [*CONDITIONS, *sorted(set(found) - set(CONDITIONS))]
     fail = F.format_string("%d/%d", F.sum((F.col(pct) < threshold).cast("long")), F.count(F.lit(1)))
     comp = F.format_string("%.0f - %.0f - %.0f", F.avg(pct), F.max(pct), F.min(pct))
     out = completions.groupBy(method).pivot(condition, list(conditions)).agg(

@@ -45,13 +45,17 @@ def score_drives(real: DataFrame, sim: DataFrame, real_steering: DataFrame | Non
                  spacing: float = 0.5, sim_every: int = 3, dt: float = 3 / 30) -> dict:
     """All drive-quality results of one scenario.
 
-    ``real``: ``run, seq, x, y`` (and ``t`` for steering). ``sim``: ``run, method, seq, x, y, steer``.
-    ``real_steering``: ``run, t, steer``. Returns DataFrames ``completion, quality, jitter, averages,
-    document`` and the ``segment`` dict. The projections onto the reference are made once.
+    ``real``: ``run, seq, x, y`` (and ``t`` for steering). ``sim``: ``run, method, seq, x, y, steer``; a simulated drive is
+    one (method, run), so methods may share run numbers. ``real_steering``: ``run, t, steer``. Returns DataFrames
+    ``completion, quality, jitter, averages, document`` and the ``segment`` dict. The projections onto the reference are made once.
     """
+    name = F.concat_ws("/", F.coalesce("method", F.lit("")), F.col("run").cast("string"))
+    methods = materialize(sim.select("method", "run", name.alias("drive")).distinct(), "methods")
+    sim = sim.withColumn("run", name)
     path, real_p, seg = score.scenario_segment(real.select("run", "seq", "x", "y"), spacing)
     sim_p = materialize(paths.project_runs(sim, path), "sim")
     done = materialize(score.completion(sim_p, seg, threshold=threshold), "completion")
+    named = done.withColumnRenamed("run", "drive").join(methods, "drive").select("method", "run", *[c for c in done.columns if c != "run"])
     good = sim_p.join(done.where("success").select("run"), "run", "left_semi")
 
     inside = score.trim_to_segment(good, seg)
@@ -62,13 +66,13 @@ def score_drives(real: DataFrame, sim: DataFrame, real_steering: DataFrame | Non
         return materialize(paths.resample_lateral(p, seg["start_m"], seg["end_m"], spacing), "stations")
 
     outside = score.corridor_violation(stations(good), score.corridor(stations(real_p)))
-    methods = sim.groupBy("run").agg(F.first("method").alias("method"))
     quality = materialize(
-        closest.withColumnRenamed("p", "run").join(outside, "run").join(methods, "run").select(
+        closest.withColumnRenamed("p", "drive").join(outside.withColumnRenamed("run", "drive"), "drive").join(methods, "drive").select(
             "method", "run", F.col("min_frechet").alias("frechet"), F.col("vs").alias("min_frechet_vs"),
             (F.col("rate") * 100).alias("out_pct"), "mean_excess", "mean_excess_out"), "quality")
 
-    jitter = score.steering_jitter(good, seg, subsample=sim_every, dt=dt).join(methods, "run")
+    jitter = score.steering_jitter(good, seg, subsample=sim_every, dt=dt).withColumnRenamed("run", "drive")
+    jitter = jitter.join(methods, "drive").drop("drive")
     if real_steering is not None:
         at = timesync.interp_series(real_steering, real.select("run", "seq", "t", "x", "y"), ["run"], "t", ["x", "y"], "seq", inside_only=True)
         at = materialize(timesync.number_frames(at, ["run"], ("t",), "seq"), "steering")
@@ -79,7 +83,7 @@ def score_drives(real: DataFrame, sim: DataFrame, real_steering: DataFrame | Non
     document = sinks.results_doc(
         seg, quality, averages.select("method", "runs", "avg_frechet_m", "avg_out_pct", "avg_mean_excess_m").where("runs is not null"), jitter,
         averages.select("method", F.col("jitter_runs").alias("runs"), "avg_jitter", "max_jitter").where("runs is not null"))
-    return {"segment": seg, "path": path, "completion": done, "quality": quality, "jitter": jitter, "averages": averages, "document": document}
+    return {"segment": seg, "path": path, "completion": named, "quality": quality, "jitter": jitter, "averages": averages, "document": document}
 
 
 def sampled_frames(frames: DataFrame, keys, frame: str, every: int) -> DataFrame:

@@ -47,10 +47,10 @@ def yaw_alignment(spark, sf):
     return rounded(out, "split", "yaw_sign", yaw_offset="yaw_offset", residual_std="residual_std")
 
 
-@query("similarity_fit", cte(f"SELECT split, n, {q('scale')} AS scale, {q('theta')} AS theta, {q('t_x')} AS t_x, {q('t_y')} AS t_y FROM fit", "cameras", extra=_YAW))
+@query("similarity_fit", cte(f"SELECT split, n, {q('scale')} AS scale, {q('theta')} AS theta, {q('t_x')} AS t_x, {q('t_y')} AS t_y, {q('rms', 4)} AS rms FROM fit JOIN (SELECT p.split, sqrt(avg((dx-(pp/v*sx-qq/v*sy+t_x))*(dx-(pp/v*sx-qq/v*sy+t_x)) + (dy-(qq/v*sx+pp/v*sy+t_y))*(dy-(qq/v*sx+pp/v*sy+t_y)))) AS rms FROM pr p JOIN fit f ON f.split = p.split GROUP BY p.split) USING (split)", "cameras", extra=_YAW))
 def similarity_fit(spark, sf):
     out = Al.similarity_fit(_pairs(spark, sf), ["split"], ("sx", "sy"), ("dx", "dy"))
-    return rounded(out, "split", "n", scale="scale", theta="theta", t_x="t_x", t_y="t_y")
+    return rounded(out, "split", "n", scale="scale", theta="theta", t_x="t_x", t_y="t_y").join(out.select("split", r("rms", 4).alias("rms")), "split")
 
 
 _REP = {
@@ -65,7 +65,7 @@ _REP = {
    {q('median(pitch)')} AS pitch_median, {q('median(roll)')} AS roll_median FROM er GROUP BY split""", "cameras", extra=_REP))
 def alignment_report(spark, sf):
     p = _pairs(spark, sf)
-    fit = Al.similarity_fit(p, ["split"], ("sx", "sy"), ("dx", "dy")).drop("n")
+    fit = Al.similarity_fit(p, ["split"], ("sx", "sy"), ("dx", "dy")).drop("n", "rms")
     ya = Al.yaw_alignment(p, ["split"], "syaw", "dyaw")
     out = Al.alignment_report(p, fit, ya, ["split"], ("sx", "sy"), ("dx", "dy"), "syaw", "dyaw", "pitch", "roll", "z")
     return out.select("split", "n", *[r(c).alias(c) for c in out.columns if c not in ("split", "n")])
@@ -114,8 +114,8 @@ def split_overlap(spark, sf):
 
 
 _BEST = {
-    "wk": "SELECT bag, frame_id AS pos, (frame_id*7) % 251 AS f FROM camera",
     "spn": "SELECT bag, max(frame_id) + 1 AS n FROM camera GROUP BY bag",
+    "wk": "SELECT c.bag, c.frame_id AS pos, (c.frame_id*7) % s.n AS f FROM camera c JOIN spn s ON s.bag = c.bag",
     "rng": "SELECT bag, i AS k, i*(n//4) AS lo, (i+1)*(n//4) + 10 AS hi FROM (SELECT bag, n, unnest(range(4)) AS i FROM spn)",
     # where a step goes when its current split does not cover the frame, and which splits cover it
     "fb": """SELECT w.bag, w.pos, w.f, coalesce(arg_max(r.k, r.hi*10 - r.k) FILTER (WHERE w.f BETWEEN r.lo AND r.hi),
@@ -129,10 +129,11 @@ _BEST = {
 @query("best_split", "WITH RECURSIVE " + cte("SELECT bag, pos, f AS frame, cur AS split_idx FROM walk", "camera", extra=_BEST)[5:])
 def best_split(spark, sf):
     cam = derived(spark, sf, "camera")
-    ranges = cam.groupBy("bag").agg((F.max("frame_id") + 1).alias("n")).selectExpr(
+    spans = cam.groupBy("bag").agg((F.max("frame_id") + 1).alias("n"))
+    ranges = spans.selectExpr(
         "bag", "inline(transform(sequence(0, 3), i -> struct(i as split, i * (n div 4) as min_frame, (i + 1) * (n div 4) + 10 as max_frame)))")
     # frames are visited back and forth, so that keeping the current split matters
-    walk = cam.selectExpr("bag", "frame_id as pos", "(frame_id * 7) % 251 as frame")
+    walk = cam.join(spans, "bag").selectExpr("bag", "frame_id as pos", "(frame_id * 7) % n as frame")
     return Al.best_split(walk, ranges, ["bag"], "pos", "frame")
 
 

@@ -11,7 +11,7 @@ from wheeltrace.plans.registry import q, query, r, rounded
 # nodes and ways of a small street grid, derived from suppliers and parts
 _NODES = "SELECT CAST(s_suppkey AS BIGINT) AS id, 48.17e0 + floor(s_suppkey/10e0)*0.001e0 AS lat, 11.58e0 + (s_suppkey % 10)*0.002e0 AS lon FROM supplier"
 _HIGH = """CASE p_partkey % 5 WHEN 0 THEN 'residential' WHEN 1 THEN 'footway' WHEN 2 THEN 'service' WHEN 3 THEN 'primary' ELSE 'unclassified' END"""
-_WAYS = f"""SELECT CAST(p_partkey AS BIGINT) AS way_id, CAST(p_partkey % 90 + 1 AS BIGINT) AS first_ref, CAST(p_size % 6 + 2 AS BIGINT) AS n_refs,
+_WAYS = f"""SELECT CAST(p_partkey AS BIGINT) AS way_id, CAST(p_partkey % (SELECT count(*) FROM supplier) + 1 AS BIGINT) AS first_ref, CAST(p_size % 6 + 2 AS BIGINT) AS n_refs,
   {_HIGH} AS highway, CASE WHEN p_partkey % 4 = 0 THEN 'yes' END AS oneway, CAST(p_partkey % 7 AS BIGINT) AS lv FROM part"""
 
 
@@ -19,7 +19,7 @@ def _osm(spark, sf):
     table(spark, sf, "supplier").createOrReplaceTempView("_wt_supplier")
     table(spark, sf, "part").createOrReplaceTempView("_wt_part")
     nodes = spark.sql(_NODES.replace("FROM supplier", "FROM _wt_supplier"))
-    ways = spark.sql(_WAYS.replace("FROM part", "FROM _wt_part"))
+    ways = spark.sql(_WAYS.replace("FROM part", "FROM _wt_part").replace("FROM supplier", "FROM _wt_supplier"))
     return nodes, ways.select(
         "way_id", F.expr("transform(sequence(0L, n_refs - 1), k -> first_ref + k)").alias("refs"),
         F.expr("map_filter(map('highway', highway, 'oneway', oneway, 'building', case when way_id % 3 = 0 then 'yes' end,"

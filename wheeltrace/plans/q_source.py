@@ -110,18 +110,23 @@ def read_clusters(spark, sf):
     return R.read_clusters(spark, path).select("cluster_id", "orient", "side")
 
 
-@query("read_detection_doc", cte(f"SELECT cluster_id % 7 AS doc, cluster_id AS id, {q('lon + (cluster_id % 7)')} AS gx, side FROM cars", "cars"))
+@query("read_detection_doc", cte(f"""SELECT cluster_id % 7 AS doc, cluster_id % 7 AS ox, cluster_id AS id, {q('lon')} AS x, {q('lat')} AS y, {q('4e0 + (cluster_id % 5)*0.25e0')} AS length,
+   {q('1.5e0 + (cluster_id % 3)*0.25e0')} AS width, 1.5e0 AS height, cluster_id % 4 AS count, side, orient FROM cars""", "cars"))
 def read_detection_doc(spark, sf):
     c = derived(spark, sf, "cars")
-    car = F.struct(F.col("cluster_id").alias("id"), F.col("lon").alias("x"), F.col("lat").alias("y"), "side", "orient")
+    k = F.col("cluster_id")
+    car = F.struct(k.alias("id"), F.col("lon").alias("x"), F.col("lat").alias("y"), F.lit(0.0).alias("z"), (4 + k % 5 * 0.25).alias("length"),
+                   (1.5 + k % 3 * 0.25).alias("width"), F.lit(1.5).alias("height"), (k % 4).alias("count"), "side", "orient")
     # documents hold a few cars each: one per seven cars, so that no document grows with the data
     docs = c.groupBy((F.col("cluster_id") % 7).alias("doc"), F.expr("cluster_id div 49").alias("part")).agg(F.collect_list(car).alias("cars"))
     docs = docs.select(F.concat(F.lit("d"), "doc").alias("dataset_name"), F.lit("lidar").alias("source"),
                        F.array(F.col("doc").cast("double"), F.lit(0.0), F.lit(0.0)).alias("global_origin"), "cars")
     path = _folder(spark, "detections")
-    docs.write.json(path)
-    raw = spark.read.schema(R.DETECTION_DOC).json(path).select("dataset_name", "global_origin", F.inline("cars"))
-    return raw.select(F.substring("dataset_name", 2, 9).cast("long").alias("doc"), "id", r(F.col("x") + F.col("global_origin")[0]).alias("gx"), "side")
+    # one object per document and file, as the detection step writes them
+    docs.write.option("maxRecordsPerFile", 1).json(path)
+    raw = R.read_detection_doc(spark, path)
+    return rounded(raw, F.substring("dataset_name", 2, 9).cast("long").alias("doc"), F.col("global_origin")[0].cast("long").alias("ox"), "id", "count", "side", "orient",
+                   x="x", y="y", length="length", width="width", height="height")
 
 
 @query("read_point_clouds", cte(f"""SELECT frame_id, CAST(k AS BIGINT) AS point, {q('CAST(c2w[4*k+1] AS DOUBLE)')} AS x, {q('CAST(c2w[4*k+3] AS DOUBLE)')} AS z, {q('CAST(c2w[4*k+4] AS DOUBLE)')} AS i
@@ -146,7 +151,7 @@ def read_osm(spark, sf):
     node = c.select(F.col("c_nationkey").alias("map"), F.lit(1).alias("o"), F.format_string(
         '<node id="%d" lat="48.%06d" lon="11.5" visible="%s"/>', F.col("c_custkey").cast("long"), F.col("c_custkey").cast("long"),
         F.when(F.col("c_custkey") % 10 > 0, "true").otherwise("false")).alias("value"))
-    refs = F.array_join(F.transform(F.sequence(F.lit(1), (F.col("s_suppkey") % 3 + 2).cast("int")), lambda k: F.format_string('<nd ref="%d"/>', k)), "")
+    refs = F.array_join(F.transform(F.sequence(F.lit(1), (F.col("s_suppkey") % 3 + 2).cast("int")), lambda k: F.format_string('<nd ref="%d"/>', F.col("s_suppkey").cast("long") + k)), "")
     way = s.select(F.col("s_nationkey").alias("map"), F.lit(2).alias("o"), F.concat(
         F.format_string('<way id="%d">', F.col("s_suppkey").cast("long")), refs, F.when(
             F.col("s_suppkey") % 2 == 0, F.lit('<tag k="highway" v="residential"/>')).otherwise(F.lit("")), F.lit("</way>")).alias("value"))
@@ -177,7 +182,7 @@ def read_map_header(spark, sf):
 def run_catalog(spark, sf):
     k = F.col("c_custkey").cast("long")
     kinds = ["trajectory%d.csv", "sunny%d_trajectory.txt", "only_carla_rain_map_run%d_trajectory.json", "snowy_gs_run%d_trajectory.json",
-             "cloudy_run%d_trajectory.json", "Gs_fast2_run%d_trajectory.json"]
+             "cloudy_run%d_trajectory.json", "Gs_fast2_run%d/trajectory.json"]
     name = F.coalesce(*[F.when(k % 6 == i, F.format_string(f"/data/{p}", k)) for i, p in enumerate(kinds)])
     files = table(spark, sf, "customer").select(k.alias("id"), F.when(k % 7 == 0, F.format_string("notes%d.md", k)).otherwise(name).alias("name"))
     return R.run_catalog(files).select("id", "kind", "method", "condition", "run")
@@ -189,12 +194,17 @@ def validate_runs(spark, sf):
     return R.validate_runs(runs, ["run"], "seq").select("run", F.col("points").cast("long").alias("points"))
 
 
-@query("read_calibration", """SELECT CAST(c_custkey AS BIGINT) AS id, c_custkey*0.5e0 AS shift_x, CASE WHEN c_custkey % 2 = 0 THEN -1.25e0 ELSE 0e0 END AS shift_y, 0e0 AS yaw_offset FROM customer""")
+@query("read_calibration", """SELECT id, CASE WHEN id % 5 = 0 THEN 0e0 ELSE id*0.5e0 END AS shift_x, CASE WHEN id % 2 = 0 AND id % 5 > 0 THEN -1.25e0 ELSE 0e0 END AS shift_y,
+   CASE WHEN id % 5 = 0 THEN 0e0 ELSE 0.75e0 END AS yaw_offset FROM (SELECT CAST(s_suppkey AS BIGINT) AS id FROM supplier)""")
 def read_calibration(spark, sf):
-    k = F.col("c_custkey").cast("long")
-    lines = F.array(F.concat(F.lit("SHIFT_X="), (k * 0.5).cast("string")), F.when(k % 2 == 0, F.lit("SHIFT_Y=-1.25")).otherwise("SCALE=2"), F.lit("YAW_OFFSET=oops"))
-    t = table(spark, sf, "customer").select(k.alias("id"), F.explode(lines).alias("value"))
-    return R.parse_calibration(t, ["id"])
+    k = F.col("s_suppkey").cast("long")
+    # repeated keys (the last one counts), unknown keys, and files with a bad value
+    lines = F.array(F.lit("YAW_OFFSET=0.25"), F.concat(F.lit("SHIFT_X="), (k * 0.5).cast("string")), F.when(k % 2 == 0, F.lit("SHIFT_Y=-1.25")).otherwise("SCALE=2"),
+                    F.when(k % 5 == 0, F.lit("YAW_OFFSET=oops")).otherwise("YAW_OFFSET=0.75"))
+    t = table(spark, sf, "supplier").select(k.alias("id"), F.array_join(lines, "\n").alias("value"))
+    path = _text(spark, t, "calibration", ["id"])
+    out = R.read_calibration(spark, f"{path}/*/", pattern=r"id=(\d+)/")
+    return out.select(F.col("file").cast("long").alias("id"), "shift_x", "shift_y", "yaw_offset")
 
 
 @query("read_camera_config", """SELECT CAST(c_custkey AS BIGINT) AS id, CASE c_custkey % 3 WHEN 0 THEN 640 WHEN 1 THEN 256 ELSE 512 END AS size, 54.7e0 AS fov,

@@ -90,7 +90,8 @@ def read_series(spark: SparkSession, path, pattern: str = r"([^/]+)$", name: str
     return out.where(F.col("ts").isNotNull() & F.col("value").isNotNull())
 
 
-SIM_POINT = "frame long, x double, y double, z double, yaw double, steer_raw double, steering double, steer_norm double, split string"
+SIM_POINT = ("frame long, x double, y double, z double, yaw double, steer_raw double, steering double, steer_norm double, split string,"
+             " steering_raw_rad double, steering_normalized double, steering_applied double, throttle_raw double")
 
 
 def sim_steering(points: DataFrame, keys, pos: str, alias: str | None = None) -> DataFrame:
@@ -107,10 +108,10 @@ def sim_steering(points: DataFrame, keys, pos: str, alias: str | None = None) ->
     return points.join(first, list(keys)).select(*points.columns, pick.alias("steer"))
 
 
-def read_sim_trajectory(spark: SparkSession, path) -> DataFrame:
-    """JSON arrays of trajectory points, one file per run."""
+def read_sim_trajectory(spark: SparkSession, path, alias: str | None = None) -> DataFrame:
+    """JSON arrays of trajectory points, one file per run; ``alias`` as in ``sim_steering``."""
     raw = spark.read.schema(SIM_POINT).option("multiLine", True).json(path).select(file_key(r"([^/]+)$", "file"), "*")
-    return sim_steering(raw, ["file"], "frame")
+    return sim_steering(raw, ["file"], "frame", alias)
 
 
 TRANSFORMS = ("frame_id long, timestamp double, transform struct<location: struct<x: double, y: double, z: double>,"
@@ -143,8 +144,10 @@ def parse_clusters(lines: DataFrame, value: str = "value", keep=()) -> DataFrame
 
     p = t.where(F.size("_t") >= 3).select(*keep, F.expr("cast(try_element_at(_t, 1) as string)").alias("_id"), tok(0).alias("id"), tok(1).alias("x"), tok(2).alias("y"),
                                           word("parallel", "perpendicular").alias("orient"), word("left", "right").alias("side"))
-    ok = F.col("id").isNotNull() & F.col("x").isNotNull() & F.col("y").isNotNull()
-    return p.where(ok).select(*keep, F.col("id").cast("long").alias("cluster_id"), "x", "y", "orient", "side")
+    # ids that are no number (nan, inf) cannot be an integer: such rows are skipped like other bad ones
+    whole = F.when(~F.isnan("id"), F.col("id").try_cast("long"))
+    ok = whole.isNotNull() & F.col("x").isNotNull() & F.col("y").isNotNull()
+    return p.where(ok).select(*keep, whole.alias("cluster_id"), "x", "y", "orient", "side")
 
 
 def read_clusters(spark: SparkSession, path) -> DataFrame:
@@ -152,11 +155,11 @@ def read_clusters(spark: SparkSession, path) -> DataFrame:
 
 
 DETECTION_DOC = ("source string, dataset_name string, global_origin array<double>, cars array<struct<id: long, x: double, y: double, z: double,"
-                 " l: double, w: double, h: double, yaw: double, count: long, conf: double, side: string, orient: string>>")
+                 " length: double, width: double, height: double, yaw: double, count: long, conf: double, side: string, orient: string>>")
 
 
 def read_detection_doc(spark: SparkSession, path) -> DataFrame:
-    """One row per car with its document's source and origin."""
+    """One row per car with its document's source and origin; positions are global already."""
     doc = spark.read.schema(DETECTION_DOC).option("multiLine", True).json(path)
     return doc.select(file_key(r"([^/]+)$", "file"), "source", "dataset_name", "global_origin", F.inline("cars"))
 
@@ -232,13 +235,17 @@ def read_map_header(spark: SparkSession, path) -> DataFrame:
     return parse_map_header(docs, keep=("file",))
 
 
-def run_catalog(names: DataFrame, name: str = "name", default_method: str | None = None) -> DataFrame:
+def run_catalog(names: DataFrame, name: str = "name", default_method: str | None = None, scheme: str = "condition") -> DataFrame:
     """Kind, method, condition and run from file names; names that match nothing are left out.
 
     Real: ``trajectory<N>.csv`` or ``<condition><N>_trajectory.txt``. Simulated, in this order:
     ``only_carla_<condition>_map_run<N>``, ``<condition>_<method>_run<N>``, ``<condition>_run<N>``,
-    each with ``_trajectory.json``; else any ``<method>_run<N>_trajectory.json``.
+    each with ``_trajectory.json``; else any ``<method>_run<N>_trajectory.json``, or the folder form
+    ``<method>_run<N>/trajectory.json``. With ``scheme='method'`` a simulated name has no condition: all
+    that stands before ``_run<N>`` is the method.
     """
+    if scheme not in ("condition", "method"):
+        raise ValueError(scheme)
     patterns = [  # kind, pattern, group of condition, method, run
         ("real", r"^trajectory(\d+)\.csv$", 0, 0, 1),
         ("real", r"^(\w+?)(\d+)_trajectory\.txt$", 1, 0, 2),
@@ -246,8 +253,11 @@ def run_catalog(names: DataFrame, name: str = "name", default_method: str | None
         ("sim", r"^([a-z]+)_([a-z]+)_run(\d+)_trajectory\.json$", 1, 2, 3),
         ("sim", r"^([a-z]+)_run(\d+)_trajectory\.json$", 1, 0, 2),
         ("sim", r"^([A-Za-z][A-Za-z0-9_]*)_run(\d+)_trajectory\.json$", 0, 1, 2),
+        ("sim", r"^([A-Za-z][A-Za-z0-9_]*)_run(\d+)/trajectory\.json$", 0, 1, 2),
     ]
-    base = names.select("*", F.regexp_extract(name, r"([^/]+)$", 1).alias("_b"))
+    if scheme == "method":
+        patterns = [p for p in patterns if p[0] == "real" or p[3] == 1]
+    base = names.select("*", F.regexp_extract(name, r"([^/]+/trajectory\.json|[^/]+)$", 1).alias("_b"))
     hits = []
     for kind, pat, cond, method, run in patterns:
         group = lambda g: F.regexp_extract("_b", pat, g) if g else F.lit(None).cast("string")  # noqa: B023, E731
@@ -257,26 +267,37 @@ def run_catalog(names: DataFrame, name: str = "name", default_method: str | None
     return base.select("*", F.coalesce(*hits).alias("_m")).where(F.col("_m").isNotNull()).select(*names.columns, "_m.*")
 
 
-def validate_runs(points: DataFrame, keys, pos: str) -> DataFrame:
-    """Number of points of a run whose first point has x and y, else -1."""
+def validate_runs(points: DataFrame, keys, pos: str, runs: DataFrame | None = None) -> DataFrame:
+    """Number of points of a run whose first point has x and y, else -1.
+
+    ``runs`` lists all runs by key; those without any point (empty or unreadable files) get -1 too.
+    """
     first_ok = F.min_by(F.col("x").isNotNull() & F.col("y").isNotNull(), pos)
-    return points.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), first_ok.alias("_ok")).select(
-        *keys, F.when(F.col("_ok"), F.col("_n")).otherwise(F.lit(-1)).alias("points"))
+    out = points.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), first_ok.alias("_ok"))
+    if runs is not None:
+        out = runs.select(*keys).distinct().join(out, list(keys), "left")
+    return out.select(*keys, F.when(F.col("_ok"), F.col("_n")).otherwise(F.lit(-1)).alias("points"))
 
 
 CALIBRATION_KEYS = ("SHIFT_X", "SHIFT_Y", "YAW_OFFSET")
 
 
 def parse_calibration(lines: DataFrame, keys, value: str = "value") -> DataFrame:
-    """``KEY=VALUE`` lines of the known keys as one row per file, 0.0 when missing."""
+    """``KEY=VALUE`` lines of the known keys as one row per file, 0.0 when missing.
+
+    ``line_no`` orders the lines: of a repeated key the last one counts. A value of a known key that is no
+    number makes the whole file count as missing.
+    """
     kv = F.split(F.trim(value), "=", 2)
-    p = lines.select(*keys, kv[0].alias("k"), F.try_element_at(kv, F.lit(2)).try_cast("double").alias("v"))
-    return p.groupBy(*keys).agg(*[
-        F.coalesce(F.last(F.when(F.col("k") == c, F.col("v")), ignorenulls=True), F.lit(0.0)).alias(c.lower()) for c in CALIBRATION_KEYS])
+    p = lines.select(*keys, "line_no", F.trim(kv[0]).alias("k"), F.try_element_at(kv, F.lit(2)).try_cast("double").alias("v"))
+    bad = F.coalesce(F.bool_or(F.col("k").isin(*CALIBRATION_KEYS) & F.col("v").isNull()), F.lit(False))
+    last = [F.max_by(F.when(F.col("k") == c, F.col("v")), F.when(F.col("k") == c, F.col("line_no"))) for c in CALIBRATION_KEYS]
+    return p.groupBy(*keys).agg(*[F.when(bad, 0.0).otherwise(F.coalesce(v, F.lit(0.0))).alias(c.lower()) for c, v in zip(CALIBRATION_KEYS, last)])
 
 
-def read_calibration(spark: SparkSession, path) -> DataFrame:
-    return parse_calibration(spark.read.text(path).select(file_key(r"([^/]+)$", "file"), "value"), ["file"])
+def read_calibration(spark: SparkSession, path, pattern: str = r"([^/]+)$") -> DataFrame:
+    files = spark.read.text(path, wholetext=True).select(file_key(pattern, "file"), "value")  # a few lines each
+    return parse_calibration(files.select("file", F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "value")), ["file"])
 
 
 # Defaults of a camera description.

@@ -7,6 +7,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wheeltrace.session import materialize
+
 
 def fixed_line(cols: dict[str, int | None]) -> Column:
     """One comma-separated line; a number gives the decimals, None leaves the value as it is."""
@@ -47,12 +49,17 @@ def incremental_results(frames: DataFrame, compute: Callable[[DataFrame], DataFr
                         force: bool = False) -> DataFrame:
     """Compute results only for keys without a stored one; returns all stored results.
 
-    ``force`` recomputes every key of ``frames`` and replaces the stored table.
+    ``force`` recomputes every key of ``frames``; the stored results of other keys stay.
     """
     spark = frames.sparkSession
-    stored = None if force else _read_table(spark, path)
+    stored = _read_table(spark, path)
+    if force and stored is not None:
+        rest = stored.join(frames.select(*keys).distinct(), list(keys), "left_anti")
+        # written elsewhere first: the stored table is read for it
+        materialize(rest.unionByName(compute(frames)), "results").write.mode("overwrite").parquet(path)
+        return spark.read.parquet(path)
     todo = frames if stored is None else frames.join(stored.select(*keys), list(keys), "left_anti")
-    compute(todo).write.mode("overwrite" if force else "append").parquet(path)
+    compute(todo).write.mode("append").parquet(path)
     return spark.read.parquet(path)
 
 

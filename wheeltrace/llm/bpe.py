@@ -58,8 +58,10 @@ class Transducer:
             self.rank[x << 20 | y] = r
             self.left[i], self.right[i], self.made[i] = x, y, r
             spelled[i] = symbols(a + b)
-        self.length = {i: len(s) for i, s in spelled.items()}
         self._trie(spelled)
+        self.lengths = np.zeros(max(spelled) + 1, np.int64)
+        self.lengths[list(spelled)] = [len(w) for w in spelled.values()]
+        self._ways: dict[tuple[int, int], tuple] = {}
         self._fits: dict[int, bool] = {}
         self._spines: dict[tuple[int, bool], list[int]] = {}
         self.max_states = max_states
@@ -107,8 +109,6 @@ class Transducer:
         before both the merge that takes the left part away (equal ones go left to right) and the one
         that takes the right part away.
         """
-        if a == START:
-            return True
         key = a << 20 | b
         got = self._fits.get(key)
         if got is None:
@@ -130,78 +130,119 @@ class Transducer:
         return got
 
     def _reset(self):
-        self._rows: dict[tuple, dict] = {}
-        self.start = self._row((0, ((START, 0),)))
-
-    def _row(self, state: tuple) -> dict:
-        row = self._rows.get(state)
-        if row is None:
-            row = self._rows[state] = {-1: state}
-        return row
-
-    def _compile(self, row: dict, s: int) -> tuple[dict, int, int]:
-        """The transition of a state for a symbol: next row, last token, tokens emitted."""
-        v, known = row[-1]
-        at, u = {}, v
-        for value in known:  # one for each suffix that can grow into a token, longest first
-            at[self.depth[u]] = value
-            u = self.fail[u]
-        w = v
-        while w and s not in self.next[w]:
-            w = self.fail[w]
-        w = self.next[w][s]
-        u, found = w, None
-        while u:
-            t = self.token[u]
-            if t != START and self.fits(at[self.depth[u] - 1][0], t):
-                found = t, at[self.depth[u] - 1][1] + 1
+        self._states: list[tuple] = []
+        self._known: dict[tuple, int] = {}
+        self._moves = WordTable(1 << 16)
+        self._next = np.zeros(1 << 16, np.int32)
+        self._last = np.zeros(1 << 16, np.int32)
+        self._step = np.zeros(1 << 16, np.int32)
+        self._state((0, ((START, 0),)))
+
+    def _state(self, state: tuple) -> int:
+        i = self._known.get(state)
+        if i is None:
+            i = self._known[state] = len(self._states)
+            self._states.append(state)
+        return i
+
+    def _way(self, v: int, s: int) -> tuple[int, list, list]:
+        """Where a node goes with a symbol, the tokens that end there, and what of the state lives on.
+
+        Places are given by their index in the state of the old node, whose suffixes come longest first.
+        """
+        got = self._ways.get((v, s))
+        if got is None:
+            index, u = {}, v
+            while True:
+                index[self.depth[u]] = len(index)
+                if not u:
+                    break
+                u = self.fail[u]
+            w = v
+            while w and s not in self.next[w]:
+                w = self.fail[w]
+            w = u = self.next[w][s]
+            tokens, kept = [], []
+            while u:
+                place = index[self.depth[u] - 1]
+                if self.token[u] != START:
+                    tokens.append((self.token[u], place))
+                kept.append(place)
+                u = self.fail[u]
+            got = self._ways[v, s] = w, tokens, kept
+        return got
+
+    def _compile(self, state: int, s: int) -> tuple[int, int, int]:
+        """The transition of a state for a symbol: next state, last token, tokens emitted."""
+        v, values = self._states[state]
+        w, tokens, kept = self._way(v, s)
+        for token, place in tokens:
+            before, count = values[place]
+            if before == START or self.fits(before, token):
                 break
-            u = self.fail[u]
-        if found is None:
+        else:
             raise ValueError("the merges do not form a proper dictionary")
-        token, step = found
+        step = count + 1
         if s >= 256:
-            out = self.start, token, step
-        else:
-            u, kept = w, []
-            while u:
-                e, c = at[self.depth[u] - 1]
-                kept.append((e, c - step))
-                u = self.fail[u]
-            kept.append((token, 0))
-            out = self._row((w, tuple(kept))), token, step
-        row[s] = out
-        return out
+            return 0, token, step
+        live = [(values[k][0], values[k][1] - step) for k in kept]
+        live.append((token, 0))
+        return self._state((w, tuple(live))), token, step
+
+    def _move(self, key: np.ndarray) -> np.ndarray:
+        """Index of the transition of each (state, symbol); missing ones are compiled."""
+        mixed = (key.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        got = self._moves.get(mixed)
+        new = np.flatnonzero(got < 0)
+        if len(new):
+            fresh, where, back = np.unique(mixed[new], return_index=True, return_inverse=True)
+            made = [self._compile(k >> 9, k & 511) for k in key[new[where]].tolist()]
+            n = self._moves.size
+            while n + len(fresh) > self._moves.limit:
+                self._moves = self._moves.larger()
+                self._next, self._last, self._step = (np.concatenate([x, np.zeros_like(x)]) for x in (self._next, self._last, self._step))
+            self._next[n:n + len(fresh)], self._last[n:n + len(fresh)], self._step[n:n + len(fresh)] = zip(*made)
+            self._moves.put(fresh, np.arange(n, n + len(fresh)))
+            got[new] = n + back
+        return got
 
-    def _room(self):
-        if len(self._rows) > self.max_states:
+    def _run(self, symbols: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Run words (flat symbols, sizes) in step: their token counts, last token of every prefix, word starts."""
+        if len(self._states) > self.max_states:
             self._reset()
-
-    def count(self, word: bytes) -> int:
-        """Number of tokens of a word: the sum of what its transitions emit."""
-        self._room()
-        row, n = self.start, 0
-        for s in word[:-1]:
-            t = row.get(s) or self._compile(row, s)
-            row, n = t[0], n + t[2]
-        s = word[-1] + 256
-        return n + (row.get(s) or self._compile(row, s))[2]
-
-    def ids(self, word: bytes) -> list[int]:
-        """Token ids of a word, read back from the last tokens of its prefixes."""
-        self._room()
-        row, last = self.start, []
-        for s in word[:-1]:
-            t = row.get(s) or self._compile(row, s)
-            row = t[0]
-            last.append(t[1])
-        s = word[-1] + 256
-        last.append((row.get(s) or self._compile(row, s))[1])
-        out, at = [], len(last)
-        while at:
-            out.append(last[at - 1])
-            at -= self.length[out[-1]]
-        return out[::-1]
+        start = np.cumsum(size) - size
+        order = np.argsort(-size, kind="stable")
+        at, state = start[order], np.zeros(len(size), np.int64)
+        total = np.zeros(len(size), np.int64)
+        last = np.zeros(len(symbols), np.int32)
+        ascending = np.sort(size)
+        for k in range(int(size.max()) if len(size) else 0):
+            n = len(size) - int(np.searchsorted(ascending, k, side="right"))  # words longer than k come first
+            move = self._move(state[:n] << 9 | symbols[at[:n] + k])
+            last[at[:n] + k] = self._last[move]
+            total[:n] += self._step[move]
+            state[:n] = self._next[move]
+        counts = np.empty_like(total)
+        counts[order] = total
+        return counts, last, start
+
+    def counts(self, symbols: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Number of tokens of each word: the sum of what its transitions emit."""
+        return self._run(symbols, size)[0]
+
+    def ids(self, symbols: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Token ids of the words, read back from the last tokens of their prefixes; and the counts."""
+        counts, last, start = self._run(symbols, size)
+        first = np.cumsum(counts) - counts
+        out = np.zeros(int(counts.sum()), np.uint32)
+        word, left, place = np.arange(len(size)), size.copy(), first + counts - 1
+        while len(word):
+            token = last[start[word] + left[word] - 1]
+            out[place[word]] = token
+            place[word] -= 1
+            left[word] -= self.lengths[token]
+            word = word[left[word] > 0]
+        return out, counts
 
 
 class Tokenizer:
@@ -248,8 +289,17 @@ class Tokenizer:
         return parts, np.array(owner), np.array(after, np.int64), np.array(special, np.int64)
 
     @staticmethod
-    def _word(codes, a, b) -> bytes:
-        return codes[a:b].tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass")
+    def _symbols(codes, start, stop) -> tuple[np.ndarray, np.ndarray]:
+        """UTF-8 bytes of the words, the last of each marked as a word end, and their sizes."""
+        size = stop - start
+        begin = np.cumsum(size) - size
+        taken = codes[np.arange(int(size.sum())) + np.repeat(start - begin, size)]
+        raw = taken.tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass")
+        width = 1 + (taken > 0x7F).astype(np.int64) + (taken > 0x7FF) + (taken > 0xFFFF)
+        size = np.add.reduceat(width, begin)
+        symbols = np.frombuffer(raw, np.uint8).astype(np.int64)
+        symbols[np.cumsum(size) - 1] += 256
+        return symbols, size
 
     def token_counts(self, texts: list[str]) -> np.ndarray:
         """Number of tokens of each text."""
@@ -261,8 +311,7 @@ class Tokenizer:
         if len(new):
             unique, where, back = np.unique(h[new], return_index=True, return_inverse=True)
             rep = new[where]
-            count, word = self.transducer.count, self._word
-            got = np.fromiter((count(word(codes, a, b)) for a, b in zip(start[rep], stop[rep])), np.int64, len(rep))
+            got = self.transducer.counts(*self._symbols(codes, start[rep], stop[rep]))
             n[new] = got[back]
             if self.counts.size + len(unique) > self.counts.limit:
                 self.counts.clear()
@@ -288,19 +337,17 @@ class Tokenizer:
                     a, b = self.token_ids(texts[:half]), self.token_ids(texts[half:])
                     return np.concatenate([a[0], b[0]]), np.concatenate([a[1], b[1]])
             rep = new[where]
-            ids, word = self.transducer.ids, self._word
-            got = [ids(word(codes, a, b)) for a, b in zip(start[rep], stop[rep])]
-            flat = np.fromiter((t for g in got for t in g), np.uint32)
+            flat, sizes = self.transducer.ids(*self._symbols(codes, start[rep], stop[rep]))
             while self.filled + len(flat) > len(self.store):
                 self.store = np.concatenate([self.store, np.zeros_like(self.store)])
             self.store[self.filled:self.filled + len(flat)] = flat
-            ends = self.filled + np.cumsum([len(g) for g in got])
+            ends = self.filled + np.cumsum(sizes)
             self.first[self.words] = self.filled
-            self.first[self.words + 1:self.words + 1 + len(got)] = ends
-            value = np.arange(self.words, self.words + len(got))
+            self.first[self.words + 1:self.words + 1 + len(rep)] = ends
+            value = np.arange(self.words, self.words + len(rep))
             self.places.put(unique, value)
             place[new] = value[back]
-            self.filled, self.words = int(ends[-1]), self.words + len(got)
+            self.filled, self.words = int(ends[-1]), self.words + len(rep)
         begin, size = self.first[place], self.first[place + 1] - self.first[place]
         if len(special):  # a special string is one more word behind its part
             at = np.searchsorted(part, after, side="right")

@@ -29,6 +29,7 @@ CAPACITY = 4096
 END_ID = 1
 MAX_PATTERNS = 24_000
 PART_CHARS = 2_000_000
+BATCH_BYTES = 3_000_000
 _BLANK = regex.compile(r"\s")
 
 
@@ -56,7 +57,7 @@ def token_pieces(df: DataFrame, path: str | None = None, id_col: str = "doc_id",
 
     def run(batches):
         tok = Tokenizer.load(path)
-        for batch in (s for b in batches for s in slices(b, "text")):
+        for batch in (s for b in batches for s in slices(b, "text", BATCH_BYTES)):
             texts = batch.column(1).to_pylist()
             parts = [text_parts(t) if len(t) > PART_CHARS else [t] for t in texts]
             ids, n = tok.token_ids([p for ps in parts for p in ps])
@@ -101,7 +102,6 @@ def patterns(lengths: list[int], counts: list[int], capacity: int, most: int = M
     for x in have:
         add((x,))
     per = max(1, most // max(1, len(have)) - 1)
-    total = np.cumsum(counts) if counts else np.zeros(0)
     by = dict(zip(lengths, counts))
     cum = np.cumsum([by[x] for x in have])
     for x in reversed(have):
@@ -117,7 +117,6 @@ def patterns(lengths: list[int], counts: list[int], capacity: int, most: int = M
                     break
                 parts, room = (*parts, y), room - y
             add(parts)
-    del total
     return list(found)
 
 

@@ -117,6 +117,13 @@ class WordTable:
         self.values = np.zeros(1 << self.bits, np.int32)
         self.size = 0
 
+    def larger(self) -> WordTable:
+        """A table of twice the size with the same entries."""
+        out = WordTable(2 * self.limit)
+        used = np.flatnonzero(self.keys)
+        out.put(self.keys[used], self.values[used])
+        return out
+
     def get(self, h: np.ndarray) -> np.ndarray:
         """Value of each hash, -1 where it is not stored."""
         mask = np.uint64((1 << self.bits) - 1)

@@ -132,7 +132,8 @@ def capture_runs(spark: SparkSession, folder: str) -> DataFrame:
                 name = posixpath.basename(path)
                 rows = [(*_capture(f, b), name, at, n) for f, b, at, n in records(archive)]
                 rows.sort(key=_order)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
 
     files = spark.read.format("binaryFile").load(folder).select("path", "content").where(F.length("content") > 0)
     return files.mapInArrow(run, INDEX)

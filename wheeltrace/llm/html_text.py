@@ -373,7 +373,9 @@ def train(pages: list[str], epochs: int = 14, batch: int = 16, rate: float = 0.0
 def train_on(pages: DataFrame, html_col: str = "html", id_col: str = "page_id", most: int = SAMPLE) -> Labeller:
     """Labeller from a bounded sample of the pages, chosen by the hash of their id."""
     usable = pages.where(F.length(html_col).between(1, SAMPLE_CHARS)).select(F.col(html_col).alias("html"), F.xxhash64(F.col(id_col).cast("string")).alias("draw"))
-    rows = usable.orderBy("draw", F.xxhash64("html")).limit(most).collect()  # a bounded number of bounded pages
+    chosen = usable.select("draw").distinct().orderBy("draw").limit(most)  # hashes alone, so that no page is sorted or sent
+    rows = usable.join(F.broadcast(chosen), "draw", "left_semi").select("html").limit(most).collect()  # a bounded number of bounded pages
+    rows.sort()
     return train([r[0] for r in rows])
 
 

@@ -90,10 +90,6 @@ def compose(a: list[list[float]], b: list[list[float]]) -> list[list[float]]:
     ]
 
 
-def identity_pose() -> list[list[float]]:
-    return [[1.0, 0.0, 0.0, 0.0], [0.0, 1.0, 0.0, 0.0], [0.0, 0.0, 1.0, 0.0]]
-
-
 
 
 # Mounting of the sensors on the vehicle (quaternion xyzw, translation in metres).

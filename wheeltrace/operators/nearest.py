@@ -121,6 +121,12 @@ def grid_nearest(
         at = [F.when(open_, F.floor(F.floor(c / cell) / FACTOR**level)).alias(n) for c, n in ((px, "_cx"), (py, "_cy"))]
         if total <= BROADCAST_ROWS:
             lists = F.broadcast(lists)
+        elif splits == 1:
+            # only open points are dealt out; the closed ones would meet in the partition of no cell
+            out = materialize(out, "nearest")
+            hit = out.where(open_).select("*", *at).join(lists, [*keys, "_cx", "_cy"], "left").select(*base, found.alias("_best"))
+            out = hit.unionByName(out.where(~open_))
+            continue
         if splits == 1:
             out = out.select("*", *at).join(lists, [*keys, "_cx", "_cy"], "left")
             out = out.select(*base, "_best", found.alias("_f")).select(*base, F.coalesce("_best", "_f").alias("_best"))

@@ -17,21 +17,16 @@ from wheeltrace.session import materialize
 
 def label_counts(df: DataFrame, side: str, orient: str) -> DataFrame:
     """Counts by orientation, by side and by (side, orientation) in one pass."""
-    df.createOrReplaceTempView("_wt_labels")
-    kinds = {1: "orient", 2: "side", 0: "pair"}
-    out = df.sparkSession.sql(
-        f"SELECT grouping_id({side}, {orient}) AS g, {side} AS side, {orient} AS orient, count(*) AS n FROM _wt_labels "
-        f"GROUP BY {side}, {orient} GROUPING SETS (({side}), ({orient}), ({side}, {orient}))"
-    )
-    # bits of grouping_id mark the columns left out: 1 = no orientation, 2 = no side
-    names = {1: kinds[2], 2: kinds[1], 0: kinds[0]}
-    kind = F.coalesce(*[F.when(F.col("g") == g, F.lit(n)) for g, n in names.items()])
+    both = df.select(F.col(side).alias("side"), F.col(orient).alias("orient"))
+    a, b = F.col("side"), F.col("orient")
+    out = both.groupingSets([[a], [b], [a, b]], a, b).agg(F.grouping_id().alias("g"), F.count(F.lit(1)).alias("n"))
+    # the bits of the id mark the columns left out
+    kind = F.when(F.col("g") == 1, "side").when(F.col("g") == 2, "orient").otherwise("pair")
     return out.select(kind.alias("kind"), "side", "orient", "n")
 
 
 # Tag contents that allow kerb-side parking, and road classes cars may use.
 PARK_ACCEPT = ("yes", "parallel", "diagonal", "lane", "parallel:both", "diagonal:both", "lane:both", "on_street", "on_kerb")
-PARK_TAGS = ("parking:left", "parking:right", "parking:both", "parking:lane:left", "parking:lane:right", "parking:lane:both")
 ROAD_CLASSES = ("motorway", "trunk", "primary", "secondary", "tertiary", "residential", "unclassified", "service")
 BACK_OFFSET = 0.13          # rear axle to vehicle centre of the replayed vehicle, metres
 LEFT_M, RIGHT_M = 6.0, 5.2  # distance of the parking lines from the road centre line

@@ -160,15 +160,3 @@ def condition_matrix(
         fail.alias("fail"), comp.alias("completion")
     )
     return out.na.fill("---", [c for c in out.columns if c != method])
-
-
-def resample_at_progress(
-    projected: DataFrame, targets: DataFrame, run_keys=("run",), pos="seq", rows=CHUNK_ROWS
-) -> DataFrame:
-    """Position at wanted progress values (column ``at``) inside each run's own range."""
-    from wheeltrace.operators.paths import strict_increase
-    from wheeltrace.operators.timesync import interp_series
-
-    clean = strict_increase(projected, list(run_keys), pos, rows=rows)
-    clean = clean.select(*run_keys, F.col("progress").alias("at"), "x", "y")
-    return interp_series(targets, clean, list(run_keys), "at", ["x", "y"], inside_only=True)

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wheeltrace.functions.angles import quat_norm, quat_to_yaw, wrap_rad
-from wheeltrace.operators.ordered import dense_number, neighbours, ordered_parts
+from wheeltrace.operators.ordered import BROADCAST_HEADS, LARGE_BYTES, dense_number, neighbours, ordered_parts
+from wheeltrace.session import materialize, size_in_bytes
 
 QUAT = ("qx", "qy", "qz", "qw")
 
@@ -57,9 +58,15 @@ def asof_pair(
         *keys, "_part",
         F.last("_last", True).over(fwd).alias("_before"), F.last("_first", True).over(back).alias("_after"),
     )
+    # only the poses that are carried meet the ranges: two per range and key at most
+    wanted = carry.select(F.explode(F.array("_before", "_after")).alias("_mid")).where("_mid is not null").distinct()
+    if size_in_bytes(placed) >= LARGE_BYTES:
+        wanted = materialize(wanted, "wanted")
+        if wanted.count() <= BROADCAST_HEADS:
+            wanted = F.broadcast(wanted)
+    ends = placed.where(is_pose).select("_mid", "_pose").join(wanted, "_mid", "left_semi")
     for at, name in (("_before", "_cprev"), ("_after", "_cnext")):
-        poses_at = placed.where(is_pose).select(F.col("_mid").alias(at), F.col("_pose").alias(name))
-        carry = carry.join(poses_at, at, "left")
+        carry = carry.join(ends.select(F.col("_mid").alias(at), F.col("_pose").alias(name)), at, "left")
     carry = carry.select(*keys, "_part", "_cprev", "_cnext")
     here = Window.partitionBy(*keys, "_part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = placed.repartition(*keys, "_part").join(carry, [*keys, "_part"]).select(

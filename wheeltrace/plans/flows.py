@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wheeltrace.operators import detect, frechet, grouping, paths, scene, score, timesync
-from wheeltrace.operators.ordered import stride_sample
 from wheeltrace.session import materialize
 from wheeltrace.sources import sinks
 
@@ -84,8 +83,3 @@ def score_drives(real: DataFrame, sim: DataFrame, real_steering: DataFrame | Non
         seg, quality, averages.select("method", "runs", "avg_frechet_m", "avg_out_pct", "avg_mean_excess_m").where("runs is not null"), jitter,
         averages.select("method", F.col("jitter_runs").alias("runs"), "avg_jitter", "max_jitter").where("runs is not null"))
     return {"segment": seg, "path": path, "completion": named, "quality": quality, "jitter": jitter, "averages": averages, "document": document}
-
-
-def sampled_frames(frames: DataFrame, keys, frame: str, every: int) -> DataFrame:
-    """Every n-th frame before expensive per-frame work."""
-    return stride_sample(frames, keys, [frame], every, pos=frame)

@@ -47,10 +47,34 @@ def test_methods_may_share_run_numbers(spark):
     assert {(x.method, x.run) for x in out["completion"].collect()} == set(got)
 
 
+def test_many_scenarios_in_one_job(spark):
+    """Two routes at different places with different segments; drives of one route are not held against the other."""
+    s = np.arange(0, 60, 0.4)
+    real, sim, steer = [], [], []
+    for route, y, n in (("a", 0.0, 150), ("b", 500.0, 100)):
+        real += [(route, run, i, i * 0.1, x, y + off) for run, off in ((1, 0.0), (2, 0.5)) for i, x in enumerate(s[:n])]
+        sim += [(route, 1, m, i, x, y + off, np.sin(i)) for m, off in (("gs", 0.25), ("nerf", 2.0)) for i, x in enumerate(s[:n])]
+        steer += [(route, 1, 0.05 + k * 0.11, np.cos(k)) for k in range(80)]
+    frames = [spark.createDataFrame(pd.DataFrame(rows, columns=cols)) for rows, cols in (
+        (real, ["route", "run", "seq", "t", "x", "y"]), (sim, ["route", "run", "method", "seq", "x", "y", "steer"]), (steer, ["route", "run", "t", "steer"]))]
+    out = flows.score_drives(*frames, keys=["route"])
+    assert "segment" not in out
+    seg = {r.route: r.length_m for r in out["segments"].collect()}
+    assert seg["a"] == pytest.approx(s[149], abs=0.6) and seg["b"] == pytest.approx(s[99], abs=0.6)
+    got = {(x.route, x.method): (x.frechet, x.min_frechet_vs, x.out_pct) for x in out["quality"].collect()}
+    assert got == {(k, m): (pytest.approx(f), v, o) for k in "ab" for m, f, v, o in (("gs", 0.25, 1, 0.0), ("nerf", 1.5, 2, 100.0))}
+    assert {(x.route, x.method) for x in out["jitter"].collect()} == {(k, m) for k in "ab" for m in ("gs", "nerf", "real_world")}
+    docs = {r.route: json.loads(r.value) for r in out["document"].collect()}
+    assert {k: len(d["drive_quality"]) for k, d in docs.items()} == {"a": 2, "b": 2}
+    assert docs["b"]["segment"]["length_m"] == pytest.approx(seg["b"])
+
+
 def test_no_common_segment_is_an_error(spark):
     r = spark.createDataFrame([(1, i, float(i), 0.0) for i in range(20)] + [(2, 0, 3.0, 0.0)], "run long, seq long, x double, y double")
     with pytest.raises(ValueError):
         flows.score.scenario_segment(r)
+    with pytest.raises(ValueError, match="route"):
+        flows.score.scenario_segments(r.withColumn("k", F.lit("route")), ["k"])
 
 
 @pytest.mark.parametrize("sensor", ["lidar", "camera"])

@@ -222,27 +222,33 @@ def orientation_to(yaw: Column, path_angle: Column) -> Column:
 
 
 def resample_lateral(
-    projected: DataFrame, start: float, end: float, spacing: float = 0.5, run_keys=("run",),
-    pos="seq", value="offset_m", rows=CHUNK_ROWS,
+    projected: DataFrame, start: float | None, end: float | None, spacing: float = 0.5, run_keys=("run",),
+    pos="seq", value="offset_m", rows=CHUNK_ROWS, segments: DataFrame | None = None,
 ) -> DataFrame:
     """Value at stations ``start, start + spacing, ... < end`` inside each run's own progress range.
 
     Adds ``station`` (its number) and ``at``. Stations outside the range produce no row, which plays
-    the role of "missing". Stations are generated per run, so no range join is needed.
+    the role of "missing". Stations are generated per run, so no range join is needed. ``segments`` (scenario
+    columns out of ``run_keys``, ``start_m``, ``end_m``) gives every scenario its own start and end.
     """
     run_keys = list(run_keys)
     clean = strict_increase(projected, run_keys, pos, rows=rows)
     clean = clean.select(*run_keys, F.col("progress").alias("at"), F.col(value).alias("v"))
     span = clean.groupBy(*run_keys).agg(F.min("at").alias("_a"), F.max("at").alias("_b"))
-    total = max(math.ceil((end - start) / spacing), 0)
-    first = F.greatest(F.floor((F.col("_a") - start) / spacing), F.lit(0))
-    last = F.least(F.ceil((F.col("_b") - start) / spacing), F.lit(total - 1))
+    if segments is None:
+        span = span.withColumns({"_s": F.lit(float(start)), "_e": F.lit(float(end))})
+    else:
+        of = [c for c in run_keys if c in segments.columns]
+        span = span.join(segments.select(*of, F.col("start_m").alias("_s"), F.col("end_m").alias("_e")), of)
+    total = F.greatest(F.ceil((F.col("_e") - F.col("_s")) / spacing), F.lit(0))
+    first = F.greatest(F.floor((F.col("_a") - F.col("_s")) / spacing), F.lit(0))
+    last = F.least(F.ceil((F.col("_b") - F.col("_s")) / spacing), total - 1)
     wanted = (
         span.where(first <= last)
-        .select(*run_keys, "_a", "_b", F.explode(F.sequence(first, last)).alias("station"))
-        .select("*", (start + F.col("station") * spacing).alias("at"))
+        .select(*run_keys, "_a", "_b", "_s", F.explode(F.sequence(first, last)).alias("station"))
+        .select("*", (F.col("_s") + F.col("station") * spacing).alias("at"))
         .where(F.col("at").between(F.col("_a"), F.col("_b")))
-        .drop("_a", "_b")
+        .drop("_a", "_b", "_s")
     )
     out = interp_series(wanted, clean, run_keys, "at", ["v"], inside_only=True)
     return out.withColumnRenamed("v", value)

@@ -45,35 +45,71 @@ def scenario_segment(real: DataFrame, spacing: float = 0.5, run="run", pos="seq"
     return path, projected, segment
 
 
-def trim_to_segment(projected: DataFrame, seg: dict, progress: str = "progress") -> DataFrame:
-    return projected.where(F.col(progress).between(seg["start_m"], seg["end_m"]))
+def scenario_segments(real: DataFrame, keys, spacing: float = 0.5, run="run", pos="seq", rows=CHUNK_ROWS):
+    """The same for every scenario (``keys``) in one job.
 
-
-def completion(projected: DataFrame, seg: dict, keys=("run",), pos="seq", threshold=0.95, late_m=5.0) -> DataFrame:
+    Returns ``(path, projected, segments)``; ``segments`` is a table with one row per scenario that the other
+    operators take in place of the dict. Raises when the runs of a scenario share no stretch.
+    """
+    keys = list(keys)
+    arcs = materialize(arc_length(real, [*keys, run], pos, rows=rows), "arcs")
+    best = materialize(longest_run(arcs, keys, run), "best")
+    ref = arcs.join(best.select(*keys, run), [*keys, run], "left_semi")
+    path = materialize(resample_path(ref, [*keys, run], pos, spacing=spacing).select(*keys, "idx", "x", "y", "s"), "path")
+    projected = materialize(project_runs(real, path, keys, (*keys, run), pos, rows), "real")
+    ends = projected.groupBy(*keys, run).agg(F.min_by("progress", pos).alias("first"), F.max_by("progress", pos).alias("last"))
+    lim = ends.groupBy(*keys).agg(F.max("first").alias("start_m"), F.min("last").alias("end_m"))
+    segments = materialize(best.join(lim, keys).select(
+        *keys, F.col(run).alias("reference_run"), F.col("length").alias("reference_length_m"), "start_m", "end_m",
+        (F.col("end_m") - F.col("start_m")).alias("length_m"), F.lit(spacing).alias("spacing_m")), "segments")
+    bad = [tuple(r) for r in segments.where("not coalesce(length_m > 0, false)").select(*keys).limit(5).collect()]
+    if bad:
+        raise ValueError(f"no common segment for {bad}")
+    return path, projected, segments
+
+
+def with_segment(df: DataFrame, seg: dict | DataFrame) -> DataFrame:
+    """Adds ``start_m``, ``end_m`` and ``length_m``: of the one scenario, or of each row's scenario."""
+    names = ["start_m", "end_m", "length_m"]
+    if isinstance(seg, dict):
+        return df.withColumns({n: F.lit(float(seg[n])) for n in names})
+    keys = [c for c in seg.columns if c in df.columns and c not in names]
+    return df.join(seg.select(*keys, *names), keys)
+
+
+def trim_to_segment(projected: DataFrame, seg: dict | DataFrame, progress: str = "progress") -> DataFrame:
+    return with_segment(projected, seg).where(F.col(progress).between(F.col("start_m"), F.col("end_m"))).select(*projected.columns)
+
+
+def completion(projected: DataFrame, seg: dict | DataFrame, keys=("run",), pos="seq", threshold=0.95, late_m=5.0) -> DataFrame:
     """Share of the segment reached, success flag, and whether the run starts late."""
-    ends = projected.groupBy(*keys).agg(
+    ends = with_segment(projected.groupBy(*keys).agg(
         F.min_by("progress", pos).alias("first"), F.max_by("progress", pos).alias("last")
-    )
-    share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("last") - seg["start_m"]) / seg["length_m"]))
+    ), seg)
+    share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("last") - F.col("start_m")) / F.col("length_m")))
     return ends.select(
         *keys, share.alias("completion"), (share >= threshold).alias("success"),
-        (F.col("first") > seg["start_m"] + late_m).alias("starts_late"),
+        (F.col("first") > F.col("start_m") + late_m).alias("starts_late"),
     )
 
 
-def corridor(stations: DataFrame, value: str = "offset_m") -> DataFrame:
-    """Lowest and highest lateral offset of the real runs per station."""
-    return stations.groupBy("station").agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
+def corridor(stations: DataFrame, value: str = "offset_m", keys=()) -> DataFrame:
+    """Lowest and highest lateral offset of the real runs per station (of each scenario in ``keys``)."""
+    return stations.groupBy(*keys, "station").agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
 
 
 def corridor_violation(
     stations: DataFrame, envelope: DataFrame, keys=("run",), value: str = "offset_m", min_stations: int = 10
 ) -> DataFrame:
-    """Share of stations outside the envelope and mean excess, over all and over outside stations."""
+    """Share of stations outside the envelope and mean excess, over all and over outside stations.
+
+    Both sides meet by station and by the scenario columns that the envelope has.
+    """
+    on = [c for c in envelope.columns if c not in ("lo", "hi")]
     v = F.col(value)
     out = (v < F.col("lo")) | (v > F.col("hi"))
     excess = F.when(v < F.col("lo"), F.col("lo") - v).when(v > F.col("hi"), v - F.col("hi")).otherwise(0.0)
-    j = stations.join(envelope, "station").select(*keys, out.alias("out"), excess.alias("ex"))
+    j = stations.join(envelope, on).select(*keys, out.alias("out"), excess.alias("ex"))
     return j.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("stations"),
         F.avg(F.col("out").cast("double")).alias("rate"),
@@ -100,7 +136,7 @@ def rate_of_change(
 
 
 def steering_jitter(
-    projected: DataFrame, seg: dict | None, keys: Sequence[str] = ("run",), pos="seq", steer="steer",
+    projected: DataFrame, seg: dict | DataFrame | None, keys: Sequence[str] = ("run",), pos="seq", steer="steer",
     time: str | None = None, subsample: int = 3, dt: float = 3 / 30, min_gap=0.05, max_gap=0.25,
     rows=CHUNK_ROWS,
 ) -> DataFrame:
@@ -124,17 +160,17 @@ def steering_jitter(
     return out.where(F.col("gaps") >= (2 if time else 1))
 
 
-def method_averages(quality: DataFrame, jitter: DataFrame, method: str = "method") -> DataFrame:
-    """Per method: runs, mean distance, outside share and excess; mean and maximum jitter."""
-    a = quality.groupBy(method).agg(
+def method_averages(quality: DataFrame, jitter: DataFrame, method: str = "method", keys=()) -> DataFrame:
+    """Per method (of each scenario in ``keys``): runs, mean distance, outside share and excess; mean and maximum jitter."""
+    a = quality.groupBy(*keys, method).agg(
         F.count(F.lit(1)).alias("runs"), F.round(F.avg("frechet"), 3).alias("avg_frechet_m"),
         F.round(F.avg("out_pct"), 1).alias("avg_out_pct"), F.round(F.avg("mean_excess"), 3).alias("avg_mean_excess_m"),
     )
-    b = jitter.groupBy(method).agg(
+    b = jitter.groupBy(*keys, method).agg(
         F.count(F.lit(1)).alias("jitter_runs"), F.round(F.avg("jitter"), 6).alias("avg_jitter"),
         F.round(F.max("max_jitter"), 6).alias("max_jitter"),
     )
-    return a.join(b, method, "full_outer")
+    return a.join(b, [*keys, method], "full_outer")
 
 
 CONDITIONS = ("sunny", "cloudy", "snowy")  # fixed values: column order of the report

@@ -242,13 +242,15 @@ def write_fixed_text(spark, sf):
 @query("write_results_doc", cte(f"""SELECT run, {q('rate*100', 4)} AS out_pct, 'gs' AS method, {q('b - a', 3)} AS length_m FROM vio, seg""", "runs", extra={**_VIO, **_JIT}))
 def write_results_doc(spark, sf):
     seg = segment_parts(spark, sf)[2]
-    qual = _violations(spark, sf).select(F.lit("gs").alias("method"), "run", (F.col("run") * 0.25).alias("frechet"), (F.col("rate") * 100).alias("out_pct"), "mean_excess")
-    jit = _jitter(spark, sf).select(F.lit("gs").alias("method"), "run", "jitter", "max_jitter")
-    avg = S.method_averages(qual, jit)
-    doc = W.results_doc(seg, qual, avg.select("method", "runs", "avg_frechet_m", "avg_out_pct", "avg_mean_excess_m"), jit,
-                        avg.select("method", F.col("jitter_runs").alias("runs"), "avg_jitter", "max_jitter"))
+    names = ["start_m", "end_m", "length_m"]
+    segments = spark.createDataFrame([(0, *[seg[n] for n in names])], "scenario int, start_m double, end_m double, length_m double")
+    qual = _violations(spark, sf).select(F.lit(0).alias("scenario"), F.lit("gs").alias("method"), "run", (F.col("run") * 0.25).alias("frechet"), (F.col("rate") * 100).alias("out_pct"), "mean_excess")
+    jit = _jitter(spark, sf).select(F.lit(0).alias("scenario"), F.lit("gs").alias("method"), "run", "jitter", "max_jitter")
+    avg = S.method_averages(qual, jit, keys=["scenario"])
+    doc = W.results_doc(segments, qual, avg.select("scenario", "method", "runs", "avg_frechet_m", "avg_out_pct", "avg_mean_excess_m"), jit,
+                        avg.select("scenario", "method", F.col("jitter_runs").alias("runs"), "avg_jitter", "max_jitter"), ["scenario"])
     path = _folder(spark, "results")
-    W.write_results_doc(doc, path)
+    W.write_results_doc(doc, path, ["scenario"])
     back = spark.read.schema("segment struct<length_m: double>, drive_quality array<struct<run: long, method: string, out_pct: double>>").json(path)
     return back.select("segment", F.inline("drive_quality")).select("run", r("out_pct", 4).alias("out_pct"), "method", r("segment.length_m", 3).alias("length_m"))
 

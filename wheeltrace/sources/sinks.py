@@ -23,21 +23,27 @@ def write_fixed_text(df: DataFrame, path: str, cols: dict[str, int | None], keys
      .write.partitionBy(*keys).mode("overwrite").text(path))
 
 
-def results_doc(segment: dict, quality: DataFrame, averages: DataFrame, jitter: DataFrame, jitter_averages: DataFrame) -> DataFrame:
-    """One nested document; the sections hold one entry per run or method."""
-    def section(df, name):
-        return df.agg(F.sort_array(F.collect_list(F.struct(*df.columns))).alias(name)).withColumn("_k", F.lit(0))
+def results_doc(segments: DataFrame, quality: DataFrame, averages: DataFrame, jitter: DataFrame, jitter_averages: DataFrame,
+                keys: Sequence[str]) -> DataFrame:
+    """One nested document per scenario (``keys``); the sections hold one entry per run or method."""
+    keys = list(keys)
 
-    head = F.struct(*[F.lit(float(segment[k])).alias(k) for k in ("start_m", "end_m", "length_m")])
-    out = section(quality, "drive_quality").withColumn("segment", head)
-    for df, name in ((averages, "drive_quality_averages"), (jitter, "steering_jitter"), (jitter_averages, "steering_jitter_averages")):
-        out = out.join(section(df, name), "_k")
-    return out.select(F.to_json(F.struct(
+    def section(df, name):
+        entry = F.struct(*[c for c in df.columns if c not in keys])
+        return df.groupBy(*keys).agg(F.sort_array(F.collect_list(entry)).alias(name))
+
+    out = segments.select(*keys, F.struct("start_m", "end_m", "length_m").alias("segment"))
+    sections = ((quality, "drive_quality"), (averages, "drive_quality_averages"), (jitter, "steering_jitter"), (jitter_averages, "steering_jitter_averages"))
+    for df, name in sections:
+        out = out.join(section(df, name), keys, "left").withColumn(name, F.coalesce(name, F.array()))
+    return out.select(*keys, F.to_json(F.struct(
         "segment", "drive_quality", "drive_quality_averages", "steering_jitter", "steering_jitter_averages")).alias("value"))
 
 
-def write_results_doc(doc: DataFrame, path: str) -> None:
-    doc.write.mode("overwrite").text(path)
+def write_results_doc(doc: DataFrame, path: str, keys: Sequence[str] = ()) -> None:
+    """One document per line, in one folder per scenario where ``keys`` name one."""
+    out = doc.select(*keys, "value").write.mode("overwrite")
+    (out.partitionBy(*keys) if keys else out).text(path)
 
 
 def write_splits(rows: DataFrame, path: str, keys: Sequence[str] = ("bag", "split")) -> None:

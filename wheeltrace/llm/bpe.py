@@ -12,13 +12,16 @@ word is its token count. States are compiled when first reached; a word end lead
 from __future__ import annotations
 
 import json
+from array import array
 from collections import deque
+from struct import pack
 
 import numpy as np
 
 from wheeltrace.llm.words import WordTable, hashes, plain, split
 
 START = -1
+ZERO = 1 << 15
 INF = 1 << 60
 _LOADED: dict[str, Tokenizer] = {}
 
@@ -33,7 +36,7 @@ def byte_letters() -> dict[str, int]:
 class Transducer:
     """Lazily compiled automaton over the symbols 0..255 (inside a word) and 256..511 (word end)."""
 
-    def __init__(self, vocab: dict[str, int], merges: list, suffix: str = "</w>", max_states: int = 300_000):
+    def __init__(self, vocab: dict[str, int], merges: list, suffix: str = "</w>", max_states: int = 150_000):
         letters = byte_letters()
 
         def symbols(token: str) -> tuple[int, ...]:
@@ -61,8 +64,6 @@ class Transducer:
         self._trie(spelled)
         self.lengths = np.zeros(max(spelled) + 1, np.int64)
         self.lengths[list(spelled)] = [len(w) for w in spelled.values()]
-        self._ways: dict[tuple[int, int], tuple] = {}
-        self._fits: dict[int, bool] = {}
         self._spines: dict[tuple[int, bool], list[int]] = {}
         self.max_states = max_states
         self._reset()
@@ -130,15 +131,18 @@ class Transducer:
         return got
 
     def _reset(self):
-        self._states: list[tuple] = []
-        self._known: dict[tuple, int] = {}
+        self._ways: dict[tuple[int, int], tuple] = {}
+        self._fits: dict[int, bool] = {}
+        self._states: list[bytes] = []
+        self._known: dict[bytes, int] = {}
         self._moves = WordTable(1 << 16)
         self._next = np.zeros(1 << 16, np.int32)
         self._last = np.zeros(1 << 16, np.int32)
         self._step = np.zeros(1 << 16, np.int32)
-        self._state((0, ((START, 0),)))
+        self._state(pack("<2q", 0, (START + 1) << 16 | ZERO))
 
-    def _state(self, state: tuple) -> int:
+    def _state(self, state: bytes) -> int:
+        """Number of a state: its node, and (last token + 1, relative count) of each place, packed."""
         i = self._known.get(state)
         if i is None:
             i = self._known[state] = len(self._states)
@@ -174,20 +178,20 @@ class Transducer:
 
     def _compile(self, state: int, s: int) -> tuple[int, int, int]:
         """The transition of a state for a symbol: next state, last token, tokens emitted."""
-        v, values = self._states[state]
-        w, tokens, kept = self._way(v, s)
+        values = memoryview(self._states[state]).cast("q")
+        w, tokens, kept = self._way(values[0], s)
         for token, place in tokens:
-            before, count = values[place]
+            before = (values[place + 1] >> 16) - 1
             if before == START or self.fits(before, token):
                 break
         else:
             raise ValueError("the merges do not form a proper dictionary")
-        step = count + 1
+        step = (values[place + 1] & 0xFFFF) - ZERO + 1
         if s >= 256:
             return 0, token, step
-        live = [(values[k][0], values[k][1] - step) for k in kept]
-        live.append((token, 0))
-        return self._state((w, tuple(live))), token, step
+        # counts are relative to the newest place; they differ by less than the longest token
+        live = array("q", (w, *(values[k + 1] - step for k in kept), (token + 1) << 16 | ZERO))
+        return self._state(live.tobytes()), token, step
 
     def _move(self, key: np.ndarray) -> np.ndarray:
         """Index of the transition of each (state, symbol); missing ones are compiled."""
@@ -248,7 +252,7 @@ class Transducer:
 class Tokenizer:
     """Word splitting, the compiled transducer, and bounded caches over many texts."""
 
-    def __init__(self, path: str, cache_words: int = 1 << 20):
+    def __init__(self, path: str, cache_words: int = 1 << 19):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]

@@ -214,7 +214,7 @@ def find_leaks(
         ids = pa.array(index.ids, {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kinds[1]])
 
         def run(batches, index=index, ids=ids):
-            for batch in (s for b in batches for s in slices(b, "text", 2_000_000)):
+            for batch in (s for b in batches for s in slices(b, "text", 1_000_000)):
                 text, item, edits = find_items(batch.column(1).to_pylist(), index)
                 if len(text):
                     yield pa.RecordBatch.from_arrays(

@@ -388,7 +388,7 @@ def extract(pages: DataFrame, model: Labeller, id_col: str = "page_id", url_col:
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
 
     def run(batches):
-        for batch in (s for b in batches for s in slices(b, "html", 4_000_000)):
+        for batch in (s for b in batches for s in slices(b, "html", 2_000_000)):
             found = [blocks(p) for p in batch.column(2).to_pylist()]
             texts = ["\n\n".join(b.text for b, p in zip(f, prob) if p >= 0.5) for f, prob in zip(found, model.probabilities(found))]
             yield pa.RecordBatch.from_arrays(

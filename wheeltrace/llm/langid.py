@@ -129,7 +129,7 @@ def annotate(df: DataFrame, model: LanguageModel, text_col: str = "text") -> Dat
     added = ["lang_pred", "score", "rejected"]
     rows = df.select(*[F.col(f"`{c}`") for c in df.columns if c not in added])
     names = np.array([*model.names, UNKNOWN], object)
-    most = max(200_000, 6_000_000 // max(4, len(model.names)))
+    most = max(100_000, 2_000_000 // max(4, len(model.names)))
 
     def run(batches):
         for batch in (s for b in batches for s in slices(b, text_col, most)):

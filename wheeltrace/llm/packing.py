@@ -28,8 +28,8 @@ from wheeltrace.session import materialize
 CAPACITY = 4096
 END_ID = 1
 MAX_PATTERNS = 24_000
-PART_CHARS = 2_000_000
-BATCH_BYTES = 3_000_000
+PART_CHARS = 1_000_000
+BATCH_BYTES = 1_000_000
 _BLANK = regex.compile(r"\s")
 
 

@@ -22,7 +22,7 @@ from wheeltrace.llm.common import arrow_map, table, tokenizer_path
 from wheeltrace.llm.registry import query
 
 CHUNK_CHARS = 1 << 16
-BATCH_CHARS = 2_500_000
+BATCH_CHARS = 1_000_000
 _BLANK = regex.compile(r"\s")
 _LAST_BLANK = regex.compile(r"(?r)\s")
 

@@ -67,6 +67,8 @@ def test_many_scenarios_in_one_job(spark):
     docs = {r.route: json.loads(r.value) for r in out["document"].collect()}
     assert {k: len(d["drive_quality"]) for k, d in docs.items()} == {"a": 2, "b": 2}
     assert docs["b"]["segment"]["length_m"] == pytest.approx(seg["b"])
+    entry = next(e for e in docs["b"]["drive_quality"] if e["method"] == "nerf")
+    assert entry["min_frechet_vs"] == "run2" and entry["corridor_violation_pct"] == 100 and entry["min_frechet_m"] == pytest.approx(1.5)
 
 
 def test_no_common_segment_is_an_error(spark):

@@ -251,8 +251,8 @@ def write_results_doc(spark, sf):
                         avg.select("scenario", "method", F.col("jitter_runs").alias("runs"), "avg_jitter", "max_jitter"), ["scenario"])
     path = _folder(spark, "results")
     W.write_results_doc(doc, path, ["scenario"])
-    back = spark.read.schema("segment struct<length_m: double>, drive_quality array<struct<run: long, method: string, out_pct: double>>").json(path)
-    return back.select("segment", F.inline("drive_quality")).select("run", r("out_pct", 4).alias("out_pct"), "method", r("segment.length_m", 3).alias("length_m"))
+    back = spark.read.schema("segment struct<length_m: double>, drive_quality array<struct<run: long, method: string, corridor_violation_pct: double>>").json(path)
+    return back.select("segment", F.inline("drive_quality")).select("run", r("corridor_violation_pct", 4).alias("out_pct"), "method", r("segment.length_m", 3).alias("length_m"))
 
 
 @query("write_splits", cte("SELECT c.bag, CAST(r.split AS INT) AS split, count(*) AS frames FROM camera c JOIN rg r ON r.bag = c.bag AND c.frame_id BETWEEN r.a AND r.b GROUP BY c.bag, r.split", "camera", extra=_SPL))

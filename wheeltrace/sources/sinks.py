@@ -23,13 +23,18 @@ def write_fixed_text(df: DataFrame, path: str, cols: dict[str, int | None], keys
      .write.partitionBy(*keys).mode("overwrite").text(path))
 
 
+# Entry keys of the results document, by column.
+DOC_KEYS = {"frechet": "min_frechet_m", "out_pct": "corridor_violation_pct", "mean_excess": "mean_excess_m", "mean_excess_out": "mean_excess_when_out_m"}
+
+
 def results_doc(segments: DataFrame, quality: DataFrame, averages: DataFrame, jitter: DataFrame, jitter_averages: DataFrame,
                 keys: Sequence[str]) -> DataFrame:
     """One nested document per scenario (``keys``); the sections hold one entry per run or method."""
     keys = list(keys)
 
     def section(df, name):
-        entry = F.struct(*[c for c in df.columns if c not in keys])
+        value = lambda c: F.concat(F.lit("run"), F.col(c).cast("string")) if c == "min_frechet_vs" else F.col(c)
+        entry = F.struct(*[value(c).alias(DOC_KEYS.get(c, c)) for c in df.columns if c not in keys])
         return df.groupBy(*keys).agg(F.sort_array(F.collect_list(entry)).alias(name))
 
     out = segments.select(*keys, F.struct("start_m", "end_m", "length_m").alias("segment"))

@@ -155,6 +155,43 @@ def test_line_dedup_equals_plain_loops(docs):
     assert sum(n > 0 for _, n in got.values()) > 15
 
 
+def plain_whole_runs(rows, min_words):
+    """Lines left when every run of enough words that equals one earlier run is deleted, found by comparing all runs."""
+    seen, left = set(), {}
+    for i, t in sorted(rows):
+        lines = [(k, x.strip(" ")) for k, x in enumerate(t.split("\n")) if x.strip(" ")]
+        gone = set()
+        for a in range(len(lines)):
+            new = []
+            for b in range(a, len(lines)):
+                run = tuple(x for _, x in lines[a:b + 1])
+                if sum(len(x.split(" ")) for x in run) >= min_words:
+                    if run in seen:
+                        gone |= set(range(lines[a][0], lines[b][0] + 1))
+                    new.append(run)
+            seen |= set(new)
+        left[i] = "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone)
+    return left
+
+
+def test_line_dedup_leaves_new_runs_of_frequent_lines(docs):
+    rng = random.Random(6)
+    frequent = [" ".join(prose(rng, 6)) for _ in range(20)]
+    rows = [(i, "\n".join(rng.choice(frequent) for _ in range(20))) for i in range(120)]
+    assert sum(len(t) - len(x) for (_, t), x in zip(rows, plain_dedup(rows, 40).values())) > 10_000  # chains of pairs seen anywhere
+    got = {r.doc_id: r.text for r in dedup_lines(docs(rows)).collect()}
+    assert got == plain_whole_runs(rows, 40) == dict(rows)
+    # copies of whole pieces, also of a piece whose fingerprint has an earlier place in other surroundings
+    for i in range(120, 160):
+        source = dict(rows)[rng.randrange(i)].split("\n")
+        a = rng.randrange(10)
+        piece = source[a:a + rng.randint(5, 10)]
+        rows.append((i, "\n".join([rng.choice(frequent), "", *piece[:3], " ", *piece[3:], rng.choice(frequent), " ".join(prose(rng, rng.randint(1, 50)))])))
+    got = {r.doc_id: r.text for r in dedup_lines(docs(rows)).collect()}
+    assert got == plain_whole_runs(rows, 40)
+    assert 10 < sum(got[i] != t for i, t in rows) < 40
+
+
 def test_line_dedup_keeps_first_and_clean(docs):
     passage = " ".join(f"w{i}" for i in range(55))
     rows = [(1, f"own start\n{passage}\nown end"), (2, passage), (3, f"other\n{passage}"), (4, "short line\nshort line"), (5, "other"), (None, passage), (7, None), (4, "short line\nshort line")]

@@ -2,9 +2,11 @@
 
 Windows are measured in words: the window of a line holds the lines that start within the next
 ``min_words`` words. The smallest hash of each window is a fingerprint, so any two equal runs of
-lines with ``min_words`` words or more share one at the same place. Fingerprints are joined to the
-first position that has them. A match is extended to both sides over line pairs that have occurred
-earlier, and the run is deleted if it has ``min_words`` words or more. The first occurrence stays.
+lines with ``min_words`` words or more share one at the same place. Around the fingerprints that occur
+more than once, whole windows are compared: the shortest one of ``min_words`` words from each line on,
+and the shortest one up to each line. Every line of a repeated run lies in such a window inside the
+run, so a line is deleted exactly if it lies in a run of ``min_words`` words or more that equals one
+run that begins earlier, line by line. The first occurrence stays.
 """
 
 from __future__ import annotations
@@ -25,58 +27,77 @@ def line_hash(line: Column) -> Column:
 
 
 def fingerprints(docs: DataFrame, min_words: int) -> DataFrame:
-    """Non-blank lines of (doc, tag, text) with hash, next hash and whether winnowing selects them."""
+    """Non-blank lines of (doc, tag, text) with words, hash and whether winnowing selects them; texts of fewer words are left out."""
     lines = docs.select("doc", "tag", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     lines = lines.withColumn("line", F.trim("line")).where("line != ''")
     lines = lines.select("doc", "tag", "line_no", F.size(F.split("line", " ")).cast("long").alias("words"), line_hash(F.col("line")).alias("h"))
     place = Window.partitionBy("doc", "tag").orderBy("line_no")
     lines = lines.select(
-        "*", F.lead("h").over(place).alias("h_next"),
-        (F.sum("words").over(place.rowsBetween(Window.unboundedPreceding, 0)) - F.col("words")).alias("before"),
-        F.sum("words").over(Window.partitionBy("doc", "tag")).alias("total"))
+        "*", (F.sum("words").over(place.rowsBetween(Window.unboundedPreceding, 0)) - F.col("words")).alias("before"),
+        F.sum("words").over(Window.partitionBy("doc", "tag")).alias("total")).where(F.col("total") >= min_words)
     by_word = Window.partitionBy("doc", "tag").orderBy("before")
     lines = lines.withColumn("least", F.when(
         F.col("total") - F.col("before") >= min_words, F.min("h").over(by_word.rangeBetween(0, min_words - 1))))
     lines = lines.withColumn("highest", F.max("least").over(by_word.rangeBetween(-(min_words - 1), 0)))
-    return lines.select("doc", "tag", "line_no", "words", "h", "h_next", (F.col("highest") == F.col("h")).alias("selected"))
+    return lines.select("doc", "tag", "line_no", "words", "h", (F.col("highest") == F.col("h")).alias("selected"))
+
+
+def windows(lines: DataFrame, min_words: int) -> DataFrame:
+    """Shortest runs of ``min_words`` words from and up to each line that hold a ``seed``: (doc, tag, first_line, last_line, low, code).
+
+    ``low`` and ``code`` are hashes of the lines of the run alone, wherever it lies.
+    """
+    place = Window.partitionBy("doc", "tag").orderBy("line_no")
+    lines = lines.withColumn("after", F.sum("words").over(place.rowsBetween(Window.unboundedPreceding, 0)))
+    lines = lines.withColumn("before", F.col("after") - F.col("words"))
+    on = Window.partitionBy("doc", "tag").orderBy("before").rangeBetween(0, min_words - 1)
+    back = Window.partitionBy("doc", "tag").orderBy("after").rangeBetween(-(min_words - 1), 0)
+
+    def run(over):
+        return F.when(F.max("seed").over(over), F.struct(
+            F.min("line_no").over(over).alias("first_line"), F.max("line_no").over(over).alias("last_line"),
+            F.sum("words").over(over).alias("n"), F.collect_list("h").over(over).alias("hs")))
+
+    lines = lines.select("doc", "tag", "words", run(on).alias("on"), run(back).alias("back"))
+    found = lines.select("doc", "tag", F.explode(F.array_compact(F.array(
+        F.when(F.col("on.n") >= min_words, F.col("on")),
+        # without its last line still long enough: not the run of its first line
+        F.when(F.col("back.n") - F.col("words") >= min_words, F.col("back"))))).alias("w"))
+    return found.select(
+        "doc", "tag", "w.first_line", "w.last_line", F.array_min("w.hs").alias("low"), F.xxhash64("w.hs").alias("code"))
 
 
 def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """Runs of lines to delete: (doc, tag, first_line, last_line)."""
+    """Runs of lines to delete: (doc, tag, first_line, last_line); runs of a text do not overlap."""
     # repeated rows are one document: none of them is a copy of the other
     lines = materialize(fingerprints(docs.dropDuplicates(["doc", "tag"]), min_words), "lines")
-    place = F.struct("doc", "tag", "line_no")
-    keys = lines.select(
-        "doc", "tag", "line_no", place.alias("at"),
-        F.explode(F.array_compact(F.array(
-            F.when(F.col("selected"), F.struct("h", F.lit(None).cast("long").alias("h_next"))),
-            F.when(F.col("h_next").isNotNull(), F.struct("h", "h_next"))))).alias("key"),
-    ).select("doc", "tag", "line_no", "at", F.col("key.h"), F.coalesce("key.h_next", F.lit(-1).cast("long")).alias("h_next"))
-    first = keys.groupBy("h", "h_next").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    first = materialize(first.drop("n"), "first")
-    late = keys.join(first, ["h", "h_next"]).where("first < at")
-    marks = late.groupBy("doc", "tag", "line_no").agg(
-        F.bool_or(F.col("h_next") < 0).alias("seed"), F.bool_or(F.col("h_next") >= 0).alias("pair"))
-    marks = materialize(marks, "marks")
-    hit = marks.where("seed").select(F.col("doc").alias("_d"), F.col("tag").alias("_t")).distinct()
-    marks = marks.select(F.col("doc").alias("_d"), F.col("tag").alias("_t"), F.col("line_no").alias("_l"), "seed", "pair")
-    same = ["doc", "tag"]
+    chosen = lines.where("selected")
+    twice = materialize(chosen.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "twice")
+    seeds = materialize(chosen.join(twice, "h", "left_semi").select(
+        F.col("doc").alias("_d"), F.col("tag").alias("_t"), F.col("line_no").alias("_l")), "seeds")
     on = F.col("doc").eqNullSafe(F.col("_d")) & (F.col("tag") == F.col("_t"))
-    lines = lines.join(hit, on, "left_semi")
-    lines = lines.join(marks, on & (F.col("line_no") == F.col("_l")), "left").select(
-        *same, "line_no", "words", *[F.coalesce(c, F.lit(False)).alias(c) for c in ("seed", "pair")])
-    order = Window.partitionBy(*same).orderBy("line_no")
-    lines = lines.withColumn("cut", F.when(F.lag("pair").over(order), 0).otherwise(1))
-    lines = lines.withColumn("run", F.sum("cut").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    runs = lines.groupBy(*same, "run").agg(
-        F.min("line_no").alias("first_line"), F.max("line_no").alias("last_line"),
-        F.sum("words").alias("words"), F.bool_or("seed").alias("seed"))
-    return runs.where(F.col("seed") & (F.col("words") >= min_words)).drop("run", "seed", "words")
+    near = lines.join(seeds.select("_d", "_t").distinct(), on, "left_semi")
+    near = near.join(seeds, on & (F.col("line_no") == F.col("_l")), "left").select(
+        "doc", "tag", "line_no", "words", "h", F.col("_l").isNotNull().alias("seed"))
+    runs = materialize(windows(near, min_words), "windows")
+    at = F.struct("doc", "tag", "first_line")
+    first = runs.groupBy("low", "code").agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    first = materialize(first.drop("n"), "first")
+    late = runs.join(first, ["low", "code"]).where(F.col("first") < at)
+    # overlapping runs become one
+    order = Window.partitionBy("doc", "tag").orderBy("first_line", "last_line")
+    reach = F.max("last_line").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    late = late.withColumn("cut", F.when(F.col("first_line") <= reach, 0).otherwise(1))
+    late = late.withColumn("run", F.sum("cut").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return late.groupBy("doc", "tag", "run").agg(
+        F.min("first_line").alias("first_line"), F.max("last_line").alias("last_line")).drop("run")
 
 
 def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """Delete later repeated runs of lines; all columns are kept, ``removed_lines`` is added.
 
+    A deleted run equals, line by line, one run that begins earlier, in another document or in the same one (there the
+    two may overlap: of a line repeated many times in a row only the first ones stay, at least one).
     Documents are ordered by id (null first), lines by place. Lines are compared without outer blanks;
     words are the pieces between single blanks; blank lines do not interrupt a run and go with it. Null texts stay
     null, texts without a repeated run stay as they are, and a text whose lines all go becomes empty.

@@ -81,6 +81,19 @@ def test_blocks_of_odd_markup():
     assert [b.text for b in deep] == ["deep"] and len(deep[0].path) == 2 * html_text.PATH_ENDS
 
 
+def test_blocks_after_missing_end_tags():
+    texts = lambda page: [b.text for b in html_text.blocks(page)]
+    head = "<html><head><meta charset=utf-8><title>no</title><style>p{}</style><script>var t='<p>no';</script>"
+    for page in (head + "<body><article><p>kept</p></article>", head + "<article><p>kept</p></article>", head + "</head><body><article><p>kept</p></article>"):
+        assert texts(page) == ["kept"]
+        assert [e[0] for e in html_text.blocks(page)[0].path] == [e for e in ("html", "body", "article", "p") if e != "body" or "<body>" in page]
+    for tag in sorted(html_text.RAW - {"script"}):
+        assert texts(f"<p>first</p><{tag}><article><p>kept</p></article><p>last") == ["first", "kept", "last"], tag
+        assert texts(f"<p>first</p><{tag}>dropped</{tag}><p>last") == ["first", "last"], tag
+    assert texts("<p>a</p><style>p{} <p>b</p><title>t <p>c") == ["a", "b", "c"] and texts("<p>a</p><style>p{}") == ["a"]
+    assert texts("<p>a</p><script>'<p>no</p>'") == ["a"]
+
+
 def test_gradient_is_right():
     """The step's gradient against differences of the loss."""
     pages = [html_text.blocks("<article><h1>t</h1><p>some words here.</p></article><footer>x y</footer>"), html_text.blocks("<nav>a</nav><p>b c d</p>")]

@@ -36,7 +36,8 @@ PATH_ENDS = 16         # elements of a path that count from either end
 
 # fixed values: element classes of HTML
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style template noscript svg iframe object title math canvas audio video head".split())
+RAW = frozenset("script style template noscript svg iframe object title math canvas audio video".split())
+TEXT_ONLY = frozenset("style title".split())  # of RAW: never hold tags
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong "
     "sub sup time tt u var wbr".split())
@@ -74,12 +75,17 @@ def _element(tag: str, attributes: str) -> tuple[str, ...]:
 
 
 def blocks(page: str) -> list[Block]:
-    """Leaf blocks of a page, in page order; empty ones are left out."""
+    """Leaf blocks of a page, in page order; empty ones are left out.
+
+    A head is no container, as its end tag may be left out: only the title, styles and scripts in it are dropped. A dropped
+    element without an end tag ends at once (style and title at the next tag), but a script runs to the end of the page.
+    """
     out: list[Block] = []
     stack: list[tuple[str, ...]] = []
     parts: list[str] = []
     links = [0, 0]  # depth of links, characters inside them
     at, n = 0, len(page)
+    open_ended: set[str] = set()  # tags without an end tag from here on
 
     def add(text: str):
         if text:
@@ -125,8 +131,19 @@ def blocks(page: str) -> list[Block]:
         if tag in RAW:
             close()
             if not m[3].endswith("/"):
-                end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
-                at = end.end() if end else n
+                end = None if tag in open_ended else re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
+                if end:
+                    at = end.end()
+                    continue
+                open_ended.add(tag)
+                if tag == "script":
+                    at = n
+                elif tag in TEXT_ONLY:
+                    following = page.find("<", at)
+                    at = n if following < 0 else following
+            continue
+        if tag == "head":
+            close()
             continue
         if tag in INLINE:
             if tag == "br":

@@ -8,7 +8,7 @@ import pytest
 
 from wheeltrace.llm import decontaminate, ngram_join
 from wheeltrace.llm.fingerprints import (
-    add_sketch, containment, distinct_shingles, fingerprint_documents, merge_parts, merged, resemblance)
+    add_sketch, containment, distinct_shingles, fingerprint_documents, merge_parts, merged, resemblance, with_following)
 from wheeltrace.llm.line_dedup import dedup_lines
 
 from pyspark.sql import functions as F
@@ -225,6 +225,26 @@ def test_fingerprints_repeated_and_null_ids(docs):
     assert fingerprint_documents(docs(rows)).count() == 5
 
 
+def test_following_in_bounded_buckets(docs):
+    rng = random.Random(9)
+    rows = [(i, " ".join(prose(rng, 3))) for i in range(1000)] + [(10**15, "far"), (-10**15, "low"), (-2**63, "least")]
+    rows += [(None, f"null {i}") for i in range(300)] + [(7, f"seven {i}") for i in range(300)] + [(50, "same")] * 500 + [(None, "none")] * 300
+    near = with_following(docs(rows), "doc_id", "text", rows=32, copies=64)
+    sizes = near.groupBy("_bucket", "_salt").count().collect()
+    assert sum(r["count"] for r in near.where("_own").groupBy().count().collect()) == len(rows)
+    assert max(r["count"] for r in sizes) < 32 + 1 + 2 * 64 and len(sizes) > len(rows) // 64
+    got = defaultdict(list)
+    for r in fingerprint_documents(docs(rows)).collect():
+        got[r.doc_id].append(r.edited_sha256)
+    hashes = {r.text: r.h for r in docs(rows).select("text", F.xxhash64("text").alias("h")).distinct().collect()}
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), hashes[r[1]]))
+    want = defaultdict(list)
+    for k, (i, t) in enumerate(order):
+        m = len(t) // 3
+        want[i].append(hashlib.sha256((t[:len(t) - m] + order[(k + 1) % len(order)][1][:m]).encode()).hexdigest())
+    assert {i: sorted(x) for i, x in got.items()} == {i: sorted(x) for i, x in want.items()}
+
+
 def test_sketch_estimates(docs):
     rng = random.Random(4)
     base = prose(rng, 600)

@@ -20,7 +20,9 @@ from wheeltrace.session import materialize
 
 K = 128
 SHINGLE = 5
-ROWS = 512  # documents looked up together for the following document
+ROWS = 512        # documents looked up together for the following document
+BORDERS = 50_000  # buckets at most; with more rows the buckets grow
+COPIES = 64       # equal rows that stay together
 
 
 def add_sketch(df: DataFrame, text_col: str, name: str, k: int = K, words: int = SHINGLE) -> DataFrame:
@@ -79,29 +81,46 @@ def merge_parts(df: DataFrame, keys: list[str], sketch_col: str, k: int = K) ->
     return kept.groupBy(*keys).agg(F.sort_array(F.collect_list("_v")).alias(sketch_col))
 
 
-def with_following(df: DataFrame, id_col: str, text_col: str, rows: int = ROWS) -> DataFrame:
+def _hex_order(number: Column) -> Column:
+    """A long as text of 16 digits in the same order."""
+    return F.lpad(F.hex(number.bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")
+
+
+def with_following(df: DataFrame, id_col: str, text_col: str, rows: int = ROWS, copies: int = COPIES) -> DataFrame:
     """Bring every row together with the text that follows it in descending id order.
 
-    Returns the rows with ``_bucket``, ``_own``, ``_turn`` and ``_tie``, distributed by bucket, such that a
-    window over the bucket ordered by (``_turn``, id descending, ``_tie``) has the following row next. Ids are
-    cut into buckets of about ``rows`` neighbours; the first row of the bucket below is copied in, and
-    the first row of all behind the last. Equal ids follow each other by text hash; null ids come last.
+    Returns the rows with ``_bucket``, ``_salt``, ``_own``, ``_turn`` and ``_key``, distributed by bucket and salt, such that a
+    window over these two ordered by (``_turn``, ``_key`` descending) has the following row next; a row without
+    one is followed by an equal row. The distinct pairs of id and text hash are numbered, and ``rows`` neighbours make a bucket
+    whatever the ids are; the first row of the bucket below is copied in, and the first row of all behind the last. Equal
+    ids follow each other by text hash; null ids come last. A row repeated more than ``copies`` times is dealt to several salts.
     """
-    number = F.col(id_col).cast("decimal(20,0)")
-    low, high, n = df.agg(F.min(number), F.max(number), F.count(id_col)).first()
-    width = max(1, math.ceil((int(high) - int(low) + 1) * rows / n)) if n else 1
-    bucket = F.coalesce(F.floor((number - int(low or 0)) / F.lit(width).cast("decimal(20,0)")).cast("long"), F.lit(-1).cast("long"))
-    tops = df.groupBy(bucket.alias("_bucket")).agg(F.max(id_col).alias("_top"))
-    tops = materialize(dense_number(tops, [], ["_bucket"], "_pos"), "tops")
-    last = tops.agg(F.max("_pos")).first()[0]
-    above = tops.select(F.col("_bucket"), (F.col("_pos") - 1).alias("_pos"), F.lit(0).alias("_turn")).where("_pos >= 0")
-    around = tops.where("_pos = 0").select("_bucket", F.lit(last).cast("long").alias("_pos"), F.lit(1).alias("_turn"))
-    wanted = above.unionByName(around).join(tops.select("_pos", "_top"), "_pos").drop("_pos")
-    tie = F.xxhash64(text_col).alias("_tie")
-    rows_ = df.select("*", tie)
-    copies = rows_.join(wanted, F.col(id_col).eqNullSafe(F.col("_top"))).drop("_top").withColumn("_own", F.lit(False))
-    own = rows_.withColumns({"_bucket": bucket, "_turn": F.lit(0), "_own": F.lit(True)})
-    return own.unionByName(copies).repartition("_bucket")
+    number = F.col(id_col).cast("long")
+    key = F.concat(F.when(number.isNull(), "0").otherwise("1"), _hex_order(F.coalesce(number, F.lit(0))), _hex_order(F.bitwise_not(F.xxhash64(text_col))))
+    pairs = materialize(df.groupBy(key.alias("_key")).agg(F.count(F.lit(1)).alias("_n")), "pairs")
+    rows = max(rows, math.ceil(pairs.count() / BORDERS))
+    numbered = dense_number(pairs.select("_key"), [], ["_key"], "_pos")
+    last = numbered.agg(F.max("_pos")).first()[0] or 0
+    ends = materialize(numbered.where((F.col("_pos") % rows).isin(0, rows - 1) | (F.col("_pos") == last)), "borders")
+    starts = sorted(r[0] for r in ends.where(F.col("_pos") % rows == 0).select("_key").collect())  # a bounded number of short keys
+    list_ = F.split(F.lit(",".join(starts)), ",")
+    # the last start that is not above the key, by halving
+    halves = F.array(*[F.lit(1 << i) for i in reversed(range(max(1, len(starts)).bit_length()))])
+    bucket = F.aggregate(halves, F.lit(0), lambda at, step: F.when(
+        (at + step < len(starts)) & (F.get(list_, at + step) <= F.col("_key")), at + step).otherwise(at)).cast("long")
+    below = ends.where(((F.col("_pos") + 1) % rows == 0) & (F.col("_pos") < last)).select(
+        "_key", F.expr(f"(_pos + 1) div {rows}").cast("long").alias("_bucket"), F.lit(0).alias("_turn"))
+    around = ends.where(F.col("_pos") == last).select("_key", F.lit(0).cast("long").alias("_bucket"), F.lit(1).alias("_turn"))
+    often = pairs.where(F.col("_n") > copies).select("_key", F.ceil(F.col("_n") / copies).cast("long").alias("_salts"))
+    rows_ = df.withColumn("_key", key)
+    own = rows_.withColumn("_draw", F.xxhash64(F.monotonically_increasing_id())).join(F.broadcast(often), "_key", "left")
+    own = own.select(*df.columns, "_key", bucket.alias("_bucket"), F.lit(0).alias("_turn"), F.lit(True).alias("_own"),
+                     F.coalesce(F.pmod("_draw", "_salts"), F.lit(0).cast("long")).alias("_salt"))
+    # a further salt holds one repeated row alone
+    own = own.withColumn("_bucket", F.when(F.col("_salt") == 0, F.col("_bucket")).otherwise(F.xxhash64("_key")))
+    next_ = rows_.join(F.broadcast(below.unionByName(around)), "_key").dropDuplicates(["_bucket"])
+    next_ = next_.withColumns({"_own": F.lit(False), "_salt": F.lit(0).cast("long")})
+    return own.unionByName(next_).repartition("_bucket", "_salt")
 
 
 def hexed(sketch: str) -> Column:
@@ -117,8 +136,8 @@ def fingerprint_documents(df: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     docs = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     near = add_sketch(with_following(docs, "doc_id", "text"), "text", "sketch", k)
-    order = Window.partitionBy("_bucket").orderBy("_turn", F.desc_nulls_last("doc_id"), "_tie")
-    near = near.select("*", F.lead("text").over(order).alias("_next"), F.lead("sketch").over(order).alias("next_sketch"))
+    order = Window.partitionBy("_bucket", "_salt").orderBy("_turn", F.desc("_key"))
+    near = near.select("*", *[F.coalesce(F.lead(c).over(order), F.col(c)).alias(name) for c, name in (("text", "_next"), ("sketch", "next_sketch"))])
     near = near.where("_own").withColumn("n_chars", F.length("text").cast("long"))
     edited = "concat(substring(text, 1, int(n_chars - n_chars div 3)), substring(_next, 1, int(n_chars div 3)))"
     near = near.withColumn("edited", F.expr(edited)).drop("_next", "text")

@@ -312,3 +312,13 @@ def test_leaks_odd_rows(docs):
     assert sorted(r.doc_id for r in kept.collect()) == [1, 2, 5]
     assert decontaminate.find_leaks(docs([]), bench).count() == 0
     assert decontaminate.find_leaks(docs(rows), bench.limit(0)).count() == 0
+
+
+def test_leaks_go_row_by_row(docs):
+    item = "the quick brown fox jumps over the lazy dog again and again"
+    bench = docs([(1, item)]).withColumnRenamed("doc_id", "item_id")
+    rows = [(None, f"x {item}"), (None, "clean text"), (None, None), (4, item), (4, "other clean text"), (4, None), (5, item), (6, "clean text")]
+    kept = decontaminate.remove_leaks(docs(rows, ["_x"]), bench)
+    assert kept.columns == ["doc_id", "text", "_x"]
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted(
+        [(None, "clean text"), (None, None), (4, "other clean text"), (4, None), (6, "clean text")], key=str)

@@ -227,9 +227,11 @@ def find_leaks(
 
 
 def remove_leaks(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents in which no benchmark item is found, with all their columns."""
-    leaks = find_leaks(docs, bench, id_col, text_col, **options).select(F.col("doc_id").alias("_leak")).distinct()
-    return docs.join(leaks, F.col(id_col).eqNullSafe(F.col("_leak")), "left_anti")
+    """The rows in whose text no benchmark item is found, with all their columns; ids may be null or repeat."""
+    # an item is found in a text whatever its id
+    texts = docs.select(F.md5(text_col).alias("_leak"), F.col(text_col))
+    leaks = find_leaks(texts, bench, "_leak", text_col, **options).select(F.col("doc_id").alias("_leak")).distinct()
+    return docs.join(leaks, F.md5(docs[text_col]) == leaks["_leak"], "left_anti")
 
 
 @query("op3_decontaminate")

@@ -203,6 +203,19 @@ def test_line_dedup_keeps_first_and_clean(docs):
     assert dedup_lines(docs([])).count() == 0
 
 
+def test_line_dedup_words_by_all_white_space(docs):
+    words = [f"w{i}" for i in range(50)]
+    forms = ["\t".join(words), "\u00a0".join(words), "\u3000".join(words), "".join(chr(0x4E00 + i) for i in range(50)), "".join(chr(0x0E01 + i % 40) for i in range(50))]
+    for k, form in enumerate(forms):
+        got = {r.doc_id: r.text for r in dedup_lines(docs([(1, f"own {k}\n{form}\nend"), (2, f"other\n\u00a0{form}\r\nlast")])).collect()}
+        assert got == {1: f"own {k}\n{form}\nend", 2: "other\nlast"}, k
+    lines = [" ".join(words[i:i + 10]) for i in range(0, 50, 10)]
+    got = {r.doc_id: r.text for r in dedup_lines(docs([(1, "\n".join(lines)), (2, "\r\n".join(lines) + "\r\nnew\r")])).collect()}
+    assert got[2] == "new\r"
+    few = [(1, "two" + " " * 41 + "words"), (2, "x\ntwo" + " " * 41 + "words"), (3, "Introduction" * 4), (4, "y\n" + "Introduction" * 4)]
+    assert {r.doc_id: r.text for r in dedup_lines(docs(few)).collect()} == dict(few)
+
+
 def test_fingerprints_follow_the_contract(docs):
     rng = random.Random(3)
     rows = [(10 * i, " ".join(prose(rng, rng.choice([0, 2, 30, 200])))) for i in range(70)] + [(9999, None), (10**12, "ä" * 10), (5, "same text here"), (6, "same text here")]

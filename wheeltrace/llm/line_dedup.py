@@ -19,6 +19,9 @@ from wheeltrace.llm.registry import query
 from wheeltrace.session import materialize
 
 MIN_WORDS = 40
+SPACE = r"(?U)\s+"  # white space of all kinds
+# letters of scripts without blanks between words: each counts as a word
+UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
 
 
 def line_hash(line: Column) -> Column:
@@ -26,11 +29,22 @@ def line_hash(line: Column) -> Column:
     return F.conv(F.substring(F.md5(line), 1, 15), 16, 10).cast("long")
 
 
+def trimmed(line: Column) -> Column:
+    """A line without white space of any kind around it."""
+    return F.regexp_replace(line, r"(?U)^\s+|\s+$", "")
+
+
+def word_count(line: Column) -> Column:
+    """Words of a trimmed line that is not empty: pieces between white space; a letter of a script without blanks is a word."""
+    pieces = F.split(F.regexp_replace(line, f"({UNSPACED})", " $1 "), SPACE)
+    return F.size(F.filter(pieces, lambda x: x != "")).cast("long")
+
+
 def fingerprints(docs: DataFrame, min_words: int) -> DataFrame:
     """Non-blank lines of (doc, tag, text) with words, hash and whether winnowing selects them; texts of fewer words are left out."""
     lines = docs.select("doc", "tag", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    lines = lines.withColumn("line", F.trim("line")).where("line != ''")
-    lines = lines.select("doc", "tag", "line_no", F.size(F.split("line", " ")).cast("long").alias("words"), line_hash(F.col("line")).alias("h"))
+    lines = lines.withColumn("line", trimmed(F.col("line"))).where("line != ''")
+    lines = lines.select("doc", "tag", "line_no", word_count(F.col("line")).alias("words"), line_hash(F.col("line")).alias("h"))
     place = Window.partitionBy("doc", "tag").orderBy("line_no")
     lines = lines.select(
         "*", (F.sum("words").over(place.rowsBetween(Window.unboundedPreceding, 0)) - F.col("words")).alias("before"),
@@ -98,8 +112,8 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
 
     A deleted run equals, line by line, one run that begins earlier, in another document or in the same one (there the
     two may overlap: of a line repeated many times in a row only the first ones stay, at least one).
-    Documents are ordered by id (null first), lines by place. Lines are compared without outer blanks;
-    words are the pieces between single blanks; blank lines do not interrupt a run and go with it. Null texts stay
+    Documents are ordered by id (null first), lines by place. Lines are compared without outer white space
+    of any kind; words are the pieces between white space, and single letters of scripts without blanks; blank lines do not interrupt a run and go with it. Null texts stay
     null, texts without a repeated run stay as they are, and a text whose lines all go becomes empty.
     Repeated rows (same id and text) count as one document and get the same result. A column named
     ``removed_lines`` is replaced; other names cannot clash.

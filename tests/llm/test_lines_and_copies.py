@@ -86,73 +86,10 @@ def test_near_duplicates_odd_rows(docs):
     assert sorted(r.doc_id for r in kept.collect()) == [1, 2, 4, 5, 6]
 
 
-def test_prefixes_are_shortened_to_the_recall():
-    assert ngram_join.prefix_depth(16, 6, 0.8, 0.9999) == 3
-    assert ngram_join.prefix_depth(16, 6, 0.8, 0.5) == 6
-    assert ngram_join.prefix_depth(1, 6, 0.8, 0.9999) == 1
-
-
-def plain_dedup(rows, min_words):
-    """Runs found by comparing windows and line pairs directly."""
-    lines = {}
-    for i, t in sorted(set(rows)):
-        lines[i] = [(k, x.strip(" ")) for k, x in enumerate(t.split("\n")) if x.strip(" ")]
-    h = lambda x: int(hashlib.md5(x.encode()).hexdigest()[:15], 16)
-    seed_at, pair_at, marks = {}, {}, []
-    for i in sorted(lines):
-        own = [(k, h(x), len(x.split(" "))) for k, x in lines[i]]
-        chosen = set()
-        for a in range(len(own)):
-            if sum(w for _, _, w in own[a:]) < min_words:
-                break
-            b, words = a, 0
-            while words < min_words:
-                words += own[b][2]
-                b += 1
-            low = min(x for _, x, _ in own[a:b])
-            chosen |= {j for j in range(a, b) if own[j][1] == low}
-        seed = [j in chosen and own[j][1] in seed_at for j in range(len(own))]
-        pair = []
-        for j in range(len(own)):
-            if j in chosen:
-                seed[j] = own[j][1] in seed_at
-                seed_at.setdefault(own[j][1], (i, j))
-            key = (own[j][1], own[j + 1][1]) if j + 1 < len(own) else None
-            pair.append(key in pair_at)
-            if key:
-                pair_at.setdefault(key, (i, j))
-        marks.append((i, own, seed, pair))
-    gone = {}
-    for i, own, seed, pair in marks:
-        a, cut = 0, set()
-        while a < len(own):
-            b = a
-            while b + 1 < len(own) and pair[b]:
-                b += 1
-            if any(seed[a:b + 1]) and sum(w for _, _, w in own[a:b + 1]) >= min_words:
-                cut |= set(range(own[a][0], own[b][0] + 1))
-            a = b + 1
-        gone[i] = cut
-    return {i: "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[i]) for i, t in rows}
-
-
-def test_line_dedup_equals_plain_loops(docs):
-    rng = random.Random(2)
-    pool = [" ".join(prose(rng, rng.randint(1, 15))) for _ in range(40)]
-    passage = [" ".join(prose(rng, 20)) for _ in range(4)]
-    rows = []
-    for i in range(60):
-        lines = [rng.choice(pool) if rng.random() < 0.4 else " ".join(prose(rng, rng.randint(1, 12))) for _ in range(rng.randint(0, 14))]
-        if rng.random() < 0.5:
-            at = rng.randrange(len(lines) + 1)
-            lines[at:at] = passage[:rng.randint(1, 4)]
-        if rng.random() < 0.3:
-            lines.insert(rng.randrange(len(lines) + 1), "  ")
-        rows.append((i, "\n".join(lines)))
-    got = {r.doc_id: (r.text, r.removed_lines) for r in dedup_lines(docs(rows), min_words=30).collect()}
-    want = plain_dedup(rows, 30)
-    assert {i: t for i, (t, _) in got.items()} == want
-    assert sum(n > 0 for _, n in got.values()) > 15
+def test_rows_of_a_band_follow_the_recall():
+    assert ngram_join.band_rows(16, 6, 0.8, 0.9999) == 3
+    assert ngram_join.band_rows(16, 6, 0.8, 0.5) == 6
+    assert ngram_join.band_rows(1, 6, 0.8, 0.9999) == 1
 
 
 def plain_whole_runs(rows, min_words):
@@ -174,11 +111,29 @@ def plain_whole_runs(rows, min_words):
     return left
 
 
+def test_line_dedup_equals_plain_loops(docs):
+    rng = random.Random(2)
+    pool = [" ".join(prose(rng, rng.randint(1, 15))) for _ in range(40)]
+    passage = [" ".join(prose(rng, 20)) for _ in range(4)]
+    rows = []
+    for i in range(60):
+        lines = [rng.choice(pool) if rng.random() < 0.4 else " ".join(prose(rng, rng.randint(1, 12))) for _ in range(rng.randint(0, 14))]
+        if rng.random() < 0.5:
+            at = rng.randrange(len(lines) + 1)
+            lines[at:at] = passage[:rng.randint(1, 4)]
+        if rng.random() < 0.3:
+            lines.insert(rng.randrange(len(lines) + 1), "  ")
+        rows.append((i, "\n".join(lines)))
+    got = {r.doc_id: (r.text, r.removed_lines) for r in dedup_lines(docs(rows), min_words=30).collect()}
+    want = plain_whole_runs(rows, 30)
+    assert {i: t for i, (t, _) in got.items()} == want
+    assert sum(n > 0 for _, n in got.values()) > 15
+
+
 def test_line_dedup_leaves_new_runs_of_frequent_lines(docs):
     rng = random.Random(6)
     frequent = [" ".join(prose(rng, 6)) for _ in range(20)]
     rows = [(i, "\n".join(rng.choice(frequent) for _ in range(20))) for i in range(120)]
-    assert sum(len(t) - len(x) for (_, t), x in zip(rows, plain_dedup(rows, 40).values())) > 10_000  # chains of pairs seen anywhere
     got = {r.doc_id: r.text for r in dedup_lines(docs(rows)).collect()}
     assert got == plain_whole_runs(rows, 40) == dict(rows)
     # copies of whole pieces, also of a piece whose fingerprint has an earlier place in other surroundings

@@ -19,32 +19,29 @@ from wheeltrace.llm.registry import query
 from wheeltrace.session import materialize
 
 MIN_WORDS = 40
-SPACE = r"(?U)\s+"  # white space of all kinds
+# fixed values: white space of all kinds
+BLANKS = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 # letters of scripts without blanks between words: each counts as a word
 UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
-
-
-def line_hash(line: Column) -> Column:
-    """60 bits of the MD5 of a trimmed line."""
-    return F.conv(F.substring(F.md5(line), 1, 15), 16, 10).cast("long")
-
-
-def trimmed(line: Column) -> Column:
-    """A line without white space of any kind around it."""
-    return F.regexp_replace(line, r"(?U)^\s+|\s+$", "")
+UNUSUAL = r"[\x{85}\xA0\x{E00}-\x{10FFFF}]"  # a line without these has only ASCII blanks and no such script
 
 
 def word_count(line: Column) -> Column:
     """Words of a trimmed line that is not empty: pieces between white space; a letter of a script without blanks is a word."""
-    pieces = F.split(F.regexp_replace(line, f"({UNSPACED})", " $1 "), SPACE)
-    return F.size(F.filter(pieces, lambda x: x != "")).cast("long")
+    any_script = F.regexp_count(F.regexp_replace(line, f"({UNSPACED})", " $1 "), F.lit(r"(?U)\S+"))
+    return F.when(line.rlike(UNUSUAL), any_script).otherwise(F.regexp_count(line, F.lit(r"\S+"))).cast("long")
 
 
 def fingerprints(docs: DataFrame, min_words: int) -> DataFrame:
-    """Non-blank lines of (doc, tag, text) with words, hash and whether winnowing selects them; texts of fewer words are left out."""
+    """Non-blank lines of (doc, tag, text) with words, hash and whether winnowing selects them; texts of fewer words are left out.
+
+    Lines are split, trimmed, counted and hashed where the texts are read; only those numbers travel.
+    """
     lines = docs.select("doc", "tag", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    lines = lines.withColumn("line", trimmed(F.col("line"))).where("line != ''")
-    lines = lines.select("doc", "tag", "line_no", word_count(F.col("line")).alias("words"), line_hash(F.col("line")).alias("h"))
+    lines = lines.select("doc", "tag", "line_no", F.trim(F.col("line"), F.lit(BLANKS)).alias("line")).where("line != ''")
+    lines = lines.select("doc", "tag", "line_no", word_count(F.col("line")).alias("words"), F.xxhash64("line").alias("h"))
+    # repeated rows are one document: none of them is a copy of the other
+    lines = lines.repartition("doc", "tag").distinct()
     place = Window.partitionBy("doc", "tag").orderBy("line_no")
     lines = lines.select(
         "*", (F.sum("words").over(place.rowsBetween(Window.unboundedPreceding, 0)) - F.col("words")).alias("before"),
@@ -83,8 +80,7 @@ def windows(lines: DataFrame, min_words: int) -> DataFrame:
 
 def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """Runs of lines to delete: (doc, tag, first_line, last_line); runs of a text do not overlap."""
-    # repeated rows are one document: none of them is a copy of the other
-    lines = materialize(fingerprints(docs.dropDuplicates(["doc", "tag"]), min_words), "lines")
+    lines = materialize(fingerprints(docs, min_words), "lines")
     chosen = lines.where("selected")
     twice = materialize(chosen.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "twice")
     seeds = materialize(chosen.join(twice, "h", "left_semi").select(
@@ -124,44 +120,49 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     held = held.withColumn("tag", F.xxhash64("text"))
     runs = repeated_runs(held.where("text is not null").select("doc", "tag", "text"), min_words)
     gone = runs.groupBy(F.col("doc").alias("_d"), F.col("tag").alias("_t")).agg(
-        F.flatten(F.collect_list(F.sequence("first_line", "last_line"))).alias("gone"))
+        F.array_sort(F.collect_list(F.struct("first_line", "last_line"))).alias("gone"))
     out = held.join(gone, F.col("doc").eqNullSafe(F.col("_d")) & (F.col("tag") == F.col("_t")), "left")
-    left = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("gone", i)), "\n")
-    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(left)
+    cut = F.aggregate("gone", F.lit(0), lambda n, run: n + run["last_line"] - run["first_line"] + 1)
+
+    def left(lines):
+        """What lies before, between and behind the runs, each part copied once."""
+        def part(k):
+            start = F.coalesce(F.get("gone", k - 1)["last_line"] + 1, F.lit(0))
+            return F.slice(lines, start + 1, F.coalesce(F.get("gone", k)["first_line"], F.size(lines)) - start)
+
+        return F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), F.size("gone")), part)), "\n")
+
+    # the lines are an element of a list, so that the text is split once
+    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.transform(F.array(F.split("text", "\n")), left)[0])
     return out.select(
         *[text.alias(c) if c == text_col else F.col(f"row.`{c}`") for c in kept],
-        F.coalesce(F.size("gone"), F.lit(0)).alias("removed_lines"))
+        F.coalesce(cut, F.lit(0)).alias("removed_lines"))
 
 
+# the rule itself: all shortest runs of enough words from and up to every line, compared as texts
+_SPACES = r"[\s\x0B\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+_ON = f"(PARTITION BY doc_id, text ORDER BY before RANGE BETWEEN CURRENT ROW AND {MIN_WORDS - 1} FOLLOWING)"
+_BACK = f"(PARTITION BY doc_id, text ORDER BY after RANGE BETWEEN {MIN_WORDS - 1} PRECEDING AND CURRENT ROW)"
 _SQL = f"""
 WITH l AS (
-  SELECT doc_id, line_no, trim(line) AS line FROM (
-    SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
-      generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents WHERE text IS NOT NULL)
+  SELECT doc_id, text, line_no, regexp_replace(regexp_replace(line, '^{_SPACES}+', ''), '{_SPACES}+$', '') AS line FROM (
+    SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line,
+      generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL))
 ), a AS (
-  SELECT doc_id, line_no, len(string_split(line, ' ')) AS words,
-    CAST('0x' || substr(md5(line), 1, 15) AS BIGINT) AS h FROM l WHERE line <> ''
+  SELECT *, len(list_filter(regexp_split_to_array(regexp_replace(line, '([\\p{{Han}}\\p{{Hiragana}}\\p{{Katakana}}\\p{{Thai}}\\p{{Lao}}\\p{{Khmer}}\\p{{Myanmar}}])', ' \\1 ', 'g'),
+    '{_SPACES}+'), lambda x: x <> '')) AS words FROM l WHERE line <> ''
 ), b AS (
-  SELECT *, lead(h) OVER w AS h_next, sum(words) OVER w - words AS before, sum(words) OVER (PARTITION BY doc_id) AS total
-  FROM a WINDOW w AS (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+  SELECT *, sum(words) OVER w - words AS before, sum(words) OVER w AS after
+  FROM a WINDOW w AS (PARTITION BY doc_id, text ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
 ), c AS (
-  SELECT *, CASE WHEN total - before >= {MIN_WORDS} THEN min(h) OVER (
-    PARTITION BY doc_id ORDER BY before RANGE BETWEEN CURRENT ROW AND {MIN_WORDS - 1} FOLLOWING) END AS least FROM b
+  SELECT doc_id, text, min(line_no) OVER {_ON} AS first_line, max(line_no) OVER {_ON} AS last_line, sum(words) OVER {_ON} AS n, list(line) OVER {_ON} AS run FROM b
+  UNION ALL
+  SELECT doc_id, text, min(line_no) OVER {_BACK}, max(line_no) OVER {_BACK}, sum(words) OVER {_BACK}, list(line) OVER {_BACK} FROM b
 ), d AS (
-  SELECT *, max(least) OVER (PARTITION BY doc_id ORDER BY before
-    RANGE BETWEEN {MIN_WORDS - 1} PRECEDING AND CURRENT ROW) = h AS selected FROM c
-), e AS (
-  SELECT *, selected AND row_number() OVER (PARTITION BY h, selected ORDER BY doc_id, line_no) > 1 AS seed,
-    h_next IS NOT NULL AND row_number() OVER (PARTITION BY h, h_next ORDER BY doc_id, line_no) > 1 AS pair FROM d
-), f AS (
-  SELECT *, CASE WHEN lag(pair) OVER (PARTITION BY doc_id ORDER BY line_no) THEN 0 ELSE 1 END AS cut FROM e
-), g AS (
-  SELECT *, sum(cut) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM f
-), r AS (
-  SELECT doc_id, min(line_no) AS first_line, max(line_no) AS last_line FROM g GROUP BY doc_id, run
-  HAVING bool_or(coalesce(seed, false)) AND sum(words) >= {MIN_WORDS}
+  SELECT *,
+    first_value(struct_pack(d := doc_id, t := text, l := first_line)) OVER (PARTITION BY run ORDER BY doc_id NULLS FIRST, first_line) AS prime FROM c WHERE n >= {MIN_WORDS}
 ), k AS (
-  SELECT doc_id, flatten(list(range(first_line, last_line + 1))) AS gone FROM r GROUP BY doc_id
+  SELECT doc_id, text, list_distinct(flatten(list(range(first_line, last_line + 1)))) AS gone FROM d WHERE prime IS DISTINCT FROM struct_pack(d := doc_id, t := text, l := first_line) GROUP BY doc_id, text
 )
 """
 _LEFT = """array_to_string([x[2] FOR x IN list_zip(range(len(string_split(t.text, chr(10)))), string_split(t.text, chr(10)))
@@ -170,7 +171,7 @@ _LEFT = """array_to_string([x[2] FOR x IN list_zip(range(len(string_split(t.text
 
 @query("op10_line_dedup", _SQL + f"""
 SELECT t.doc_id, CASE WHEN k.gone IS NULL THEN t.text ELSE {_LEFT} END AS text,
-  CAST(coalesce(len(k.gone), 0) AS INT) AS removed_lines FROM documents t LEFT JOIN k ON t.doc_id = k.doc_id
+  CAST(coalesce(len(k.gone), 0) AS INT) AS removed_lines FROM documents t LEFT JOIN k ON t.doc_id = k.doc_id AND t.text = k.text
 """)
 def op10_line_dedup(spark, sf_dir) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))

@@ -1,9 +1,9 @@
-"""Near-duplicate join on word n-grams by a MinHash LSH forest (operator 6).
+"""Near-duplicate join on word n-grams by banded MinHash with exact verification (operator 6).
 
-Every different text gets a signature of minimum hashes, dealt to the trees of a forest. In a tree,
-texts whose signatures share a prefix lie together; prefixes are shortened from their full depth until
-texts at the threshold meet in some tree with the target recall. Texts that meet and whose whole
-signatures agree well enough are brought together, and the exact likeness of their shingle sets decides.
+Every different text gets a signature of minimum hashes in bands. Texts that agree in the first places of a band
+meet; how many places is fixed by the threshold and the wanted recall. (In place of a forest of prefix tries: the
+recall is wanted for every pair at one threshold, which gives one depth for all texts; see README.) Texts that meet
+and whose whole signatures agree well enough are brought together, and the exact likeness of their shingle sets decides.
 
 Large groups are cut into blocks, and every pair of blocks is a task of its own, so no group is
 gathered whole, no pair of texts leaves its task, and no candidate is left out.
@@ -29,8 +29,8 @@ SLACK = 0.2          # candidates may fall this far below the threshold by their
 BLOCK = 512          # texts of a block
 
 
-def prefix_depth(trees: int = TREES, depth: int = DEPTH, threshold: float = THRESHOLD, recall: float = RECALL) -> int:
-    """The longest prefix at which two texts at the threshold meet in some tree with the target recall."""
+def band_rows(trees: int = TREES, depth: int = DEPTH, threshold: float = THRESHOLD, recall: float = RECALL) -> int:
+    """The most rows of a band at which two texts at the threshold meet in some band with the target recall."""
     d = depth
     while d > 1 and 1 - (1 - threshold ** d) ** trees < recall:
         d -= 1
@@ -97,8 +97,8 @@ def signatures(texts: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
     return out, has
 
 
-def tree_keys(sig: np.ndarray, trees: int, depth: int, prefix: int) -> np.ndarray:
-    """Key of the signature prefix in every tree (texts x trees)."""
+def band_keys(sig: np.ndarray, trees: int, depth: int, prefix: int) -> np.ndarray:
+    """Key of the first rows of every band (texts x bands)."""
     parts = sig.reshape(len(sig), trees, depth)[:, :, :prefix].astype(np.uint64)
     key = np.broadcast_to(np.arange(1, trees + 1, dtype=np.uint64), parts.shape[:2]).copy()
     for j in range(prefix):
@@ -304,12 +304,12 @@ def near_duplicates(
     texts = rows.groupBy("tag").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n_copies"), F.first("sig").alias("sig"))
     texts = materialize(texts.withColumn("node", F.monotonically_increasing_id()), "texts")
 
-    prefix = prefix_depth(trees, depth, num / den, recall)
+    prefix = band_rows(trees, depth, num / den, recall)
 
     def keyed(batches):
         for batch in batches:
             sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(batch.num_rows, -1)
-            keys = tree_keys(sig, trees, depth, prefix).ravel()
+            keys = band_keys(sig, trees, depth, prefix).ravel()
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), trees)), pa.array(keys)], ["node", "key"])
 
     signed = texts.where("sig is not null").select("node", "sig")

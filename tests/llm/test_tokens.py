@@ -11,7 +11,8 @@ from tokenizers import Tokenizer as Library
 from tests.conftest import SF
 from wheeltrace.llm.bpe import Tokenizer
 from wheeltrace.llm.common import tokenizer_path
-from wheeltrace.llm.packing import best_fit, pack_documents, plan_patterns
+from wheeltrace.llm.common import table
+from wheeltrace.llm.packing import best_fit, fitted_plan, pack_documents, plan_patterns, token_pieces
 from wheeltrace.llm.token_counts import count_tokens, prefix_scan, state_maps, text_counts
 
 ODD = [
@@ -122,3 +123,14 @@ def test_plan_uses_the_histogram_up():
     assert used == Counter(hist)
     assert sum(n for _, n in plan) <= 1.005 * sum(k * v for k, v in hist.items()) / 4096 + 1
     assert sum(n for _, n in best_fit({4000: 3, 96: 2, 90: 5}, 4096)) == 3 + 1
+
+
+def test_fitted_patterns_place_most_pieces(spark):
+    """Also where lengths hardly repeat; and no more sequences than the tokens need."""
+    pieces = token_pieces(table(spark, "/root/testdata/sf0.01", "documents"))
+    hist = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}
+    short = sum(n for x, n in hist.items() if x < 4096)
+    left = {x: n for x, n in hist.items() if x < 4096}
+    placed = sum(len(p) * n for p, n in fitted_plan(left))
+    assert placed >= short / 2 and placed + sum(left.values()) == short
+    assert sum(n for _, n in plan_patterns(hist)) == -(-sum(x * n for x, n in hist.items()) // 4096)

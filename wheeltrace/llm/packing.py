@@ -2,7 +2,7 @@
 
 Only the histogram of piece lengths (at most ``capacity`` numbers) reaches the driver. Patterns of few
 lengths that fill a sequence are enumerated, non-negative least squares fits how often to repeat each,
-the repeats are rounded down, and the residual counts are packed best-fit by length. The plan says for
+the repeats are rounded by largest remainder, and the residual counts are packed best-fit by length. The plan says for
 every length which ranks go to which sequences and offsets; pieces, ranked within their length by a
 distributed sort, look their place up.
 """
@@ -28,6 +28,7 @@ from wheeltrace.session import materialize
 CAPACITY = 4096
 END_ID = 1
 MAX_PATTERNS = 24_000
+FULL = 0.995            # patterns that fill less of a sequence are left to best-fit
 PART_CHARS = 1_000_000
 BATCH_BYTES = 1_000_000
 _BLANK = regex.compile(r"\s")
@@ -184,27 +185,39 @@ def best_fit(left: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...],
     return [g for room in rooms for g in groups[room]]
 
 
+def fitted_plan(left: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
+    """(pattern, repeats) placed by the fit; what remains of the histogram stays in ``left``."""
+    plan: list[tuple[tuple[int, ...], int]] = []
+    lengths = sorted(left)
+    if not lengths:
+        return plan
+    counts = [left[x] for x in lengths]
+    found = patterns(lengths, counts, capacity)
+    fitted = fit_repeats(lengths, counts, found)
+    full = [i for i, p in enumerate(found) if sum(p) >= FULL * capacity]
+
+    def take(i, n):
+        p = found[i]
+        n = min([n, *[left[x] // p.count(x) for x in set(p)]])
+        if n > 0:
+            plan.append((p, n))
+            for x in p:
+                left[x] -= n
+
+    # repeats are rounded down, fullest patterns first; then the largest remainders get one more while their pieces last
+    for i in sorted(full, key=lambda i: (-sum(found[i]), -fitted[i], found[i])):
+        take(i, int(fitted[i] + 1e-6))
+    for i in sorted(full, key=lambda i: (int(fitted[i] + 1e-6) - fitted[i], -sum(found[i]), found[i])):
+        take(i, 1)
+    return plan
+
+
 def plan_patterns(hist: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
-    """(pattern, repeats) that use up the histogram exactly."""
+    """(pattern, repeats) that use up the histogram exactly: fitted patterns, then best-fit for the residual."""
     plan = [((capacity,), hist[capacity])] if hist.get(capacity) else []
     left = {x: n for x, n in hist.items() if n and x < capacity}
-    if left:
-        lengths = sorted(left)
-        counts = [left[x] for x in lengths]
-        found = patterns(lengths, counts, capacity)
-        fitted = fit_repeats(lengths, counts, found)
-        # fullest patterns are rounded first
-        for i in sorted(range(len(found)), key=lambda i: (-sum(found[i]), -fitted[i], found[i])):
-            p, n = found[i], int(fitted[i] + 1e-6)
-            if sum(p) < 0.995 * capacity or not n:
-                continue
-            n = min([n, *[left[x] // p.count(x) for x in set(p)]])
-            if n > 0:
-                plan.append((p, n))
-                for x in p:
-                    left[x] -= n
-        plan += best_fit({x: n for x, n in left.items() if n}, capacity)
-    return plan
+    plan += fitted_plan(left, capacity)
+    return plan + best_fit({x: n for x, n in left.items() if n}, capacity)
 
 
 def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -94,6 +95,47 @@ def test_blocks_after_missing_end_tags():
     assert texts("<p>a</p><script>'<p>no</p>'") == ["a"]
 
 
+def test_malformed_pages_take_linear_time():
+    m = 1_000_000
+    for page in ("<b" * (m // 2), "<" + "x" * m, '<p title="x ' * (m // 12), "<p title='x " * (m // 12) + ">", '<p a="' + "x'<p>" * (m // 50), "<!-" * (m // 3),
+                 "<script>" + "</script " * (m // 9), "<div>" * (m // 50) + "</x>" * (m // 8), "<noscript>" * (m // 20), "<a '><a \"><a " * (m // 12)):
+        began = time.time()
+        html_text.blocks(page)
+        assert time.time() - began < 2, page[:20]
+
+
+def test_tags_without_their_quotes():
+    texts = lambda page: [b.text for b in html_text.blocks(page)]
+    assert texts('<p title="a > b">one</p><p>two') == ["one", "two"]
+    assert texts("<p title='never closed>one</p><p>it's two</p>") == []  # the quote ends in the next paragraph, as browsers read it
+    assert texts('<p title="never closed>one</p><p>two</p>') == ["one", "two"]
+    assert texts("<p>5 < 6 and 7 <8") == ["5 < 6 and 7 <8"]
+    assert texts('<img src="data:' + "A" * 50_000 + '">one') == ["one"]
+    assert texts("<p>one</p><p class") == ["one", "<p class"]
+    assert texts("one<!-- open <p>two") == ["one"]
+
+
+def test_main_text_of_written_pages(spark, pages):
+    """Pages and their texts written by hand; the labeller is trained on the given table."""
+    story = ["The harbour was quiet when the first boats came in, and the fishermen carried their nets ashore.",
+             "Later that morning the market opened & the whole town gathered to hear what had been caught overnight.",
+             "Nobody remembered a better season, and the old captain said that the next one would be better still."]
+    plain = "".join(f"<p>{x.replace('&', '&amp;')}</p>" for x in story)
+    made = [
+        f"<html><body><nav><ul><li><a href='/'>Home</a></li><li><a href='/n'>News</a></li></ul></nav><article>{plain}</article><footer><p>Copyright by the town</p></footer></body></html>",
+        f"<html><head><title>No</title><body><header><h3>Site name</h3></header><main>{plain.replace('gathered', '<b>gathered</b>')}</main><aside><p>Related: more boats</p></aside>",
+        f"<html><body><div class='cookie-notice'><p>We use cookies on this site.</p></div><article>{plain}<div class='comments'><p>Great story, thank you!</p></div></article><form><label>Mail</label></form></body></html>",
+        f"<html><body><article><p title=\"open>{story[0]}</p>{plain.split('</p>', 1)[1]}</article><script>var a='<p>x</p>'</script></body></html>",
+    ]
+    want = "\n\n".join(story)
+    model = html_text.train_on(table(spark, WIDE, "pages"))
+    rows = [(k, f"http://e.org/{k}", page) for k, page in enumerate(made)] + [(9, "u", None), (10, "u", "<nav><a href='/'>Home</a></nav>")]
+    got = {r.page_id: (r.text, r.n_chars) for r in html_text.extract(pages(rows), model).collect()}
+    for k in range(len(made)):
+        assert got[k] == (want, len(want)), k
+    assert got[9] == ("", 0) and got[10] == ("", 0)
+
+
 def test_gradient_is_right():
     """The step's gradient against differences of the loss."""
     pages = [html_text.blocks("<article><h1>t</h1><p>some words here.</p></article><footer>x y</footer>"), html_text.blocks("<nav>a</nav><p>b c d</p>")]
@@ -159,8 +201,11 @@ def test_toxicity_on_held_out_rows(spark):
     assert all(r.predicted == (r.score >= 0.5) for r in got)
     assert (s[y == 1] >= 0.5).mean() > 0.8 and (s[y == 0] < 0.5).mean() > 0.95
     assert set(model.thresholds) <= {"de", "en", "es", "fr"} and model.thresholds
-    flagged = toxicity.flag_by_language(toxicity.score(known, model), known.select("doc_id", "lang"), model)
-    assert flagged.where("flagged is null").count() == 0
+    flagged = toxicity.score(known, model, lang_col="lang").join(known.select("doc_id", "toxic", "lang"), "doc_id").collect()
+    for lang in sorted(model.thresholds):  # the thresholds hold on rows that set none of them
+        own = [r for r in flagged if r.lang == lang]
+        assert np.mean([r.flagged == (r.toxic == 1) for r in own]) > 0.85, lang
+    assert all(r.flagged == (r.score >= model.thresholds.get(r.lang, 0.5)) for r in flagged)
 
 
 def test_toxicity_rows(docs, spark):
@@ -185,6 +230,22 @@ def test_language_on_held_out_rows(spark):
     assert all(0 <= r.score <= 1 for r in got)
 
 
+def test_strange_languages_are_rejected(spark):
+    df = table(spark, WIDE, "documents").select("doc_id", "text", "lang")
+    rows = sorted((r.lang, r.passage) for r in langid.passages(df, langid.fold("doc_id") != 0).collect())
+    model = langid.train([p for _, p in rows], [lang for lang, _ in rows])
+    assert model.negatives_rejected > 0.9
+    held = [r for r in df.where((langid.fold("doc_id") == 0) & F.col("lang").isNotNull()).collect()]
+    rng = np.random.default_rng(3)
+    clean = [r.text for r in held if len(r.text) > 60]
+    assert np.mean(model.judge(clean)[2]) < 0.01
+    assert np.mean(model.judge([langid._shuffled(t, rng) for t in clean])[2]) > 0.9
+    for out in sorted({lang for lang, _ in rows}):  # a language left out
+        part = langid.train([p for lang, p in rows if lang != out], [lang for lang, _ in rows if lang != out])
+        own, other = [r.text for r in held if r.lang == out and len(r.text) > 200], [r.text for r in held if r.lang != out and len(r.text) > 60]
+        assert np.mean(part.judge(own)[2]) > 0.9 and np.mean(part.judge(other)[2]) < 0.02, out
+
+
 def test_language_rows(docs):
     texts = ["the cat and the house with them", "der hund und die katze mit dem"] * 60
     model = langid.train(texts, ["en", "de"] * 60)

@@ -16,6 +16,7 @@ import html as entities
 import random
 import re
 import zlib
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -49,7 +50,9 @@ ASIDE = frozenset(
     "copyright login search hidden complementary contentinfo".split())
 MAIN = frozenset("article main".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*+)")
+_QUOTED = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+")  # possessive: never goes back
+TAG_CHARS = 8192       # within so many characters a > in quotes does not end a tag; in longer ones the first > does
 _ATTRIBUTE = re.compile(r"(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _WORD = re.compile(r"[a-z]+")
 
@@ -74,17 +77,51 @@ def _element(tag: str, attributes: str) -> tuple[str, ...]:
     return tuple(out)
 
 
+def _next_tag(page: str, at: int, last: int) -> tuple[int, int, bool, str | None, str] | None:
+    """The next tag or comment from a place on: (start, end, closing, name or None, attributes).
+
+    ``last`` is the place of the last > of the page: after a < behind it the rest is text, and a comment
+    without an end runs to the end. No character is read again and again, whatever is left open.
+    """
+    at = page.find("<", at)
+    while at >= 0:
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            return at, len(page) if end < 0 else end + 3, False, None, ""
+        if at > last:
+            return None
+        if page[at + 1] in "!?":
+            return at, page.find(">", at) + 1, False, None, ""
+        m = _NAME.match(page, at + 1)
+        if m:
+            end = _QUOTED.match(page, m.end(), m.end() + TAG_CHARS).end()
+            if not page.startswith(">", end):
+                end = page.find(">", m.end())
+            return at, end + 1, bool(m[1]), m[2].lower(), page[m.end():end]
+        at = page.find("<", at + 1)
+    return None
+
+
+def _raw_end(page: str, tag: str, at: int) -> int | None:
+    """The place behind the end tag of a dropped element."""
+    m = re.compile(rf"</{re.escape(tag)}\b", re.I).search(page, at)
+    end = page.find(">", m.end()) if m else -1
+    return end + 1 if end >= 0 else None
+
+
 def blocks(page: str) -> list[Block]:
     """Leaf blocks of a page, in page order; empty ones are left out.
 
     A head is no container, as its end tag may be left out: only the title, styles and scripts in it are dropped. A dropped
     element without an end tag ends at once (style and title at the next tag), but a script runs to the end of the page.
+    The time is linear in the page, however malformed it is.
     """
     out: list[Block] = []
     stack: list[tuple[str, ...]] = []
     parts: list[str] = []
     links = [0, 0]  # depth of links, characters inside them
-    at, n = 0, len(page)
+    at, n, last = 0, len(page), page.rfind(">")
+    opened: Counter = Counter()  # tags on the stack
     open_ended: set[str] = set()  # tags without an end tag from here on
 
     def add(text: str):
@@ -107,33 +144,33 @@ def blocks(page: str) -> list[Block]:
         links[1] = 0
 
     while at < n:
-        m = _TOKEN.search(page, at)
-        if m is None:
+        found = _next_tag(page, at, last)
+        if found is None:
             add(page[at:])
             break
-        add(page[at:m.start()])
-        at = m.end()
-        tag = m[2]
+        start, end, closing, tag, attributes = found
+        add(page[at:start])
+        at = end
         if tag is None:
             continue
-        tag = tag.lower()
-        if m[1]:
+        if closing:
             if tag == "a" and links[0]:
                 links[0] -= 1
             if tag in INLINE:
                 continue
             close()
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
+            while opened[tag]:  # what it closes with it
+                inner = stack.pop()[0]
+                opened[inner] -= 1
+                if inner == tag:
                     break
             continue
         if tag in RAW:
             close()
-            if not m[3].endswith("/"):
-                end = None if tag in open_ended else re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
-                if end:
-                    at = end.end()
+            if not attributes.endswith("/"):
+                end = None if tag in open_ended else _raw_end(page, tag, at)
+                if end is not None:
+                    at = end
                     continue
                 open_ended.add(tag)
                 if tag == "script":
@@ -154,9 +191,10 @@ def blocks(page: str) -> list[Block]:
         close()
         links[0] = 0
         while stack and stack[-1][0] == "p" or stack and tag in ("li", "dt", "dd", "option", "tr", "td", "th") and stack[-1][0] == tag:
-            stack.pop()
-        if tag not in VOID and not m[3].endswith("/"):
-            stack.append(_element(tag, m[3]))
+            opened[stack.pop()[0]] -= 1
+        if tag not in VOID and not attributes.endswith("/"):
+            stack.append(_element(tag, attributes))
+            opened[tag] += 1
     close()
     return out
 

@@ -44,16 +44,16 @@ def cell_components(df: DataFrame, keys: Sequence[str], xy: tuple[str, str], lin
     edges = reach.join(nodes.withColumnRenamed("_id", "v"), [*keys, "_cx", "_cy"]).select(
         F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")
     ).where("u <> v")
-    stars = _stars(edges)
+    stars = star_components(edges)
     label = nodes.join(stars.select(F.col("u").alias("_id"), F.col("v").alias("_root")), "_id", "left")
     label = label.select(*keys, "_cx", "_cy", F.coalesce("_root", "_id").alias("comp"))
     return placed.join(label, [*keys, "_cx", "_cy"]).select(*df.columns, "comp")
 
 
-def _stars(edges: DataFrame) -> DataFrame:
-    """Alternating large-star / small-star contraction (Kiveris et al., 2014) until nothing changes.
+def star_components(edges: DataFrame) -> DataFrame:
+    """Edges (``u``, ``v``) from every node of a component to its smallest node, from any edges with ``u`` > ``v``.
 
-    Each round only keeps the minimum per node (a partial aggregate) and joins it back; neighbour
+    Alternating large-star / small-star contraction (Kiveris et al., 2014) until nothing changes. Each round only keeps the minimum per node (a partial aggregate) and joins it back; neighbour
     lists are never collected. The edge table is written every round.
     """
     cur = materialize(edges.distinct(), "edges")

@@ -13,6 +13,8 @@ from wheeltrace.llm.line_dedup import dedup_lines
 
 from pyspark.sql import functions as F
 
+from wheeltrace.session import materialize
+
 RNG = random.Random(8)
 WORDS = ["".join(RNG.choice("abcdefgh") for _ in range(RNG.randint(2, 6))) for _ in range(400)]
 
@@ -86,6 +88,19 @@ def test_near_duplicates_odd_rows(docs):
     assert sorted(r.doc_id for r in kept.collect()) == [1, 2, 4, 5, 6]
 
 
+def test_chains_contract_in_few_rounds(spark, monkeypatch):
+    from wheeltrace.llm import common
+    from wheeltrace.operators import grouping
+
+    rounds = []
+    monkeypatch.setattr(grouping, "materialize", lambda df, name: rounds.append(name) or materialize(df, name))
+    edges = [(k, k + 1) for k in range(1000)] + [(5000, 5000), (7000, 6000)]
+    got = common.components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert {r.node: r.comp for r in got} == {**dict.fromkeys(range(1001), 0), 6000: 6000, 7000: 6000} and len(got) == 1003
+    assert len(rounds) < 15
+    assert common.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_rows_of_a_band_follow_the_recall():
     assert ngram_join.band_rows(16, 6, 0.8, 0.9999) == 3
     assert ngram_join.band_rows(16, 6, 0.8, 0.5) == 6

@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wheeltrace.operators.grouping import star_components
 from wheeltrace.session import materialize
 
 TOKENIZER = "word_bpe_49k.json"
@@ -58,23 +59,9 @@ def arrow_map(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (``a``, ``b``) between longs: one row (``node``, ``comp``) per node.
 
-    ``comp`` is the smallest node. Every round points each node at its smallest neighbour (a partial
-    aggregate, no neighbour lists) and contracts the edges; the maps of the rounds are then chained.
+    ``comp`` is the smallest node. The rounds grow with the logarithm of the longest chain.
     """
-    spark = edges.sparkSession
-    left = materialize(edges.where("a <> b").distinct(), "edges")
-    label = spark.createDataFrame([], "node long, comp long")
-    first = True
-    while not left.isEmpty():
-        both = left.select(F.col("a").alias("node"), F.col("b").alias("m")).unionByName(left.select(F.col("b").alias("node"), F.col("a").alias("m")))
-        point = materialize(both.groupBy("node").agg(F.min("m").alias("m")).select("node", F.least("node", "m").alias("to")), "point")
-        if first:
-            label, first = point.select("node", F.col("to").alias("comp")), False
-        else:
-            step = point.select(F.col("node").alias("comp"), "to")
-            label = label.join(step, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp"))
-        label = materialize(label, "label")
-        ends = left.join(point.select(F.col("node").alias("a"), F.col("to").alias("ta")), "a").join(
-            point.select(F.col("node").alias("b"), F.col("to").alias("tb")), "b")
-        left = materialize(ends.where("ta <> tb").select(F.col("ta").alias("a"), F.col("tb").alias("b")).distinct(), "edges")
-    return label
+    ends = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    stars = star_components(ends)
+    roots = stars.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct()
+    return materialize(stars.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(roots), "label")

@@ -14,6 +14,7 @@ from wheeltrace.operators import nearest as Ne
 from wheeltrace.operators import ordered as Od
 from wheeltrace.operators import paths as Pa
 from wheeltrace.operators import timesync as Ts
+from wheeltrace.session import materialize
 
 
 @pytest.fixture()
@@ -238,13 +239,16 @@ def naive_frechet(p, q):
     return ca[-1, -1]
 
 
-@pytest.mark.parametrize("tile", [1000, 7])
-def test_frechet_matches_loop(spark, tile):
+@pytest.mark.parametrize("block, strip, fan", [(16, 1024, 32), (2, 4, 2), (1, 1, 3)])
+def test_frechet_matches_loop(spark, monkeypatch, block, strip, fan):
+    """Also with tiny blocks, strips and groups of maps, so that every way of composing is used."""
+    for name, value in (("LEAST_BLOCK", block), ("STRIP", strip), ("FAN", fan)):
+        monkeypatch.setattr(Fr, name, value)
     rng = np.random.default_rng(6)
     curves = {k: np.cumsum(rng.normal(size=(n, 2)), axis=0) for k, n in ((0, 30), (1, 17), (2, 1), (3, 24))}
     pdf = pd.DataFrame([(k, i, *pt) for k, c in curves.items() for i, pt in enumerate(c)], columns=["run", "seq", "x", "y"])
     df = spark.createDataFrame(pdf)
-    got = {(r.p, r.q): r.frechet for r in Fr.frechet_discrete(df.where("run < 3"), df.where("run > 0"), tile=tile).collect()}
+    got = {(r.p, r.q): r.frechet for r in Fr.frechet_discrete(df.where("run < 3"), df.where("run > 0")).collect()}
     assert len(got) == 9
     for (a, b), v in got.items():
         assert v == pytest.approx(naive_frechet(curves[a], curves[b]))
@@ -253,6 +257,58 @@ def test_frechet_matches_loop(spark, tile):
     assert (best.min_frechet, best.vs) == (2.0, 4)
 
 
+def search_by_strips(p, q, block, strip):
+    """The search without Spark: bounds, strips, maps and candidates of one pair."""
+    boxes = [np.array([[*c[i:i + block].min(0), *c[i:i + block].max(0)] for i in range(0, len(c), block)]) for c in (p, q)]
+    low, high, j0, j1 = Fr.stretch(*boxes)
+    low, high = low * (1 - 1e-12) - 1e-300, high * (1 + 1e-12) + 1e-300
+    a = np.repeat(j0 * block, block)[:len(p)].tolist()
+    b = np.repeat(np.minimum((j1 + 1) * block, len(q)), block)[:len(p)].tolist()
+    limits = np.linspace(max(low, 0), high, 9)[1:-1]
+    while True:
+        out, ends = None, []
+        for i in range(0, len(p), strip):
+            rows = slice(i, i + strip)
+            above = (a[i - 1], b[i - 1]) if i else (0, 0)
+            lo, hi, live = Fr.strip_map(p[rows, 0], p[rows, 1], q[:, 0], q[:, 1], a[rows], b[rows], above, limits, i == 0)
+            last = a[rows][-1]
+            m = np.where(lo <= hi, lo - last, Fr.NOWHERE), np.where(lo <= hi, hi - last, -1), live
+            out = m if out is None else Fr.compose(out, m)
+            ends.append(Fr.between(p[rows, 0], p[rows, 1], q[:, 0], q[:, 1], a[rows], b[rows], np.concatenate([[low], limits, [high]])))
+        through = out[2][:, -1]
+        k = int(through.argmax()) if through.any() else len(limits)
+        left = np.unique(np.concatenate([e[k] for e in ends]))
+        low, high = limits[k - 1] if k else low, limits[k] if k < len(limits) else high
+        limits = Fr.thinned(left, 5)
+        if not len(limits):
+            return np.sqrt(high)
+
+
+def test_frechet_search_on_many_curves():
+    rng = np.random.default_rng(8)
+    for t in range(120):
+        n, m = rng.integers(1, 40, 2)
+        if t % 3:  # like drives along one road, with turns back
+            p, q = (np.stack([np.cumsum(rng.normal(0.4, 0.5, k)), rng.normal(0, 0.4, k)], 1) for k in (n, m))
+        else:
+            p, q = rng.integers(0, 4, (n, 2)).astype(float), rng.integers(0, 4, (m, 2)).astype(float)  # many ties
+        block, strip = int(rng.integers(1, 6)), int(rng.integers(1, 5))
+        assert search_by_strips(p, q, block, strip * block) == pytest.approx(naive_frechet(p, q), abs=1e-12), t
+
+
+def test_frechet_jobs_do_not_follow_the_length(spark, monkeypatch):
+    rounds = []
+    for n in (200, 3000):
+        count = []
+        monkeypatch.setattr(Fr, "materialize", lambda df, name: count.append(name) or materialize(df, name))
+        s = np.arange(n) * 0.3
+        rows = [(k, i, float(x), float(np.sin(x / 9) + k * np.cos(x))) for k in (0, 1) for i, x in enumerate(s)]
+        df = spark.createDataFrame(pd.DataFrame(rows, columns=["run", "seq", "x", "y"]))
+        assert Fr.frechet_discrete(df.where("run = 0"), df.where("run = 1")).count() == 1
+        rounds.append(len(count))
+    assert rounds[1] <= rounds[0] + 2 and rounds[1] < 14
+
+
 def test_downsample_curve_matches_linspace(spark):
     df = spark.createDataFrame([(0, i) for i in range(1234)], "run long, seq long")
     got = sorted(r.seq for r in Fr.downsample_curve(df, "run", "seq", 500).collect())

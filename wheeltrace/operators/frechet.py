@@ -1,9 +1,19 @@
-"""Discrete Frechet distance between curves, computed in tiles of the distance matrix.
+"""Discrete Frechet distance between curves by reachability at candidate distances.
 
-Curves are stored as rows of at most ``tile`` points. A pair of curves needs a grid of tiles; the
-tiles of one anti-diagonal (over all pairs at once) are independent and form one Spark job that only
-reads the border values written by the previous one. No task ever holds more than two blocks of
-points and their borders, whatever the curve length, and the result is exact.
+The distance is the smallest point distance d at which the cells of the distance matrix that are at most d
+let a monotone path through from the first pair of points to the last. It is found by a search over the candidate distances,
+a few at a time for all pairs of curves in one job:
+
+* Boxes around blocks of points bound the distance of a pair and leave out the cells that no path at the upper bound can use:
+  of each block row only a stretch of columns is left.
+* The rows of a pair are cut into strips, which are independent tasks. For each candidate a strip becomes a map from the cells above it to
+  the cells of its last row. Paths in the plane cannot pass each other without meeting, so what a cell reaches is an interval of the
+  cells that anything reaches: two numbers a cell.
+* Maps of neighbouring strips compose, so a pair is reduced by groups of strips. The result tells which candidates let a path
+  through, and samples of the distances in between give the next candidates.
+
+The number of jobs follows the logarithm of the number of distances (base ``CANDIDATES``), not the length of the curves. A task
+holds one strip of a curve and the stretch of the other that it can reach.
 """
 
 from __future__ import annotations
@@ -16,72 +26,290 @@ from pyspark.sql import functions as F
 from wheeltrace.operators.ordered import dense_number
 from wheeltrace.session import materialize
 
-TILE = 8192
+BLOCKS = 1024            # blocks of a curve at most
+LEAST_BLOCK = 16         # points of a block at least
+STRIP = 1024             # points of a strip, or one block if that is larger
+CANDIDATES = 15          # distances tried in one job
+SAMPLES = 16             # distances named by a strip between two candidates
+FAN = 32                 # maps composed in one step
+ROOM = 3_000_000         # cells of a row times candidates that are worked on at once
+NOWHERE = np.int64(1) << 60
+
+
+# --- bounds from boxes ------------------------------------------------------------------------------
+def _box_distances(p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Least and largest squared distances between boxes (x0, y0, x1, y1), a little wider than exact."""
+    lo, hi = [], []
+    for a, b in ((0, 2), (1, 3)):
+        gap = np.maximum(np.maximum(q[None, :, a] - p[:, None, b], p[:, None, a] - q[None, :, b]), 0)
+        far = np.maximum(np.abs(q[None, :, b] - p[:, None, a]), np.abs(p[:, None, b] - q[None, :, a]))
+        lo.append(gap)
+        hi.append(far)
+    return (lo[0] ** 2 + lo[1] ** 2) * (1 - 1e-12), (hi[0] ** 2 + hi[1] ** 2) * (1 + 1e-12)
+
+
+def minimax(d: np.ndarray) -> float:
+    """Least possible maximum along a monotone path through a matrix, by anti-diagonals."""
+    n, m = d.shape
+    before, last = np.full(n + 1, np.inf), np.full(n + 1, np.inf)
+    before[0] = -np.inf  # the step into the first cell
+    for k in range(n + m - 1):
+        i = np.arange(max(0, k - m + 1), min(n - 1, k) + 1)
+        best = np.minimum(np.minimum(last[i], last[i + 1]), before[i])
+        cur = np.full(n + 1, np.inf)
+        cur[i + 1] = np.maximum(best, d[i, k - i])
+        before, last = last, cur
+    return float(last[n])
+
 
+def _spread(free: np.ndarray, given: np.ndarray) -> np.ndarray:
+    """Free cells of rows that given cells reach by going right; works on the last axis."""
+    run = 2 * np.cumsum(~free, axis=-1)
+    return free & (np.maximum.accumulate(run + (given & free), axis=-1) > run)
 
-def tile_borders(px, py, qx, qy, left, top, corner):
-    """Last column, last row and last value of one tile (squared distances), by anti-diagonals.
 
-    ``left[i]`` / ``top[j]`` are the values just outside the tile and ``corner`` the one diagonal to
-    its first cell. Buffers are indexed by row + 1, slot 0 being the row above the tile.
+def _reached(free: np.ndarray) -> np.ndarray:
+    """Cells that the first cell reaches."""
+    out = np.zeros_like(free)
+    given = np.zeros(free.shape[1], bool)
+    given[0] = True
+    for i in range(len(free)):
+        out[i] = _spread(free[i], given)
+        given = out[i].copy()
+        given[1:] |= out[i, :-1]
+    return out
+
+
+def stretch(p: np.ndarray, q: np.ndarray) -> tuple[float, float, np.ndarray, np.ndarray]:
+    """Bounds of the squared distance from boxes, and the first and last column block of every row block."""
+    low, high = _box_distances(p, q)
+    bound = minimax(high)
+    free = low <= bound
+    on = _reached(free) & _reached(free[::-1, ::-1])[::-1, ::-1]
+    return minimax(low), bound, on.argmax(1), on.shape[1] - 1 - on[:, ::-1].argmax(1)
+
+
+# --- strips -----------------------------------------------------------------------------------------
+def strip_map(px, py, qx, qy, a, b, above, limits, first: bool):
+    """Maps of a strip at each limit: (lo, hi, live) over entries, entries and exits.
+
+    ``a``, ``b`` are the columns of each row, ``above`` those of the row before the strip. ``lo`` and ``hi`` are the first and last
+    column of the last row that an entry reaches (none: ``lo`` > ``hi``), ``live`` the columns that any entry reaches.
     """
-    n, m = len(px), len(qx)
-    right, bottom = np.empty(n), np.empty(m)
-    rx, ry = qx[::-1], qy[::-1]
-    last, before, cur = np.full(n + 1, np.inf), np.full(n + 1, np.inf), np.full(n + 1, np.inf)
-    for d in range(n + m - 1):
-        lo, hi = max(0, d - m + 1), min(n - 1, d)
-        if d < m:
-            last[0] = top[d]
-            before[0] = top[d - 1] if d else corner
-        if d < n:
-            last[d + 1] = left[d]
-            if d:
-                before[d] = left[d - 1]
-        rev = slice(m - 1 - d + lo, m - d + hi)
-        dx, dy = px[lo:hi + 1] - rx[rev], py[lo:hi + 1] - ry[rev]
-        best = np.minimum(np.minimum(last[lo:hi + 1], last[lo + 1:hi + 2]), before[lo:hi + 1])
-        cur[lo + 1:hi + 2] = np.maximum(best, dx * dx + dy * dy)
-        if hi == n - 1:
-            bottom[d - hi] = cur[n]
-        if d >= m - 1:
-            right[lo] = cur[lo + 1]
-        last, before, cur = cur, last, before
-    return right, bottom, bottom[-1]
-
-
-def _blocks(curves: DataFrame, curve: str, pos: str, tile: int, name: str) -> DataFrame:
+    width, k = len(qx), len(limits)
+    none, shift = width + 1, width + 3
+    lim = np.asarray(limits)[:, None]
+    lo, hi = np.full((k, width + 1), none, np.int64), np.full((k, width + 1), -1, np.int64)
+
+    def squares(i):
+        dx, dy = px[i] - qx[a[i]:b[i]], py[i] - qy[a[i]:b[i]]
+        return dx * dx + dy * dy
+
+    last = len(px) - 1
+    for i in range(last, -1, -1):
+        free = squares(i) <= lim
+        s = slice(a[i], b[i])
+        if i == last:
+            low, high = np.where(free, np.arange(a[i], b[i]), none), np.where(free, np.arange(a[i], b[i]), -1)
+        else:
+            low = np.where(free, np.minimum(lo[:, s], lo[:, a[i] + 1:b[i] + 1]), none)
+            high = np.where(free, np.maximum(hi[:, s], hi[:, a[i] + 1:b[i] + 1]), -1)
+            lo[:, a[i + 1]:b[i + 1]], hi[:, a[i + 1]:b[i + 1]] = none, -1
+        # going right: from the right end, a blocked cell starts anew
+        run = np.cumsum(~free[:, ::-1], axis=1) * shift
+        lo[:, s] = (np.minimum.accumulate(low[:, ::-1] - run, axis=1) + run)[:, ::-1]
+        hi[:, s] = (np.maximum.accumulate(high[:, ::-1] + run, axis=1) - run)[:, ::-1]
+    live = np.zeros((k, width + 1), bool)  # one place to the right, so that the cell before is at hand
+    if first:
+        out_lo, out_hi = lo[:, :1], hi[:, :1]
+    else:
+        s = slice(above[0], above[1])
+        out_lo, out_hi = np.minimum(lo[:, s], lo[:, above[0] + 1:above[1] + 1]), np.maximum(hi[:, s], hi[:, above[0] + 1:above[1] + 1])
+        live[:, above[0] + 1:above[1] + 1] = True
+    for i in range(len(px)):
+        given = live[:, a[i]:b[i]] | live[:, a[i] + 1:b[i] + 1]
+        if first and i == 0:
+            given[:, 0] = True
+        else:
+            prev = above if i == 0 else (a[i - 1], b[i - 1])
+            live[:, prev[0] + 1:prev[1] + 1] = False
+        live[:, a[i] + 1:b[i] + 1] = _spread(squares(i) <= lim, given)
+    return out_lo, out_hi, live[:, a[last] + 1:b[last] + 1]
+
+
+def between(px, py, qx, qy, a, b, edges, most: int = SAMPLES, held: int = 400_000) -> list[np.ndarray]:
+    """Some of the distances of a strip in each interval (edge, next edge), all if there are few."""
+    found, size = [], 0
+    for i in range(len(px)):
+        dx, dy = px[i] - qx[a[i]:b[i]], py[i] - qy[a[i]:b[i]]
+        d = dx * dx + dy * dy
+        d = d[(d > edges[0]) & (d < edges[-1])]
+        found.append(d)
+        size += len(d)
+        if size > held:  # many are left: a part of them will do
+            found = [thinned(np.unique(np.concatenate(found)), held // 8)]
+            size = len(found[0])
+    d = np.unique(np.concatenate(found)) if found else np.zeros(0)
+    out = []
+    for lo, hi in zip(edges[:-1], edges[1:]):
+        out.append(thinned(d[np.searchsorted(d, lo, side="right"):np.searchsorted(d, hi, side="left")], most))
+    return out
+
+
+def thinned(values: np.ndarray, most: int) -> np.ndarray:
+    """At most ``most`` evenly spread ones of sorted values."""
+    if len(values) <= most:
+        return values
+    return values[np.linspace(0, len(values) - 1, most).astype(np.int64)]
+
+
+def compose(f, g):
+    """The map of two neighbouring strips; exits of ``f`` and entries of ``g`` are the same columns."""
+    lo, hi, live_f = f
+    glo, ghi, live_g = g
+    k, mid = live_f.shape
+    glo, ghi = np.where(live_f, glo, NOWHERE), np.where(live_f, ghi, -1)
+    low, high = np.full(lo.shape, NOWHERE), np.full(hi.shape, -1, np.int64)
+    live = np.zeros_like(live_g)
+    for r in range(k):
+        some = np.flatnonzero(lo[r] <= hi[r])
+        if len(some):
+            low[r, some] = _range(np.minimum, glo[r], lo[r, some], hi[r, some])
+            high[r, some] = _range(np.maximum, ghi[r], lo[r, some], hi[r, some])
+        on = np.flatnonzero(glo[r] <= ghi[r])
+        edge = np.zeros(live_g.shape[1] + 1, np.int64)
+        np.add.at(edge, glo[r, on], 1)
+        np.add.at(edge, ghi[r, on] + 1, -1)
+        live[r] = live_g[r] & (np.cumsum(edge)[:-1] > 0)
+    return low, high, live
+
+
+def _range(best, values: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Best value of each range begin..end (inclusive), from tables of doubled ranges."""
+    out, size = np.empty(len(begin), values.dtype), np.frexp(end - begin + 1)[1] - 1
+    row, level = values, 0
+    while True:
+        own = size == level
+        out[own] = best(row[begin[own]], row[end[own] - (1 << level) + 1])
+        level += 1
+        if level > size.max():
+            return out
+        row = best(row[:-(1 << (level - 1))], row[1 << (level - 1):])
+
+
+# --- Spark ------------------------------------------------------------------------------------------
+def _blocks(curves: DataFrame, curve: str, pos: str, name: str) -> DataFrame:
+    """Blocks of at least ``LEAST_BLOCK`` points, ``BLOCKS`` of a curve at most."""
     seq = dense_number(curves.select(curve, pos, "x", "y"), [curve], [pos], "_pos")
-    b = seq.groupBy(curve, F.expr(f"_pos div {tile}").alias("block")).agg(
-        F.sort_array(F.collect_list(F.struct("_pos", "x", "y"))).alias("pts")
-    )
-    return materialize(
-        b.select(F.col(curve).alias(name), F.col("block").alias(f"{name}_block"),
-                 F.col("pts.x").alias(f"{name}x"), F.col("pts.y").alias(f"{name}y")), "blocks")
+    n = seq.groupBy(curve).agg((F.max("_pos") + 1).alias("n"))
+    size = F.greatest(F.lit(LEAST_BLOCK).cast("long"), F.ceil(F.col("n") / BLOCKS))
+    seq = seq.join(n.select(curve, "n", size.alias("size")), curve)
+    b = seq.groupBy(curve, "n", "size", F.floor(F.col("_pos") / F.col("size")).alias("block")).agg(
+        F.sort_array(F.collect_list(F.struct("_pos", "x", "y"))).alias("pts"))
+    return materialize(b.select(
+        F.col(curve).alias(name), "n", "size", "block", F.col("pts.x").alias("x"), F.col("pts.y").alias("y")), "blocks")
+
+
+def _outline(blocks: DataFrame, name: str) -> DataFrame:
+    """One row per curve with the boxes of its blocks."""
+    box = F.struct("block", *[f("x" if c == "x" else "y").alias(a) for a, f, c in (
+        ("x0", F.array_min, "x"), ("y0", F.array_min, "y"), ("x1", F.array_max, "x"), ("y1", F.array_max, "y"))])
+    out = blocks.groupBy(name).agg(F.first("n").alias(f"{name}n"), F.first("size").alias(f"{name}size"), F.sort_array(F.collect_list(box)).alias("b"))
+    return out.select(name, f"{name}n", f"{name}size", *[F.col(f"b.{c}").alias(f"{name}{c}") for c in ("x0", "y0", "x1", "y1")])
+
+
+def _plan(batches):
+    """Strips of each pair: row blocks, their columns, and bounds of the distance."""
+    for pdf in batches:
+        rows = []
+        for r in pdf.itertuples(index=False):
+            p, q = (np.stack([np.asarray(getattr(r, side + c)) for c in ("x0", "y0", "x1", "y1")], 1) for side in "pq")
+            low, high, j0, j1 = stretch(p, q)
+            per = max(1, STRIP // r.psize)
+            for s, i in enumerate(range(0, len(p), per)):
+                e = min(i + per, len(p)) - 1
+                before = (int(j0[i - 1]), int(j1[i - 1])) if i else (0, 0)
+                rows.append((r.p, r.q, s, i, e, j0[i:e + 1], j1[i:e + 1], *before, int(min(j0[i:e + 1].min(), before[0] if i else j0[i])),
+                             int(max(j1[i:e + 1].max(), before[1])), r.psize, r.qsize, r.pn, r.qn, low, high))
+        yield pd.DataFrame(rows, columns=_PLAN)
+
+
+_PLAN = ["p", "q", "s", "i0", "i1", "j0", "j1", "above0", "above1", "q0", "q1", "psize", "qsize", "pn", "qn", "low", "high"]
+_PLAN_TYPES = ("s long, i0 long, i1 long, j0 array<long>, j1 array<long>, above0 long, above1 long, q0 long, q1 long, "
+               "psize long, qsize long, pn long, qn long, low double, high double")
+
+
+def _with_points(strips: DataFrame, blocks: DataFrame, name: str, first: str, last: str) -> DataFrame:
+    """Add the points of the blocks from ``first`` to ``last`` of a curve."""
+    need = strips.select("p", "q", "s", F.explode(F.sequence(first, last)).alias("block"))
+    pts = need.join(blocks.select(name, "block", "x", "y"), [name, "block"]).groupBy("p", "q", "s").agg(
+        F.sort_array(F.collect_list(F.struct("block", "x", "y"))).alias("b"))
+    pts = pts.select("p", "q", "s", F.flatten("b.x").alias(f"{name}x"), F.flatten("b.y").alias(f"{name}y"))
+    return strips.join(pts, ["p", "q", "s"])
 
 
-_OUT = "i long, j long, right array<double>, bottom array<double>, corner double"
+def _rows_of(r) -> tuple:
+    """Points of a strip and the columns of its rows and of the row above, relative to its own stretch."""
+    px, py, qx, qy = (np.asarray(v) for v in (r.px, r.py, r.qx, r.qy))
+    block = np.arange(len(px)) // r.psize
+    start = r.q0 * r.qsize
+    a = (np.asarray(r.j0)[block] * r.qsize - start).astype(np.int64)
+    b = np.minimum((np.asarray(r.j1)[block] + 1) * r.qsize, r.qn).astype(np.int64) - start
+    above = r.above0 * r.qsize - start, min((r.above1 + 1) * r.qsize, r.qn) - start
+    return px, py, qx, qy, a.tolist(), b.tolist(), above
 
 
-def _sweep(batches):
+def _try(batches):
+    """The maps of strips at the candidates of their pairs, and distances between the candidates."""
     for pdf in batches:
         rows = []
         for r in pdf.itertuples(index=False):
-            n, m = len(r.px), len(r.qx)
-            left = np.full(n, np.inf) if r.left is None else np.asarray(r.left)
-            top = np.full(m, np.inf) if r.top is None else np.asarray(r.top)
-            first = r.i == 0 and r.j == 0
-            corner = -np.inf if first else (np.inf if np.isnan(r.diag) else r.diag)
-            right, bottom, last = tile_borders(
-                np.asarray(r.px), np.asarray(r.py), np.asarray(r.qx), np.asarray(r.qy), left, top, corner
-            )
-            rows.append((r.p, r.q, r.i, r.j, right, bottom, float(last)))
-        yield pd.DataFrame(rows, columns=["p", "q", "i", "j", "right", "bottom", "corner"])
+            px, py, qx, qy, a, b, above = _rows_of(r)
+            limits = np.asarray(r.limits)
+            step = max(1, ROOM // max(1, len(qx)))
+            parts = [strip_map(px, py, qx, qy, a, b, above, limits[k:k + step], r.s == 0) for k in range(0, len(limits), step)]
+            lo, hi, live = (np.concatenate(x) for x in zip(*parts))
+            # columns count from the first exit, as the next strip's entries do
+            lo, hi = np.where(lo <= hi, lo - a[-1], NOWHERE), np.where(lo <= hi, hi - a[-1], -1)
+            ends = between(px, py, qx, qy, a, b, np.concatenate([[r.low], limits, [r.high]]))
+            rows.append((r.p, r.q, r.s, lo.ravel(), hi.ravel(), live.ravel(), ends, limits, r.low, r.high))
+        yield pd.DataFrame(rows, columns=["p", "q", "s", "lo", "hi", "live", "ends", "limits", "low", "high"])
+
+
+_MAP_TYPES = "s long, lo array<long>, hi array<long>, live array<boolean>, ends array<array<double>>, limits array<double>, low double, high double"
+
+
+def _together(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Compose the maps of neighbouring strips."""
+    pdf = pdf.sort_values("s")
+    k = len(pdf.limits.iloc[0])
+    shaped = [tuple(np.stack(getattr(r, c)).reshape(k, -1) if k else np.zeros((0, 1)) for c in ("lo", "hi", "live")) for r in pdf.itertuples()]
+    out = shaped[0]
+    for g in shaped[1:]:
+        out = compose(out, g)
+    ends = [thinned(np.unique(np.concatenate([np.asarray(e[i], float) for e in pdf.ends])), 4 * SAMPLES) for i in range(k + 1)]
+    r = pdf.iloc[0]
+    return pd.DataFrame([(r.p, r.q, r.s // FAN, *(x.ravel() for x in out), ends, r.limits, r.low, r.high)],
+                        columns=["p", "q", "s", "lo", "hi", "live", "ends", "limits", "low", "high"])
+
+
+def _narrow(batches):
+    """The part of the search range that is left, and the next candidates."""
+    for pdf in batches:
+        rows = []
+        for r in pdf.itertuples(index=False):
+            limits = np.asarray(r.limits, float)
+            through = np.asarray(r.live, bool).reshape(len(limits), -1)[:, -1] if len(limits) else np.zeros(0, bool)
+            k = int(np.argmax(through)) if through.any() else len(limits)
+            high = float(limits[k]) if k < len(limits) else r.high
+            low = float(limits[k - 1]) if k else r.low
+            left = np.asarray(r.ends[k], float)
+            rows.append((r.p, r.q, low, high, thinned(left, CANDIDATES)))
+        yield pd.DataFrame(rows, columns=["p", "q", "low", "high", "limits"])
 
 
 def frechet_discrete(
-    left: DataFrame, right: DataFrame, curve: str = "run", pos: str = "seq", tile: int = TILE,
-    scenario: str | None = None,
+    left: DataFrame, right: DataFrame, curve: str = "run", pos: str = "seq", scenario: str | None = None,
 ) -> DataFrame:
     """Distance of every left curve to every right curve of its scenario: ``p, q, frechet``.
 
@@ -90,54 +318,41 @@ def frechet_discrete(
     """
     spark = left.sparkSession
     ids = f"p {dict(left.dtypes)[curve]}, q {dict(right.dtypes)[curve]}"
-    p, q = _blocks(left, curve, pos, tile, "p"), _blocks(right, curve, pos, tile, "q")
+    p, q = _blocks(left, curve, pos, "p"), _blocks(right, curve, pos, "q")
 
-    def sizes(blocks, source, name):
-        n = blocks.groupBy(name).agg((F.max(f"{name}_block") + 1).alias(f"{name}n"))
+    def outlines(blocks, source, name):
+        out = _outline(blocks, name)
         if scenario is None:
-            return n.withColumn("_scenario", F.lit(0))
-        of = source.select(F.col(curve).alias(name), F.col(scenario).alias("_scenario")).distinct()
-        return n.join(of, name)
-
-    tiles = materialize(
-        sizes(p, left, "p").join(sizes(q, right, "q"), "_scenario").drop("_scenario")
-        .select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pn") - 1)).alias("i"))
-        .select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("qn") - 1)).alias("j")),
-        "tiles",
-    )
-    waves = tiles.agg(F.max(F.col("i") + F.col("j"))).first()[0]
-    if waves is None:
-        return spark.createDataFrame([], f"{ids}, frechet double")
-    done: list[DataFrame] = []
+            return out.withColumn("_scenario", F.lit(0))
+        return out.join(source.select(F.col(curve).alias(name), F.col(scenario).alias("_scenario")).distinct(), name)
+
     parallel = spark.sparkContext.defaultParallelism
-    for wave in range(waves + 1):
-        work = (
-            tiles.where(F.col("i") + F.col("j") == wave)
-            .join(p.withColumnRenamed("p_block", "i"), ["p", "i"])
-            .join(q.withColumnRenamed("q_block", "j"), ["q", "j"])
-        )
-        if wave == 0:
-            work = work.select("*", F.lit(None).cast("array<double>").alias("left"),
-                               F.lit(None).cast("array<double>").alias("top"), F.lit(None).cast("double").alias("diag"))
-        else:
-            side = done[-1]
-            work = work.join(side.select("p", "q", "i", (F.col("j") + 1).alias("j"), F.col("right").alias("left")),
-                             ["p", "q", "i", "j"], "left")
-            work = work.join(side.select("p", "q", (F.col("i") + 1).alias("i"), "j", F.col("bottom").alias("top")),
-                             ["p", "q", "i", "j"], "left")
-            if wave > 1:
-                work = work.join(done[-2].select("p", "q", (F.col("i") + 1).alias("i"), (F.col("j") + 1).alias("j"),
-                                                 F.col("corner").alias("diag")), ["p", "q", "i", "j"], "left")
-            else:
-                work = work.withColumn("diag", F.lit(None).cast("double"))
-        work = work.select("p", "q", "i", "j", "px", "py", "qx", "qy", "left", "top", "diag")
-        swept = work.repartition(parallel, "p", "q", "i", "j").mapInPandas(_sweep, f"{ids}, {_OUT}")
-        done.append(materialize(swept, "wave"))
-    last = tiles.where((F.col("i") == F.col("pn") - 1) & (F.col("j") == F.col("qn") - 1)).select("p", "q", "i", "j")
-    values = done[0]
-    for d in done[1:]:
-        values = values.unionByName(d)
-    return values.join(last, ["p", "q", "i", "j"], "left_semi").select("p", "q", F.sqrt("corner").alias("frechet"))
+    pairs = outlines(p, left, "p").join(outlines(q, right, "q"), "_scenario").drop("_scenario").repartition(parallel, "p", "q")
+    plan = materialize(pairs.mapInPandas(_plan, f"{ids}, {_PLAN_TYPES}"), "plan")
+    strips = plan.select(*[c for c in _PLAN if c not in ("low", "high")])
+    strips = materialize(_with_points(_with_points(strips, p, "p", "i0", "i1"), q, "q", "q0", "q1").repartition(parallel, "p", "q", "s"), "strips")
+    # both bounds may be reached: the range is open at its ends
+    state = plan.where("s = 0").select("p", "q", (F.col("low") * (1 - 1e-12) - 1e-300).alias("low"), (F.col("high") * (1 + 1e-12) + 1e-300).alias("high"))
+    step = (F.sqrt("high") - F.sqrt(F.greatest("low", F.lit(0.0)))) / (CANDIDATES + 1)
+    even = F.transform(F.sequence(F.lit(1), F.lit(CANDIDATES)), lambda i: F.pow(F.sqrt(F.greatest("low", F.lit(0.0))) + i * step, 2))
+    state = materialize(state.withColumn("limits", F.array_sort(F.array_distinct(F.filter(even, lambda v: (v > F.col("low")) & (v < F.col("high")))))), "range")
+    most = plan.agg(F.max("s")).first()[0]
+    levels, reach = 1, FAN
+    while most is not None and reach <= most:
+        levels, reach = levels + 1, reach * FAN
+    done = [state.where(F.size("limits") == 0).select("p", "q", F.sqrt("high").alias("frechet"))]  # no number lies in between
+    state = state.where(F.size("limits") > 0)
+    while not state.isEmpty():
+        maps = strips.join(state, ["p", "q"]).repartition(parallel, "p", "q", "s").mapInPandas(_try, f"{ids}, {_MAP_TYPES}")
+        for _ in range(levels):
+            maps = maps.groupBy("p", "q", F.floor(F.col("s") / FAN)).applyInPandas(_together, f"{ids}, {_MAP_TYPES}")
+        after = materialize(maps.mapInPandas(_narrow, f"{ids}, low double, high double, limits array<double>"), "range")
+        done.append(after.where(F.size("limits") == 0).select("p", "q", F.sqrt("high").alias("frechet")))
+        state = after.where(F.size("limits") > 0)
+    out = spark.createDataFrame([], f"{ids}, frechet double")
+    for d in done:
+        out = out.unionByName(d)
+    return out
 
 
 def frechet_min(pairs: DataFrame, counts: DataFrame | None = None, min_points: int = 10) -> DataFrame:

@@ -216,6 +216,38 @@ def test_tracker_is_the_same_however_it_is_cut(many_parts):
     assert not got.duplicated(["run", "first_frame", "first_det"]).any()  # no detection opens two tracks
 
 
+def test_parts_apart_in_time_are_cut(many_parts, monkeypatch):
+    """One chain of places, seen in visits far apart: no part is larger than a visit, and none needs slices."""
+    rng = np.random.default_rng(4)
+    rows = [(0, 40 * v + f, i, 1.5 * i + rng.normal() * 0.1, 0.0) for v in range(5) for f in range(1, 9) for i in range(6)]
+    df = shuffled(many_parts, detections(rows))
+    lasts = many_parts.createDataFrame([(0, 210)], "run long, last long")
+    cut = Gp.cell_components(df, ["run"], ("x", "y"), 2.0, "frame", 16)
+    assert sorted(r["count"] for r in cut.groupBy("comp").count().collect()) == [48] * 5
+    assert Gp.cell_components(df, ["run"], ("x", "y"), 2.0).select("comp").distinct().count() == 1
+    want = Gp.track_static(df, lasts).toPandas().sort_values("ord").reset_index(drop=True)
+    monkeypatch.setattr(Gp, "_sliced", None)
+    got = Gp.track_static(df, lasts, max_rows=48).toPandas().sort_values("ord").reset_index(drop=True)
+    pd.testing.assert_frame_equal(want, got, check_exact=False)
+    assert len(got) >= 25
+
+
+def test_finished_clusters_leave_the_loop(many_parts, monkeypatch):
+    """Along one road only the clusters near the last rows stay open from slice to slice."""
+    rng = np.random.default_rng(5)
+    n = 400
+    pdf = pd.DataFrame({"run": 0, "ord": np.arange(n), "bx": np.arange(n) * 0.9 + rng.normal(size=n) * 0.2, "by": 0.0, "w": 1.0, "n": 1})
+    states = []
+    monkeypatch.setattr(Gp, "materialize", lambda df, name, **kw: states.append((name, materialize(df, name, **kw))) or states[-1][1])
+    got = Gp.first_fit(shuffled(many_parts, pdf), 2.0, sums=["n"], max_rows=20).toPandas()
+    want = naive_first_fit(list(pdf[["ord", "bx", "by", "w"]].itertuples(index=False, name=None)), 2.0)
+    assert sorted((int(a), int(b), round(c, 6)) for a, b, c in zip(got.first_ord, got.n, got.w)) == want
+    open_ = [df.where("not done").count() for name, df in states if name == "state"]
+    assert len(open_) == 20 and max(open_) <= 5 and open_[-1] == 0
+    slices = next(df for name, df in states if name == "slices")
+    assert "PartitionFilters: [isnotnull(_slice" in slices.where("_slice = 3")._jdf.queryExecution().toString()
+
+
 def test_merge_pass_by_hand(spark):
     """Weighted means pull a cluster along, so the third point is reached only through the second."""
     w = [1.0, 3.0, 1.0, 1.0, 1.0]

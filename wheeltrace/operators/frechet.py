@@ -29,7 +29,7 @@ from wheeltrace.session import materialize
 BLOCKS = 1024            # blocks of a curve at most
 LEAST_BLOCK = 16         # points of a block at least
 STRIP = 1024             # points of a strip, or one block if that is larger
-CANDIDATES = 15          # distances tried in one job
+CANDIDATES = 31          # distances tried in one job
 SAMPLES = 16             # distances named by a strip between two candidates
 FAN = 32                 # maps composed in one step
 ROOM = 3_000_000         # cells of a row times candidates that are worked on at once

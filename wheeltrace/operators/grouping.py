@@ -8,9 +8,12 @@ first cut into spatial components that cannot influence each other:
   T of the newest member), so groups linked at 2T never share a cluster;
 * tracker: a track keeps the position of its last detection, so groups linked at T are independent.
 
-Components are found on occupied grid cells, not on pairs of rows. A component that is still larger
-than ``max_rows`` is folded in ordered slices, carrying only the open clusters or live tracks from
-one slice to the next. Every path gives the same rows as the plain loop.
+Components are found on occupied grid cells, not on pairs of rows. For the tracker the cells also have a place in
+time: no track lives across a gap of more than ``max_age + 1`` processed frames, so cells further apart than that are not
+linked, and what stands at one place in two visits falls into two parts. A component that is still larger than
+``max_rows`` is folded in ordered slices, written partitioned by slice, carrying only what is open from one slice to the
+next: live tracks, and clusters that a later row can still reach. A cluster moves only when a row within the radius joins, so it
+is finished once no later row lies in the cells around it. Every path gives the same rows as the plain loop.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wheeltrace.operators.ordered import dense_number
@@ -28,26 +31,31 @@ MAX_ROWS = 250_000
 
 
 # --- connected components on occupied cells -------------------------------------------------------
-def cell_components(df: DataFrame, keys: Sequence[str], xy: tuple[str, str], link: float) -> DataFrame:
-    """Adds ``comp``: rows of one key closer than ``link`` always share it (it may merge more)."""
+def cell_components(
+    df: DataFrame, keys: Sequence[str], xy: tuple[str, str], link: float, time: str | None = None, span: int = 1,
+) -> DataFrame:
+    """Adds ``comp``: rows of one key closer than ``link`` always share it (it may merge more).
+
+    With ``time`` (a whole number) only rows up to ``span`` apart in time are close.
+    """
     keys = list(keys)
     h = link / 2
-    cells = [F.floor(F.col(xy[0]) / h).alias("_cx"), F.floor(F.col(xy[1]) / h).alias("_cy")]
+    cells = [F.floor(F.col(xy[0]) / h).alias("_cx"), F.floor(F.col(xy[1]) / h).alias("_cy"),
+             (F.floor(F.col(time) / span) if time else F.lit(0).cast("long")).alias("_ct")]
+    at = [*keys, "_cx", "_cy", "_ct"]
     placed = df.select("*", *cells)
-    node = F.xxhash64(*keys, "_cx", "_cy")
-    nodes = materialize(placed.select(*keys, "_cx", "_cy").distinct().withColumn("_id", node), "cells")
-    ahead = [(dx, dy) for dx in range(3) for dy in range(-2, 3) if dx > 0 or dy > 0]
-    steps = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in ahead])
-    reach = nodes.select(*keys, "_cx", "_cy", F.col("_id").alias("u"), F.explode(steps).alias("d")).select(
-        *keys, (F.col("_cx") + F.col("d.dx")).alias("_cx"), (F.col("_cy") + F.col("d.dy")).alias("_cy"), "u"
-    )
-    edges = reach.join(nodes.withColumnRenamed("_id", "v"), [*keys, "_cx", "_cy"]).select(
+    nodes = materialize(placed.select(*at).distinct().withColumn("_id", F.xxhash64(*at)), "cells")
+    ahead = [(dx, dy, dt) for dx in range(3) for dy in range(-2, 3) for dt in ((-1, 0, 1) if time else (0,)) if (dx, dy, dt) > (0, 0, 0)]
+    steps = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy"), F.lit(dt).alias("dt")) for dx, dy, dt in ahead])
+    reach = nodes.select(*at, F.col("_id").alias("u"), F.explode(steps).alias("d")).select(
+        *keys, *[(F.col(c) + F.col(f"d.{d}")).alias(c) for c, d in (("_cx", "dx"), ("_cy", "dy"), ("_ct", "dt"))], "u")
+    edges = reach.join(nodes.withColumnRenamed("_id", "v"), at).select(
         F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")
     ).where("u <> v")
     stars = star_components(edges)
     label = nodes.join(stars.select(F.col("u").alias("_id"), F.col("v").alias("_root")), "_id", "left")
-    label = label.select(*keys, "_cx", "_cy", F.coalesce("_root", "_id").alias("comp"))
-    return placed.join(label, [*keys, "_cx", "_cy"]).select(*df.columns, "comp")
+    label = label.select(*at, F.coalesce("_root", "_id").alias("comp"))
+    return placed.join(label, at).select(*df.columns, "comp")
 
 
 def star_components(edges: DataFrame) -> DataFrame:
@@ -79,11 +87,13 @@ def star_components(edges: DataFrame) -> DataFrame:
 def ordered_fold(
     items: DataFrame, run: str, order: Sequence[str], xy: tuple[str, str], link: float,
     fold: Callable, schema: str, frame: str | None = None, max_rows: int = MAX_ROWS,
+    span: int = 1, centre: tuple[Column, Column] | None = None, radius: float = 0.0,
 ) -> DataFrame:
     """Run ``fold(state | None, ordered rows) -> state`` per recording, exactly, in bounded groups.
 
     ``schema`` is the state row, starting with ``run`` and ending with ``done boolean``: rows that are
-    done leave the loop. ``frame`` names the column whose rows must stay in one slice.
+    done leave the loop. ``frame`` names the column whose rows must stay in one slice; a state row lives on for ``span``
+    frames after its last row. ``centre`` of a state row moves only when a row closer than ``radius`` comes.
     """
     order = list(order)
     sizes = items.groupBy(run).agg(F.count(F.lit(1)).alias("_n"))
@@ -95,7 +105,7 @@ def ordered_fold(
     if big.isEmpty():
         return items.groupBy(run).applyInPandas(whole, schema)
     small = items.join(big, run, "left_anti").groupBy(run).applyInPandas(whole, schema)
-    large = materialize(cell_components(items.join(big, run, "left_semi"), [run], xy, link), "parts")
+    large = materialize(cell_components(items.join(big, run, "left_semi"), [run], xy, link, frame, span), "parts")
     counts = large.groupBy(run, "comp").agg(F.count(F.lit(1)).alias("_n"))
     giant = counts.where(F.col("_n") > max_rows).select(run, "comp")
 
@@ -107,11 +117,11 @@ def ordered_fold(
     if giant.isEmpty():
         return out
     return out.unionByName(
-        _sliced(large.join(giant, [run, "comp"], "left_semi"), run, order, fold, schema, frame, max_rows)
+        _sliced(large.join(giant, [run, "comp"], "left_semi"), run, order, xy, fold, schema, frame, max_rows, centre, radius)
     )
 
 
-def _sliced(items, run, order, fold, schema, frame, max_rows) -> DataFrame:
+def _sliced(items, run, order, xy, fold, schema, frame, max_rows, centre, radius) -> DataFrame:
     keys = [run, "comp"]
     pos = dense_number(items, keys, order, "_pos")
     if frame:
@@ -119,10 +129,19 @@ def _sliced(items, run, order, fold, schema, frame, max_rows) -> DataFrame:
         pos = pos.join(head, [*keys, frame])
     else:
         pos = pos.withColumn("_head", F.col("_pos"))
-    pos = materialize(pos.withColumn("_slice", F.expr(f"_head div {max_rows}")).drop("_head", "_pos"), "slices")
+    pos = pos.withColumn("_slice", F.expr(f"_head div {max_rows}")).drop("_head", "_pos")
+    pos = materialize(pos, "slices", partition_by=["_slice"])
     last = pos.agg(F.max("_slice")).first()[0]
     wide = f"{schema}, comp long"
     names = [c.strip().split()[0] for c in schema.split(",")]
+    if centre:
+        # the last slice that has a row in each cell, told to the cells around it
+        cell = [F.floor(F.col(c) / radius).alias(n) for c, n in zip(xy, ("_cx", "_cy"))]
+        seen = pos.groupBy(*keys, *cell).agg(F.max("_slice").alias("_until"))
+        near = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)])
+        seen = seen.select(*keys, "_cx", "_cy", "_until", F.explode(near).alias("d")).groupBy(
+            *keys, (F.col("_cx") + F.col("d.dx")).alias("_cx"), (F.col("_cy") + F.col("d.dy")).alias("_cy")).agg(F.max("_until").alias("_until"))
+        seen = materialize(seen, "seen")
 
     def step(key, state, rows):
         rows = rows.drop(columns=["comp", "_slice"]).sort_values(order)
@@ -134,7 +153,12 @@ def _sliced(items, run, order, fold, schema, frame, max_rows) -> DataFrame:
         part = pos.where(F.col("_slice") == k).groupBy(*keys)
         if state is None:
             state = items.sparkSession.createDataFrame([], wide)
-        after = materialize(state.groupBy(*keys).cogroup(part).applyInPandas(step, wide), "state")
+        after = state.groupBy(*keys).cogroup(part).applyInPandas(step, wide)
+        if centre:
+            at = [F.floor(c / radius).alias(n) for c, n in zip(centre, ("_cx", "_cy"))]
+            after = after.select("*", *at).join(seen, [*keys, "_cx", "_cy"], "left")
+            after = after.withColumn("done", F.coalesce(F.col("_until"), F.lit(-1)) <= k).select(*names, "comp")
+        after = materialize(after, "state")
         finished.append(after.where("done"))
         state = after.where("not done")
     for done in finished:
@@ -230,7 +254,8 @@ def first_fit(
     rows = items.select(run, F.col(ord_).alias("ord"), *cols,
                         (F.col("bx") / F.col("w")).alias("_x"), (F.col("by") / F.col("w")).alias("_y"))
     fold = _first_fit_fold(radius, run, sums, list(mins), list(lasts))
-    return ordered_fold(rows, run, ["ord"], ("_x", "_y"), 2 * radius, fold, schema, max_rows=max_rows).drop("done")
+    centre = F.col("bx") / F.col("w"), F.col("by") / F.col("w")
+    return ordered_fold(rows, run, ["ord"], ("_x", "_y"), 2 * radius, fold, schema, max_rows=max_rows, centre=centre, radius=radius).drop("done")
 
 
 # --- tracker --------------------------------------------------------------------------------------
@@ -331,7 +356,7 @@ def track_static(
         "n_par long, n_perp long, w double, " + ", ".join(f"{b} double" for b in BOX) + ", done boolean"
     )
     raw = ordered_fold(items, run, ["frame", "det_idx"], ("x", "y"), radius, _track_fold(radius, max_age, run),
-                       schema, frame="frame", max_rows=max_rows)
+                       schema, frame="frame", max_rows=max_rows, span=max_age + 1)
     gone = F.col("last_frame") + max_age + 1
     tracks = (
         raw.drop("done").where(F.col("hits") >= min_hits).join(last_frames.select(run, "last"), run)

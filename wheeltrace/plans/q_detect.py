@@ -116,28 +116,32 @@ def tracks(spark, sf):
 
 
 # the tracker as a recursion over frames; inside a frame the tracks are folded in creation order
+_PARTS = {"bx": "x", "by_": "y", "bz": "z", "bl": "len", "bw": "wid", "bh": "hgt", "ba": "yaw"}
+_NEW = "struct_pack(ff := frame, fd := d.k, l := frame, x := d.x, y := d.y, n := 1, sw := d.w, " + ", ".join(f"{n} := d.{c}*d.w" for n, c in _PARTS.items()) + ")"
+_HIT = "sw := e.o[1].sw + m.w, " + ", ".join(f"{n} := e.o[1].{n} + m.{c}*m.w" for n, c in _PARTS.items())
+_BOX = ", ".join(f"{c} := {{0}}{c}" for c in ("z", "len", "wid", "hgt", "yaw"))
 _TRK = {
-    "cd": "SELECT run, frame + 1 AS frame, det_idx, x, y, score AS w FROM detections WHERE score >= 0.28e0 AND label = 0 AND z <= 50",
-    "fr": """SELECT run, frame, list(struct_pack(d := 0e0, k := det_idx, x := x, y := y, w := w) ORDER BY det_idx) AS dets,
+    "cd": "SELECT run, frame + 1 AS frame, det_idx, x, y, score AS w, z, len, wid, hgt, yaw FROM detections WHERE score >= 0.28e0 AND label = 0 AND z <= 50",
+    "fr": """SELECT run, frame, list(struct_pack(d := 0e0, k := det_idx, x := x, y := y, w := w, """ + _BOX.format("") + """) ORDER BY det_idx) AS dets,
       CAST(row_number() OVER (PARTITION BY run ORDER BY frame) AS BIGINT) AS i FROM cd GROUP BY run, frame""",
-    "trk(run, i, st) USING KEY (run)": """SELECT run, i, list_transform(dets, lambda d: struct_pack(ff := frame, fd := d.k, l := frame, x := d.x, y := d.y, n := 1, bx := d.x*d.w, sw := d.w)) FROM fr WHERE i = 1
-      UNION ALL SELECT run, i, list_concat(acc.o, list_transform(acc.f, lambda d: struct_pack(ff := frame, fd := d.k, l := frame, x := d.x, y := d.y, n := 1, bx := d.x*d.w, sw := d.w))) FROM (
+    "trk(run, i, st) USING KEY (run)": """SELECT run, i, list_transform(dets, lambda d: """ + _NEW + """) FROM fr WHERE i = 1
+      UNION ALL SELECT run, i, list_concat(acc.o, list_transform(acc.f, lambda d: """ + _NEW + """)) FROM (
         SELECT f.run, f.i, f.frame, list_reduce(list_prepend(struct_pack(o := list_filter(t.st, lambda z: false), f := f.dets), list_transform(t.st, lambda z: struct_pack(o := [z], f := list_filter(f.dets, lambda d: false)))),
           lambda a, e: CASE WHEN e.o[1].l + 16 >= f.frame AND len(list_filter(a.f, lambda d: sqrt((d.x-e.o[1].x)*(d.x-e.o[1].x) + (d.y-e.o[1].y)*(d.y-e.o[1].y)) < 2e0)) > 0 THEN
-            struct_pack(o := list_append(a.o, list_transform([list_min(list_transform(a.f, lambda d: struct_pack(d := sqrt((d.x-e.o[1].x)*(d.x-e.o[1].x) + (d.y-e.o[1].y)*(d.y-e.o[1].y)), k := d.k, x := d.x, y := d.y, w := d.w)))],
-                lambda m: struct_pack(ff := e.o[1].ff, fd := e.o[1].fd, l := f.frame, x := m.x, y := m.y, n := e.o[1].n + 1, bx := e.o[1].bx + m.x*m.w, sw := e.o[1].sw + m.w))[1]),
+            struct_pack(o := list_append(a.o, list_transform([list_min(list_transform(a.f, lambda d: struct_pack(d := sqrt((d.x-e.o[1].x)*(d.x-e.o[1].x) + (d.y-e.o[1].y)*(d.y-e.o[1].y)), k := d.k, x := d.x, y := d.y, w := d.w, """ + _BOX.format("d.") + """)))],
+                lambda m: struct_pack(ff := e.o[1].ff, fd := e.o[1].fd, l := f.frame, x := m.x, y := m.y, n := e.o[1].n + 1, """ + _HIT + """))[1]),
               f := list_filter(a.f, lambda d: d.k <> list_min(list_transform(a.f, lambda d: struct_pack(d := sqrt((d.x-e.o[1].x)*(d.x-e.o[1].x) + (d.y-e.o[1].y)*(d.y-e.o[1].y)), k := d.k))).k))
           ELSE struct_pack(o := list_append(a.o, e.o[1]), f := a.f) END) AS acc
         FROM trk t JOIN fr f ON f.run = t.run AND f.i = t.i + 1)""",
     "lastf": "SELECT run, max(frame) + 1 AS last FROM detections GROUP BY run",
-    "tr": "SELECT t.run, t.c.ff AS first_frame, t.c.fd AS first_det, t.c.n AS hits, t.c.l + 16 <= l.last AS archived, t.c.l + 16 AS gone, t.c.bx AS bx, t.c.sw AS w FROM (SELECT run, unnest(st) AS c FROM trk) t JOIN lastf l ON l.run = t.run WHERE t.c.n >= 4",
+    "tr": "SELECT t.run, t.c.ff AS first_frame, t.c.fd AS first_det, t.c.n AS hits, t.c.l + 16 <= l.last AS archived, t.c.l + 16 AS gone, t.c.sw AS w, " + ", ".join(f"t.c.{n} AS {n}" for n in _PARTS) + " FROM (SELECT run, unnest(st) AS c FROM trk) t JOIN lastf l ON l.run = t.run WHERE t.c.n >= 4",
 }
 
 
 @query("track_static", "WITH RECURSIVE " + cte(f"""SELECT run, CAST(row_number() OVER (PARTITION BY run ORDER BY archived, CASE WHEN archived THEN gone ELSE -1 END, first_frame, first_det) - 1 AS BIGINT) AS ord,
-   first_frame, first_det, CAST(hits AS BIGINT) AS hits, archived, {q('bx')} AS bx, {q('w')} AS w FROM tr""", "detections", extra=_TRK)[5:])
+   first_frame, first_det, CAST(hits AS BIGINT) AS hits, archived, {q('w')} AS w, {', '.join(f'{q(n)} AS {c}' for n, c in zip(_PARTS, Gp.BOX))} FROM tr""", "detections", extra=_TRK)[5:])
 def track_static(spark, sf):
-    return rounded(tracks(spark, sf), "run", "ord", "first_frame", "first_det", "hits", "archived", bx="bx", w="w")
+    return rounded(tracks(spark, sf), "run", "ord", "first_frame", "first_det", "hits", "archived", w="w", **{c: c for c in Gp.BOX})
 
 
 def _first_fit(items: str, radius: str, extra: tuple) -> dict:

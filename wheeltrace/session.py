@@ -6,6 +6,7 @@ import os
 import re
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -66,13 +67,14 @@ def size_in_bytes(df: DataFrame) -> int:
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
-def materialize(df: DataFrame, name: str = "step") -> DataFrame:
+def materialize(df: DataFrame, name: str = "step", partition_by: Sequence[str] = ()) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     Cuts lineage so that a lost executor re-reads files instead of replaying the history, keeps
-    column pruning for later readers, and gives the optimiser real sizes to plan with.
+    column pruning for later readers, and gives the optimiser real sizes to plan with. Readers of a table that is
+    partitioned by some columns open only the files of the values they ask for.
     """
     spark = df.sparkSession
     path = os.path.join(scratch_folder(spark), f"{name}-{uuid.uuid4().hex}")
-    df.write.parquet(path)
+    df.write.partitionBy(*partition_by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

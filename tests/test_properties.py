@@ -108,17 +108,17 @@ def test_yaw_shortest_goes_through_pi(spark):
     assert naive == pytest.approx(0.0) and abs(short) == pytest.approx(np.pi)
 
 
-@pytest.mark.parametrize("list_rows,divide", [(10_000, False), (10_000, True), (4, True)])
-def test_grid_nearest_vertices(spark, monkeypatch, list_rows, divide):
-    if divide:  # go down all levels
-        for name, value in (("PAY_OFF", 0), ("LEAF_ROWS", 3), ("START_PAIRS", 10)):
-            monkeypatch.setattr(Ne, name, value)
+@pytest.mark.parametrize("limit", [1 << 20, 0])
+def test_nearest_vertices(spark, monkeypatch, limit):
+    """By broadcast and by ranges with tiny ranges and visits."""
+    monkeypatch.setattr(Ne, "RANGE_ROWS", 20)
+    monkeypatch.setattr(Ne, "VISIT_ROWS", 7)
     rng = np.random.default_rng(4)
     path = pd.DataFrame({"k": rng.integers(0, 2, 150), "idx": np.arange(150), "x": rng.normal(size=150) * 20, "y": rng.normal(size=150) * 20})
     path.loc[100:, ["x", "y"]] = path.loc[:49, ["x", "y"]].to_numpy()  # duplicates: first index wins
     pts = pd.DataFrame({"k": rng.integers(0, 3, 120), "id": np.arange(120), "px": rng.normal(size=120) * 30, "py": rng.normal(size=120) * 30})
     pts.loc[:5, "px"] += 5000  # far away
-    got = Ne.grid_nearest(spark.createDataFrame(pts), spark.createDataFrame(path), ["k"], ["id"], ("px", "py"), Ne.vertex("x", "y"), "idx", list_rows=list_rows)
+    got = Ne.nearest_target(spark.createDataFrame(pts), spark.createDataFrame(path), ["k"], ["id"], ("px", "py"), Ne.vertex("x", "y"), "idx", ("x",), broadcast_bytes=limit)
     got = got.toPandas().sort_values("id")
     for r, (_, p) in zip(got.itertuples(), pts.iterrows()):
         c = path[path.k == p.k]
@@ -130,20 +130,49 @@ def test_grid_nearest_vertices(spark, monkeypatch, list_rows, divide):
         assert r.idx == c.idx.to_numpy()[d <= d.min() + 1e-12].min()
 
 
-def test_grid_nearest_segments(spark):
+@pytest.mark.parametrize("limit", [1 << 20, 0])
+def test_nearest_segments(spark, monkeypatch, limit):
+    monkeypatch.setattr(Ne, "RANGE_ROWS", 6)
     rng = np.random.default_rng(7)
     a = rng.normal(size=(40, 2)) * 30
     b = a + rng.normal(size=(40, 2)) * np.where(np.arange(40) % 10 == 0, 60, 3)[:, None]
     seg = pd.DataFrame({"k": 0, "s": np.arange(40), "ax": a[:, 0], "ay": a[:, 1], "bx": b[:, 0], "by": b[:, 1]})
     pts = pd.DataFrame({"k": 0, "id": np.arange(60), "px": rng.normal(size=60) * 50, "py": rng.normal(size=60) * 50})
-    got = Ne.grid_nearest(spark.createDataFrame(pts), spark.createDataFrame(seg), ["k"], ["id"], ("px", "py"),
-                          Ne.segment("ax", "ay", "bx", "by"), "s", d2=Ne.segment_d2, cell=1.0).toPandas().sort_values("id")
+    got = Ne.nearest_target(spark.createDataFrame(pts), spark.createDataFrame(seg), ["k"] if limit else [], ["id"], ("px", "py"),
+                            Ne.segment("ax", "ay", "bx", "by"), "s", broadcast_bytes=limit).toPandas().sort_values("id")
     for r, p in zip(got.itertuples(), pts[["px", "py"]].to_numpy()):
         u = np.clip(((p - a) * (b - a)).sum(1) / ((b - a) ** 2).sum(1), 0, 1)
         d = np.linalg.norm(p - (a + u[:, None] * (b - a)), axis=1)
         assert r.s == d.argmin() and r.dist == pytest.approx(d.min())
 
 
+def test_packed_tree_equals_all_pairs():
+    rng = np.random.default_rng(12)
+    for n in (1, 2, 15, 16, 17, 300, 5000):
+        a = rng.integers(0, 40, (n, 2)) * 0.5
+        b = a + rng.normal(size=(n, 2))
+        p = np.concatenate([rng.normal(size=(200, 2)) * 30, a[:50]])
+        order = rng.permutation(n)
+        for line in (False, True):
+            tree = Ne.PackedTree(a[:, 0], a[:, 1], *((b[:, 0], b[:, 1]) if line else (None, None)), order)
+            d, row = tree.search(p[:, 0], p[:, 1])
+            all_ = np.stack([tree._exact(p[:, 0], p[:, 1], np.full(len(p), t)) for t in range(n)], 1)
+            assert (d == all_.min(1)).all()
+            tied = np.where(all_ == all_.min(1, keepdims=True), tree.order, n)
+            assert (order[row] == tied.min(1)).all()
+
+
+def test_nearest_needs_two_jobs(spark):
+    path = spark.range(1000).selectExpr("id as idx", "id * 0.5 as x", "sin(id) as y", "concat('name', id) as name")
+    pts = spark.range(50).selectExpr("id", "cast(null as double) as px", "0.0 as py").unionByName(spark.range(5000).selectExpr("id + 50 as id", "id * 0.11 as px", "cos(id) as py"))
+    spark.sparkContext.setJobGroup("nearest", "")
+    out = Ne.nearest_target(pts, path, [], ["id"], ("px", "py"), Ne.vertex("x", "y"), "idx", ("name",))
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("nearest")) <= 3  # an aggregate counts twice with adaptive plans
+    spark.sparkContext.setJobGroup("", "")
+    assert out.where("px is null and idx is null and name is null and dist is null").count() == 50
+    assert out.where("px is not null and name = concat('name', idx)").count() == 5000
+
+
 # --- order-dependent grouping ---------------------------------------------------------------------
 def naive_first_fit(items, radius):
     clusters = []

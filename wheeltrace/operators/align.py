@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from wheeltrace.functions.angles import wrap_deg, wrap_rad
 from wheeltrace.functions.geodesy import axis_angle
-from wheeltrace.operators.nearest import grid_nearest, vertex
+from wheeltrace.operators.nearest import nearest_target, vertex
 from wheeltrace.operators.ordered import CHUNK_ROWS, attach, chunk_of, exact_percentile
 from wheeltrace.session import materialize
 
@@ -205,7 +205,7 @@ def nearest_centroid(frames: DataFrame, splits: DataFrame, keys, x: str, y: str)
 
 def coverage_distance(points: DataFrame, cameras: DataFrame, keys, point_id, xy, cam_xy, cam_z: str, cam_id: str, **kw) -> DataFrame:
     """Distance to the nearest training camera and its height, or the median height where none exists."""
-    near = grid_nearest(points, cameras, keys, point_id, xy, vertex(*cam_xy), cam_id, (cam_z,), **kw)
+    near = nearest_target(points, cameras, keys, point_id, xy, vertex(*cam_xy), cam_id, (cam_z,), **kw)
     med = exact_percentile(cameras, keys, cam_z, 0.5, "_med")
     out = near.join(med, list(keys), "left") if keys else attach(near, med, keys)
     return out.select(*points.columns, "dist", cam_id, F.coalesce(cam_z, "_med").alias("lookup_z"))

@@ -1,57 +1,165 @@
-"""Nearest target lookup on grid cells: equi-joins only, exact at any distance.
+"""Nearest target lookup with packed bounding-box trees, exact at any distance.
 
-Near points: every target (path vertex, camera, line segment) is listed in the 3 x 3 cells around it
-and a point looks at its own cell. A listed target closer than the cell size is provably the nearest.
+Targets (path vertices, cameras, line segments) are sorted along a space-filling curve and packed into a static tree: the
+boxes of ``FAN`` neighbours, the boxes of ``FAN`` of those, and so on, held as plain arrays. A batch of points goes down
+together: first each to the nearest box of every level, which bounds its distance, then to all boxes within the bound.
 
-Far points: their distinct cells (not the points) walk down a quad-tree. A cell keeps the targets that
-can be nearest for some place inside it, those within ``min(centre distance) + cell diagonal`` of its
-centre, and passes them to its occupied sub-cells until the list is short. Each far point then reads
-the one list of its cell.
-
-Points are never multiplied unless a smallest cell still holds more targets than fit in one row.
+While the targets fit into ``BROADCAST_BYTES`` (counted) they are broadcast, and the points are read once where they are.
+Beyond that they are written in ranges along the curve with one tree per range. A point visits the ranges that can hold its
+nearest target, those whose least distance is within the least of the largest distances of all ranges of its key; visits of one
+range are dealt to tasks of bounded size, and the best of a point's visits wins.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wheeltrace.session import materialize
 
-FACTOR = 4
-LEAF_ROWS = 48              # a cell with this few candidates is not divided further
-PAY_OFF = 8                 # points per sub-cell from which shorter lists are worth making
-LIST_ROWS = 16384           # longest candidate list kept in one row
-START_PAIRS = 500_000       # the descent starts at the deepest level with at most this many pairs
-BROADCAST_ROWS = 400_000    # listed targets up to this many are broadcast (tens of MB)
+FAN = 16
+BROADCAST_BYTES = 64 << 20
+RANGE_ROWS = 200_000      # targets of a range
+VISIT_ROWS = 100_000      # points of a range in one task
+CHUNK = 4096              # points that go down a tree together
 
 
 def vertex(x: str, y: str) -> dict[str, Column]:
-    return {"x0": F.col(x), "y0": F.col(y), "x1": F.col(x), "y1": F.col(y)}
+    return {"x0": F.col(x), "y0": F.col(y)}
 
 
 def segment(x0: str, y0: str, x1: str, y1: str) -> dict[str, Column]:
     return {"x0": F.col(x0), "y0": F.col(y0), "x1": F.col(x1), "y1": F.col(y1)}
 
 
-def vertex_d2(px: Column, py: Column, t: Column) -> Column:
-    dx, dy = px - t["x0"], py - t["y0"]
-    return dx * dx + dy * dy
+def interleaved(x: np.ndarray, y: np.ndarray, box: tuple[float, float, float, float]) -> np.ndarray:
+    """Place on a space-filling curve: the bits of both coordinates (16 each) in turn."""
+    out = np.zeros(len(x), np.int64)
+    for shift, v, lo, hi in ((0, x, box[0], box[2]), (1, y, box[1], box[3])):
+        k = np.clip((v - lo) / (hi - lo) * 65535, 0, 65535).astype(np.int64) if hi > lo else np.zeros(len(v), np.int64)
+        for bit in range(16):
+            out |= ((k >> bit) & 1) << (2 * bit + shift)
+    return out
+
+
+class PackedTree:
+    """Boxes over targets given as arrays x0, y0 (and x1, y1 for segments) with their order numbers."""
+
+    def __init__(self, x0, y0, x1, y1, order):
+        ends = [np.asarray(v, float) for v in (x0, y0, x0 if x1 is None else x1, y0 if y1 is None else y1)]
+        box = np.stack([np.minimum(ends[0], ends[2]), np.minimum(ends[1], ends[3]), np.maximum(ends[0], ends[2]), np.maximum(ends[1], ends[3])], 1)
+        mid = (box[:, :2] + box[:, 2:]) / 2
+        at = interleaved(mid[:, 0], mid[:, 1], (*mid.min(0), *mid.max(0)))
+        self.rows = np.argsort(at, kind="stable")
+        self.line = x1 is not None
+        self.ends = [v[self.rows] for v in ends]
+        self.order = np.asarray(order)[self.rows]
+        self.levels = []
+        box = box[self.rows]
+        while True:
+            pad = -len(box) % FAN
+            if pad:  # places without a box are at no finite distance
+                box = np.concatenate([box, np.tile([np.inf, np.inf, -np.inf, -np.inf], (pad, 1))])
+            parts = box.reshape(-1, FAN, 4)
+            box = np.concatenate([parts[:, :, :2].min(1), parts[:, :, 2:].max(1)], 1)
+            self.levels.append(box)
+            if len(box) == 1:
+                break
+        self.levels.reverse()
+
+    @staticmethod
+    def _gap(px, py, box):
+        dx = np.maximum(np.maximum(box[..., 0] - px, px - box[..., 2]), 0)
+        dy = np.maximum(np.maximum(box[..., 1] - py, py - box[..., 3]), 0)
+        return dx * dx + dy * dy
+
+    def _exact(self, px, py, t):
+        """Squared distance of points to targets."""
+        x0, y0 = self.ends[0][t], self.ends[1][t]
+        if not self.line:
+            dx, dy = px - x0, py - y0
+            return dx * dx + dy * dy
+        ex, ey = self.ends[2][t] - x0, self.ends[3][t] - y0
+        size = ex * ex + ey * ey
+        u = np.divide((px - x0) * ex + (py - y0) * ey, size, out=np.zeros(len(size)), where=size > 0)
+        u = np.maximum(0.0, np.minimum(1.0, u))
+        dx, dy = px - (x0 + u * ex), py - (y0 + u * ey)
+        return dx * dx + dy * dy
+
+    def search(self, px: np.ndarray, py: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Squared distance and row of the nearest target of each point; of equally near ones the least order number."""
+        parts = [self._part(px[i:i + CHUNK], py[i:i + CHUNK]) for i in range(0, len(px), CHUNK)]
+        return tuple(np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0), np.zeros(0, np.int64))
+
+    def _children(self, level, who, node):
+        kids = (node[:, None] * FAN + np.arange(FAN)).ravel()
+        who = np.repeat(who, FAN)
+        n = len(self.levels[level]) if level < len(self.levels) else len(self.order)
+        real = kids < n
+        return who[real], kids[real]
+
+    def _part(self, px, py):
+        n, depth = len(px), len(self.levels)
+        # down to the nearest box of every level: a bound
+        node = np.zeros(n, np.int64)
+        for level in range(1, depth):
+            kids = np.minimum(node[:, None] * FAN + np.arange(FAN), len(self.levels[level]) - 1)
+            node = kids[np.arange(n), self._gap(px[:, None], py[:, None], self.levels[level][kids]).argmin(1)]
+        who, t = self._children(depth, np.arange(n), node)
+        bound = np.full(n, np.inf)
+        np.minimum.at(bound, who, self._exact(px[who], py[who], t))
+        bound = bound * (1 + 1e-9) + 1e-300
+        who, node = np.arange(n), np.zeros(n, np.int64)
+        for level in range(1, depth):
+            who, node = self._children(level, who, node)
+            near = self._gap(px[who], py[who], self.levels[level][node]) <= bound[who]
+            who, node = who[near], node[near]
+        who, t = self._children(depth, who, node)
+        d = self._exact(px[who], py[who], t)
+        best = np.full(n, np.inf)
+        np.minimum.at(best, who, d)
+        tie = d == best[who]
+        who, t = who[tie], t[tie]
+        first = np.lexsort((self.order[t], who))
+        who, t = who[first], t[first]
+        head = np.append(True, who[1:] != who[:-1])
+        row = np.zeros(n, np.int64)
+        row[who[head]] = self.rows[t[head]]
+        return best, row
+
+
+def _numbers(col) -> np.ndarray:
+    return np.asarray(col.to_numpy(zero_copy_only=False) if isinstance(col, pa.Array) else col.to_numpy(), float)
+
+
+def _tree(t: pa.Table, line: bool) -> PackedTree:
+    ends = [_numbers(t.column(c)) for c in ("_x0", "_y0", *(("_x1", "_y1") if line else ()))]
+    order = t.column("_ord").to_numpy()
+    return PackedTree(*ends, *([None, None] if not line else []), order)
+
+
+class _Forest:
+    """Trees of the keys of a broadcast table, each built when a point first asks for it."""
 
+    def __init__(self, t: pa.Table, keys: int, line: bool):
+        self.t, self.line, self.built = t, line, {}
+        self.rows: dict[tuple, list[int]] = {}
+        for i, key in enumerate(zip(*(t.column(k).to_pylist() for k in range(keys)))) if keys else ((i, ()) for i in range(t.num_rows)):
+            self.rows.setdefault(key, []).append(i)
 
-def segment_d2(px: Column, py: Column, t: Column) -> Column:
-    ex, ey = t["x1"] - t["x0"], t["y1"] - t["y0"]
-    len2 = ex * ex + ey * ey
-    u = F.when(len2 > 0, ((px - t["x0"]) * ex + (py - t["y0"]) * ey) / len2).otherwise(F.lit(0.0))
-    u = F.greatest(F.lit(0.0), F.least(F.lit(1.0), u))
-    dx, dy = px - (t["x0"] + u * ex), py - (t["y0"] + u * ey)
-    return dx * dx + dy * dy
+    def get(self, key: tuple):
+        if key not in self.built:
+            rows = self.rows.get(key)
+            self.built[key] = None if rows is None else (np.array(rows), _tree(self.t.take(pa.array(rows)), self.line))
+        return self.built[key]
 
 
-def grid_nearest(
+def nearest_target(
     points: DataFrame,
     targets: DataFrame,
     keys: Sequence[str],
@@ -60,149 +168,135 @@ def grid_nearest(
     shape: dict[str, Column],
     order: str,
     payload: Sequence[str] = (),
-    d2: Callable[[Column, Column, Column], Column] = vertex_d2,
-    cell: float = 2.0,
-    list_rows: int = LIST_ROWS,
+    broadcast_bytes: int | None = None,
 ) -> DataFrame:
     """Left-joins the nearest target of the same key; adds ``dist``, ``order`` and ``payload``.
 
-    Equal distances go to the smallest ``order`` (a number). Points of a key without targets get
-    NULLs. ``point_id`` identifies a point row; it is used only when a candidate list had to be split.
-    Reads the point coordinates twice: once to find the cells of far points, once for the result.
+    Equal distances go to the smallest ``order`` (a number). Points without coordinates or with a null key, and points of a key
+    without targets, get NULLs. ``point_id`` identifies a point row; it is used only when the targets are too large to broadcast.
     """
-    cols = points.columns
-    points, keys = points.withColumn("_one", F.lit(0)), ["_one", *keys]
-    t = targets.select(
-        F.lit(0).alias("_one"), *keys[1:], *[c.cast("double").alias(n) for n, c in shape.items()],
-        F.col(order).alias("_ord"), *[F.col(p).alias(f"_p_{p}") for p in payload],
-    )
-    reach = F.greatest(F.abs(F.col("x1") - F.col("x0")), F.abs(F.col("y1") - F.col("y0")))
-    if d2 is not vertex_d2:  # long segments need larger cells
-        cell = max(cell, (t.agg(F.max(reach)).first()[0] or 0.0) / 4)
-    target = F.struct(*[c for c in t.columns if c not in keys])
-    px, py = F.col(xy[0]), F.col(xy[1])
-
-    # targets around each cell
-    def cells(lo: str, hi: str) -> Column:
-        return F.sequence(F.floor(F.least(lo, hi) / cell) - 1, F.floor(F.greatest(lo, hi) / cell) + 1)
-
-    listed = t.select("*", F.explode(cells("x0", "x1")).alias("_cx")).select(
-        *keys, "_cx", F.explode(cells("y0", "y1")).alias("_cy"), target.alias("_t"))
-    counts = listed.groupBy(*keys, "_cx", "_cy").agg(F.count(F.lit(1)).alias("n"))
-    top = counts.agg(F.max("n").alias("longest"), F.sum("n").alias("total")).first()
-    near = top["longest"] is not None and top["longest"] <= list_rows
-    here = [F.floor(px / cell).alias("_cx"), F.floor(py / cell).alias("_cy")]
-    if near:
-        around = listed.groupBy(*keys, "_cx", "_cy").agg(F.collect_list("_t").alias("_ts"))
-        around = F.broadcast(around) if top["total"] <= BROADCAST_ROWS else materialize(around, "lists")
-        probe = points.select(*keys, px, py, *here).join(around, [*keys, "_cx", "_cy"], "left")
-        close = F.array_min(F.transform("_ts", lambda o: d2(px, py, o))) < cell * cell
-        far = probe.where(~F.coalesce(close, F.lit(False)))
-    else:
-        far = points.select(*keys, px, py, *here)
-    far = far.where(px.isNotNull() & py.isNotNull()).groupBy(*keys, "_cx", "_cy")
-    far = materialize(far.agg(F.count(F.lit(1)).alias("_points")), "far")
-    leaves = _quad_tree(far, t, keys, target, d2, cell, list_rows)
-
-    found = F.array_min(
-        F.transform("_ts", lambda o: F.struct(
-            d2(px, py, o).alias("d2"), o["_ord"].alias("ord"), *[o[f"_p_{p}"].alias(p) for p in payload],
-        ))
-    )
-    base = points.columns
-    out = points.select("*", F.lit(None).cast(_best_type(t, payload)).alias("_best"))
-    if near:
-        # the candidate is named first, so that the list is scanned once per point
-        out = out.select("*", *here).join(around, [*keys, "_cx", "_cy"], "left")
-        out = out.select(*base, found.alias("_f")).select(
-            *base, F.when(F.col("_f.d2") < cell * cell, F.col("_f")).alias("_best"))
-    for level, (lists, splits, total) in leaves.items():
-        open_ = F.col("_best").isNull()
-        at = [F.when(open_, F.floor(F.floor(c / cell) / FACTOR**level)).alias(n) for c, n in ((px, "_cx"), (py, "_cy"))]
-        if total <= BROADCAST_ROWS:
-            lists = F.broadcast(lists)
-        elif splits == 1:
-            # only open points are dealt out; the closed ones would meet in the partition of no cell
-            out = materialize(out, "nearest")
-            hit = out.where(open_).select("*", *at).join(lists, [*keys, "_cx", "_cy"], "left").select(*base, found.alias("_best"))
-            out = hit.unionByName(out.where(~open_))
-            continue
-        if splits == 1:
-            out = out.select("*", *at).join(lists, [*keys, "_cx", "_cy"], "left")
-            out = out.select(*base, "_best", found.alias("_f")).select(*base, F.coalesce("_best", "_f").alias("_best"))
-        else:
-            out = materialize(out, "nearest")
-            salts = F.explode(F.sequence(F.lit(0), F.lit(splits - 1)))
-            todo = out.where(open_).select(*base, *at, salts.alias("_salt"))
-            best = todo.join(lists, [*keys, "_cx", "_cy", "_salt"]).groupBy(*point_id).agg(F.min(found).alias("_new"))
-            out = out.join(best, list(point_id), "left").select(*base, F.coalesce("_best", "_new").alias("_best"))
-    return out.select(
-        *cols, F.sqrt("_best.d2").alias("dist"), F.col("_best.ord").alias(order),
-        *[F.col(f"_best.{p}").alias(p) for p in payload],
-    )
-
-
-def _quad_tree(far: DataFrame, t: DataFrame, keys: list[str], target: Column, d2, cell: float, list_rows: int) -> dict:
-    """Candidate lists of the far cells: ``{level: (lists, splits, listed rows)}``; every far cell lies
-    below exactly one listed cell (or has no targets at all)."""
-    lim = far.agg(F.min("_cx"), F.max("_cx"), F.min("_cy"), F.max("_cy")).first()
-    if lim[0] is None:
-        return {}
-
-    def up(c: str, k: int) -> Column:
-        return F.floor(F.col(c) / FACTOR**k)
-
-    top = 0
-    while FACTOR**top <= max(lim[1] - lim[0], lim[3] - lim[2]):
-        top += 1
-    per_key = far.groupBy(*keys).agg(*[
-        F.count_distinct(up("_cx", k), up("_cy", k)).alias(f"_c{k}") for k in range(top + 1)])
-    per_key = per_key.join(t.groupBy(*keys).agg(F.count(F.lit(1)).alias("_m")), keys)
-    pairs_at = per_key.agg(*[F.sum(F.col(f"_c{k}") * F.col("_m")) for k in range(top + 1)]).first()
-    if pairs_at[0] is None:
-        return {}
-    level = next((k for k in range(top + 1) if pairs_at[k] <= START_PAIRS), top)
-
-    at = [*keys, "_cx", "_cy"]
-    pairs = far.select(*keys, up("_cx", level).alias("_cx"), up("_cy", level).alias("_cy")).distinct().join(
-        t.select(*keys, target.alias("_t")), keys)
-    out = {}
-    while True:
-        size = cell * FACTOR**level
-        centre = [(F.col(c) + 0.5) * size for c in ("_cx", "_cy")]
-        dist = pairs.select(*at, "_t", F.sqrt(d2(*centre, F.col("_t"))).alias("_dc"))
-        low = dist.groupBy(*at).agg(F.min("_dc").alias("_low"))
-        bound = (F.col("_low") + size * math.sqrt(2)) * (1 + 1e-9)
-        kept = materialize(dist.join(low, at).where(F.col("_dc") <= bound).select(*at, "_t"), "cells")
-        n = kept.groupBy(*at).agg(F.count(F.lit(1)).alias("_n"))
-        if level == 0:
-            leaf = F.lit(True)
-        else:
-            # dividing costs a list per sub-cell, so it must pay off over the points that read the lists
-            use = far.groupBy(*keys, up("_cx", level).alias("_cx"), up("_cy", level).alias("_cy")).agg(
-                F.sum("_points").alias("_pts"), F.count_distinct(up("_cx", level - 1), up("_cy", level - 1)).alias("_sub"))
-            n = n.join(use, at)
-            few = (F.col("_pts") <= PAY_OFF * F.col("_sub")) & (F.col("_n") <= list_rows)
-            leaf = (F.col("_n") <= LEAF_ROWS) | few
-        stat = n.agg(F.max(F.when(leaf, F.col("_n"))), F.sum(F.when(leaf, F.col("_n"))), F.count_if(~leaf)).first()
-        if stat[0]:
-            splits = math.ceil(stat[0] / list_rows)
-            lists = kept.join(n.where(leaf).select(*at), at, "left_semi")
-            if splits == 1:
-                lists = lists.groupBy(*at).agg(F.collect_list("_t").alias("_ts"))
+    keys, line = list(keys), "x1" in shape
+    ends = [c.cast("double").alias(f"_{n}") for n, c in shape.items()]
+    t = targets.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *ends, F.col(order).alias("_ord"),
+                       *[F.col(p).alias(f"_p{i}") for i, p in enumerate(payload)])
+    coords = ["_x0", "_y0", *(["_x1", "_y1"] if line else [])]
+    usable = F.lit(True)
+    for c in coords:
+        usable = usable & F.col(c).isNotNull() & ~F.isnan(c)
+    for i in range(len(keys)):
+        usable = usable & F.col(f"_k{i}").isNotNull()
+    t = t.where(usable)
+    # counted bytes: eight for numbers, what they hold for others
+    fixed = ("tinyint", "smallint", "int", "bigint", "float", "double", "boolean", "date", "timestamp", "timestamp_ntz")
+    size = F.sum(F.lit(0).cast("long"))
+    for c, kind in t.dtypes:
+        size = size + (F.count(F.lit(1)) * 8 if kind in fixed else F.coalesce(F.sum(F.length(F.col(c).cast("string"))), F.lit(0)) * 2)
+    lim = t.agg(size.alias("bytes"), F.count(F.lit(1)).alias("n"), F.min("_x0"), F.min("_y0"), F.max("_x0"), F.max("_y0")).first()
+    types = {f.name: f.dataType for f in t.schema.fields}
+    added = [T.StructField("dist", T.DoubleType()), T.StructField(order, types["_ord"]),
+             *[T.StructField(p, types[f"_p{i}"]) for i, p in enumerate(payload)]]
+    if not lim["n"]:
+        return points.select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in added])
+    limit = BROADCAST_BYTES if broadcast_bytes is None else broadcast_bytes
+    if lim["bytes"] <= limit:
+        return _broadcast(points, t, keys, xy, line, added, len(payload))
+    return _by_ranges(points, t, keys, list(point_id), xy, line, added, len(payload), lim)
+
+
+def _broadcast(points, t, keys, xy, line, added, n_payload) -> DataFrame:
+    held = points.sparkSession.sparkContext.broadcast(t.toArrow())
+    names = [f.name for f in added]
+
+    def run(batches):
+        forest = _Forest(held.value, len(keys), line)
+        for batch in batches:
+            n = batch.num_rows
+            px, py = (_numbers(batch.column(batch.schema.get_field_index(c))) for c in xy)
+            dist, row = np.full(n, np.nan), np.full(n, -1)
+            ok = ~(np.isnan(px) | np.isnan(py))
+            if keys:
+                own: dict[tuple, list[int]] = {}
+                for i, key in enumerate(zip(*(batch.column(batch.schema.get_field_index(k)).to_pylist() for k in keys))):
+                    if ok[i]:
+                        own.setdefault(key, []).append(i)
+                groups = [(k, np.array(v)) for k, v in own.items()]
             else:
-                lists = lists.groupBy(*at, F.pmod(F.hash("_t"), F.lit(splits)).alias("_salt")).agg(F.collect_list("_t").alias("_ts"))
-            out[level] = (lists, splits, stat[1])
-        if not stat[2]:
-            return out
-        level -= 1
-        parent = kept.join(n.where(~leaf).select(*at), at, "left_semi")
-        sub = far.select(*keys, up("_cx", level).alias("_sx"), up("_cy", level).alias("_sy")).distinct()
-        sub = sub.select("*", up("_sx", 1).alias("_cx"), up("_sy", 1).alias("_cy"))
-        pairs = sub.join(parent, at).select(*keys, F.col("_sx").alias("_cx"), F.col("_sy").alias("_cy"), "_t")
-
-
-def _best_type(t: DataFrame, payload: Sequence[str]):
-    types = dict(t.dtypes)
-    fields = ["d2:double", f"ord:{types['_ord']}", *[f"{p}:{types[f'_p_{p}']}" for p in payload]]
-    return f"struct<{','.join(fields)}>"
+                groups = [((), np.flatnonzero(ok))]
+            for key, idx in groups:
+                found = forest.get(key)
+                if found is not None and len(idx):
+                    d, r = found[1].search(px[idx], py[idx])
+                    dist[idx], row[idx] = np.sqrt(d), found[0][r]
+            take = pa.array(row, mask=row < 0)
+            cols = [pa.array(dist, mask=row < 0), *[forest.t.column(c).take(take).combine_chunks() for c in ("_ord", *[f"_p{i}" for i in range(n_payload)])]]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *cols], [*batch.schema.names, *names])
+
+    return points.mapInArrow(run, T.StructType([*points.schema.fields, *added]))
+
+
+def _by_ranges(points, t, keys, point_id, xy, line, added, n_payload, lim) -> DataFrame:
+    ks = [f"_k{i}" for i in range(len(keys))]
+    box = tuple(lim[2:6])
+    coords = ["_x0", "_y0", *(["_x1", "_y1"] if line else [])]
+
+    def curve(batches):
+        for b in batches:
+            z = interleaved(_numbers(b.column(b.schema.get_field_index("_x0"))), _numbers(b.column(b.schema.get_field_index("_y0"))), box)
+            yield b.append_column("_z", pa.array(z))
+
+    placed = t.mapInArrow(curve, T.StructType([*t.schema.fields, T.StructField("_z", T.LongType())]))
+    ranges = -(-lim["n"] // RANGE_ROWS)
+    placed = placed.repartitionByRange(ranges, *ks, "_z").withColumn("_part", F.spark_partition_id())
+    placed = materialize(placed.drop("_z"), "ranges")
+    x1, y1 = ("_x1", "_y1") if line else ("_x0", "_y0")
+    boxes = placed.groupBy(*ks, "_part").agg(
+        F.min(F.least("_x0", x1)).alias("ax"), F.min(F.least("_y0", y1)).alias("ay"),
+        F.max(F.greatest("_x0", x1)).alias("bx"), F.max(F.greatest("_y0", y1)).alias("by"))
+    boxes = boxes.groupBy(*ks).agg(F.collect_list(F.struct("_part", "ax", "ay", "bx", "by")).alias("_boxes"))
+    px, py = F.col("_px"), F.col("_py")
+
+    def gap(b):
+        dx, dy = F.greatest(b["ax"] - px, px - b["bx"], F.lit(0.0)), F.greatest(b["ay"] - py, py - b["by"], F.lit(0.0))
+        return dx * dx + dy * dy
+
+    def far(b):
+        dx, dy = F.greatest(F.abs(px - b["ax"]), F.abs(px - b["bx"])), F.greatest(F.abs(py - b["ay"]), F.abs(py - b["by"]))
+        return dx * dx + dy * dy
+
+    ids = [f"_i{i}" for i in range(len(point_id))]
+    asked = points.select(*[F.col(c).alias(i) for c, i in zip(point_id, ids)], *[F.col(c).alias(k) for c, k in zip(keys, ks)],
+                          F.col(xy[0]).cast("double").alias("_px"), F.col(xy[1]).cast("double").alias("_py"))
+    asked = asked.where(px.isNotNull() & py.isNotNull())
+    asked = asked.join(boxes, ks) if ks else asked.join(boxes.withColumn("_one", F.lit(0)), F.lit(0) == F.col("_one")).drop("_one")
+    bound = F.array_min(F.transform("_boxes", far)) * (1 + 1e-9) + 1e-300
+    asked = asked.withColumn("_bound", bound).select(
+        *ids, *ks, "_px", "_py", F.explode(F.filter("_boxes", lambda b: gap(b) <= F.col("_bound"))).alias("_b"))
+    asked = materialize(asked.select(*ids, *ks, "_px", "_py", F.col("_b._part").alias("_part")), "visits")
+    salts = asked.groupBy(*ks, "_part").agg(F.ceil(F.count(F.lit(1)) / VISIT_ROWS).cast("int").alias("_salts"))
+    salts = materialize(salts, "salts")
+    group = [*ks, "_part", "_salt"]
+    asked = asked.join(salts, [*ks, "_part"]).withColumn("_salt", F.pmod(F.xxhash64(*ids), F.col("_salts")).cast("int")).drop("_salts")
+    there = placed.join(salts, [*ks, "_part"]).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))).drop("_salts")
+    types = {f.name: f.dataType for f in asked.schema.fields}
+    fields = [f"_f{i}" for i in range(n_payload + 1)]
+    schema = T.StructType([*[T.StructField(i, types[i]) for i in ids], T.StructField("_d2", T.DoubleType()),
+                           *[T.StructField(n, f.dataType) for n, f in zip(fields, added[1:])]])
+
+    def visit(own: pa.Table, at: pa.Table) -> pa.Table:
+        if not own.num_rows or not at.num_rows:
+            return schema_arrow(own, at)
+        d, row = _tree(at, line).search(_numbers(own.column("_px")), _numbers(own.column("_py")))
+        row = pa.array(row)
+        return pa.table([*[own.column(i) for i in ids], pa.array(d), *[at.column(c).take(row) for c in ("_ord", *[f"_p{i}" for i in range(n_payload)])]],
+                        [*ids, "_d2", *fields])
+
+    def schema_arrow(own, at):
+        return pa.table([*[own.column(i).slice(0, 0) for i in ids], pa.array([], pa.float64()), *[at.column(c).slice(0, 0) for c in ("_ord", *[f"_p{i}" for i in range(n_payload)])]],
+                        [*ids, "_d2", *fields])
+
+    best = asked.groupBy(*group).cogroup(there.groupBy(*group)).applyInArrow(visit, schema)
+    best = best.groupBy(*ids).agg(F.min(F.struct("_d2", *fields)).alias("_best"))
+    on = points.columns
+    held = points.select(F.struct(*[F.col(f"`{c}`") for c in on]).alias("_row"), *[F.col(c).alias(i) for c, i in zip(point_id, ids)])
+    out = held.join(best, ids, "left")
+    return out.select("_row.*", F.sqrt("_best._d2").alias("dist"), *[F.col(f"_best.{n}").alias(f.name) for n, f in zip(fields, added[1:])])

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wheeltrace.functions.angles import TWO_PI, heading, rear_offset, wrap_rad
-from wheeltrace.operators.nearest import grid_nearest, segment, segment_d2, vertex
+from wheeltrace.operators.nearest import nearest_target, segment, vertex
 from wheeltrace.operators.ordered import (
     CHUNK_ROWS,
     dense_number,
@@ -66,11 +66,10 @@ def resample_path(
 
 def nearest_path_point(
     points: DataFrame, path: DataFrame, keys, point_id, xy=("x", "y"), path_xy=("x", "y"),
-    idx: str = "idx", payload=("s",), cell: float = 2.0, **kw,
+    idx: str = "idx", payload=("s",), **kw,
 ) -> DataFrame:
     """Nearest reference vertex of each point; the first vertex wins ties."""
-    return grid_nearest(points, path, keys, point_id, xy, vertex(*path_xy), idx, payload,
-                        cell=cell, **kw)
+    return nearest_target(points, path, keys, point_id, xy, vertex(*path_xy), idx, payload, **kw)
 
 
 def monotone_progress(df: DataFrame, keys, pos: str, s: str = "s", name="progress", rows=CHUNK_ROWS) -> DataFrame:
@@ -113,7 +112,7 @@ def project_runs(
         *(path_keys or ["_k"]), "idx", "s", F.col("x").alias("rx"), F.col("y").alias("ry"), "tx", "ty"
     )
     pts = _keyed(runs, path_keys)
-    near = grid_nearest(pts, ref, path_keys or ["_k"], [*run_keys, pos], ("x", "y"), vertex("rx", "ry"),
+    near = nearest_target(pts, ref, path_keys or ["_k"], [*run_keys, pos], ("x", "y"), vertex("rx", "ry"),
                         "idx", ("s", "rx", "ry", "tx", "ty"))
     near = near.select(
         *runs.columns, "idx", "dist", "s", signed_lateral("x", "y", "rx", "ry", "tx", "ty").alias("offset_m")
@@ -205,7 +204,7 @@ def side_and_orientation(
     """Side of the nearest path station and, given a yaw, orientation relative to its tangent."""
     ref = path.select(*keys, "idx", F.col("x").alias("_rx"), F.col("y").alias("_ry"),
                       F.col("tx").alias("_tx"), F.col("ty").alias("_ty"))
-    near = grid_nearest(cars, ref, keys, car_id, (x, y), vertex("_rx", "_ry"), "idx",
+    near = nearest_target(cars, ref, keys, car_id, (x, y), vertex("_rx", "_ry"), "idx",
                         ("_rx", "_ry", "_tx", "_ty"), **kw)
     cross = F.col("_tx") * (F.col(y) - F.col("_ry")) - F.col("_ty") * (F.col(x) - F.col("_rx"))
     out = [F.when(cross > 0, "left").otherwise("right").alias("side")]
@@ -280,12 +279,12 @@ def line_substring(segments: DataFrame, start: Column, end: Column) -> DataFrame
 
 
 def polyline_project(
-    points: DataFrame, segments: DataFrame, keys, point_id, px="px", py="py", cell: float = 2.0
+    points: DataFrame, segments: DataFrame, keys, point_id, px="px", py="py"
 ) -> DataFrame:
     """Distance along the point's own line of the closest point on it, and that point."""
-    near = grid_nearest(
+    near = nearest_target(
         points, segments, keys, point_id, (px, py), segment("x0", "y0", "x1", "y1"), "seg",
-        ("x0", "y0", "x1", "y1", "d0", "len"), d2=segment_d2, cell=cell,
+        ("x0", "y0", "x1", "y1", "d0", "len"),
     )
     ex, ey, ln = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"), F.col("len")
     u = ((F.col(px) - F.col("x0")) * ex + (F.col(py) - F.col("y0")) * ey) / (ln * ln)

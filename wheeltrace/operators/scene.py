@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from wheeltrace.functions.angles import grid_convergence
 from wheeltrace.functions.geodesy import local_equirect, local_tmerc_heading, wgs84_to_tmerc
-from wheeltrace.operators.nearest import grid_nearest, segment, segment_d2
+from wheeltrace.operators.nearest import nearest_target, segment
 from wheeltrace.operators.ordered import attach, dense_number, running
 from wheeltrace.operators.paths import offset_line
 from wheeltrace.session import materialize
@@ -85,7 +85,7 @@ def parking_lines(edges: DataFrame, edge_id: str, tag_cols: dict[str, str], over
 
 
 def nearest_edge_by_side(cars: DataFrame, lines: DataFrame, keys, car_id, side: str = "side", xy=("lon", "lat"),
-                         payload=(), max_dist: float | None = None, metric: str = "deg", cell: float = 2e-4) -> DataFrame:
+                         payload=(), max_dist: float | None = None, metric: str = "deg") -> DataFrame:
     """Nearest parking line on the wanted side; all lines when the side is unknown or has none.
 
     Distances are in degrees as drawn; ``metric='m'`` scales longitudes by the latitude first.
@@ -98,13 +98,13 @@ def nearest_edge_by_side(cars: DataFrame, lines: DataFrame, keys, car_id, side:
         lines = lines.select(*[c for c in lines.columns if c not in ends], shrink("x0", mid).alias("x0"), (F.col("y0") * 111320).alias("y0"),
                              shrink("x1", mid).alias("x1"), (F.col("y1") * 111320).alias("y1"))
         cars = cars.withColumn("_px", shrink(xy[0], F.col(xy[1]))).withColumn("_py", F.col(xy[1]) * 111320)
-        xy, cell = ("_px", "_py"), cell * 111320
+        xy = ("_px", "_py")
     have = lines.select(*keys, "side").distinct().select(*keys, F.col("side").alias("_want_side"), F.col("side").alias("_want"))
     wanted = cars.withColumn("_want_side", F.lower(side)).join(have, [*keys, "_want_side"], "left")
     wanted = wanted.withColumn("_want", F.coalesce("_want", F.lit("any"))).drop("_want_side")
     target = lines.withColumn("line_side", F.col("side")).select("*", F.explode(F.array("side", F.lit("any"))).alias("_want"))
-    near = grid_nearest(wanted, target, [*keys, "_want"], car_id, xy, segment(*ends), "line_id",
-                        ("line_side", *payload), d2=segment_d2, cell=cell)
+    near = nearest_target(wanted, target, [*keys, "_want"], car_id, xy, segment(*ends), "line_id",
+                        ("line_side", *payload))
     near = near.drop("_want", "_px", "_py")
     return near if max_dist is None else near.where(F.col("dist") < max_dist)
 

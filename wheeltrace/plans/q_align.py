@@ -162,7 +162,7 @@ _COV = {
 def coverage_distance(spark, sf):
     pts = derived(spark, sf, "runs").selectExpr("run", "seq", "((seq*13 + run) % 400)*0.02d - 4d as px", "((seq*29 + run) % 300)*0.02d - 3d as py")
     cams = _pairs(spark, sf).selectExpr("frame_id as cam", "sx", "sy", "z")
-    out = Al.coverage_distance(pts, cams, [], ["run", "seq"], ("px", "py"), ("sx", "sy"), "z", "cam", cell=0.05)
+    out = Al.coverage_distance(pts, cams, [], ["run", "seq"], ("px", "py"), ("sx", "sy"), "z", "cam")
     return out.select("run", "seq", "cam", r("dist").alias("dist"), r("lookup_z").alias("lookup_z"))
 
 

@@ -199,12 +199,12 @@ def cluster_detections(spark, sf):
     return c.select("run", "first_ord", "count", r("bx", 5).alias("bx"), r("by", 5).alias("by"), r("w").alias("w"), r("yaw_sin", 5).alias("yaw_sin"), r("last_conf").alias("last_conf"))
 
 
-_SUMS = """SELECT run, obj AS first_ord, sum(x*score) AS bx, sum(y*score) AS by_, sum(len*score) AS bl, sum(yaw*score) AS byaw, sum(score) AS w, count(*) AS n,
+_SUMS = """SELECT run, obj AS first_ord, sum(x*score) AS bx, sum(y*score) AS by_, sum(len*score) AS bl, sum(z*score) AS bz, sum(wid*score) AS bw, sum(hgt*score) AS bh, sum(yaw*score) AS byaw, sum(score) AS w, count(*) AS n,
   min(frame) AS first_frame, sum(sin(yaw)*score) AS ys, sum(cos(yaw)*score) AS yc FROM detections GROUP BY run, obj"""
 _FIN = {
     **_FITT, "sums": _SUMS,
-    "cars_": """SELECT 'camera' AS sensor, run, first_ord, first_frame, bx/w + 692900e0 AS x, by_/w + 5338950e0 AS y, bl/w AS length, byaw/w AS yaw, n, w/n AS conf FROM sums
-      UNION ALL SELECT 'lidar', run, first_ord, 0, bx/w + 692900e0, by_/w + 5338950e0, bl/w, atan2(ys, yc), n, w/n FROM sums WHERE n >= 3""",
+    "cars_": """SELECT 'camera' AS sensor, run, first_ord, first_frame, bx/w + 692900e0 AS x, by_/w + 5338950e0 AS y, bz/w + 550e0 AS z, bl/w AS length, bw/w AS width, bh/w AS height, byaw/w AS yaw, n, w/n AS conf FROM sums
+      UNION ALL SELECT 'lidar', run, first_ord, 0, bx/w + 692900e0, by_/w + 5338950e0, bz/w + 550e0, bl/w, bw/w, bh/w, atan2(ys, yc), n, w/n FROM sums WHERE n >= 3""",
     "nn_": """SELECT c.sensor, c.run, c.first_ord, min(struct_pack(d2 := (c.x-f.x)*(c.x-f.x)+(c.y-f.y)*(c.y-f.y), idx := f.idx)) AS m
       FROM cars_ c JOIN fit f ON f.bag = c.run GROUP BY c.sensor, c.run, c.first_ord""",
     "fin": """SELECT c.*, CASE WHEN f.tx*(c.y-f.y) - f.ty*(c.x-f.x) > 0 THEN 'left' ELSE 'right' END AS side,
@@ -214,7 +214,7 @@ _FIN = {
 }
 
 
-@query("finalise_cars", cte(f"""SELECT sensor, run, CAST(id AS BIGINT) AS id, {q('x', 6)} AS x, {q('y', 6)} AS y, {q('length', 4)} AS length, {q('yaw', 9)} AS yaw, n AS count, {q('conf', 9)} AS conf, side,
+@query("finalise_cars", cte(f"""SELECT sensor, run, CAST(id AS BIGINT) AS id, {q('x', 6)} AS x, {q('y', 6)} AS y, {q('z', 6)} AS z, {q('length', 4)} AS length, {q('width', 4)} AS width, {q('height', 4)} AS height, {q('yaw', 9)} AS yaw, n AS count, {q('conf', 9)} AS conf, side,
    CASE WHEN least(d, 2*pi() - d) < pi()/4 OR least(d, 2*pi() - d) > 3*pi()/4 THEN 'parallel' ELSE 'perpendicular' END AS orient FROM fin""", "odom", "detections", extra=_FIN))
 def finalise_cars(spark, sf):
     s = F.col("score")
@@ -229,7 +229,7 @@ def finalise_cars(spark, sf):
     out = None
     for sensor in ("camera", "lidar"):
         cars = D.finalise_cars(sums, path, sensor, origin).select(
-            F.lit(sensor).alias("sensor"), "run", "id", r("x").alias("x"), r("y").alias("y"), r("length", 4).alias("length"), r("yaw", 9).alias("yaw"), "count",
+            F.lit(sensor).alias("sensor"), "run", "id", r("x").alias("x"), r("y").alias("y"), r("z").alias("z"), r("length", 4).alias("length"), r("width", 4).alias("width"), r("height", 4).alias("height"), r("yaw", 9).alias("yaw"), "count",
             r("conf", 9).alias("conf"), "side", "orient")
         out = cars if out is None else out.unionByName(cars)
     return out

@@ -448,5 +448,5 @@ _PP = {
 @query("polyline_project", cte(f"SELECT cluster_id, {q('sqrt(m.d2)', 4)} AS dist, {q('m.along', 4)} AS along FROM pk", "edges", "cars", extra=_PP))
 def polyline_project(spark, sf):
     pts = derived(spark, sf, "cars").selectExpr("cluster_id", "cluster_id % 25 as nation", "(lon - 11.58d)*74000 + 31d as px", "(lat - 48.17d)*111320 + 7d as py")
-    out = P.polyline_project(pts, _segments(spark, sf), ["nation"], ["cluster_id"], cell=50.0)
+    out = P.polyline_project(pts, _segments(spark, sf), ["nation"], ["cluster_id"])
     return rounded(out.where("seg is not null"), "cluster_id", dist="dist", along="along", digits=4)

@@ -97,10 +97,10 @@ def _parking_lines(spark, sf):
     return Sc.parking_lines(derived(spark, sf, "edges"), "edge_id", {}, override=True)
 
 
-@query("nearest_edge_by_side", cte(f"SELECT cluster_id, side AS line_side, {q('dist', 9)} AS dist FROM near", "edges", "cars", extra=_NEAR))
+@query("nearest_edge_by_side", cte(f"SELECT cluster_id, line_id, side AS line_side, {q('dist', 9)} AS dist FROM near", "edges", "cars", extra=_NEAR))
 def nearest_edge_by_side(spark, sf):
     out = Sc.nearest_edge_by_side(derived(spark, sf, "cars"), _parking_lines(spark, sf), [], ["cluster_id"])
-    return out.select("cluster_id", "line_side", r("dist", 9).alias("dist"))
+    return out.select("cluster_id", "line_id", "line_side", r("dist", 9).alias("dist"))
 
 
 _SPAWN = {
@@ -114,10 +114,10 @@ _SPAWN = {
 }
 
 
-@query("spawn_positions", cte(f"SELECT cluster_id, side, orient AS mode, {q('mx - 880000e0', 4)} AS x, {q('-(my - 5390000e0)', 4)} AS y, {q('hd - 360*floor(hd/360e0)', 4)} AS heading FROM sp0_f", "edges", "cars", extra=_SPAWN))
+@query("spawn_positions", cte(f"SELECT cluster_id, edge_id AS street_id, side, orient AS mode, {q('mx - 880000e0', 4)} AS x, {q('-(my - 5390000e0)', 4)} AS y, {q('hd - 360*floor(hd/360e0)', 4)} AS heading FROM sp0_f", "edges", "cars", extra=_SPAWN))
 def spawn_positions(spark, sf):
     out = Sc.spawn_positions(derived(spark, sf, "cars"), _parking_lines(spark, sf), [], "cluster_id", OFFSET)
-    return out.select("cluster_id", "side", "mode", r(F.col("start")[0], 4).alias("x"), r(F.col("start")[1], 4).alias("y"), r("heading", 4).alias("heading"))
+    return out.select("cluster_id", "street_id", "side", "mode", r(F.col("start")[0], 4).alias("x"), r(F.col("start")[1], 4).alias("y"), r("heading", 4).alias("heading"))
 
 
 @query("bbox_filter", cte("""SELECT cluster_id FROM cars WHERE lat BETWEEN 48.174e0 - degrees(200e0/6371009e0) AND 48.174e0 + degrees(200e0/6371009e0)

@@ -31,6 +31,7 @@ LEAST_SCORE = 0.35    # of more than two languages none is named below this
 MARGIN = 0.05         # further room below the least familiar pieces
 ROOM = 0.75           # share of the room down to the negatives that is left to clean texts
 BROADCAST_DRAWS = 1_000_000
+BROADCAST_LANGUAGES = 10_000
 UNKNOWN = "und"
 
 
@@ -87,7 +88,9 @@ def passages(df: DataFrame, usable: Column, per_group: int = SAMPLE, most: int =
         "lang", "text", F.xxhash64(F.col("doc_id").cast("string")).alias("draw"))
     best = Window.partitionBy("lang").orderBy("draw")
     # the hashes that come into question first, by each language's count, so that no text is sorted and few hashes meet in a task
-    counts = keyed.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    counts = materialize(keyed.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "languages")
+    if counts.count() <= BROADCAST_LANGUAGES:
+        counts = F.broadcast(counts)  # else the join would deal all hashes out by language
     place = F.col("draw") / F.lit(2.0 ** 64) + 0.5
     chosen = keyed.select("lang", "draw").join(counts, "lang").where(place * F.col("n") <= 2 * per_group + 100)
     chosen = chosen.withColumn("r", F.row_number().over(best)).where(F.col("r") <= per_group)

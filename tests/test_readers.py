@@ -119,6 +119,15 @@ def test_point_clouds(spark, tmp_path):
     for r in got:
         by.setdefault(r.path.rsplit("/", 1)[1], []).append((r.point, r.x, round(r.i, 3)))
     assert by == {"four.bin": [(0, 1.0, 1.0), (1, 4.0, 0.2)], "three.bin": [(0, 1.0, 0.0), (1, 4.0, 0.0), (2, 7.0, 0.0)]}
+    small = R.read_point_clouds(spark, str(tmp_path), range_bytes=16)  # a point or so in each range
+    assert sorted(map(tuple, small.collect())) == sorted(map(tuple, got))
+    from wheeltrace.sources.python_sources import _CloudReader
+
+    parts = _CloudReader({"path": str(tmp_path), "rangebytes": "16", "taskbytes": "16"}).partitions()
+    assert [len(p.parts) for p in parts] == [1] * 5
+    assert [len(p.parts) for p in _CloudReader({"path": str(tmp_path)}).partitions()] == [2]
+    assert R.read_point_clouds(spark, f"{tmp_path}/f*.bin").count() == 2 and R.read_point_clouds(spark, f"{tmp_path}/three.bin").count() == 3
+    assert R.read_point_clouds(spark, f"{tmp_path}/empty.bin").count() == 0
 
 
 def png(rgb):
@@ -212,3 +221,28 @@ def test_incremental_results(spark, tmp_path):
     assert W.incremental_results(frames, compute("c"), path, ["frame"], force=True).where("by = 'c'").count() == 6
     part = W.incremental_results(frames.where("frame = 1"), compute("d"), path, ["frame"], force=True)
     assert sorted((r.frame, r.by) for r in part.collect()) == [(0, "c"), (1, "d"), (2, "c"), (3, "c"), (4, "c"), (5, "c")]
+
+
+def test_killed_and_doubled_writers_leave_each_key_once(spark, tmp_path):
+    from wheeltrace.sources import python_sources as PS
+
+    path = f"{tmp_path}/res"
+    frames = spark.range(8).withColumnRenamed("id", "frame")
+    W.write_results(frames.where("frame < 4").withColumn("by", F.lit("a")), path)
+    before = PS.published_files(path)
+    # a writer whose third task fails: staged files are there, but no manifest names them
+    fail = F.when(F.col("frame") == 7, F.raise_error(F.lit("killed")).cast("string")).otherwise(F.lit("x"))
+    with pytest.raises(Exception, match="killed"):
+        W.write_results(frames.repartition(4).withColumn("by", fail), path)
+    (tmp_path / "res" / "data" / "left-over.parquet").write_bytes(b"half a file")
+    assert PS.published_files(path) == before
+    assert sorted((r.frame, r.by) for r in W.stored_results(spark, path, ["frame"]).collect()) == [(k, "a") for k in range(4)]
+    # two writers that both saw the same gap: the later one counts, each key is there once
+    for tag in "bc":
+        W.write_results(frames.where("frame >= 4").withColumn("by", F.lit(tag)), path)
+    assert sorted((r.frame, r.by) for r in W.stored_results(spark, path, ["frame"]).collect()) == [(k, "a" if k < 4 else "c") for k in range(8)]
+    # a key may have several rows; force touches its keys only
+    W.incremental_results(frames.where("frame = 2"), lambda f: f.crossJoin(spark.range(2)).selectExpr("frame", "concat('d', id) as by"), path, ["frame"], force=True)
+    got = sorted((r.frame, r.by) for r in W.stored_results(spark, path, ["frame"]).collect())
+    assert got == sorted([(2, "d0"), (2, "d1"), *[(k, "a") for k in (0, 1, 3)], *[(k, "c") for k in range(4, 8)]])
+    assert W.stored_results(spark, f"{tmp_path}/none", ["frame"]) is None

@@ -65,6 +65,15 @@ def dense_number(
     )
 
 
+def counted(small: DataFrame, most: int = BROADCAST_HEADS) -> DataFrame:
+    """A summary that is broadcast if it has few rows: it is written and counted, so that the large side of a join need not move.
+
+    With more rows it stays as it is, and the join decides.
+    """
+    small = materialize(small, "summary")
+    return F.broadcast(small) if small.count() <= most else small
+
+
 def chunk_of(pos: str, rows: int) -> Column:
     return F.expr(f"cast(`{pos}` as bigint) div {rows}")
 

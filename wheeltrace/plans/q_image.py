@@ -1,5 +1,9 @@
 """Queries: class maps, overlap scores, colours, speckles, incremental results, model batches."""
 
+import struct
+import uuid
+import zlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
@@ -7,6 +11,8 @@ from pyspark.sql import functions as F
 from wheeltrace.operators import images as Im
 from wheeltrace.plans.derived import cte, derived, table
 from wheeltrace.plans.registry import q, query, r
+from wheeltrace.sources.python_sources import write_files
+from wheeltrace.sources.readers import read_label_images as read_images
 from wheeltrace.sources.sinks import incremental_results as incremental
 from wheeltrace.session import scratch_folder
 
@@ -82,6 +88,14 @@ def unique_instance_colours(spark, sf):
     return Im.unique_instance_colours(px, "frame", "g", "b", "tag")
 
 
+def png(rgb: np.ndarray) -> bytes:
+    """A plain PNG file of an image (rows x columns x 3 bytes)."""
+    h, w, _ = rgb.shape
+    lines = np.concatenate([np.zeros((h, 1), np.uint8), rgb.reshape(h, 3 * w)], 1).tobytes()
+    parts = [(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 2, 0, 0, 0)), (b"IDAT", zlib.compress(lines)), (b"IEND", b"")]
+    return b"\x89PNG\r\n\x1a\n" + b"".join(struct.pack(">I", len(d)) + k + d + struct.pack(">I", zlib.crc32(k + d)) for k, d in parts)
+
+
 def _maps(spark, sf):
     """8 x 8 class maps from the vectors: class by value range."""
     return derived(spark, sf, "cameras").select(
@@ -92,15 +106,16 @@ def _maps(spark, sf):
 @query("read_label_images", cte("""SELECT frame, CAST((k - 1) // 8 AS BIGINT) AS y, CAST((k - 1) % 8 AS BIGINT) AS x, CASE WHEN v > 0.05e0 THEN 2 WHEN v < -0.05e0 THEN 1 ELSE 0 END AS cls
    FROM (SELECT frame_id AS frame, unnest(range(1, 65)) AS k, CAST(unnest(c2w) AS DOUBLE) AS v FROM cameras)""", "cameras"))
 def read_label_images(spark, sf):
-    def paint(batches):  # noisy palette colours, blue first
+    def paint(batches):  # image files in noisy palette colours
+        pal = np.array([[1, 2, 3], [2, 5, 140], [131, 66, 120]], dtype=np.uint8)
         for pdf in batches:
-            pal = np.array([[3, 2, 1], [140, 5, 2], [120, 66, 131]], dtype=np.uint8)
-            yield pd.DataFrame({"frame": pdf["frame"], "height": pdf["h"], "width": pdf["w"],
-                                "data": [pal[np.array(c)].tobytes() for c in pdf["cls"]]})
+            shots = [pal[np.array(c).reshape(h, w)] for c, h, w in zip(pdf["cls"], pdf["h"], pdf["w"])]
+            yield pd.DataFrame({"name": [f"frame_{f}.png" for f in pdf["frame"]], "content": [png(rgb) for rgb in shots]})
 
-    img = _maps(spark, sf).mapInPandas(paint, "frame long, height int, width int, data binary")
-    px = Im.pixel_rows(Im.label_images(img, size=None))
-    return px.select("frame", F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), F.col("cls").cast("int").alias("cls"))
+    path = f"{scratch_folder(spark)}/images-{uuid.uuid4().hex}"
+    write_files(_maps(spark, sf).mapInPandas(paint, "name string, content binary"), path)
+    px = Im.pixel_rows(read_images(spark, path, size=None))
+    return px.select(F.regexp_extract("frame", r"frame_(\d+)\.png$", 1).cast("long").alias("frame"), F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), F.col("cls").cast("int").alias("cls"))
 
 
 _SPK = {
@@ -122,8 +137,6 @@ def despeckle(spark, sf):
 @query("incremental_results", cte("SELECT score, mean, n FROM (" + " UNION ALL ".join(
     f"SELECT '{c}' AS score, {q(f'avg({c})')} AS mean, count({c}) AS n FROM io" for c in _COLS) + ")", "pixels", extra=_IOU))
 def incremental_results(spark, sf):
-    import uuid
-
     path = f"{scratch_folder(spark)}/iou-{uuid.uuid4().hex}"
     frames = derived(spark, sf, "pixels")
 

@@ -13,6 +13,7 @@ from wheeltrace.plans.registry import q, query, r, rounded
 from wheeltrace.operators.align import split_assign
 from wheeltrace.sources import readers as R
 from wheeltrace.sources import sinks as W
+from wheeltrace.sources.python_sources import write_files
 from wheeltrace.session import scratch_folder
 
 
@@ -28,6 +29,13 @@ def _text(spark, df, name, keys=()):
     return path
 
 
+def _files(spark, docs, name):
+    """Write one file per document (``id``, ``value``) and return the folder."""
+    path = _folder(spark, name)
+    write_files(docs.select(F.format_string("%d.doc", "id").alias("name"), F.encode("value", "UTF-8").alias("content")), path)
+    return path
+
+
 @query("read_odometry", cte(f"SELECT CAST(bag AS VARCHAR) AS bag, {q('t_us/1e6', 6)} AS timestamp, {q('tx')} AS tx, {q('ty')} AS ty, {q('qz')} AS qz, {q('yaw')} AS yaw FROM odom", "odom"))
 def read_odometry(spark, sf):
     o = derived(spark, sf, "odom").selectExpr("concat('bag', bag) as bag", "t_us/1e6 as timestamp", "tx", "ty", "tz", "qx", "qy", "qz", "qw", "yaw")
@@ -61,7 +69,10 @@ _LN = {
 def read_frame_positions(spark, sf):
     lines = derived(spark, sf, "pose_lines").select("line_no", F.expr(
         "case when line_no % 50 > 1 then concat(cast(line_no % 4000 as string), substr(value, instr(value, ','))) else value end").alias("value"))
-    kept, rejected = R.parse_frame_positions(lines)
+    path = _folder(spark, "positions")  # files by the last digit of the frame, each in the order of its lines
+    lines = lines.withColumn("file", F.pmod(F.coalesce(F.regexp_extract("value", r"^(\d+),", 1).try_cast("long"), F.lit(0)), F.lit(10)))
+    lines.repartition("file").sortWithinPartitions("file", "line_no").select("file", "value").write.partitionBy("file").text(path)
+    kept, rejected = R.read_frame_positions(spark, f"{path}/*/")
     # the number of rejected lines is reported as frame -1
     n = rejected.agg(F.count(F.lit(1)).cast("double").alias("yaw"))
     none = F.lit(None).cast("double")
@@ -137,11 +148,13 @@ def read_point_clouds(spark, sf):
 
     def pack(batches):
         for pdf in batches:
-            yield pd.DataFrame({"path": pdf["frame_id"], "content": [np.asarray(v, dtype=np.float32).tobytes() for v in pdf["c2w"]]})
+            yield pd.DataFrame({"name": [f"{f}.bin" for f in pdf["frame_id"]], "content": [np.asarray(v, dtype=np.float32).tobytes() for v in pdf["c2w"]]})
 
-    files = derived(spark, sf, "cameras").select("frame_id", "c2w").mapInPandas(pack, "path long, content binary")
-    pts = R.decode_point_clouds(files)
-    return pts.select(F.col("path").alias("frame_id"), "point", *[r(F.col(c).cast("double")).alias(c) for c in ("x", "z", "i")])
+    path = _folder(spark, "clouds")
+    write_files(derived(spark, sf, "cameras").select("frame_id", "c2w").mapInPandas(pack, "name string, content binary"), path)
+    pts = R.read_point_clouds(spark, path, range_bytes=128)  # several ranges a file
+    frame = F.regexp_extract("path", r"(\d+)\.bin$", 1).cast("long").alias("frame_id")
+    return pts.select(frame, "point", *[r(F.col(c).cast("double")).alias(c) for c in ("x", "z", "i")])
 
 
 @query("read_osm", """SELECT CAST(s_suppkey AS BIGINT) AS way_id, CAST(2 + s_suppkey % 3 AS INT) AS refs, CASE WHEN s_suppkey % 2 = 0 THEN 'residential' END AS highway FROM supplier
@@ -174,7 +187,8 @@ def read_map_header(spark, sf):
     off = F.when(k % 4 == 0, F.lit("")).otherwise(F.format_string('<offset x="%d.5" y="-2.0"/>', k))
     docs = table(spark, sf, "customer").select(k.alias("id"), F.concat(F.format_string(
         '<?xml version="1.0"?><OpenDRIVE><header north="4" south="2" east="10" west="%d">', k), geo, off, F.lit("</header><road/></OpenDRIVE>")).alias("value"))
-    return R.parse_map_header(docs, keep=["id"]).select("id", "geo_reference", "offset_x", r("center_x").alias("center_x"))
+    out = R.read_map_header(spark, _files(spark, docs, "headers"), pattern=r"(\d+)\.doc$")
+    return out.select(F.col("file").cast("long").alias("id"), "geo_reference", "offset_x", r("center_x").alias("center_x"))
 
 
 @query("run_catalog", """SELECT id, CASE WHEN id % 6 < 2 THEN 'real' ELSE 'sim' END AS kind, CASE id % 6 WHEN 3 THEN 'gs' WHEN 5 THEN 'Gs_fast2' ELSE NULL END AS method,
@@ -216,7 +230,8 @@ def read_camera_config(spark, sf):
     nested = F.concat(F.lit('{"size": {"x": 640, "y": 1}, "camera": {'), F.format_string(pos, k), fps, F.lit("}}"))
     flat = F.concat(F.lit("{"), F.format_string(pos, k), fps, F.when(k % 3 == 1, F.lit(', "target_size": "bad", "output_size": 256')).otherwise(F.lit("")), F.lit("}"))
     docs = table(spark, sf, "customer").select(k.alias("id"), F.when(k % 3 == 0, nested).otherwise(flat).alias("value"))
-    return R.parse_camera_config(docs, keep=["id"]).select("id", "size", "fov", "fps", "x")
+    out = R.read_camera_config(spark, _files(spark, docs, "cameras"), pattern=r"(\d+)\.doc$")
+    return out.select(F.col("file").cast("long").alias("id"), "size", "fov", "fps", "x")
 
 
 @query("frame_number", """SELECT CAST(page_id AS BIGINT) AS page_id, CAST(page_id*3 AS BIGINT) AS a, CAST(page_id AS BIGINT) AS b, CASE WHEN page_id % 2 = 0 THEN CAST(page_id AS BIGINT) END AS c,

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wheeltrace.functions.angles import STEER_RANGE
+from wheeltrace.operators.ordered import counted
 from wheeltrace.operators.scene import BACK_OFFSET
+from wheeltrace.session import materialize
 
 ODOMETRY = "timestamp double, tx double, ty double, tz double, qx double, qy double, qz double, qw double, yaw double"
 TRAJECTORY = ("timestamp", "x", "y", "z", "yaw")
@@ -164,37 +164,21 @@ def read_detection_doc(spark: SparkSession, path) -> DataFrame:
     return doc.select(file_key(r"([^/]+)$", "file"), "source", "dataset_name", "global_origin", F.inline("cars"))
 
 
-def decode_point_clouds(files: DataFrame, key: str = "path") -> DataFrame:
-    """``path, content`` to point rows. Four floats per point, else three (intensity 0), else rejected.
+def read_point_clouds(spark: SparkSession, path, range_bytes: int | None = None) -> DataFrame:
+    """Points of raw cloud files: ``path, point, x, y, z, i``; a large cloud is read by several tasks.
 
-    Intensities are divided by 255 when any exceeds 1.
+    Four floats per point, else three (intensity 0), else rejected. Intensities are divided by 255 in clouds where any exceeds 1.
     """
+    from wheeltrace.sources.python_sources import register
 
-    def run(batches):
-        for pdf in batches:
-            for name, content in pdf.itertuples(index=False):
-                raw = np.frombuffer(content, dtype=np.float32) if len(content) % 4 == 0 else np.empty(0, np.float32)
-                if len(raw) == 0:
-                    continue
-                if len(raw) % 4 == 0:
-                    pts = raw.reshape(-1, 4).copy()
-                elif len(raw) % 3 == 0:
-                    pts = np.hstack([raw.reshape(-1, 3), np.zeros((len(raw) // 3, 1), np.float32)])
-                else:
-                    continue
-                if pts[:, 3].max() > 1.0:
-                    pts[:, 3] /= 255.0
-                for lo in range(0, len(pts), 100_000):
-                    part = pts[lo:lo + 100_000]
-                    yield pd.DataFrame({key: name, "point": np.arange(lo, lo + len(part)), "x": part[:, 0], "y": part[:, 1],
-                                        "z": part[:, 2], "i": part[:, 3]})
-
-    kind = dict(files.dtypes)[key]
-    return files.select(key, "content").mapInPandas(run, f"{key} {kind}, point long, x float, y float, z float, i float")
-
-
-def read_point_clouds(spark: SparkSession, path) -> DataFrame:
-    return decode_point_clouds(spark.read.format("binaryFile").load(path))
+    register(spark)
+    source = spark.read.format("point_clouds")
+    if range_bytes:
+        source = source.option("rangeBytes", range_bytes).option("taskBytes", 64 * range_bytes)
+    pts = source.load(path)
+    bytes_ = materialize(pts.where("i > 1").select("path").distinct(), "scaled").withColumn("_b", F.lit(True))
+    out = pts.join(counted(bytes_), "path", "left")
+    return out.select("path", "point", "x", "y", "z", F.when(F.col("_b"), (F.col("i") / 255).cast("float")).otherwise(F.col("i")).alias("i"))
 
 
 def read_label_images(spark: SparkSession, path, size=(512, 512)) -> DataFrame:
@@ -230,8 +214,8 @@ def parse_map_header(docs: DataFrame, text: str = "value", keep=()) -> DataFrame
     return out.select("*", ((F.col("east") + F.col("west")) / 2).alias("center_x"), ((F.col("north") + F.col("south")) / 2).alias("center_y"))
 
 
-def read_map_header(spark: SparkSession, path) -> DataFrame:
-    docs = spark.read.text(path, wholetext=True).select(file_key(r"([^/]+)$", "file"), "value")
+def read_map_header(spark: SparkSession, path, pattern: str = r"([^/]+)$") -> DataFrame:
+    docs = spark.read.text(path, wholetext=True).select(file_key(pattern, "file"), "value")
     return parse_map_header(docs, keep=("file",))
 
 
@@ -324,8 +308,8 @@ def parse_camera_config(docs: DataFrame, text: str = "value", keep=(), defaults:
     return out.withColumn("x", checked)
 
 
-def read_camera_config(spark: SparkSession, path) -> DataFrame:
-    docs = spark.read.text(path, wholetext=True).select(file_key(r"([^/]+)$", "file"), "value")
+def read_camera_config(spark: SparkSession, path, pattern: str = r"([^/]+)$") -> DataFrame:
+    docs = spark.read.text(path, wholetext=True).select(file_key(pattern, "file"), "value")
     return parse_camera_config(docs, keep=("file",))
 
 

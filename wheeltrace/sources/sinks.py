@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wheeltrace.session import materialize
+from wheeltrace.sources.python_sources import new_version, published_files, register
+
+VERSION = "_version"
 
 
 def fixed_line(cols: dict[str, int | None]) -> Column:
@@ -60,21 +62,31 @@ def incremental_results(frames: DataFrame, compute: Callable[[DataFrame], DataFr
                         force: bool = False) -> DataFrame:
     """Compute results only for keys without a stored one; returns all stored results.
 
-    ``force`` recomputes every key of ``frames``; the stored results of other keys stay.
+    ``force`` recomputes every key of ``frames`` and touches no other. A write is staged by its tasks and published by one
+    manifest at the end; rows carry the version of their write, and of each key the newest version counts. So a killed writer
+    leaves nothing, and two writers of the same keys leave each key once.
     """
     spark = frames.sparkSession
-    stored = _read_table(spark, path)
-    if force and stored is not None:
-        rest = stored.join(frames.select(*keys).distinct(), list(keys), "left_anti")
-        # written elsewhere first: the stored table is read for it
-        materialize(rest.unionByName(compute(frames)), "results").write.mode("overwrite").parquet(path)
-        return spark.read.parquet(path)
-    todo = frames if stored is None else frames.join(stored.select(*keys), list(keys), "left_anti")
-    compute(todo).write.mode("append").parquet(path)
-    return spark.read.parquet(path)
-
-
-def _read_table(spark, path: str) -> DataFrame | None:
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
-    return spark.read.parquet(path) if fs.exists(hadoop) else None
+    stored = None if force else stored_results(spark, path, keys)
+    todo = frames if stored is None else frames.join(stored.select(*keys).distinct(), list(keys), "left_anti")
+    write_results(compute(todo), path)
+    return stored_results(spark, path, keys)
+
+
+def write_results(results: DataFrame, path: str) -> str:
+    """Publish one version of results; the version is returned."""
+    register(results.sparkSession)
+    version = new_version()
+    rows = results.withColumn(VERSION, F.lit(version))
+    rows.write.format("versioned_results").option("version", version).option("path", path).mode("append").save()
+    return version
+
+
+def stored_results(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame | None:
+    """The newest rows of every key among the published writes, None if nothing is stored."""
+    files = published_files(path)
+    if not files:
+        return None
+    rows = spark.read.parquet(*files)
+    newest = rows.groupBy(*keys).agg(F.max(VERSION).alias(VERSION))
+    return rows.join(newest, [*keys, VERSION], "left_semi").drop(VERSION)

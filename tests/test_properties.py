@@ -513,6 +513,59 @@ def test_frame_match_counts_each_data_set(spark):
     assert Al.frame_match(a, a, ["bag", "f"])[0].count() == 10
 
 
+def test_similarity_fit_3d_per_key(spark):
+    """Noisy points, reflections that no rotation reaches, flat and single points: as the singular value decomposition has it."""
+    rng = np.random.default_rng(21)
+    frames = []
+    for k in range(12):
+        n = 1 if k == 11 else 40
+        a = rng.normal(size=(n, 3)) * [5, 3, 0 if k == 10 else 2]
+        u, _, v = np.linalg.svd(rng.normal(size=(3, 3)))
+        turn = u @ v * (-1 if np.linalg.det(u @ v) < 0 else 1)
+        b = 0.5 * k * a @ turn.T + rng.normal(size=3) + rng.normal(size=(n, 3)) * 0.3
+        if k == 9:
+            b[:, 0] *= -1
+        frames.append(pd.DataFrame({"k": k, **{c: a[:, i] for i, c in enumerate("abc")}, **{c: b[:, i] for i, c in enumerate("xyz")}}))
+    df = spark.createDataFrame(pd.concat(frames))
+    got = {r.k: r for r in Al.similarity_fit_3d(df, ["k"], "abc", "xyz").collect()}
+    for k, f in enumerate(frames[:11]):
+        a, b = f[list("abc")].to_numpy(), f[list("xyz")].to_numpy()
+        want = Al.similarity_fit_nd(spark.createDataFrame(f), list("abc"), list("xyz"))
+        np.testing.assert_allclose(np.reshape(got[k].rotation, (3, 3)), want["rotation"], atol=1e-7)
+        assert got[k].scale == pytest.approx(want["scale"])
+        np.testing.assert_allclose(got[k].translation, want["translation"], atol=1e-7)
+        left = b - (want["scale"] * a @ np.array(want["rotation"]).T + want["translation"])
+        assert got[k].rms == pytest.approx(np.sqrt((left ** 2).sum(1).mean()), abs=1e-6)
+    assert got[11].scale is None and got[11].rotation is None and got[11].rms is None
+
+
+def test_maps_compose_by_doubling():
+    rng = np.random.default_rng(2)
+    for n in (1, 2, 3, 17, 64):
+        maps = rng.integers(0, 5, (n, 5))
+        state, want = np.arange(5), []
+        for m in maps:
+            state = m[state]
+            want.append(state)
+        assert (Al.composed(maps) == np.array(want)).all()
+
+
+def test_summaries_do_not_move_the_rows(spark, monkeypatch):
+    from wheeltrace.operators import ordered
+
+    monkeypatch.setattr(ordered, "LARGE_BYTES", 0)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = spark.range(2000).selectExpr("id % 3 as bag", "id as frame", "id * 0.01 as yaw", "id * 1.0 as x", "id * 0.5 as y")
+        splits = spark.range(3).selectExpr("id as bag", "0L as split", "0.0 as cx", "0.0 as cy", "1.0 as a", "0.0 as b", "0.0 as tx", "0.0 as ty")
+        for out in (Al.split_assign(rows, ["bag"], "frame", 4, 2), Al.nearest_centroid(rows, splits, ["bag"], "x", "y")):
+            plan = out._jdf.queryExecution().sparkPlan().toString()
+            assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        assert Al.circular_mean(rows, ["bag"], "yaw").count() == 3
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_similarity_fit_per_key(spark):
     rows = [(1, x, y, 2 * x + 1 + e, 2 * y - 1) for x, y, e in ((0, 0, 0.3), (4, 0, -0.3), (4, 3, 0.3), (0, 3, -0.3))] + [(2, 1.0, 1.0, 5.0, 5.0)]
     df = spark.createDataFrame([(k, *map(float, r)) for k, *r in rows], "k long, a double, b double, x double, y double")

@@ -74,6 +74,16 @@ def counted(small: DataFrame, most: int = BROADCAST_HEADS) -> DataFrame:
     return F.broadcast(small) if small.count() <= most else small
 
 
+def with_summary(rows: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join rows with a summary per key; large rows stay where they are while the summary can be counted and broadcast.
+
+    A join on the key alone would deal all rows of a recording to one task.
+    """
+    if size_in_bytes(rows) >= LARGE_BYTES:
+        small = counted(small)
+    return rows.join(small, list(keys), how)
+
+
 def chunk_of(pos: str, rows: int) -> Column:
     return F.expr(f"cast(`{pos}` as bigint) div {rows}")
 

@@ -11,12 +11,7 @@ from pyspark.sql import functions as F
 from wheeltrace.functions.angles import TWO_PI, heading, rear_offset, wrap_rad
 from wheeltrace.operators.nearest import nearest_target, segment, vertex
 from wheeltrace.operators.ordered import (
-    CHUNK_ROWS,
-    dense_number,
-    halo_window,
-    neighbours,
-    running,
-    with_halo,
+    CHUNK_ROWS, dense_number, halo_window, neighbours, running, with_halo, with_summary,
 )
 from wheeltrace.operators.timesync import interp_series
 from wheeltrace.session import materialize
@@ -186,9 +181,11 @@ def fit_path(
     """
     keys = list(keys)
     p = dense_number(finite_rows(poses, x, y), keys, order, "_pos")
-    p = dense_number(dedupe_consecutive(p, keys, "_pos", x, y).drop("_pos"), keys, order, "_pos")
+    # what is left is numbered by counting along the positions, without another sort
+    p = materialize(dedupe_consecutive(p.select(*keys, "_pos", x, y), keys, "_pos", x, y), "kept")
+    p = running(p, keys, "_pos", {"_k": ("sum", F.lit(1))}).withColumn("_pos", F.col("_k") - 1).drop("_k")
     step = p.groupBy(*keys).agg(F.greatest(F.lit(1).cast("long"), F.expr(f"count(1) div {max_points}")).alias("_step"))
-    thin = p.join(step, keys).where(F.col("_pos") % F.col("_step") == 0)
+    thin = with_summary(p, step, keys).where(F.col("_pos") % F.col("_step") == 0)
     thin = thin.select(*keys, F.expr("_pos div _step").alias("_pos"), F.col(x).alias("x"), F.col(y).alias("y"))
     thin = materialize(dedupe_consecutive(thin, keys, "_pos"), "thin")
     thin = dense_number(thin.withColumnRenamed("_pos", "_old"), keys, ["_old"], "_pos").drop("_old")

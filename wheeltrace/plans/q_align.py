@@ -53,6 +53,21 @@ def similarity_fit(spark, sf):
     return rounded(out, "split", "n", scale="scale", theta="theta", t_x="t_x", t_y="t_y").join(out.select("split", r("rms", 4).alias("rms")), "split")
 
 
+# every bag has its own scale, rotation (about z, then about x) and shift
+_TURN = ["cos(az)", "-sin(az)*cos(ax)", "sin(az)*sin(ax)", "sin(az)", "cos(az)*cos(ax)", "-cos(az)*sin(ax)", "0e0", "sin(ax)", "cos(ax)"]
+_FIT3 = "0.3e0 + 0.7e0*bag AS az, 0.2e0*bag - 0.5e0 AS ax, 0.5e0 + 0.25e0*bag AS sc, 10e0*bag AS sx, -3e0 AS sy, 1e0 + bag AS sz"
+
+
+@query("similarity_fit_3d", cte(f"SELECT bag, n, {q('sc')} AS scale, {', '.join(f'{q(e)} AS r{i}' for i, e in enumerate(_TURN))}, {q('sx', 5)} AS t_x, {q('sy', 5)} AS t_y, {q('sz', 5)} AS t_z FROM (SELECT bag, count(*) AS n, {_FIT3} FROM odom GROUP BY bag)", "odom"))
+def similarity_fit_3d(spark, sf):
+    o = derived(spark, sf, "odom").selectExpr("bag", "tx - 692900e0 as x", "ty - 5339000e0 as y", "5e0*sin(0.1e0*idx) as z", *_FIT3.split(", "))
+    e = [f"({t})" for t in _TURN]
+    moved = [f"sc*({e[3 * i]}*x + {e[3 * i + 1]}*y + {e[3 * i + 2]}*z) + s{a} as d{a}" for i, a in enumerate("xyz")]
+    fit = Al.similarity_fit_3d(o.selectExpr("bag", "x", "y", "z", *moved), ["bag"], "xyz", ("dx", "dy", "dz"))
+    return fit.select("bag", "n", r("scale").alias("scale"), *[r(F.col("rotation")[i]).alias(f"r{i}") for i in range(9)],
+                      *[r(F.col("translation")[i], 5).alias(f"t_{a}") for i, a in enumerate("xyz")])
+
+
 _REP = {
     **_YAW,
     "er": f"""SELECT p.split, p.pitch, p.roll, p.z, sqrt((dx-(pp/v*sx-qq/v*sy+t_x))*(dx-(pp/v*sx-qq/v*sy+t_x)) + (dy-(qq/v*sx+pp/v*sy+t_y))*(dy-(qq/v*sx+pp/v*sy+t_y))) AS e,

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wheeltrace.functions.angles import STEER_RANGE
-from wheeltrace.operators.ordered import counted
+from wheeltrace.operators.ordered import counted, with_summary
 from wheeltrace.operators.scene import BACK_OFFSET
 from wheeltrace.session import materialize
 
@@ -105,7 +105,7 @@ def sim_steering(points: DataFrame, keys, pos: str, alias: str | None = None) ->
     pick = F.when(F.col("_has_steer_raw"), F.col("steer_raw")).when(F.col("_has_steering"), F.col("steering") * STEER_RANGE)
     if alias:
         pick = F.when(F.col("_has_steer_raw") | F.col("_has_steering"), pick).when(F.col(f"_has_{alias}"), F.col(alias))
-    return points.join(first, list(keys)).select(*points.columns, pick.alias("steer"))
+    return with_summary(points, first, keys).select(*points.columns, pick.alias("steer"))
 
 
 def read_sim_trajectory(spark: SparkSession, path, alias: str | None = None) -> DataFrame:

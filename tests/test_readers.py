@@ -246,3 +246,61 @@ def test_killed_and_doubled_writers_leave_each_key_once(spark, tmp_path):
     got = sorted((r.frame, r.by) for r in W.stored_results(spark, path, ["frame"]).collect())
     assert got == sorted([(2, "d0"), (2, "d1"), *[(k, "a") for k in (0, 1, 3)], *[(k, "c") for k in range(4, 8)]])
     assert W.stored_results(spark, f"{tmp_path}/none", ["frame"]) is None
+
+
+def test_documents_round_trip(spark, tmp_path):
+    from wheeltrace.sources import documents as D
+
+    cars = spark.createDataFrame(
+        [("a/b", 2, 1.0, 2.0, 0.5, 4.5, 1.8, 1.5, 0.25, 3, 0.9, "left", "parallel"), ("a/b", 1, 5.0, 6.0, 0.5, 4.5, 1.8, 1.5, 0.25, 4, 0.8, "right", "perpendicular"),
+         (None, 1, 7.0, 8.0, 0.0, 4.0, 1.8, 1.5, 0.0, 5, 0.7, "left", "parallel")],
+        "bag string, id long, x double, y double, z double, length double, width double, height double, yaw double, count long, conf double, side string, orient string")
+    assert D.write_detection_docs(cars, f"{tmp_path}/docs", ["bag"], "lidar", (1, 2, 3)) == 2
+    assert sorted(p.name for p in (tmp_path / "docs").iterdir()) == ["a-b.json", "none.json"]
+    got = R.read_detection_doc(spark, f"{tmp_path}/docs").orderBy("file", "id").collect()
+    assert [(r.file, r.id, r.x, r.global_origin, r.source) for r in got] == [("a-b.json", 1, 5.0, [1, 2, 3], "lidar"), ("a-b.json", 2, 1.0, [1, 2, 3], "lidar"), ("none.json", 1, 7.0, [1, 2, 3], "lidar")]
+    D.write_clusters_text(cars, f"{tmp_path}/clusters", ["bag"])
+    assert (tmp_path / "clusters" / "a-b.txt").read_text() == D.CLUSTERS_HEAD + "\n1, 5.000, 6.000, 0.500, 4, 0.800, perpendicular, right\n2, 1.000, 2.000, 0.500, 3, 0.900, parallel, left\n"
+    D.write_boxes_text(cars, f"{tmp_path}/boxes", ["bag"])
+    assert (tmp_path / "boxes" / "none.txt").read_text() == D.BOXES_HEAD + "\n1, 7.000, 8.000, 0.000, 4.000, 1.800, 1.500, 0.0000, parallel, left\n"
+    lines = spark.createDataFrame([("b", 0, 2, "2, x", None), ("b", 0, 10, "10, y", None), ("b", 1, 2, "2, x", "# own\n# head")], "bag string, split int, frame long, value string, head string")
+    D.write_split_positions(lines, f"{tmp_path}/pos", ["bag", "split"], ["frame"], head="head")
+    assert (tmp_path / "pos" / "b_0.txt").read_text() == D.POSITIONS_HEAD + "\n2, x\n10, y\n"
+    assert (tmp_path / "pos" / "b_1.txt").read_text() == "# own\n# head\n2, x\n"
+    put(tmp_path, "map/colours.json", '{"(1, 2, 3)": "4,5,6", "(7,8,9)": null, "odd": "1,2,3", "(1, 1, 1)": "x"}')
+    assert sorted(tuple(r) for r in D.read_colour_map(spark, f"{tmp_path}/map").collect()) == [(0, 1, 2, 3, 4, 5, 6), (1, 7, 8, 9, 128, 128, 128)]
+
+
+def test_stored_segment_scores_like_a_computed_one(spark, tmp_path):
+    from wheeltrace.operators import paths, score
+    from wheeltrace.sources import documents as D
+
+    rows = [(route, run, i, 0.4 * i + 0.01 * run, 5.0 * run) for route in ("a", "b") for run in (1, 2) for i in range(60)]
+    real = spark.createDataFrame(rows, "route string, run long, seq long, x double, y double")
+    path, projected, segments = score.scenario_segments(real, ["route"])
+    D.write_segments(segments, path, f"{tmp_path}/seg", ["route"])
+    path2, segments2 = D.read_segments(spark, f"{tmp_path}/seg", name="route")
+    assert sorted(map(tuple, segments2.collect())) == sorted(map(tuple, segments.select(*segments2.columns).collect()))
+    again = paths.project_runs(real, path2, ["route"], ("route", "run"))
+    a, b = (score.completion(p, s, ("route", "run")).orderBy("route", "run").collect() for p, s in ((projected, segments), (again, segments2)))
+    assert a == b
+
+
+def test_short_paths_keep_their_points(spark):
+    from wheeltrace.operators.paths import fit_path
+
+    rows = [("two", 0, 0.0, 0.0), ("two", 1, 4.0, 0.0), ("three", 0, 0.0, 0.0), ("three", 1, 1.0, 0.0), ("three", 2, 1.0, 3.0), ("one", 0, 5.0, 5.0)]
+    rows += [("four", k, float(k), 0.0) for k in range(4)]
+    got = fit_path(spark.createDataFrame(rows, "bag string, t long, x double, y double"), ["bag"], ["t"])
+    n = {r.bag: r["count"] for r in got.groupBy("bag").count().collect()}
+    assert n == {"two": 2000, "three": 3, "four": 2000}
+    assert [(r.idx, r.x, r.y, r.tx, r.ty) for r in got.where("bag = 'three'").orderBy("idx").collect()][0] == (0, 0.0, 0.0, 1.0, 0.0)
+    assert [(r.x, r.y) for r in got.where("bag = 'three'").orderBy("idx").collect()] == [(0.0, 0.0), (1.0, 0.0), (1.0, 3.0)]
+
+
+def test_topics_by_hand(spark):
+    from wheeltrace.operators.timesync import topic_summary
+
+    rows = [("a", "/cam", "Image", 30), ("a", "/cam", "Image", 10), ("a", "/odom", "Pose", 5), ("b", "/cam", "Image", 7)]
+    got = topic_summary(spark.createDataFrame(rows, "bag string, topic string, msgtype string, t_us long")).orderBy("bag", "topic").collect()
+    assert [tuple(r) for r in got] == [("a", "/cam", "Image", 2, 10, 30, 5, 30), ("a", "/odom", "Pose", 1, 5, 5, 5, 30), ("b", "/cam", "Image", 1, 7, 7, 7, 7)]

@@ -176,8 +176,8 @@ def fit_path(
     """Clean, thin and resample a driven path to ``n`` stations with unit tangents.
 
     Finite rows -> no consecutive duplicates -> every k-th row so that about ``max_points`` remain ->
-    no duplicates again -> ``n`` stations linear in arc length. Paths left with fewer than two
-    points have no length and produce no row.
+    no duplicates again -> ``n`` stations linear in arc length. A path left with three points keeps them as its
+    stations; paths left with fewer than two points have no length and produce no row.
     """
     keys = list(keys)
     p = dense_number(finite_rows(poses, x, y), keys, order, "_pos")
@@ -190,9 +190,11 @@ def fit_path(
     thin = materialize(dedupe_consecutive(thin, keys, "_pos"), "thin")
     thin = dense_number(thin.withColumnRenamed("_pos", "_old"), keys, ["_old"], "_pos").drop("_old")
     thin = materialize(arc_length(thin, keys, "_pos"), "thin")
-    long_enough = thin.groupBy(*keys).agg(F.max("s").alias("_l")).where(F.col("_l") > 1e-8).select(*keys)
-    stations = resample_path(thin.join(long_enough, keys, "left_semi"), keys, "_pos", n=n)
-    return path_tangent(materialize(stations, "stations"), keys)
+    ends = materialize(thin.groupBy(*keys).agg(F.max("s").alias("_l"), F.count(F.lit(1)).alias("_n")).where(F.col("_l") > 1e-8), "ends")
+    three = F.col("_n") == 3
+    stations = resample_path(thin.join(ends.where(~three), keys, "left_semi"), keys, "_pos", n=n)
+    own = thin.join(ends.where(three), keys, "left_semi").select(*keys, F.col("_pos").alias("idx"), "s", "x", "y")
+    return path_tangent(materialize(stations.select(*keys, F.col("idx").cast("long").alias("idx"), "s", "x", "y").unionByName(own), "stations"), keys)
 
 
 def side_and_orientation(

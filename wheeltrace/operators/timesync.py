@@ -183,3 +183,15 @@ def top_k_per_group(df: DataFrame, keys, order, k: int) -> DataFrame:
     """First k rows of each key for a report; Spark prunes to k rows per key before the shuffle."""
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def topic_summary(messages: DataFrame, keys=("bag",), topic: str = "topic", kind: str = "msgtype", time: str = "t_us") -> DataFrame:
+    """Per topic its message type, number of messages, first and last time; and the first and last time of the whole recording.
+
+    Of several types of one topic the least by name is shown. Times are the least and the greatest, not those read first and last.
+    """
+    keys = list(keys)
+    per = materialize(messages.groupBy(*keys, topic).agg(
+        F.min(kind).alias(kind), F.count(F.lit(1)).alias("n"), F.min(time).alias("first_us"), F.max(time).alias("last_us")), "topics")
+    whole = per.groupBy(*keys).agg(F.min("first_us").alias("start_us"), F.max("last_us").alias("end_us"))
+    return per.join(whole, keys)

@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from wheeltrace.operators import score as S
 from wheeltrace.plans.derived import cte, derived, table
 from wheeltrace.plans.q_align import _SPL
+from wheeltrace.plans.q_drives import _SEG, scored
 from wheeltrace.plans.q_path import _JIT, _VIO, _jitter, _violations, segment_parts
 from wheeltrace.plans.registry import q, query, r, rounded
 from wheeltrace.operators.align import split_assign
+from wheeltrace.sources import documents as Doc
 from wheeltrace.sources import readers as R
 from wheeltrace.sources import sinks as W
 from wheeltrace.sources.python_sources import write_files
@@ -276,3 +278,79 @@ def write_splits(spark, sf):
     W.write_splits(split_assign(derived(spark, sf, "camera"), ["bag"], "frame_id", 4, 20), path)
     back = spark.read.parquet(path)
     return back.groupBy(F.col("bag").cast("long").alias("bag"), "split").agg(F.count(F.lit(1)).alias("frames"))
+
+
+# --- documents written and read again ------------------------------------------------------------------
+_CARD = """SELECT CAST(cluster_id % 25 AS BIGINT) AS map, cluster_id AS id, lon*1e3 AS x, lat*1e3 AS y, 0.125e0*(cluster_id % 8) AS z, 4.5e0 AS length, 1.75e0 AS width, 1.5e0 AS height,
+   0.1e0*(cluster_id % 60) AS yaw, CAST(3 + cluster_id % 9 AS BIGINT) AS count, 0.5e0 AS conf, side, orient FROM cars"""
+
+
+def _car_rows(spark, sf):
+    c, k = derived(spark, sf, "cars"), F.col("cluster_id")
+    return c.select((k % 25).alias("map"), k.alias("id"), (F.col("lon") * 1e3).alias("x"), (F.col("lat") * 1e3).alias("y"), (F.lit(0.125) * (k % 8)).alias("z"), F.lit(4.5).alias("length"),
+                    F.lit(1.75).alias("width"), F.lit(1.5).alias("height"), (F.lit(0.1) * (k % 60)).alias("yaw"), (k % 9 + 3).alias("count"), F.lit(0.5).alias("conf"), "side", "orient")
+
+
+@query("write_detection_doc", cte(f"SELECT map, id, {q('x')} AS x, {q('y')} AS y, {q('z')} AS z, {q('yaw')} AS yaw, count, conf, side, orient FROM cd", "cars", extra={"cd": _CARD}))
+def write_detection_doc(spark, sf):
+    path = _folder(spark, "parked")
+    Doc.write_detection_docs(_car_rows(spark, sf), path, ["map"], "camera", (1.0, 2.0, 3.0))
+    back = R.read_detection_doc(spark, path)
+    return rounded(back, F.regexp_extract("file", r"(\d+)\.json$", 1).cast("long").alias("map"), "id", "count", "conf", "side", "orient", x="x", y="y", z="z", yaw="yaw")
+
+
+@query("write_clusters_text", cte(f"SELECT map, id AS cluster_id, {q("CAST(printf('%.3f', x) AS DOUBLE)")} AS x, orient, side FROM cd", "cars", extra={"cd": _CARD}))
+def write_clusters_text(spark, sf):
+    path = _folder(spark, "clusters")
+    Doc.write_clusters_text(_car_rows(spark, sf), path, ["map"])
+    back = R.read_clusters(spark, path)
+    return back.select(F.regexp_extract("path", r"(\d+)\.txt$", 1).cast("long").alias("map"), "cluster_id", r("x").alias("x"), "orient", "side")
+
+
+@query("write_boxes_text", cte("""SELECT map, printf('%d, %.3f, %.3f, %.3f, %.3f, %.3f, %.3f, %.4f, %s, %s', id, x, y, z, length, width, height, yaw, orient, side) AS value FROM cd
+   UNION ALL SELECT DISTINCT map, '# cluster_id, x, y, z, length, width, height, yaw, orientation, side' FROM cd""", "cars", extra={"cd": _CARD}))
+def write_boxes_text(spark, sf):
+    path = _folder(spark, "boxes")
+    Doc.write_boxes_text(_car_rows(spark, sf), path, ["map"])
+    return spark.read.text(path).select(F.regexp_extract(F.col("_metadata.file_path"), r"(\d+)\.txt$", 1).cast("long").alias("map"), "value")
+
+
+@query("write_transforms", cte(f"SELECT bag, idx AS frame_id, {q('t_us/1e6', 6)} AS timestamp, {q('tx')} AS x, {q('ty')} AS y, {q('tz')} AS z, {q('degrees(yaw)')} AS yaw FROM odom", "odom"))
+def write_transforms(spark, sf):
+    o = derived(spark, sf, "odom").selectExpr("bag", "idx as frame_id", "t_us/1e6 as timestamp", "tx as x", "ty as y", "tz as z", "degrees(yaw) as yaw")
+    path = _folder(spark, "transforms")
+    Doc.write_transforms(o, path, ["bag"])
+    back = R.read_transforms(spark, path, back_offset=0.0)
+    return rounded(back, F.regexp_extract("file", r"(\d+)\.json$", 1).cast("long").alias("bag"), "frame_id", timestamp="timestamp", x="x", y="y", z="z", yaw="yaw")
+
+
+@query("write_split_positions", cte("""SELECT concat(c.bag, '_', r.split) AS part, concat(c.frame_id, ', ', c.t_us) AS value FROM camera c JOIN rg r ON r.bag = c.bag AND c.frame_id BETWEEN r.a AND r.b
+   UNION ALL SELECT DISTINCT concat(c.bag, '_', r.split), '# frames of the route' FROM camera c JOIN rg r ON r.bag = c.bag AND c.frame_id BETWEEN r.a AND r.b""", "camera", extra=_SPL))
+def write_split_positions(spark, sf):
+    rows = split_assign(derived(spark, sf, "camera"), ["bag"], "frame_id", 4, 20)
+    rows = rows.withColumn("value", F.concat("frame_id", F.lit(", "), "t_us")).withColumn("head", F.lit("# frames of the route"))
+    path = _folder(spark, "positions")
+    Doc.write_split_positions(rows, path, ["bag", "split"], ["frame_id"], head="head")
+    return spark.read.text(path).select(F.regexp_extract(F.col("_metadata.file_path"), r"(\d+_\d+)\.txt$", 1).alias("part"), "value")
+
+
+@query("stored_segment", cte(f"""SELECT seg.route, best.run AS reference_run, {q('a', 4)} AS start_m, {q('b', 4)} AS end_m, n AS vertices, {q('sx', 3)} AS sum_x, {q('sy', 3)} AS sum_y, {q('ls', 4)} AS last_s
+   FROM seg JOIN best USING (route) JOIN (SELECT route, count(*) AS n, sum(x) AS sx, sum(y) AS sy, max(s) AS ls FROM path GROUP BY route) USING (route)""", extra=_SEG))
+def stored_segment(spark, sf):
+    out = scored(spark, sf)
+    folder = _folder(spark, "segments")
+    Doc.write_segments(out["segments"], out["path"], folder, ["route"])
+    path, segments = Doc.read_segments(spark, folder, name="route")
+    line = path.groupBy("route").agg(F.count(F.lit(1)).alias("vertices"), F.sum("x").alias("sx"), F.sum("y").alias("sy"), F.max("s").alias("ls"))
+    return segments.join(line, "route").select(F.col("route").cast("long").alias("route"), "reference_run", r("start_m", 4).alias("start_m"), r("end_m", 4).alias("end_m"), "vertices",
+                                               r("sx", 3).alias("sum_x"), r("sy", 3).alias("sum_y"), r("ls", 4).alias("last_s"))
+
+
+@query("read_colour_map", """SELECT CAST(c_custkey AS INT) AS r, 1 AS g, 2 AS b, CASE WHEN c_custkey % 3 = 0 THEN 128 ELSE CAST(c_custkey % 256 AS INT) END AS r2, CASE WHEN c_custkey % 3 = 0 THEN 128 ELSE 7 END AS g2,
+   CASE WHEN c_custkey % 3 = 0 THEN 128 ELSE 9 END AS b2 FROM customer""")
+def read_colour_map(spark, sf):
+    k = F.col("c_custkey").cast("long")
+    entry = F.concat(F.format_string('"(%d, 1, 2)": ', k), F.when(k % 3 == 0, F.lit("null")).otherwise(F.format_string('"%d, 7,9"', k % 256)))
+    part = table(spark, sf, "customer").select((k % 40).alias("id"), F.struct(k.alias("k"), entry.alias("e")).alias("s"))
+    docs = part.groupBy("id").agg(F.concat(F.lit("{"), F.array_join(F.sort_array(F.collect_list("s"))["e"], ", "), F.lit("}")).alias("value"))
+    return Doc.read_colour_map(spark, _files(spark, docs, "colours")).select("r", "g", "b", "r2", "g2", "b2")

@@ -138,12 +138,11 @@ def stride(spark, sf):
 
 @query(
     "topic_summary",
-    cte("SELECT bag, topic, count(*) AS n, min(t_us) AS first_us, max(t_us) AS last_us FROM messages GROUP BY bag, topic", "messages"),
+    cte("SELECT bag, topic, 'msgs' || topic AS msgtype, count(*) AS n, min(t_us) AS first_us, max(t_us) AS last_us, min(min(t_us)) OVER (PARTITION BY bag) AS start_us,"
+        " max(max(t_us)) OVER (PARTITION BY bag) AS end_us FROM messages GROUP BY bag, topic", "messages"),
 )
 def topic_summary(spark, sf):
-    return derived(spark, sf, "messages").groupBy("bag", "topic").agg(
-        F.count(F.lit(1)).alias("n"), F.min("t_us").alias("first_us"), F.max("t_us").alias("last_us")
-    )
+    return ts.topic_summary(derived(spark, sf, "messages").withColumn("msgtype", F.concat(F.lit("msgs"), "topic")))
 
 
 # --- angles and poses -------------------------------------------------------------------------

@@ -16,9 +16,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from wheeltrace.llm.common import slices, table
 from wheeltrace.llm.registry import query
+from wheeltrace.operators.ordered import counted
+from wheeltrace.session import materialize
 from wheeltrace.llm.words import DIGIT, LETTER, plain, tables
 
 Q = 12
@@ -208,12 +211,15 @@ def find_leaks(
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("text is not null")
     kinds = dict(rows.dtypes)["doc_id"], dict(bench.dtypes)[item_id_col]
+    id_type = to_arrow_type(bench.schema[item_id_col].dataType)
+    context = docs.sparkSession.sparkContext
     out = None
+    # one block after the other: its index is broadcast, its finds are written, and the index goes
     for block in item_blocks(bench, item_id_col, item_text_col, block_chars):
-        index = ItemIndex.build([r[0] for r in block], [r[1] for r in block], rate, q)
-        ids = pa.array(index.ids, {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kinds[1]])
+        held = context.broadcast((ItemIndex.build([r[0] for r in block], [r[1] for r in block], rate, q), pa.array([r[0] for r in block], id_type)))
 
-        def run(batches, index=index, ids=ids):
+        def run(batches, held=held):
+            index, ids = held.value
             for batch in (s for b in batches for s in slices(b, "text", 1_000_000)):
                 text, item, edits = find_items(batch.column(1).to_pylist(), index)
                 if len(text):
@@ -221,7 +227,8 @@ def find_leaks(
                         [batch.column(0).take(pa.array(text)), ids.take(pa.array(item)), pa.array(edits.astype(np.int32))],
                         ["doc_id", "item_id", "edits"])
 
-        found = rows.mapInArrow(run, f"doc_id {kinds[0]}, item_id {kinds[1]}, edits int")
+        found = materialize(rows.mapInArrow(run, f"doc_id {kinds[0]}, item_id {kinds[1]}, edits int"), "finds")
+        held.unpersist()
         out = found if out is None else out.unionByName(found)
     return out.groupBy("doc_id", "item_id").agg(F.min("edits").alias("edits"))
 
@@ -231,6 +238,8 @@ def remove_leaks(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text
     # an item is found in a text whatever its id
     texts = docs.select(F.md5(text_col).alias("_leak"), F.col(text_col))
     leaks = find_leaks(texts, bench, "_leak", text_col, **options).select(F.col("doc_id").alias("_leak")).distinct()
+    # few leaks are broadcast, so that the texts need not move to lose them
+    leaks = counted(leaks)
     return docs.join(leaks, F.md5(docs[text_col]) == leaks["_leak"], "left_anti")
 
 

@@ -28,6 +28,7 @@ BITS = 15
 REJECTED = 0.002      # share of the calibration pieces that may be rejected
 PIECES = (40, 120, 400, PASSAGE)  # calibration pieces have so many code points
 LEAST_SCORE = 0.35    # of more than two languages none is named below this
+SPREAD = 4             # deviations below the mean that pieces may lie at least
 MARGIN = 0.05         # further room below the least familiar pieces
 ROOM = 0.75           # share of the room down to the negatives that is left to clean texts
 BROADCAST_DRAWS = 1_000_000
@@ -203,7 +204,9 @@ def train(texts: list[str], langs: list[str], bits: int = BITS, dim: int = 12, e
     for k in range(len(PIECES)):
         own = (size >= edges[k]) & (size <= edges[k + 1])
         at.append(float(size[own].min()))
-        least.append(float(np.quantile(mean[own], rejected, method="lower")) - MARGIN)
+        # few pieces say little about so small a share: then as far down as their spread suggests
+        low = min(np.quantile(mean[own], rejected, method="lower"), mean[own].mean() - SPREAD * mean[own].std())
+        least.append(float(low) - MARGIN)
     model.known_from = np.array(at), np.maximum.accumulate(least)
     strange = [(model, [_shuffled(texts[i][:400], rng) for i in held])]
     for k in range(len(names)) if len(names) > 2 else ():

@@ -227,7 +227,8 @@ def archive_pages(df: DataFrame, **columns) -> DataFrame:
     spark = df.sparkSession
     folder = posixpath.join(scratch_folder(spark), f"warc-{uuid.uuid4().hex}")
     write_warc(df, folder, **columns)
-    return merge_runs(capture_runs(spark, folder))
+    # written once: finding the ranges reads the runs too, and the archives should be opened once
+    return merge_runs(materialize(capture_runs(spark, folder), "runs"))
 
 
 @query("op4_warc", f"""

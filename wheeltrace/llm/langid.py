@@ -29,6 +29,7 @@ REJECTED = 0.002      # share of the calibration pieces that may be rejected
 PIECES = (40, 120, 400, PASSAGE)  # calibration pieces have so many code points
 LEAST_SCORE = 0.35    # of more than two languages none is named below this
 SPREAD = 4             # deviations below the mean that pieces may lie at least
+SURE = 0.95           # a text of unfamiliar subwords stays if its language is this clear
 MARGIN = 0.05         # further room below the least familiar pieces
 ROOM = 0.75           # share of the room down to the negatives that is left to clean texts
 BROADCAST_DRAWS = 1_000_000
@@ -67,7 +68,8 @@ class LanguageModel:
         p = self._softmax(mean[:, :k] + self.bias)
         gone = p.max(1) < self.reject_below
         if self.known_from is not None:
-            gone |= mean[:, k:].max(1) < np.interp(np.log(np.maximum(n, 1)), *self.known_from)
+            strange = mean[:, k:].max(1) < np.interp(np.log(np.maximum(n, 1)), *self.known_from)
+            gone |= strange & (p.max(1) < SURE)
         return p, n, gone | (n == 0)
 
     def probabilities(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -168,7 +170,7 @@ def train(texts: list[str], langs: list[str], bits: int = BITS, dim: int = 12, e
 
     The temperature is the likeliest one for held back passages. A text is rejected if its subwords are less familiar (mean log
     share in the language where they are most frequent) than all but the share ``rejected`` of held back pieces of its
-    length that are named rightly. How well that works is measured on negatives: pieces with their letters shuffled, and held back pieces of a
+    length that are named rightly, and its score is not sure (clean texts with words of their own should stay). How well that works is measured on negatives: pieces with their letters shuffled, and held back pieces of a
     language judged by a model that has not seen it.
     """
     names = sorted(set(langs))

@@ -300,8 +300,8 @@ def naive_frechet(p, q):
     return ca[-1, -1]
 
 
-@pytest.mark.parametrize("block, strip, fan", [(16, 1024, 32), (2, 4, 2), (1, 1, 3)])
-def test_frechet_matches_loop(spark, monkeypatch, block, strip, fan):
+@pytest.mark.parametrize("block, strip, fan, direct", [(16, 1024, 32, 0), (2, 4, 2, 0), (1, 1, 3, 0), (2, 4, 2, None), (1, 1, 3, 400)])
+def test_frechet_matches_loop(spark, monkeypatch, block, strip, fan, direct):
     """Also with tiny blocks, strips and groups of maps, so that every way of composing is used."""
     for name, value in (("LEAST_BLOCK", block), ("STRIP", strip), ("FAN", fan)):
         monkeypatch.setattr(Fr, name, value)
@@ -309,7 +309,7 @@ def test_frechet_matches_loop(spark, monkeypatch, block, strip, fan):
     curves = {k: np.cumsum(rng.normal(size=(n, 2)), axis=0) for k, n in ((0, 30), (1, 17), (2, 1), (3, 24))}
     pdf = pd.DataFrame([(k, i, *pt) for k, c in curves.items() for i, pt in enumerate(c)], columns=["run", "seq", "x", "y"])
     df = spark.createDataFrame(pdf)
-    got = {(r.p, r.q): r.frechet for r in Fr.frechet_discrete(df.where("run < 3"), df.where("run > 0")).collect()}
+    got = {(r.p, r.q): r.frechet for r in Fr.frechet_discrete(df.where("run < 3"), df.where("run > 0"), direct_cells=direct).collect()}
     assert len(got) == 9
     for (a, b), v in got.items():
         assert v == pytest.approx(naive_frechet(curves[a], curves[b]))
@@ -345,6 +345,12 @@ def search_by_strips(p, q, block, strip):
             return np.sqrt(high)
 
 
+def band_of(p, q, block):
+    boxes = [np.array([[*c[i:i + block].min(0), *c[i:i + block].max(0)] for i in range(0, len(c), block)]) for c in (p, q)]
+    _, _, j0, j1 = Fr.stretch(*boxes)
+    return np.repeat(j0 * block, block)[:len(p)], np.repeat(np.minimum((j1 + 1) * block, len(q)), block)[:len(p)]
+
+
 def test_frechet_search_on_many_curves():
     rng = np.random.default_rng(8)
     for t in range(120):
@@ -354,7 +360,10 @@ def test_frechet_search_on_many_curves():
         else:
             p, q = rng.integers(0, 4, (n, 2)).astype(float), rng.integers(0, 4, (m, 2)).astype(float)  # many ties
         block, strip = int(rng.integers(1, 6)), int(rng.integers(1, 5))
-        assert search_by_strips(p, q, block, strip * block) == pytest.approx(naive_frechet(p, q), abs=1e-12), t
+        want = naive_frechet(p, q)
+        assert search_by_strips(p, q, block, strip * block) == pytest.approx(want, abs=1e-12), t
+        a, b = band_of(p, q, block)
+        assert np.sqrt(Fr.band_minimax(p[:, 0], p[:, 1], q[:, 0], q[:, 1], a, b)) == pytest.approx(want, abs=1e-12), t
 
 
 def test_frechet_jobs_do_not_follow_the_length(spark, monkeypatch):
@@ -365,7 +374,7 @@ def test_frechet_jobs_do_not_follow_the_length(spark, monkeypatch):
         s = np.arange(n) * 0.3
         rows = [(k, i, float(x), float(np.sin(x / 9) + k * np.cos(x))) for k in (0, 1) for i, x in enumerate(s)]
         df = spark.createDataFrame(pd.DataFrame(rows, columns=["run", "seq", "x", "y"]))
-        assert Fr.frechet_discrete(df.where("run = 0"), df.where("run = 1")).count() == 1
+        assert Fr.frechet_discrete(df.where("run = 0"), df.where("run = 1"), direct_cells=0).count() == 1
         rounds.append(len(count))
     assert rounds[1] <= rounds[0] + 2 and rounds[1] < 14
 

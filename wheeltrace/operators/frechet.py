@@ -12,6 +12,7 @@ a few at a time for all pairs of curves in one job:
 * Maps of neighbouring strips compose, so a pair is reduced by groups of strips. The result tells which candidates let a path
   through, and samples of the distances in between give the next candidates.
 
+A pair of which the boxes leave few cells is swept directly in one task, which gives the same number without a search.
 The number of jobs follows the logarithm of the number of distances (base ``CANDIDATES``), not the length of the curves. A task
 holds one strip of a curve and the stretch of the other that it can reach.
 """
@@ -32,6 +33,8 @@ STRIP = 1024             # points of a strip, or one block if that is larger
 CANDIDATES = 31          # distances tried in one job
 SAMPLES = 16             # distances named by a strip between two candidates
 FAN = 32                 # maps composed in one step
+DIRECT_CELLS = 300_000_000   # a pair with so few cells left, and so few points, is one task and needs no search
+DIRECT_POINTS = 1_000_000
 ROOM = 3_000_000         # cells of a row times candidates that are worked on at once
 NOWHERE = np.int64(1) << 60
 
@@ -62,6 +65,30 @@ def minimax(d: np.ndarray) -> float:
     return float(last[n])
 
 
+def band_minimax(px, py, qx, qy, a: np.ndarray, b: np.ndarray) -> float:
+    """Least possible maximum of squared distances along a path inside a band: row i has the columns from a[i] up to b[i].
+
+    Both borders never go back, so the cells of an anti-diagonal are neighbouring rows.
+    """
+    n, m = len(px), len(qx)
+    rows = np.arange(n)
+    first = np.searchsorted(rows + b, np.arange(n + m - 1), side="right")
+    last_row = np.searchsorted(rows + a, np.arange(n + m - 1), side="right") - 1
+    before, last, cur = (np.full(n + 3, np.inf) for _ in range(3))
+    before[0] = -np.inf  # the step into the first cell
+    for k, (i0, i1) in enumerate(zip(first.tolist(), last_row.tolist())):
+        if i0 <= i1:
+            q = slice(k - i1, k - i0 + 1)
+            dx, dy = px[i0:i1 + 1] - qx[q][::-1], py[i0:i1 + 1] - qy[q][::-1]
+            best = np.minimum(np.minimum(last[i0:i1 + 1], last[i0 + 1:i1 + 2]), before[i0:i1 + 1])
+            np.maximum(best, dx * dx + dy * dy, out=cur[i0 + 1:i1 + 2])
+            cur[i0] = cur[i1 + 2] = np.inf
+        else:
+            cur[i1:i0 + 2] = np.inf  # no cell of the band
+        before, last, cur = last, cur, before
+    return float(last[n])
+
+
 def _spread(free: np.ndarray, given: np.ndarray) -> np.ndarray:
     """Free cells of rows that given cells reach by going right; works on the last axis."""
     run = 2 * np.cumsum(~free, axis=-1)
@@ -218,25 +245,26 @@ def _outline(blocks: DataFrame, name: str) -> DataFrame:
     return out.select(name, f"{name}n", f"{name}size", *[F.col(f"b.{c}").alias(f"{name}{c}") for c in ("x0", "y0", "x1", "y1")])
 
 
-def _plan(batches):
-    """Strips of each pair: row blocks, their columns, and bounds of the distance."""
+def _plan(batches, strip: int, direct: int):
+    """Strips of each pair: row blocks, their columns, and bounds of the distance; a pair with few cells left is one strip."""
     for pdf in batches:
         rows = []
         for r in pdf.itertuples(index=False):
             p, q = (np.stack([np.asarray(getattr(r, side + c)) for c in ("x0", "y0", "x1", "y1")], 1) for side in "pq")
             low, high, j0, j1 = stretch(p, q)
-            per = max(1, STRIP // r.psize)
+            whole = r.pn + r.qn <= DIRECT_POINTS and int((j1 - j0 + 1).sum()) * r.psize * r.qsize <= direct
+            per = len(p) if whole else max(1, strip // r.psize)
             for s, i in enumerate(range(0, len(p), per)):
                 e = min(i + per, len(p)) - 1
                 before = (int(j0[i - 1]), int(j1[i - 1])) if i else (0, 0)
                 rows.append((r.p, r.q, s, i, e, j0[i:e + 1], j1[i:e + 1], *before, int(min(j0[i:e + 1].min(), before[0] if i else j0[i])),
-                             int(max(j1[i:e + 1].max(), before[1])), r.psize, r.qsize, r.pn, r.qn, low, high))
+                             int(max(j1[i:e + 1].max(), before[1])), r.psize, r.qsize, r.pn, r.qn, low, high, whole))
         yield pd.DataFrame(rows, columns=_PLAN)
 
 
-_PLAN = ["p", "q", "s", "i0", "i1", "j0", "j1", "above0", "above1", "q0", "q1", "psize", "qsize", "pn", "qn", "low", "high"]
+_PLAN = ["p", "q", "s", "i0", "i1", "j0", "j1", "above0", "above1", "q0", "q1", "psize", "qsize", "pn", "qn", "low", "high", "whole"]
 _PLAN_TYPES = ("s long, i0 long, i1 long, j0 array<long>, j1 array<long>, above0 long, above1 long, q0 long, q1 long, "
-               "psize long, qsize long, pn long, qn long, low double, high double")
+               "psize long, qsize long, pn long, qn long, low double, high double, whole boolean")
 
 
 def _with_points(strips: DataFrame, blocks: DataFrame, name: str, first: str, last: str) -> DataFrame:
@@ -259,6 +287,16 @@ def _rows_of(r) -> tuple:
     return px, py, qx, qy, a.tolist(), b.tolist(), above
 
 
+def _direct(batches):
+    """The distance of pairs that are one strip, cell by cell of what is left."""
+    for pdf in batches:
+        rows = []
+        for r in pdf.itertuples(index=False):
+            px, py, qx, qy, a, b, _ = _rows_of(r)
+            rows.append((r.p, r.q, float(np.sqrt(band_minimax(px, py, qx, qy, np.asarray(a), np.asarray(b))))))
+        yield pd.DataFrame(rows, columns=["p", "q", "frechet"])
+
+
 def _try(batches):
     """The maps of strips at the candidates of their pairs, and distances between the candidates."""
     for pdf in batches:
@@ -309,7 +347,7 @@ def _narrow(batches):
 
 
 def frechet_discrete(
-    left: DataFrame, right: DataFrame, curve: str = "run", pos: str = "seq", scenario: str | None = None,
+    left: DataFrame, right: DataFrame, curve: str = "run", pos: str = "seq", scenario: str | None = None, direct_cells: int | None = None,
 ) -> DataFrame:
     """Distance of every left curve to every right curve of its scenario: ``p, q, frechet``.
 
@@ -328,9 +366,12 @@ def frechet_discrete(
 
     parallel = spark.sparkContext.defaultParallelism
     pairs = outlines(p, left, "p").join(outlines(q, right, "q"), "_scenario").drop("_scenario").repartition(parallel, "p", "q")
-    plan = materialize(pairs.mapInPandas(_plan, f"{ids}, {_PLAN_TYPES}"), "plan")
+    strip, direct = STRIP, DIRECT_CELLS if direct_cells is None else direct_cells
+    plan = materialize(pairs.mapInPandas(lambda batches: _plan(batches, strip, direct), f"{ids}, {_PLAN_TYPES}"), "plan")
     strips = plan.select(*[c for c in _PLAN if c not in ("low", "high")])
     strips = materialize(_with_points(_with_points(strips, p, "p", "i0", "i1"), q, "q", "q0", "q1").repartition(parallel, "p", "q", "s"), "strips")
+    done = [materialize(strips.where("whole").repartition(parallel, "p", "q").mapInPandas(_direct, f"{ids}, frechet double"), "direct")]
+    strips, plan = strips.where("not whole"), plan.where("not whole")
     # both bounds may be reached: the range is open at its ends
     state = plan.where("s = 0").select("p", "q", (F.col("low") * (1 - 1e-12) - 1e-300).alias("low"), (F.col("high") * (1 + 1e-12) + 1e-300).alias("high"))
     step = (F.sqrt("high") - F.sqrt(F.greatest("low", F.lit(0.0)))) / (CANDIDATES + 1)
@@ -340,7 +381,7 @@ def frechet_discrete(
     levels, reach = 1, FAN
     while most is not None and reach <= most:
         levels, reach = levels + 1, reach * FAN
-    done = [state.where(F.size("limits") == 0).select("p", "q", F.sqrt("high").alias("frechet"))]  # no number lies in between
+    done.append(state.where(F.size("limits") == 0).select("p", "q", F.sqrt("high").alias("frechet")))  # no number lies in between
     state = state.where(F.size("limits") > 0)
     while not state.isEmpty():
         maps = strips.join(state, ["p", "q"]).repartition(parallel, "p", "q", "s").mapInPandas(_try, f"{ids}, {_MAP_TYPES}")
